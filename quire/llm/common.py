@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,3 +86,47 @@ def pieces_of(batch: pa.RecordBatch, chars: int = 2_000_000, column: str = "text
         total += int(size)
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+class WordTable:
+    """A row of numbers for each distinct word, worked out once per worker.
+
+    `compute` maps a list of new words to an array with a row each. The table is emptied at
+    `limit` words, so its memory is bounded whatever the vocabulary.
+    """
+
+    def __init__(self, compute, width: int, dtype, limit: int = 800_000):
+        self._compute, self._width, self._dtype, self._limit = compute, width, dtype, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self._at: dict[str, int] = {}
+        self._rows = np.zeros((4096, self._width), dtype=self._dtype)
+
+    def look_up(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of all words of all texts in turn, and the number of words of each text."""
+        if len(self._at) > self._limit:
+            self._clear()
+        at = self._at
+        new = [w for w in set(chain.from_iterable(texts)) if w not in at]
+        if new:
+            begin = len(at)
+            if begin + len(new) > len(self._rows):
+                grown = np.zeros((2 * (begin + len(new)), self._width), dtype=self._dtype)
+                grown[:begin] = self._rows[:begin]
+                self._rows = grown
+            self._rows[begin : begin + len(new)] = self._compute(new)
+            at.update(zip(new, range(begin, begin + len(new))))
+        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        return np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum())), counts
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self._rows
+
+
+def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of `values` (a row per word) over each text's words."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), dtype=np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[ends[1:]] - total[ends[:-1]]

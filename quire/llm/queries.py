@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +28,55 @@ def op8_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, write_shards(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op8_sstable_output)}
-ORACLES: dict[str, str] = {}
+def op1_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import decide
+
+    found = decide(_table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified
+
+    return identified(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op6_language_gru, op8_sstable_output)}
+
+ORACLES: dict[str, str] = {
+    "op3_pareto_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         (CAST(('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM totals),
+levels AS (
+  SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS rank,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed),
+chosen AS (SELECT level FROM levels WHERE level <= cap / w ORDER BY rank LIMIT 1),
+rates AS (
+  SELECT source, source_size, least(cap, w * (SELECT level FROM chosen)) AS target,
+         CASE WHEN source_size > 0 THEN least(cap, w * (SELECT level FROM chosen)) / source_size ELSE 0 END AS rate
+  FROM levels),
+keyed AS (
+  SELECT s.doc_id, s.size, r.source, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS part, s.u,
+         CASE WHEN r.rate > floor(r.rate)
+              THEN (s.u / (1 - s.u)) / ((r.rate - floor(r.rate)) / (1 - (r.rate - floor(r.rate)))) END AS q
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+ranked AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS running FROM keyed)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN part > 0 AND running - size / 2.0 <= target - floor(rate) * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked
+""",
+}
