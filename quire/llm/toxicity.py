@@ -17,7 +17,9 @@ from .common import WordTable, remainder, words
 SPACE = 1 << 20
 #: Labelled rows of each class that the model is fitted on, at most: those with the least hash of the id.
 ROWS_PER_CLASS = 6_000
-EPOCHS = 3
+EPOCHS = 4
+#: Single words also count by their first letters, which inflected forms share.
+STEM = 5
 _STRIP = ".,;:!?\"'()[]{}<>*_-…«»„“”‘’¿¡"
 
 
@@ -36,7 +38,9 @@ class ToxicModel:
 
 
 def _hashes(new: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32((w.lower().strip(_STRIP) or w).encode("utf-8", "surrogatepass")) for w in new], dtype=np.uint64).reshape(-1, 1)
+    """Hashes of each word, lower-cased and without marks around it, and of its stem."""
+    forms = [w.lower().strip(_STRIP) or w for w in new]
+    return np.array([[zlib.crc32(f.encode("utf-8", "surrogatepass")), zlib.crc32(f[:STEM].encode("utf-8", "surrogatepass"))] for f in forms], dtype=np.uint64).reshape(-1, 2)
 
 
 def _mix(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
@@ -45,11 +49,13 @@ def _mix(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _features(table: WordTable, texts: list[str | None]):
-    """Feature numbers of single words, neighbours and pairs around one word, each with the text's number."""
+    """Feature numbers of single words, stems, neighbours and pairs around one word, each with the text's number."""
     at, counts = table.look_up([words(t) for t in texts])
     h = table.rows[at, 0]
     doc = np.repeat(np.arange(len(texts)), counts)
+    stem = table.rows[at, 1]
     yield _mix(h, h, 1), doc
+    yield _mix(stem, stem, 9), doc
     for gap in (1, 2):
         same = doc[gap:] == doc[:-gap]
         yield _mix(h[:-gap], h[gap:], 1 + gap)[same], doc[gap:][same]
@@ -60,16 +66,14 @@ _table = None
 
 def _worker_table() -> WordTable:
     global _table
-    _table = _table or WordTable(_hashes, 1, np.uint64)
+    _table = _table or WordTable(_hashes, 2, np.uint64)
     return _table
 
 
 def _extract(batches):
     for batch in batches:
-        doc_ids, labels = batch.column(0), batch.column(1)
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            found = np.unique(np.concatenate([f for f, _ in _features(_worker_table(), [text])])).astype("<i4")
-            yield pa.record_batch([doc_ids.slice(i, 1), labels.slice(i, 1), pa.array([found.tobytes()], pa.binary())], names=["doc_id", "toxic", "features"])
+        found = [np.unique(np.concatenate([f for f, _ in _features(_worker_table(), [text])])).astype("<i4").tobytes() for text in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "features"])
 
 
 def _ftrl(alpha: float, beta: float, l1: float, l2: float):
@@ -99,20 +103,17 @@ def _ftrl(alpha: float, beta: float, l1: float, l2: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5, rows_per_class: int = ROWS_PER_CLASS) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0, rows_per_class: int = ROWS_PER_CLASS) -> ToxicModel:
     """Fit on the texts of labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     At most `rows_per_class` rows of each label are taken, by least hash of the id, so one task
-    can run through them in turn; the bias is then shifted to the label's share among all
-    labelled rows. Labels other than 0 and 1 are left out. If one class is missing, the model
-    has no weights and gives the share of label 1 (0 without any label).
+    can run through them in turn. Labels other than 0 and 1 are left out. If one class is
+    missing, the model has no weights and gives the share of label 1 (0 without any label).
     """
     known = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).where(F.col("toxic").isin(0.0, 1.0) & (remainder("doc_id", 5) != 0))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = total.get(1.0, 0) / max(1, sum(total.values()))
-    odds = np.log((share + 1e-9) / (1 - share + 1e-9))
     if len(total) < 2:
-        return ToxicModel(np.array([], dtype=np.int64), np.array([]), float(odds))
+        return ToxicModel(np.array([], dtype=np.int64), np.array([]), 40.0 if 1.0 in total else -40.0)
     pick = known.withColumn("_k", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_k") <= rows_per_class).drop("_k")
     # two classes of rows_per_class ids each: the bound that makes this side fit for broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", F.col("text").cast("string"))
@@ -120,8 +121,6 @@ def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.15, beta: float =
     one = features.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "features").select("features", "toxic")
     rows = one.mapInArrow(_ftrl(alpha, beta, l1, l2), "feature long, weight double").collect()
     bias = next(r.weight for r in rows if r.feature == SPACE)
-    fitted = {k: min(v, rows_per_class) for k, v in total.items()}
-    bias += odds - np.log(fitted[1.0] / fitted[0.0])
     kept = [r for r in rows if r.feature < SPACE and r.weight]
     return ToxicModel(np.array([r.feature for r in kept], dtype=np.int64), np.array([r.weight for r in kept]), float(bias))
 
