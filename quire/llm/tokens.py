@@ -21,7 +21,7 @@ class WordEncoder:
     the ids equal those of the whole text. The cache is emptied at `cache_words` entries.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
