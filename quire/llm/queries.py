@@ -47,13 +47,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import scored
+
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identified
 
     return identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op4_ngram_jaccard, op6_language_gru, op8_sstable_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op4_ngram_jaccard, op5_context_mixing, op6_language_gru, op8_sstable_output)}
 
 ORACLES: dict[str, str] = {
     "op3_pareto_mixing": r"""
