@@ -22,6 +22,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
 
 
+def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import linked_vectors
+
+    return linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op8_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
@@ -59,7 +65,23 @@ def op6_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op4_ngram_jaccard, op5_context_mixing, op6_language_gru, op8_sstable_output)}
+def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compared
+
+    return compared(_table(spark, sf_dir, "documents"))
+
+
+#: Verdict, host and path of each rule of op10.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge
+
+    return judge(_table(spark, sf_dir, "pages"), RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op4_ngram_jaccard, op5_context_mixing, op6_language_gru, op7_pivot_permutation, op8_sstable_output, op9_closed_syncmers, op10_link_trust)}
 
 ORACLES: dict[str, str] = {
     "op3_pareto_mixing": r"""
