@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: A word: a longest run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,25 +52,16 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+def raw(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each text; none for null."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
-def words(text: str | None) -> list[str]:
-    """Words in the sense of `WORD`."""
-    if not text:
-        return []
-    # str.split() also splits at other white space, so it serves only where none occurs
-    if any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)):
-        return [w for w in _SPACES.split(text) if w]
+def byte_words(text: bytes) -> list[bytes]:
+    """Words in the sense of `WORD`: bytes.split() cuts at ASCII white space and nothing else."""
     return text.split()
 
 
-#: What str.split() takes for white space beyond ASCII's.
-_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 def pieces_of(batch: pa.RecordBatch, chars: int = 2_000_000, column: str = "text"):
     """Slices of an Arrow batch of about `chars` bytes of text each, so that long texts stay few at once."""
     i = batch.schema.get_field_index(column)
@@ -88,11 +76,19 @@ def pieces_of(batch: pa.RecordBatch, chars: int = 2_000_000, column: str = "text
         yield batch.slice(begin)
 
 
+class _Numbers(dict):
+    """Numbers new keys in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordTable:
     """A row of numbers for each distinct word, worked out once per worker.
 
-    `compute` maps a list of new words to an array with a row each. The table is emptied at
-    `limit` words, so its memory is bounded whatever the vocabulary.
+    `compute` maps a list of new words (UTF-8) to an array with a row each. The table is emptied
+    at `limit` words, so its memory is bounded whatever the vocabulary.
     """
 
     def __init__(self, compute, width: int, dtype, limit: int = 800_000):
@@ -100,25 +96,23 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self._at: dict[str, int] = {}
+        self._at = _Numbers()
         self._rows = np.zeros((4096, self._width), dtype=self._dtype)
 
-    def look_up(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of all words of all texts in turn, and the number of words of each text."""
         if len(self._at) > self._limit:
             self._clear()
-        at = self._at
-        new = [w for w in set(chain.from_iterable(texts)) if w not in at]
-        if new:
-            begin = len(at)
-            if begin + len(new) > len(self._rows):
-                grown = np.zeros((2 * (begin + len(new)), self._width), dtype=self._dtype)
+        at, begin = self._at, len(self._at)
+        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        numbers = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum()))
+        if len(at) > begin:
+            if len(at) > len(self._rows):
+                grown = np.zeros((2 * len(at), self._width), dtype=self._dtype)
                 grown[:begin] = self._rows[:begin]
                 self._rows = grown
-            self._rows[begin : begin + len(new)] = self._compute(new)
-            at.update(zip(new, range(begin, begin + len(new))))
-        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        return np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(counts.sum())), counts
+            self._rows[begin : len(at)] = self._compute(list(islice(at, begin, None)))
+        return numbers, counts
 
     @property
     def rows(self) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordTable, per_text, remainder, words
+from .common import WordTable, byte_words, per_text, raw, remainder
 
 #: Documents of each language that the model is fitted on, at most: those with the least hash of the id.
 DOCS_PER_LANGUAGE = 400
@@ -26,8 +26,10 @@ HIDDEN, EPOCHS, BATCH, RATE = 20, 5, 128, 0.01
 SPAN = 32
 
 
-def letters(word: str) -> bytes:
-    return "".join(c for c in word.lower() if c.isalpha()).encode("utf-8", "surrogatepass")
+def letters(word: bytes) -> bytes:
+    """The letters of a word, lower-cased."""
+    text = word.decode("utf-8", "surrogatepass").lower()
+    return (text if text.isalpha() else "".join(filter(str.isalpha, text))).encode("utf-8", "surrogatepass")
 
 
 def _sigmoid(x):
@@ -137,20 +139,20 @@ class LanguageModel:
     languages: list[str]
     parameters: dict[str, np.ndarray]
 
-    def label(self, new: list[str]) -> np.ndarray:
+    def label(self, new: list[bytes]) -> np.ndarray:
         """For each word, the sums over its bytes of the languages' probabilities, and the number of bytes."""
         k = len(self.languages)
         out = np.zeros((len(new), k + 1), dtype=np.float32)
-        raw = [letters(w) for w in new]
-        out[:, k] = [len(b) for b in raw]
-        forms = {b: i for i, b in enumerate(dict.fromkeys(raw))}
+        spelled = [letters(w) for w in new]
+        out[:, k] = [len(b) for b in spelled]
+        forms = {b: i for i, b in enumerate(dict.fromkeys(spelled))}
         parts = [(i, b[j : j + SPAN]) for b, i in forms.items() for j in range(0, len(b), SPAN)]
         sums = np.zeros((len(forms), k), dtype=np.float32)
         for at, text in _by_length([b for _, b in parts]):
             for j in range(0, len(at), 4096):
                 owner = [parts[i][0] for i in at[j : j + 4096]]
                 np.add.at(sums, owner, _probabilities(self.parameters, text[j : j + 4096]).sum(axis=0))
-        out[:, :k] = sums[[forms[b] for b in raw]]
+        out[:, :k] = sums[[forms[b] for b in spelled]]
         return out
 
 
@@ -158,8 +160,8 @@ def _train(languages: list[str]):
     def run(batches):
         rng, pool = np.random.default_rng(3), {k: [] for k in languages}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [b[:SPAN] for b in map(letters, words(text)) if b]
+            for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+                found = [b[:SPAN] for b in map(letters, byte_words(text)) if b]
                 pool[lang] += [found[i] for i in rng.permutation(len(found))[:200]]
         texts, label = [], []
         for i, lang in enumerate(languages):
@@ -205,14 +207,14 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column | str = "tex
     sent = spark.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        found, values = sent.value, texts.to_pylist()
+        found, values = sent.value, raw(texts)
         names, k = found.languages, len(found.languages)
         if id(found) not in _tables:
             _tables.clear()
             _tables[id(found)] = WordTable(found.label, k + 1, np.float32)
         table, lang, score = _tables[id(found)], [], []
         for i in range(0, len(values), 256):
-            part = [words(t) for t in values[i : i + 256]]
+            part = [byte_words(t) for t in values[i : i + 256]]
             if not k:
                 lang += ["und"] * len(part)
                 score += [0.0] * len(part)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, lower_ascii, pieces_of, staged, words
+from .common import WordTable, byte_words, pieces_of, raw, staged, tasks
 from .graph import components
 
 #: Cells of the table of n-gram frequencies that is broadcast (4 bytes each), and blocks it travels in.
@@ -31,44 +31,65 @@ CELLS, BLOCKS = 1 << 20, 16
 FILTER_WORDS = 1 << 18
 
 
-def _word_hashes(new: list[str]) -> np.ndarray:
-    return np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in new], dtype=np.uint64).reshape(-1, 1)
+def _word_hashes(new: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in new], dtype=np.uint64).reshape(-1, 1)
 
 
 _table = None
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
-def _shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's k-word n-grams (its whole words if fewer)."""
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash for the word hashes at the same place of each part."""
+    mixed = np.full(len(parts[0]), len(parts), dtype=np.uint64)
+    for part in parts:
+        mixed ^= part
+        mixed *= _ODD[0]
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= _ODD[1]
+    mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def _ngrams(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the k-word n-grams of all texts in turn (of a text's whole words if fewer), and their number per text."""
     global _table
     _table = _table or WordTable(_word_hashes, 1, np.uint64)
-    at, counts = _table.look_up([words(lower_ascii(t)) if t else [] for t in texts])
-    h, out, begin = _table.rows[at, 0], [], 0
-    for n in counts.tolist():
-        part, size = h[begin : begin + n], min(n, k)
+    at, counts = _table.look_up([byte_words(t.lower()) for t in texts])  # bytes: A-Z only
+    h, ends = _table.rows[at, 0], np.cumsum(counts)
+    begin = ends - counts
+    number = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    out = np.empty(int(number.sum()), dtype=np.uint64)
+    place = np.repeat(begin, number) + np.arange(len(out)) - np.repeat(np.cumsum(number) - number, number)
+    full = np.repeat(counts >= k, number)
+    out[full] = _mixed([h[place[full] + i] for i in range(k)])
+    short = np.repeat(counts, number)
+    for n in range(1, k):
+        some = (short == n) & ~full
+        if some.any():
+            out[some] = _mixed([h[place[some] + i] for i in range(n)])
+    return out, number
+
+
+def _shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text."""
+    found, number = _ngrams(texts, k)
+    out, begin = [], 0
+    for n in number.tolist():
+        part = np.sort(found[begin : begin + n])
         begin += n
-        if not n:
-            out.append(part)
-            continue
-        mixed = np.full(n - size + 1, size, dtype=np.uint64)
-        for i in range(size):
-            mixed = (mixed ^ part[i : n - size + 1 + i]) * _ODD[0]
-            mixed ^= mixed >> np.uint64(29)
-        mixed *= _ODD[3]
-        mixed ^= mixed >> np.uint64(32)
-        out.append(np.unique(mixed))
+        out.append(part[np.concatenate([[True], part[1:] != part[:-1]])] if n > 1 else part)
     return out
 
 
 def _count_cells(k: int):
     def run(batches):
-        cells = np.zeros(CELLS, dtype=np.uint32)
+        cells = np.zeros(CELLS, dtype=np.int64)
         for whole in batches:
             for batch in pieces_of(whole):
-                for s in _shingles(batch.column(0).to_pylist(), k):
-                    np.add.at(cells, (s >> np.uint64(44)).astype(np.int64), 1)
-        parts = cells.reshape(BLOCKS, -1)
+                found, _ = _ngrams(raw(batch.column(0)), k)
+                cells += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+        parts = cells.astype(np.uint32).reshape(BLOCKS, -1)
         yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["block", "cells"])
 
     return run
@@ -85,7 +106,7 @@ def _add_cells(batches):
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold the n-grams of each hash cell: CELLS numbers, whatever the input."""
+    """How often the n-grams of each hash cell occur: CELLS numbers, whatever the input."""
     found = docs.select("text").mapInArrow(_count_cells(k), "block int, cells binary")
     rows = found.repartitionById(BLOCKS, F.col("block")).mapInArrow(_add_cells, "block int, cells binary").collect()
     cells = np.zeros((BLOCKS, CELLS // BLOCKS), dtype=np.uint32)
@@ -96,23 +117,42 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 def _prefixes(k: int, num: int, den: int, sent):
     def run(batches):
-        cells = sent.value
+        # any order serves that all tasks share; this one ranks by frequency, then by hash
+        cells = np.minimum(sent.value, (1 << 19) - 1).astype(np.int64) << 44
         for whole in batches:
             for batch in pieces_of(whole):
                 n, low, high, prefix = [], [], [], []
-                for s in _shingles(batch.column(1).to_pylist(), k):
+                for s in _shingles(raw(batch.column(1)), k):
                     n.append(len(s))
                     digest = blake2b(s.tobytes(), digest_size=16).digest()
                     low.append(int.from_bytes(digest[:8], "little", signed=True))
                     high.append(int.from_bytes(digest[8:], "little", signed=True))
                     need = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
-                    order = np.lexsort((s, cells[(s >> np.uint64(44)).astype(np.int64)]))[:need]
-                    prefix.append(s[order].view(np.int64))
+                    rank = cells[(s >> np.uint64(44)).astype(np.int64)] | (s >> np.uint64(20)).astype(np.int64)
+                    prefix.append(s[np.argsort(rank, kind="stable")[:need]].view(np.int64))
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "prefix"])
 
     return run
 
 
+def _repeated(batches):
+    """Rows, sorted by token, whose token occurs more than once."""
+    last, before = None, False  # the row that waits for the next one, and whether its token came before
+    for batch in batches:
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        token = batch.column(0).to_numpy()
+        if not len(token):
+            continue
+        same = token[1:] == token[:-1]
+        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+        yield batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
+        before = bool(keep[-1])
+        last = batch.slice(len(token) - 1)
+    if last is not None and before:
+        yield last
+
+
 def _sets(k: int, sent):
     def run(batches):
         bits = sent.value
@@ -122,7 +162,7 @@ def _sets(k: int, sent):
                 may = (bits[h >> 6 & (FILTER_WORDS - 1)].view(np.uint64) >> (h & 63).astype(np.uint64)) & np.uint64(1)
                 some = batch.filter(pa.array(may.astype(bool)))
                 if some.num_rows:
-                    sets = [s.tobytes() for s in _shingles(some.column(1).to_pylist(), k)]
+                    sets = [s.tobytes() for s in _shingles(raw(some.column(1)), k)]
                     yield pa.record_batch([some.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
     return run
@@ -174,11 +214,13 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     sent = spark.sparkContext.broadcast(frequencies(docs, k))
     sized = staged(docs.mapInArrow(_prefixes(k, num, den, sent), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "prefixes")
     classes = sized.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    first = sized.where("n > 0").join(classes.where("rep IS NOT NULL"), ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["rep"])
-    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(den / num))))
-    columns = first.select("rep", "n", band.alias("band"), F.posexplode("prefix").alias("pos", "token"))
-    often = columns.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = staged(columns.join(often, "token"), "shared-ngrams")
+    first = sized.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
+    columns = first.select("rep", F.posexplode("prefix").alias("pos", "token"), "n").select("token", "rep", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
+    spread = columns.repartition(tasks(spark), "token").sortWithinPartitions("token")
+    shared = spread.mapInArrow(_repeated, "token long, rep long, at long")
+    n = F.shiftright("at", 31)
+    band = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(den / num))))
+    shared = staged(shared.select("token", "rep", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band")), "shared-ngrams")
 
     ids = shared.select(F.col("rep").alias("id")).distinct()
     bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))

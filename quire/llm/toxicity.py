@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordTable, remainder, words
+from .common import WordTable, byte_words, raw, remainder
 
 #: Size of the hashed feature space; a model has one weight at most for each.
 SPACE = 1 << 20
@@ -37,9 +37,10 @@ class ToxicModel:
         return found
 
 
-def _hashes(new: list[str]) -> np.ndarray:
+def _hashes(new: list[bytes]) -> np.ndarray:
     """Hashes of each word, lower-cased and without marks around it, and of its stem."""
-    forms = [w.lower().strip(_STRIP) or w for w in new]
+    read = [w.decode("utf-8", "surrogatepass") for w in new]
+    forms = [w.lower().strip(_STRIP) or w for w in read]
     return np.array([[zlib.crc32(f.encode("utf-8", "surrogatepass")), zlib.crc32(f[:STEM].encode("utf-8", "surrogatepass"))] for f in forms], dtype=np.uint64).reshape(-1, 2)
 
 
@@ -48,9 +49,9 @@ def _mix(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)  # the top 20 bits
 
 
-def _features(table: WordTable, texts: list[str | None]):
+def _features(table: WordTable, texts: list[bytes]):
     """Feature numbers of single words, stems, neighbours and pairs around one word, each with the text's number."""
-    at, counts = table.look_up([words(t) for t in texts])
+    at, counts = table.look_up([byte_words(t) for t in texts])
     h = table.rows[at, 0]
     doc = np.repeat(np.arange(len(texts)), counts)
     stem = table.rows[at, 1]
@@ -72,7 +73,7 @@ def _worker_table() -> WordTable:
 
 def _extract(batches):
     for batch in batches:
-        found = [np.unique(np.concatenate([f for f, _ in _features(_worker_table(), [text])])).astype("<i4").tobytes() for text in batch.column(2).to_pylist()]
+        found = [np.unique(np.concatenate([f for f, _ in _features(_worker_table(), [text])])).astype("<i4").tobytes() for text in raw(batch.column(2))]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "features"])
 
 
@@ -140,7 +141,7 @@ def score(spark: SparkSession, model: ToxicModel, text: Column | str = "text") -
         if id(found) not in _dense:
             _dense.clear()
             _dense[id(found)] = found.dense()
-        dense, values = _dense[id(found)], texts.to_pylist()
+        dense, values = _dense[id(found)], raw(texts)
         out = np.full(len(values), found.bias)
         for i in range(0, len(values), 256):
             part = values[i : i + 256]
