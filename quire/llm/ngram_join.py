@@ -2,10 +2,10 @@
 
 The join is a sparse product of the document by n-gram incidence matrix with its transpose, cut
 down by bounds that lose nothing. N-grams are put in one order, rare before frequent. Two sets
-that are similar enough must share an n-gram among the first few of each (the prefix), so only
+that are similar enough must share SHARE n-grams among the first few of each (the prefix), so only
 the prefix columns are multiplied; overlap counts of the pairs met there are added up, and a pair
-goes on only if that count plus what the sizes still allow reaches the overlap that the threshold
-asks for. The full overlap of the pairs left is then counted.
+goes on only if it has that many and the count plus what the sizes still allow reaches the overlap
+that the threshold asks for. The full overlap of the pairs left is then counted.
 
 Documents with equal sets are one class, joined once. Columns are multiplied in two blocks: each
 column's rows of like size with the least of them; then the rows that are not yet in one
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import WordTable, byte_words, pieces_of, raw, staged, tasks
 from .graph import components
 
-#: Cells of the table of n-gram frequencies that is broadcast (4 bytes each), and blocks it travels in.
-CELLS, BLOCKS = 1 << 20, 16
+#: Bits of the number of cells of the table of n-gram frequencies that is broadcast (a byte each), and blocks it travels in.
+CELL_BITS, BLOCKS = 22, 16
+CELLS = 1 << CELL_BITS
+_CELL = np.uint64(64 - CELL_BITS)
+#: N-grams that the prefixes of two similar sets must share (or the whole overlap, if that is less).
+SHARE = 3
 #: Bits of the filter of documents that share a prefix n-gram, in words of 64.
 FILTER_WORDS = 1 << 18
 
@@ -88,7 +92,7 @@ def _count_cells(k: int):
         for whole in batches:
             for batch in pieces_of(whole):
                 found, _ = _ngrams(raw(batch.column(0)), k)
-                cells += np.bincount((found >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+                cells += np.bincount((found >> _CELL).astype(np.int64), minlength=CELLS)
         parts = cells.astype(np.uint32).reshape(BLOCKS, -1)
         yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["block", "cells"])
 
@@ -106,19 +110,19 @@ def _add_cells(batches):
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How often the n-grams of each hash cell occur: CELLS numbers, whatever the input."""
+    """How often the n-grams of each hash cell occur, in steps of an eighth of a power of two: CELLS bytes, whatever the input."""
     found = docs.select("text").mapInArrow(_count_cells(k), "block int, cells binary")
     rows = found.repartitionById(BLOCKS, F.col("block")).mapInArrow(_add_cells, "block int, cells binary").collect()
     cells = np.zeros((BLOCKS, CELLS // BLOCKS), dtype=np.uint32)
     for r in rows:
         cells[r["block"]] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
-    return cells.reshape(-1)
+    return np.round(8 * np.log2(cells.reshape(-1).astype(np.float64) + 1)).clip(0, 255).astype(np.uint8)
 
 
 def _prefixes(k: int, num: int, den: int, sent):
     def run(batches):
         # any order serves that all tasks share; this one ranks by frequency, then by hash
-        cells = np.minimum(sent.value, (1 << 19) - 1).astype(np.int64) << 44
+        cells = sent.value
         for whole in batches:
             for batch in pieces_of(whole):
                 n, low, high, prefix = [], [], [], []
@@ -127,8 +131,9 @@ def _prefixes(k: int, num: int, den: int, sent):
                     digest = blake2b(s.tobytes(), digest_size=16).digest()
                     low.append(int.from_bytes(digest[:8], "little", signed=True))
                     high.append(int.from_bytes(digest[8:], "little", signed=True))
-                    need = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
-                    rank = cells[(s >> np.uint64(44)).astype(np.int64)] | (s >> np.uint64(20)).astype(np.int64)
+                    least = (num * len(s) + den - 1) // den  # overlap with any similar set
+                    need = len(s) - least + min(SHARE, least)
+                    rank = cells[(s >> _CELL).astype(np.int64)].astype(np.int64) << 52 | (s >> np.uint64(12)).astype(np.int64)
                     prefix.append(s[np.argsort(rank, kind="stable")[:need]].view(np.int64))
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "prefix"])
 
@@ -185,7 +190,8 @@ def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs whose overlap in the prefixes, with what the sizes allow after it, can reach the threshold."""
     met = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return met.where((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    overlap = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    return met.where((F.col("common") >= F.least(F.lit(SHARE), overlap)) & ((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
 def _filter_bits(spark: SparkSession, ids: DataFrame) -> np.ndarray:
@@ -220,7 +226,10 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     shared = spread.mapInArrow(_repeated, "token long, rep long, at long")
     n = F.shiftright("at", 31)
     band = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(den / num))))
-    shared = staged(shared.select("token", "rep", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band")), "shared-ngrams")
+    shared = shared.select("token", "rep", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band"))
+    least = F.least(F.lit(SHARE), F.floor((F.col("n") * num + den - 1) / den))
+    enough = shared.groupBy("rep").agg(F.count("*").alias("c"), F.max(least).alias("least")).where("c >= least").select("rep")
+    shared = staged(shared.join(enough, "rep"), "shared-ngrams")
 
     ids = shared.select(F.col("rep").alias("id")).distinct()
     bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))
