@@ -76,6 +76,17 @@ def pieces_of(batch: pa.RecordBatch, chars: int = 2_000_000, column: str = "text
         yield batch.slice(begin)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """A worker's one large cache: what another operator left in a reused worker goes first."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class _Numbers(dict):
     """Numbers new keys in the order in which they come."""
 

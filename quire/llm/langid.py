@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_words, per_text, raw, remainder
+from .common import WordTable, byte_words, held, per_text, raw, remainder
 
 #: Documents of each language that the model is fitted on, at most: those with the least hash of the id.
 DOCS_PER_LANGUAGE = 400
@@ -194,7 +194,6 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Langua
     return LanguageModel(languages, {r["name"]: np.frombuffer(r["data"], "<f4").reshape([int(i) for i in r["shape"].split(",")]) for r in rows})
 
 
-_tables: dict[int, WordTable] = {}
 _TYPE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -209,10 +208,7 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column | str = "tex
     def run(texts: pa.Array) -> pa.Array:
         found, values = sent.value, raw(texts)
         names, k = found.languages, len(found.languages)
-        if id(found) not in _tables:
-            _tables.clear()
-            _tables[id(found)] = WordTable(found.label, k + 1, np.float32)
-        table, lang, score = _tables[id(found)], [], []
+        table, lang, score = held(("language", id(found)), lambda: WordTable(found.label, k + 1, np.float32)), [], []
         for i in range(0, len(values), 256):
             part = [byte_words(t) for t in values[i : i + 256]]
             if not k:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_words, pieces_of, raw, staged, tasks
+from .common import WordTable, byte_words, held, pieces_of, raw, staged, tasks
 from .graph import components
 
 #: Bits of the number of cells of the table of n-gram frequencies that is broadcast (a byte each), and blocks it travels in.
@@ -39,7 +39,6 @@ def _word_hashes(new: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in new], dtype=np.uint64).reshape(-1, 1)
 
 
-_table = None
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
@@ -57,10 +56,9 @@ def _mixed(parts: list[np.ndarray]) -> np.ndarray:
 
 def _ngrams(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the k-word n-grams of all texts in turn (of a text's whole words if fewer), and their number per text."""
-    global _table
-    _table = _table or WordTable(_word_hashes, 1, np.uint64)
-    at, counts = _table.look_up([byte_words(t.lower()) for t in texts])  # bytes: A-Z only
-    h, ends = _table.rows[at, 0], np.cumsum(counts)
+    table = held("ngrams", lambda: WordTable(_word_hashes, 1, np.uint64))
+    at, counts = table.look_up([byte_words(t.lower()) for t in texts])  # bytes: A-Z only
+    h, ends = table.rows[at, 0], np.cumsum(counts)
     begin = ends - counts
     number = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     out = np.empty(int(number.sum()), dtype=np.uint64)

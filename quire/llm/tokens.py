@@ -11,6 +11,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import held
+
 END_PACK, END_STORE = 0, 1
 
 
@@ -80,11 +82,6 @@ class WordEncoder:
                 begin = end + 1
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: WordEncoder(path))

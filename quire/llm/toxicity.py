@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_words, raw, remainder
+from .common import WordTable, byte_words, held, raw, remainder
 
 #: Size of the hashed feature space; a model has one weight at most for each.
 SPACE = 1 << 20
@@ -62,13 +62,8 @@ def _features(table: WordTable, texts: list[bytes]):
         yield _mix(h[:-gap], h[gap:], 1 + gap)[same], doc[gap:][same]
 
 
-_table = None
-
-
 def _worker_table() -> WordTable:
-    global _table
-    _table = _table or WordTable(_hashes, 2, np.uint64)
-    return _table
+    return held("toxicity", lambda: WordTable(_hashes, 2, np.uint64))
 
 
 def _extract(batches):
