@@ -264,7 +264,11 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in map(str.strip, re.split(r"\n{2,}", text)) if p]
 
 
-def coverage(paragraph: str, other: str, size: int = 8) -> float:
+def runs_of(content: str, size: int = 8) -> set[str]:
+    return {content[i : i + size] for i in range(len(content) - size + 1)}
+
+
+def coverage(paragraph: str, other: str, other_runs: set[str], size: int = 8) -> float:
     """Share of a paragraph's runs of `size` content characters that the other content holds."""
     own = content_of(paragraph)
     if not own:
@@ -272,7 +276,7 @@ def coverage(paragraph: str, other: str, size: int = 8) -> float:
     if len(own) < 2 * size:
         return float(own in other)
     runs = [own[i : i + size] for i in range(len(own) - size + 1)]
-    return sum(r in other for r in runs) / len(runs)
+    return sum(r in other_runs for r in runs) / len(runs)
 
 
 def repair_paragraphs(source: str | None, output: str | None) -> str | None:
@@ -281,6 +285,7 @@ def repair_paragraphs(source: str | None, output: str | None) -> str | None:
         return None
     have, out = paragraphs(source or ""), paragraphs(output)
     body = content_of(output)
+    body_runs = runs_of(body)
     if not have or not out:
         return output
 
@@ -290,7 +295,7 @@ def repair_paragraphs(source: str | None, output: str | None) -> str | None:
             return None
         return next((i for i, p in enumerate(out) if own[:12] in content_of(p) or own[-12:] in content_of(p)), None)
 
-    lost = [i for i, p in enumerate(have) if len(content_of(p)) >= 12 and coverage(p, body) < 0.5]
+    lost = [i for i, p in enumerate(have) if len(content_of(p)) >= 12 and coverage(p, body, body_runs) < 0.5]
     for i in lost:
         after = [at for at in map(place, have[i + 1 :]) if at is not None]
         before = [at for at in map(place, reversed(have[:i])) if at is not None]
@@ -321,11 +326,18 @@ def align(displayed: str, lines: list[dict]) -> list[dict]:
         spans.append((len(flat), len(flat) + len(own), line))
         flat += own
     page, body = "".join(flat), content_of(displayed)
-    blocks = SequenceMatcher(None, body, page, autojunk=False).get_matching_blocks() if body and page else []
+    blocks = None  # worked out for the first sentence that the page does not hold as it is
     out, at, floor = [], 0, 0
     for s in sentences(displayed):
         own = content_of(s["text"])
         begin, end, at = at, at + len(own), at + len(own)
+        found = page.find(own, floor) if own else -1
+        if found >= 0 and (page.count(own) == 1 or found == floor):
+            floor = found + len(own)
+            out.append({"id": s["id"], "lines": [line["id"] for a, b, line in spans if a < floor and b > found], "kind": "exact", "confidence": 1.0})
+            continue
+        if blocks is None:
+            blocks = SequenceMatcher(None, body, page, autojunk=False).get_matching_blocks() if body and page else []
         hits = [(max(begin, m.a) - m.a + m.b, min(end, m.a + m.size) - m.a + m.b) for m in blocks if m.a < end and m.a + m.size > begin]
         got = sum(b - a for a, b in hits)
         if not own or not hits:
