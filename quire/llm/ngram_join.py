@@ -229,12 +229,15 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     enough = shared.groupBy("rep").agg(F.count("*").alias("c"), F.max(least).alias("least")).where("c >= least").select("rep")
     shared = staged(shared.join(enough, "rep"), "shared-ngrams")
 
-    ids = shared.select(F.col("rep").alias("id")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL").mapInArrow(_sets(k, bits), "doc_id long, set binary")
-    sets = staged(found.join(ids, found["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL")
+
+    def linked(possible: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold; only sets of documents in a possible pair are made."""
+        pairs = staged(possible, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))
+        found = texts.mapInArrow(_sets(k, bits), "doc_id long, set binary")
+        sets = staged(found.join(ids, found["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]), "sets")
         sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
         return sides.select("a", "b", "sa", "sb").mapInArrow(_overlap(num, den), "a long, b long")
 
@@ -244,11 +247,12 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     label = components(links, "near").withColumnRenamed("node", "rep")
 
     known = staged(shared.join(label, "rep", "left").withColumn("group", F.coalesce("component", "rep")), "grouped")
-    groups = known.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = known.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("after"))
     several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     groups = groups.join(several, "token")
-    other = groups.select("token", F.col("group").alias("group2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    fits = (F.col("high2") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("low2") * num)
+    other = groups.select("token", F.col("group").alias("group2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("far").alias("far2"), F.col("after").alias("after2"))
+    reach = F.least("after", "after2") + F.least("far", "far2")  # no more overlap than that from a pair that meets here
+    fits = ((num + den) * reach >= num * (F.col("low") + F.col("low2"))) & (F.col("high2") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("low2") * num)
     across = groups.join(other, "token").where("group < group2").where(fits).select("token", "group", "group2")
     x = known.select("token", "group", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     y = known.select("token", F.col("group").alias("group2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
