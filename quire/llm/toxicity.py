@@ -116,6 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.5, beta: float =
     features = found.mapInArrow(_extract, "doc_id long, toxic double, features binary")
     one = features.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "features").select("features", "toxic")
     rows = one.mapInArrow(_ftrl(alpha, beta, l1, l2), "feature long, weight double").collect()
+    if not rows:  # no labelled row has a document
+        return ToxicModel(np.array([], dtype=np.int64), np.array([]), -40.0)
     bias = next(r.weight for r in rows if r.feature == SPACE)
     kept = [r for r in rows if r.feature < SPACE and r.weight]
     return ToxicModel(np.array([r.feature for r in kept], dtype=np.int64), np.array([r.weight for r in kept]), float(bias))
