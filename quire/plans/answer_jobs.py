@@ -47,7 +47,7 @@ def validate_citations(spark, sf):
     return evidence.validate_citations(*_cited(spark, sf))
 
 
-@job("""WITH c AS (SELECT l_orderkey AS answer_id, l_linenumber * 1000000 + l_partkey AS position, l_linestatus AS claim, l_suppkey % 5 AS source_id, l_quantity > 20 AS ok FROM lineitem),
+@job("""WITH c AS (SELECT l_orderkey AS answer_id, l_linenumber * 1000000 + l_partkey AS position, max(l_linestatus) OVER (PARTITION BY l_orderkey, l_linenumber * 1000000 + l_partkey) AS claim, l_suppkey % 5 AS source_id, l_quantity > 20 AS ok FROM lineitem),
 s AS (SELECT * FROM c WHERE ok), n AS (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(position), source_id) AS number FROM s GROUP BY 1, 2),
 t AS (SELECT s.answer_id, position, max(claim) || string_agg(DISTINCT '[' || number || ']', '' ORDER BY '[' || number || ']') AS line FROM s JOIN n USING (answer_id, source_id) GROUP BY 1, 2) SELECT answer_id, coalesce((SELECT string_agg(line, chr(10)||chr(10) ORDER BY position) FROM t WHERE t.answer_id = a.answer_id), '没有可引用的材料。') AS text FROM (SELECT DISTINCT answer_id FROM c) a""")
 def number_claims(spark, sf):
