@@ -15,6 +15,8 @@ from .tokens import END_PACK, encoder
 
 #: Open sequences that a packer keeps at most.
 OPEN_BINS = 256
+#: Words that a worker keeps the ids of: few, as packing may follow other stages in the same worker.
+CACHE_WORDS = 500_000
 #: Open sequences of all tasks that one task of the second round packs together.
 MERGE_ROWS = 200_000
 
@@ -70,7 +72,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 def _first_round(path: str, capacity: int, bins: int):
     def run(batches):
-        fit, encode = BestFit(capacity, bins), encoder(path).encode
+        fit, encode = BestFit(capacity, bins), encoder(path, CACHE_WORDS).encode
         base = TaskContext.get().partitionId() << 36
         end = END_PACK.to_bytes(4, "little")
         for whole in batches:

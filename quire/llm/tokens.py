@@ -82,6 +82,6 @@ class WordEncoder:
                 begin = end + 1
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = 1_200_000) -> WordEncoder:
     """One encoder per worker process and file."""
-    return held(("encoder", path), lambda: WordEncoder(path))
+    return held(("encoder", path), lambda: WordEncoder(path, cache_words))
