@@ -5,7 +5,8 @@ down by bounds that lose nothing. N-grams are put in one order, rare before freq
 that are similar enough must share SHARE n-grams among the first few of each (the prefix), so only
 the prefix columns are multiplied; overlap counts of the pairs met there are added up, and a pair
 goes on only if it has that many and the count plus what the sizes still allow reaches the overlap
-that the threshold asks for. The full overlap of the pairs left is then counted.
+that the threshold asks for. Prefix n-grams that no other class has are in no overlap, so places and
+sizes leave them out. The full overlap of the pairs left is then counted.
 
 Documents with equal sets are one class, joined once. Columns are multiplied in two blocks: each
 column's rows of like size with the least of them; then the rows that are not yet in one
@@ -19,7 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, byte_words, held, pieces_of, raw, staged, tasks
@@ -186,8 +187,8 @@ def _overlap(num: int, den: int):
 
 def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs whose overlap in the prefixes, with what the sizes allow after it, can reach the threshold."""
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("na", "nb", "ea", "eb")), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    rest = F.least(F.col("ea") - F.col("pa"), F.col("eb") - F.col("pb")) - 1
     overlap = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     return met.where((F.col("common") >= F.least(F.lit(SHARE), overlap)) & ((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
 
@@ -225,9 +226,11 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     n = F.shiftright("at", 31)
     band = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(den / num))))
     shared = shared.select("token", "rep", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band"))
-    least = F.least(F.lit(SHARE), F.floor((F.col("n") * num + den - 1) / den))
-    enough = shared.groupBy("rep").agg(F.count("*").alias("c"), F.max(least).alias("least")).where("c >= least").select("rep")
-    shared = staged(shared.join(enough, "rep"), "shared-ngrams")
+    need = F.floor((F.col("n") * num + den - 1) / den)
+    least = F.least(F.lit(SHARE), need)
+    alone = F.col("n") - need + least - F.col("c")  # n-grams of the prefix that no other class has
+    ranked = shared.withColumn("c", F.count("*").over(Window.partitionBy("rep"))).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("pos")).cast("long") - 1)
+    shared = staged(ranked.where(F.col("c") >= least).select("token", "rep", "n", "band", (F.col("n") - alone).alias("most"), F.col("place").alias("pos")), "shared-ngrams")
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL")
 
@@ -241,22 +244,22 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
         sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
         return sides.select("a", "b", "sa", "sb").mapInArrow(_overlap(num, den), "a long, b long")
 
-    least = shared.groupBy("token", "band").agg(F.min(F.struct("rep", "n", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "band", "p")
-    near = shared.join(least, ["token", "band"]).where("rep <> p.rep").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.pos").alias("pa"), F.col("pos").alias("pb"))
+    least = shared.groupBy("token", "band").agg(F.min(F.struct("rep", "n", "most", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "band", "p")
+    near = shared.join(least, ["token", "band"]).where("rep <> p.rep").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.most").alias("ea"), F.col("most").alias("eb"), F.col("p.pos").alias("pa"), F.col("pos").alias("pb"))
     links = staged(linked(_possible(near, num, den)), "links")
     label = components(links, "near").withColumnRenamed("node", "rep")
 
     known = staged(shared.join(label, "rep", "left").withColumn("group", F.coalesce("component", "rep")), "grouped")
-    groups = known.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("after"))
+    groups = known.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("far"), F.max(F.col("most") - F.col("pos")).alias("after"))
     several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     groups = groups.join(several, "token")
     other = groups.select("token", F.col("group").alias("group2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("far").alias("far2"), F.col("after").alias("after2"))
     reach = F.least("after", "after2") + F.least("far", "far2")  # no more overlap than that from a pair that meets here
     fits = ((num + den) * reach >= num * (F.col("low") + F.col("low2"))) & (F.col("high2") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("low2") * num)
     across = groups.join(other, "token").where("group < group2").where(fits).select("token", "group", "group2")
-    x = known.select("token", "group", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = known.select("token", F.col("group").alias("group2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    x = known.select("token", "group", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ea"), F.col("pos").alias("pa"))
+    y = known.select("token", F.col("group").alias("group2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("eb"), F.col("pos").alias("pb"))
+    rest = F.least(F.col("ea") - F.col("pa"), F.col("eb") - F.col("pb")) + F.least("pa", "pb")
     wide = across.join(x, ["token", "group"]).join(y, ["token", "group2"]).where((F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num) & ((num + den) * rest >= num * (F.col("na") + F.col("nb"))))
     more = linked(_possible(wide, num, den))
     final = components(links.union(more), "linked").withColumnRenamed("node", "rep")
