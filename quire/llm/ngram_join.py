@@ -20,7 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, byte_words, held, pieces_of, raw, staged, tasks
@@ -256,11 +256,18 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     other = groups.select("token", F.col("group").alias("group2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("far").alias("far2"), F.col("after").alias("after2"))
     reach = F.least("after", "after2") + F.least("far", "far2")  # no more overlap than that from a pair that meets here
     fits = ((num + den) * reach >= num * (F.col("low") + F.col("low2"))) & (F.col("high2") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("low2") * num)
-    across = groups.join(other, "token").where("group < group2").where(fits).select("token", "group", "group2")
+    across = groups.join(other, "token").where("group < group2").where(fits).select("token", "group", "group2", *(c + i for c in ("low", "high", "far", "after") for i in ("", "2")))
     x = known.select("token", "group", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ea"), F.col("pos").alias("pa"))
     y = known.select("token", F.col("group").alias("group2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("eb"), F.col("pos").alias("pb"))
     rest = F.least(F.col("ea") - F.col("pa"), F.col("eb") - F.col("pb")) + F.least("pa", "pb")
-    wide = across.join(x, ["token", "group"]).join(y, ["token", "group2"]).where((F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num) & ((num + den) * rest >= num * (F.col("na") + F.col("nb"))))
+
+    def member(size: str, most: str, pos: str, i: str) -> Column:
+        """A member that may reach the threshold with some member of the group whose summary is `i`."""
+        within = F.least(F.col(most) - F.col(pos), F.col("after" + i)) + F.least(F.col(pos), F.col("far" + i))
+        return ((num + den) * within >= num * (F.col(size) + F.col("low" + i))) & (F.col("high" + i) * den >= F.col(size) * num) & (F.col(size) * den >= F.col("low" + i) * num)
+
+    one = across.join(x, ["token", "group"]).where(member("na", "ea", "pa", "2"))
+    wide = one.join(y, ["token", "group2"]).where(member("nb", "eb", "pb", "")).where((F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num) & ((num + den) * rest >= num * (F.col("na") + F.col("nb"))))
     more = linked(_possible(wide, num, den))
     final = components(links.union(more), "linked").withColumnRenamed("node", "rep")
 
