@@ -46,7 +46,17 @@ def failed_pages(spark, sf):
 g AS (SELECT document_id, count(*) AS total, count(*) FILTER (status='ready') AS ready, count(*) FILTER (status='pending') AS pending, count(*) FILTER (status='waiting') AS waiting FROM j GROUP BY 1)
 SELECT document_id, CASE WHEN pending > 0 THEN 'pending' WHEN waiting > 0 THEN 'waiting' ELSE 'failed' END AS stage, CAST(least(99, 25 + round_even(75 * ready / total, 0)) AS INTEGER) AS percent FROM g WHERE ready < total""")
 def preparation_state(spark, sf):
-    j = C.table(spark, sf, "events").where("event_id % 50 < user_id % 7").selectExpr("user_id AS document_id", "CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'waiting' END AS status")
+    return _preparation_state(C.table(spark, sf, "events").where("event_id % 50 < user_id % 7"))
+
+
+@job()
+def preparation_state_all(spark, sf):
+    """preparation_state of every event."""
+    return _preparation_state(C.table(spark, sf, "events"))
+
+
+def _preparation_state(events):
+    j = events.selectExpr("user_id AS document_id", "CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'waiting' END AS status")
     return reports.preparation_state(j)
 
 
