@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Requests that are sent to every task at a time.
+MOST_REQUESTS = 10_000
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under `spark.checkpoint.dir`; a temporary folder where that is unset, as in tests."""
@@ -19,3 +24,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_blocks(requests: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers to all requests, worked out for MOST_REQUESTS of them at a time.
+
+    Above that number each block's answers are written before the next block is read, so that the
+    driver holds one block.
+    """
+    if requests.limit(MOST_REQUESTS + 1).count() <= MOST_REQUESTS:
+        return answer(requests)
+    spark, kept, block = requests.sparkSession, [], []
+    # written first: a block is cut from rows that no longer change
+    for row in staged(requests, "requests").toLocalIterator():
+        block.append(row)
+        if len(block) == MOST_REQUESTS:
+            kept.append(staged(answer(spark.createDataFrame(block, requests.schema)), "answers"))
+            block = []
+    if block:
+        kept.append(staged(answer(spark.createDataFrame(block, requests.schema)), "answers"))
+    return reduce(DataFrame.unionByName, kept)

@@ -1,6 +1,6 @@
 """Literal and vector retrieval for a batch of requests over the whole corpus.
 
-Requests are a stated, small set; they are broadcast, and all work on texts stays in the row.
+Requests are broadcast, MOST_REQUESTS of them at a time, and all work on texts stays in the row.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.sql import normalized, query
+from ..functions.staging import in_blocks
 
-#: Requests that one batch may hold; they are sent to every task.
-MOST_REQUESTS = 10_000
 TERM = "[a-z0-9]+|[㐀-鿿]{{1,2}}"
 RRF, TOP, PAGE_CAP = 60, 60, 3
 
@@ -34,6 +33,10 @@ def literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 
     5 for the whole query, the share of its pairs, and a fifth of the share of its terms.
     """
+    return in_blocks(requests, lambda block: _literal_score(texts, block, key))
+
+
+def _literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     return query(
         f"""SELECT query_id, {key}, CASE WHEN whole THEN 5.0D ELSE 0.0D END + pairs / size(grams) + size(filter(terms, x -> contains(t, x))) / greatest(1, size(terms)) * 0.2D AS literal_score
             FROM (SELECT /*+ BROADCAST(r) */ r.query_id, r.grams, r.terms, d.{key}, d.t, contains(d.t, r.q) AS whole, size(filter(r.grams, g -> contains(d.t, g))) AS pairs
@@ -65,9 +68,11 @@ def literal_matches(sources: DataFrame, requests: DataFrame) -> DataFrame:
 
     `sources`: page_id, source_layer, source_hash, text.
     """
-    rows = requests.select("query_id", "query").orderBy("query_id").limit(MOST_REQUESTS + 1).collect()
-    if len(rows) > MOST_REQUESTS:
-        raise ValueError(f"a batch holds {MOST_REQUESTS} requests at most")
+    return in_blocks(requests.select("query_id", "query"), lambda block: _literal_matches(sources, block))
+
+
+def _literal_matches(sources: DataFrame, requests: DataFrame) -> DataFrame:
+    rows = requests.orderBy("query_id").collect()
     wanted = [(r.query_id, r["query"], kernels.query_terms(r["query"])) for r in rows if r["query"]]
     columns = ["query_id", "page_id", "source_layer", "source_hash", "match_start", "match_end", "level", "start", "end", "sentence_start", "sentence_end", "score"]
 
@@ -118,12 +123,16 @@ def dedupe_sentence_hits(hits: DataFrame) -> DataFrame:
 def semantic_topk(vectors: DataFrame, wanted: DataFrame, threshold: float = 0.45, k: int | None = TOP) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine above the threshold; ties go to the greater chunk id.
 
-    Each task multiplies its vectors with all query vectors and keeps its own best k before the
-    shuffle. Vectors of another dimension, or not finite, or zero are left out.
+    Each task multiplies its vectors with all query vectors of a block. Vectors of another
+    dimension, or not finite, or zero are left out.
     """
-    rows = wanted.select("query_id", "vector").limit(MOST_REQUESTS + 1).collect()
-    if len(rows) > MOST_REQUESTS:
-        raise ValueError(f"a batch holds {MOST_REQUESTS} requests at most")
+    found = in_blocks(wanted.select("query_id", "vector"), lambda block: _semantic_scores(vectors, block, threshold))
+    ranked = query("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM {f}", f=found)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    rows = wanted.collect()
     ids = np.array([r.query_id for r in rows], dtype=np.int64)
     q = np.array([r.vector for r in rows], dtype=np.float64)
     q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
@@ -142,9 +151,7 @@ def semantic_topk(vectors: DataFrame, wanted: DataFrame, threshold: float = 0.45
             a, b = np.nonzero(s > threshold)
             yield pd.DataFrame({"query_id": ids[a], "chunk_id": chunk[b], "score": s[a, b]})
 
-    found = vectors.select("chunk_id", "vector").mapInPandas(run, f"query_id long, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double")
-    ranked = query("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM {f}", f=found)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return vectors.select("chunk_id", "vector").mapInPandas(run, f"query_id long, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double")
 
 
 def rrf_fuse(literal: DataFrame, semantic: DataFrame) -> DataFrame:

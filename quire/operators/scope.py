@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.sql import blank, query
+from ..functions.staging import in_blocks
 
 
 def live_pages(pages: DataFrame, documents: DataFrame, users: DataFrame) -> DataFrame:
@@ -24,11 +25,16 @@ def visible_scope(requests: DataFrame, pages: DataFrame, documents: DataFrame, u
     An empty list allows nothing, a null list all. Own documents come by an equi-join; public ones
     belong to every request, a stated set.
     """
+    live = live_pages(pages, documents, users)
+    return in_blocks(requests, lambda block: _visible_scope(block, live))
+
+
+def _visible_scope(requests: DataFrame, live: DataFrame) -> DataFrame:
     return query(
         """SELECT r.query_id, p.page_id, p.document_id FROM {p} p JOIN {r} r ON p.owner_id = r.user_id WHERE p.visibility <> 'public' AND (r.document_ids IS NULL OR array_contains(r.document_ids, p.document_id))
            UNION ALL
            SELECT /*+ BROADCAST(r) */ r.query_id, p.page_id, p.document_id FROM {p} p JOIN {r} r ON r.document_ids IS NULL OR array_contains(r.document_ids, p.document_id) WHERE p.visibility = 'public'""",
-        p=live_pages(pages, documents, users),
+        p=live,
         r=requests,
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.sql import blank, content, lower_words, query
+from ..functions.staging import in_blocks
 
 #: Layers by policy, in order of preference.
 POLICIES = {"primary": ("punctuated_text", "ocr_text"), "processed": ("punctuated_text",), "reader": ("punctuated_text",)}
@@ -192,7 +193,7 @@ def shelf_search(documents: DataFrame, wanted: DataFrame, columns: list[str]) ->
 
     shelf = documents.select("document_id", fold(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])).alias("shelf"))
     terms = wanted.select("query_id", F.filter(F.split(fold("query"), r"(?U)\s+"), lambda t: t != "").alias("terms"))
-    # the stated queries, each against all documents
-    return query("SELECT q.query_id, d.document_id FROM {d} d JOIN {q} q ON forall(q.terms, t -> contains(d.shelf, t))", d=shelf, q=terms.hint("broadcast"))
+    # each query against all documents
+    return in_blocks(terms, lambda block: query("SELECT q.query_id, d.document_id FROM {d} d JOIN {q} q ON forall(q.terms, t -> contains(d.shelf, t))", d=shelf, q=block.hint("broadcast")))
 
 

@@ -119,3 +119,29 @@ def test_whole_queries_answer_every_request(spark, second):
         assert sorted((tuple(map(plain, r)) for r in mine.collect()), key=repr) == sorted((tuple(map(plain, r)) for r in theirs.itertuples(index=False)), key=repr)
     asked = {r.query_id for r in QUERIES["match_text"](spark, SF).select("query_id").distinct().collect()}
     assert {q % 3 for q in asked} == {0, 1, 2}
+
+
+def test_requests_beyond_one_block_are_answered(spark, monkeypatch):
+    from quire.functions import staging
+
+    texts = spark.createDataFrame([(f"p{i}", "ocrText", "h", f"w{i} common tail") for i in range(8)], "page_id string, source_layer string, source_hash string, text string")
+    asked = spark.createDataFrame([(i, f"w{i}", i % 3) for i in range(8)] + [(9, "common", 1)], "query_id long, query string, user_id int")
+    vectors = spark.createDataFrame([(i, [float(i == j) + 0.3 for j in range(8)]) for i in range(8)], "chunk_id long, vector array<double>")
+    documents = texts.selectExpr("page_id AS document_id", "1 AS owner_id", "if(page_id < 'p4', 'public', 'private') AS visibility", "false AS is_deleted", "text AS title")
+    pages = texts.selectExpr("page_id", "page_id AS document_id", "1 AS page_number")
+    users = spark.createDataFrame([(1, False)], "user_id int, is_deleted boolean")
+
+    def answers():
+        found = [
+            retrieve.literal_matches(texts, asked),
+            retrieve.literal_score(texts, asked, "page_id"),
+            retrieve.semantic_topk(vectors, vectors.withColumnRenamed("chunk_id", "query_id"), 0.0, 5),
+            scope.visible_scope(asked.selectExpr("query_id", "user_id", "cast(null AS array<string>) AS document_ids"), pages, documents, users),
+            text.shelf_search(documents, asked, ["title"]),
+        ]
+        return [sorted(map(tuple, df.collect()), key=repr) for df in found]
+
+    whole = answers()
+    assert all(whole)
+    monkeypatch.setattr(staging, "MOST_REQUESTS", 4)
+    assert answers() == whole
