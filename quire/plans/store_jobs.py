@@ -246,8 +246,13 @@ def stream_stage_progress(spark, sf):
 
 @job()
 def stream_latest_progress(spark, sf):
-    where = _folder(spark)
     e = C.table(spark, sf, "events").selectExpr("cast(user_id AS string) AS key", "cast(ts AS timestamp) AS at", "cast(value AS double) AS percent", "if(event_type = 'purchase', 'done', 'running') AS status")
-    out = f"s{uuid.uuid4().hex[:8]}"
-    streams.stream_latest_progress(_streamed(spark, e, where)).writeStream.outputMode("update").format("memory").queryName(out).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest_progress(spark, e)
+
+
+def latest_progress(spark, e):
+    """The latest progress of each key, replayed through the stream; files come in any order, so the watermark waits for the whole range of times."""
+    where, out = _folder(spark), f"s{uuid.uuid4().hex[:8]}"
+    seconds = e.selectExpr("cast(ceil((max(unix_micros(at)) - min(unix_micros(at))) / 1000000) AS long) + 1 AS s").first()["s"] or 1
+    streams.stream_latest_progress(_streamed(spark, e, where), f"{seconds} seconds").writeStream.outputMode("update").format("memory").queryName(out).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.table(out).where("NOT expired").groupBy("key").agg(F.max_by("percent", "at").alias("percent"), F.max("at").alias("at"))

@@ -145,3 +145,13 @@ def test_requests_beyond_one_block_are_answered(spark, monkeypatch):
     assert all(whole)
     monkeypatch.setattr(staging, "MOST_REQUESTS", 4)
     assert answers() == whole
+
+
+def test_stream_latest_progress_keeps_early_files(spark):
+    from pyspark.sql import functions as F
+
+    # sixteen files, the latest events written first; keys without later events are in the last files alone
+    rows = spark.range(400).selectExpr("cast(id % 100 + 100 * (id div 200) AS string) AS key", "timestamp_seconds(1700000000 + id * 600) AS at", "cast(id % 90 AS double) AS percent", "'running' AS status")
+    e = rows.repartitionByRange(16, F.desc("at"))
+    want = sorted((r.key, int(r.percent), r.at) for r in rows.groupBy("key").agg(F.max_by("percent", "at").alias("percent"), F.max("at").alias("at")).collect())
+    assert sorted((r.key, r.percent, r.at) for r in store_jobs.latest_progress(spark, e).collect()) == want
