@@ -19,13 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where `spark.checkpoint.dir` is unset (local tests), a temporary folder is set once.
+    Where `spark.checkpoint.dir` is unset and the master is local (tests), a temporary folder is set
+    once; on a cluster a folder that only one machine sees would lose data, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -38,7 +41,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there and executors may go."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged tables that nothing later reads."""
+    for df in frames:
+        path = getattr(df, "_staged", None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         lower = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        now = staged(small.distinct(), name)
+        last, now = now, staged(small.distinct(), name)
+        discard(last)
     stars = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

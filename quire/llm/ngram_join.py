@@ -8,9 +8,11 @@ goes on only if it has that many and the count plus what the sizes still allow r
 that the threshold asks for. Prefix n-grams that no other class has are in no overlap, so places and
 sizes leave them out. The full overlap of the pairs left is then counted.
 
-Documents with equal sets are one class, joined once. Columns are multiplied in two blocks: each
-column's rows of like size with the least of them; then the rows that are not yet in one
-component with each other. So a group of copies costs its size, not its square.
+Documents with equal sets are one class, joined once; a class is known by a 64-bit digest of its
+set. Columns are multiplied in two blocks: each column's rows of like size with the least of them;
+then the rows that are not yet in one component with each other. So a group of copies costs its
+size, not its square. A column with more than COLUMN_ROWS rows is cut into square blocks, and the
+partners of one class are verified HUB_ROWS to a task, so no column or group is gathered whole.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_words, held, pieces_of, raw, staged, tasks
+from .common import WordTable, byte_words, discard, held, pieces_of, raw, staged, tasks
 from .graph import components
 
 #: Bits of the number of cells of the table of n-gram frequencies that is broadcast (a byte each), and blocks it travels in.
@@ -34,6 +36,10 @@ _CELL = np.uint64(64 - CELL_BITS)
 SHARE = 3
 #: Bits of the filter of documents that share a prefix n-gram, in words of 64.
 FILTER_WORDS = 1 << 18
+#: Rows of a column that are multiplied in one block, and partners of a class that one task verifies.
+COLUMN_ROWS, HUB_ROWS = 100_000, 2_000
+#: Digests that a task remembers, so that copies within it are sent once.
+SEEN = 1_000_000
 
 
 def _word_hashes(new: list[bytes]) -> np.ndarray:
@@ -118,36 +124,49 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return np.round(8 * np.log2(cells.reshape(-1).astype(np.float64) + 1)).clip(0, 255).astype(np.uint8)
 
 
+def _digest(shingles: np.ndarray) -> int:
+    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _prefixes(k: int, num: int, den: int, sent):
+    """doc_id, set size and class of each row; with the prefix where the task meets the class first."""
+
     def run(batches):
         # any order serves that all tasks share; this one ranks by frequency, then by hash
-        cells = sent.value
+        cells, seen = sent.value, set()
         for whole in batches:
             for batch in pieces_of(whole):
-                n, low, high, prefix = [], [], [], []
-                for s in _shingles(raw(batch.column(1)), k):
+                n, classes, prefix = [], [], []
+                for doc_id, s in zip(batch.column(0).to_pylist(), _shingles(raw(batch.column(1)), k)):
                     n.append(len(s))
-                    digest = blake2b(s.tobytes(), digest_size=16).digest()
-                    low.append(int.from_bytes(digest[:8], "little", signed=True))
-                    high.append(int.from_bytes(digest[8:], "little", signed=True))
+                    classes.append(c := _digest(s))
+                    if c in seen or doc_id is None or not len(s):
+                        prefix.append(None)
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(c)
                     least = (num * len(s) + den - 1) // den  # overlap with any similar set
                     need = len(s) - least + min(SHARE, least)
                     rank = cells[(s >> _CELL).astype(np.int64)].astype(np.int64) << 52 | (s >> np.uint64(12)).astype(np.int64)
                     prefix.append(s[np.argsort(rank, kind="stable")[:need]].view(np.int64))
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "prefix"])
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cid", "prefix"])
 
     return run
 
 
 def _repeated(batches):
-    """Rows, sorted by token, whose token occurs more than once."""
+    """Rows (token, cid, at), sorted by the first two: one for each pair, of tokens that several classes have."""
     last, before = None, False  # the row that waits for the next one, and whether its token came before
     for batch in batches:
         if last is not None:
             batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        token = batch.column(0).to_numpy()
-        if not len(token):
+        if not batch.num_rows:
             continue
+        token, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
+        if not new.all():
+            batch, token = batch.filter(pa.array(new)), token[new]
         same = token[1:] == token[:-1]
         keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
         yield batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
@@ -158,29 +177,114 @@ def _repeated(batches):
 
 
 def _sets(k: int, sent):
+    """Class and whole set of rows whose id may be wanted."""
+
     def run(batches):
-        bits = sent.value
+        bits, seen = sent.value, set()
         for whole in batches:
             for batch in pieces_of(whole):
                 h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 may = (bits[h >> 6 & (FILTER_WORDS - 1)].view(np.uint64) >> (h & 63).astype(np.uint64)) & np.uint64(1)
                 some = batch.filter(pa.array(may.astype(bool)))
-                if some.num_rows:
-                    sets = [s.tobytes() for s in _shingles(raw(some.column(1)), k)]
-                    yield pa.record_batch([some.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+                if not some.num_rows:
+                    continue
+                out = []
+                for s in _shingles(raw(some.column(1)), k):
+                    if (c := _digest(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(c)
+                        out.append((c, s.tobytes()))
+                yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["cid", "set"])
 
     return run
 
 
-def _overlap(num: int, den: int):
+def _verified(num: int, den: int):
+    """Links among rows (hub, part, own, id, set), sorted: the hub's own set comes first, its partners follow."""
+
     def run(batches):
+        key, hub = None, None
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(den * common >= num * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            a, b = [], []
+            for h, part, own, i, data in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(data, np.uint64)
+                if own:
+                    key, hub = (h, part), s
+                elif key == (h, part):
+                    common = len(np.intersect1d(hub, s, assume_unique=True))
+                    if den * common >= num * (len(hub) + len(s) - common):
+                        a.append(h)
+                        b.append(i)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+_PAIRS = ("a", "b", "na", "nb", "ea", "eb", "pa", "pb")
+
+
+def _crossed(num: int, den: int, near: int = 6, block: int = 1024):
+    """Pairs of classes of different groups that one column holds and whose sizes and places allow the threshold.
+
+    Rows (token, left, right, side, cid, n, most, pos, group) come sorted by the first three and n.
+    """
+
+    def fits(r, i, j):
+        n, most, pos = r["n"], r["most"], r["pos"]
+        rest = np.minimum(most[i] - pos[i], most[j] - pos[j]) + np.minimum(pos[i], pos[j])
+        apart = (r["group"][i] != r["group"][j]) & ((r["left"][i] == r["right"][i]) | (r["side"][i] != r["side"][j]))
+        return apart & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num) & ((num + den) * rest >= num * (n[i] + n[j]))
+
+    def pairs(r, i, j):
+        swap = r["cid"][i] > r["cid"][j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.record_batch([pa.array(r[c][x]) for c in ("cid", "n", "most", "pos") for x in (a, b)], names=list(_PAIRS))
+
+    def columns_of(table):
+        """The pairs of a table of whole columns."""
+        r = {name: table.column(name).to_numpy() for name in table.schema.names}
+        if not len(r["token"]):
+            return
+        change = (r["token"][1:] != r["token"][:-1]) | (r["left"][1:] != r["left"][:-1]) | (r["right"][1:] != r["right"][:-1])
+        begin = np.concatenate([[0], np.flatnonzero(change) + 1])
+        size = np.diff(np.concatenate([begin, [len(r["token"])]]))
+        several = np.minimum.reduceat(r["group"], begin) != np.maximum.reduceat(r["group"], begin)
+        small = np.repeat(several & (size <= near), size)
+        column = np.repeat(np.arange(len(begin)), size)
+        for d in range(1, near):
+            i = np.flatnonzero(small[:-d] & (column[d:] == column[:-d]))
+            i = i[fits(r, i, i + d)]
+            if len(i):
+                yield pairs(r, i, i + d)
+        for k in np.flatnonzero(several & (size > near)).tolist():
+            for x in range(begin[k], begin[k] + size[k], block):
+                own = np.arange(x, min(x + block, begin[k] + size[k]))
+                for y in range(x, begin[k] + size[k], block):
+                    other = np.arange(y, min(y + block, begin[k] + size[k]))
+                    if r["n"][own[-1]] * den < r["n"][other[0]] * num:
+                        break  # sorted by size: all that follow are larger still
+                    i, j = np.meshgrid(own, other, indexing="ij")
+                    i, j = i.ravel(), j.ravel()
+                    hit = fits(r, i, j) & (i < j)
+                    if hit.any():
+                        yield pairs(r, i[hit], j[hit])
+
+    def run(batches):
+        waits = []  # the rows of a column that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, left, right = (batch.column(i).to_numpy() for i in range(3))
+            last = np.flatnonzero((token != token[-1]) | (left != left[-1]) | (right != right[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if not cut and waits and (waits[-1].column(0)[-1].as_py(), waits[-1].column(1)[-1].as_py(), waits[-1].column(2)[-1].as_py()) == (token[0], left[0], right[0]):
+                waits.append(batch)
+                continue
+            yield from columns_of(pa.Table.from_batches([*waits, batch.slice(0, cut)]).combine_chunks())
+            waits = [batch.slice(cut)]
+        if waits:
+            yield from columns_of(pa.Table.from_batches(waits).combine_chunks())
 
     return run
 
@@ -207,70 +311,71 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     """Link documents whose n-gram sets have a Jaccard measure of `threshold` or more.
 
     A-Z are lower-cased; words are runs of characters that are no ASCII white space; a text of
-    fewer than k words is one n-gram. Texts without words, and null texts, have an empty set and
-    link with nothing. Rows that share a doc_id count as one document for links. A null doc_id
-    stays null and gets the component of the other documents with its set, or null. Sets are
-    compared by 64-bit hashes of their n-grams. An empty table gives no rows.
+    fewer than k words is one n-gram. Texts without words, and null texts, have an empty set, link
+    with nothing and are their own component. Rows that share a doc_id are one document, linked by
+    the set of each row. A null doc_id stays null and gets the component of the other documents
+    with its set, or null. Sets are compared by 64-bit hashes of their n-grams, equal ones found by
+    64-bit digests. An empty table gives no rows; extra columns are ignored.
 
     Returns per row: doc_id, n_shingles, component_id (least doc_id reachable by links).
     """
     spark, (num, den) = docs.sparkSession, threshold
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(frequencies(docs, k))
-    sized = staged(docs.mapInArrow(_prefixes(k, num, den, sent), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "prefixes")
-    classes = sized.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    first = sized.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
-    columns = first.select("rep", F.posexplode("prefix").alias("pos", "token"), "n").select("token", "rep", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
-    spread = columns.repartition(tasks(spark), "token").sortWithinPartitions("token")
-    shared = spread.mapInArrow(_repeated, "token long, rep long, at long")
+    sized = staged(docs.mapInArrow(_prefixes(k, num, den, sent), "doc_id long, n long, cid long, prefix array<long>"), "prefixes")
+    columns = sized.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "n", "cid").select("token", "cid", (F.col("n") * (1 << 31) + F.col("pos")).alias("at"))
+    spread = columns.repartition(tasks(spark), "token").sortWithinPartitions("token", "cid")
+    shared = spread.mapInArrow(_repeated, "token long, cid long, at long")
     n = F.shiftright("at", 31)
     band = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(den / num))))
-    shared = shared.select("token", "rep", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band"))
+    shared = shared.select("token", "cid", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band"))
     need = F.floor((F.col("n") * num + den - 1) / den)
     least = F.least(F.lit(SHARE), need)
     alone = F.col("n") - need + least - F.col("c")  # n-grams of the prefix that no other class has
-    ranked = shared.withColumn("c", F.count("*").over(Window.partitionBy("rep"))).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("pos")).cast("long") - 1)
-    shared = staged(ranked.where(F.col("c") >= least).select("token", "rep", "n", "band", (F.col("n") - alone).alias("most"), F.col("place").alias("pos")), "shared-ngrams")
-
+    ranked = shared.withColumn("c", F.count("*").over(Window.partitionBy("cid"))).withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("pos")).cast("long") - 1)
+    shared = staged(ranked.where(F.col("c") >= least).select("token", "cid", "n", "band", (F.col("n") - alone).alias("most"), F.col("place").alias("pos")), "shared-ngrams")
+    some = sized.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "cid")
+    classes = staged(some.groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL")
 
     def linked(possible: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold; only sets of documents in a possible pair are made."""
+        """The pairs that reach the threshold; each wanted set travels once to every hub it is compared with."""
         pairs = staged(possible, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("parts"))
+        to = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
+        hubs = parts.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True))
+        wanted = staged(to.union(hubs), "wanted")
+        ids = wanted.select("id").distinct().join(classes, F.col("id") == F.col("cid")).select(F.col("rep").alias("id"))
         bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))
-        found = texts.mapInArrow(_sets(k, bits), "doc_id long, set binary")
-        sets = staged(found.join(ids, found["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-        sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-        return sides.select("a", "b", "sa", "sb").mapInArrow(_overlap(num, den), "a long, b long")
-
-    least = shared.groupBy("token", "band").agg(F.min(F.struct("rep", "n", "most", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "band", "p")
-    near = shared.join(least, ["token", "band"]).where("rep <> p.rep").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.most").alias("ea"), F.col("most").alias("eb"), F.col("p.pos").alias("pa"), F.col("pos").alias("pb"))
-    links = staged(linked(_possible(near, num, den)), "links")
-    label = components(links, "near").withColumnRenamed("node", "rep")
-
-    known = staged(shared.join(label, "rep", "left").withColumn("group", F.coalesce("component", "rep")), "grouped")
-    groups = known.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("far"), F.max(F.col("most") - F.col("pos")).alias("after"))
-    several = groups.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    groups = groups.join(several, "token")
-    other = groups.select("token", F.col("group").alias("group2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("far").alias("far2"), F.col("after").alias("after2"))
-    reach = F.least("after", "after2") + F.least("far", "far2")  # no more overlap than that from a pair that meets here
-    fits = ((num + den) * reach >= num * (F.col("low") + F.col("low2"))) & (F.col("high2") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("low2") * num)
-    across = groups.join(other, "token").where("group < group2").where(fits).select("token", "group", "group2", *(c + i for c in ("low", "high", "far", "after") for i in ("", "2")))
-    x = known.select("token", "group", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ea"), F.col("pos").alias("pa"))
-    y = known.select("token", F.col("group").alias("group2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("eb"), F.col("pos").alias("pb"))
-    rest = F.least(F.col("ea") - F.col("pa"), F.col("eb") - F.col("pb")) + F.least("pa", "pb")
-
-    def member(size: str, most: str, pos: str, i: str) -> Column:
-        """A member that may reach the threshold with some member of the group whose summary is `i`."""
-        within = F.least(F.col(most) - F.col(pos), F.col("after" + i)) + F.least(F.col(pos), F.col("far" + i))
-        return ((num + den) * within >= num * (F.col(size) + F.col("low" + i))) & (F.col("high" + i) * den >= F.col(size) * num) & (F.col(size) * den >= F.col("low" + i) * num)
-
-    one = across.join(x, ["token", "group"]).where(member("na", "ea", "pa", "2"))
-    wide = one.join(y, ["token", "group2"]).where(member("nb", "eb", "pb", "")).where((F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num) & ((num + den) * rest >= num * (F.col("na") + F.col("nb"))))
+        found = texts.mapInArrow(_sets(k, bits), "cid long, set binary")
+        dealt = found.join(wanted, found["cid"] == wanted["id"]).select("hub", "part", "own", "id", "set").repartition(tasks(spark), "hub", "part")
+        links = staged(dealt.sortWithinPartitions("hub", "part", F.desc("own")).mapInArrow(_verified(num, den), "a long, b long"), "links")
+        discard(pairs, wanted)
+        return links
+
+    first = shared.groupBy("token", "band").agg(F.min(F.struct("cid", "n", "most", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "band", "p")
+    near = shared.join(first, ["token", "band"]).where("cid <> p.cid").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.most").alias("ea"), F.col("most").alias("eb"), F.col("p.pos").alias("pa"), F.col("pos").alias("pb"))
+    links = linked(_possible(near, num, den))
+    label = components(links, "near").withColumnRenamed("node", "cid")
+
+    known = staged(shared.join(label, "cid", "left").select("token", "cid", "n", "most", "pos", F.coalesce("component", "cid").alias("group")), "grouped")
+    discard(shared)
+    # a row for each COLUMN_ROWS rows of the table at most
+    heavy = known.groupBy("token").count().where(F.col("count") > COLUMN_ROWS).select("token", F.ceil(F.col("count") / COLUMN_ROWS).alias("blocks"))
+    cut = known.join(heavy, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("o", "block").cast("int").alias("left"), F.greatest("o", "block").cast("int").alias("right"), (F.col("block") > F.col("o")).cast("int").alias("side"), "cid", "n", "most", "pos", "group")
+    met = cut.repartition(tasks(spark), "token", "left", "right").sortWithinPartitions("token", "left", "right", "n")
+    wide = met.mapInArrow(_crossed(num, den), ", ".join(f"{c} long" for c in _PAIRS))
     more = linked(_possible(wide, num, den))
-    final = components(links.union(more), "linked").withColumnRenamed("node", "rep")
-
-    named = classes.join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    with_words = sized.where("n > 0").select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    discard(known)
+
+    # a document of several rows holds the classes of all of them together
+    several = some.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z").select("doc_id", "a")
+    held_by = some.join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+    final = staged(components(links.union(more).union(held_by), "linked").withColumnRenamed("node", "cid"), "components")
+    discard(links, more)
+    lowest = final.join(classes, "cid").groupBy("component").agg(F.min("rep").alias("low"))
+    of_class = final.join(lowest, "component").select("cid", "low")
+    named = classes.join(of_class, "cid", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
+    with_words = sized.where("n > 0").select("doc_id", "n", "cid").join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return with_words.union(sized.where("n = 0").select("doc_id", "n", "doc_id"))
