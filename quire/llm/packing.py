@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from .tokens import END_PACK, encoder
 OPEN_BINS = 256
 #: Words that a worker keeps the ids of: few, as packing may follow other stages in the same worker.
 CACHE_WORDS = 500_000
-#: Open sequences of all tasks that one task of the second round packs together.
+#: Open sequences of all tasks that a task of the second round packs together, on average.
 MERGE_ROWS = 200_000
 
 
@@ -77,17 +78,27 @@ def _first_round(path: str, capacity: int, bins: int):
         end = END_PACK.to_bytes(4, "little")
         for whole in batches:
             for batch in pieces_of(whole):
-                ids_of = batch.column(0).to_pylist()
-                out: list[tuple] = []
-                for doc_id, ids in zip(ids_of, encode(batch.column(1).to_pylist())):
+                row, piece, length, crc, place, offset = ([] for _ in range(6))
+                for i, ids in enumerate(encode(batch.column(1).to_pylist())):
                     ids += end
                     n = len(ids) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        length = min(capacity, n - start)
-                        bin_id, offset = fit.place(length)
-                        out.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), base + bin_id, offset, False))
-                yield _batch(out)
-        yield _batch([(None, None, None, used, None, base + bin_id, None, True) for bin_id, used in fit.left_open()])
+                    if n <= capacity:
+                        cuts = ((0, ids),)
+                    else:
+                        cuts = ((k, ids[4 * k * capacity : 4 * (k + 1) * capacity]) for k in range(-(-n // capacity)))
+                    for k, part in cuts:
+                        bin_id, at = fit.place(len(part) // 4)
+                        row.append(i)
+                        piece.append(k)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        place.append(bin_id)
+                        offset.append(at)
+                k, n = np.array(piece, dtype=np.int32), len(row)
+                yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(k), pa.array(k.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.array(place, dtype=np.int64) + base), pa.array(offset, pa.int64()), pa.array(np.zeros(n, dtype=bool))], schema=_SCHEMA)
+        left = list(fit.left_open())
+        n = len(left)
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([u for _, u in left], pa.int64()), pa.nulls(n, pa.int64()), pa.array([base + b for b, _ in left], pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.ones(n, dtype=bool))], schema=_SCHEMA)
 
     return run
 
@@ -95,14 +106,9 @@ def _first_round(path: str, capacity: int, bins: int):
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("is_open", pa.bool_())])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in _SCHEMA]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA)
-
-
-def _second_round(capacity: int):
+def _second_round(capacity: int, bins: int):
     def run(batches):
-        fit, base = BestFit(capacity, 1 << 30), (1 << 62) + (TaskContext.get().partitionId() << 36)
+        fit, base = BestFit(capacity, bins), (1 << 62) + (TaskContext.get().partitionId() << 36)
         for batch in batches:
             placed = [fit.place(n) for n in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=["sequence_id", "merged_id", "shift"])
@@ -115,9 +121,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, bins: int =
 
     A document is its ids and then id 0; a null or empty text is that id alone. Documents longer
     than `capacity` are cut into pieces of `capacity` tokens. Each input partition is packed in
-    its own order with a fixed number of open bins; what the partitions leave open is packed again
-    by falling use, so many small partitions waste no more than a few. Nothing is shuffled by
-    document. Repeated rows are packed again; a null doc_id stays null. An empty table gives no
+    its own order with a fixed number of open bins. What the partitions leave open (at most `bins`
+    each) goes through the same packer once more, MERGE_ROWS or so to a task and by falling use, so
+    many small partitions waste no more than a few. Nothing is shuffled by document. Repeated rows are packed again; a null doc_id stays null. An empty table gives no
     rows. Extra columns are ignored.
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -126,9 +132,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, bins: int =
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = staged(found.mapInArrow(_first_round(tokenizer_path, capacity, bins), _PIECES), "pieces")
     left = pieces.where("is_open").select("sequence_id", "length")
-    groups = 1 + left.count() // MERGE_ROWS
-    spread = left.repartition(groups) if groups > 1 else left.coalesce(1)
-    moved = staged(spread.sortWithinPartitions(F.desc("length"), "sequence_id").mapInArrow(_second_round(capacity), "sequence_id long, merged_id long, shift long"), "open-bins")
+    spread = left.repartition(1 + left.count() // MERGE_ROWS, "sequence_id")
+    moved = staged(spread.sortWithinPartitions(F.desc("length"), "sequence_id").mapInArrow(_second_round(capacity, bins), "sequence_id long, merged_id long, shift long"), "open-bins")
     return (
         pieces.where(~F.col("is_open"))
         .join(moved, "sequence_id", "left")

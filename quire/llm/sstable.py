@@ -84,6 +84,8 @@ class Writer:
         self._at = self.docs = self.tokens = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self._id_bytes:
+            raise ValueError(f"id {ids.max()} needs more than {self._id_bytes} bytes")
         value = ids.astype("<u2" if self._id_bytes == 2 else "<u4").tobytes()
         shared = 0
         if self._block:

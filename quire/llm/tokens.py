@@ -20,7 +20,8 @@ class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as `Tokenizer.encode` gives them.
 
     Only blanks and line feeds cut words here, which no pre-token of the tokenizer spans, so
-    the ids equal those of the whole text. The cache is emptied at `cache_words` entries.
+    the ids equal those of the whole text. The cache holds at most about `cache_words` words in two
+    halves: when the newer is full the older goes, and words met again move to the newer.
     """
 
     def __init__(self, path: str, cache_words: int = 1_200_000):
@@ -30,6 +31,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = cache_words
         self._words: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
         self._forms: dict[str, bytes] = {"": b""}
         mark = self._ids("\x00")
         self._mark = int(mark[0]) if len(mark) == 1 else None
@@ -40,25 +42,32 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self._words) > self._limit:
-            self._words = {"": b""}
-        if len(self._forms) > self._limit:
+        if len(self._words) > self._limit // 2:
+            self._words, self._older = {"": b""}, self._words
+        if len(self._forms) > self._limit // 2:
             self._forms = {"": b""}
-        known = self._words
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+        known, older = self._words, self._older
+        new = set(chain.from_iterable(split)).difference(known)
+        for w in new & older.keys():
+            known[w] = older[w]
+        new = [w for w in new if w not in known]
         if new:
             self._learn(new)
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
     def _learn(self, new: list[str]) -> None:
-        """A word of plain letters shares its lower-case form's ids, with a point or comma after it apart."""
+        """A word of plain letters shares its lower-case form's ids, with a point or comma after it apart.
+
+        Letters whose lower-case form is no letter (a capital that becomes a letter and a mark) are
+        spelled as they are: such a mark would join the point after it.
+        """
         points, parts, forms = self._points, [], self._forms
         for w in new:
             tail = points.get(w[-1], b"")
             stem = w[:-1] if tail else w
-            if stem.isalpha() and max(stem) < "ɐ":
-                parts.append((w, stem.lower(), tail))
+            if stem.isalpha() and max(stem) < "\u0250" and (low := stem.lower()).isalpha():
+                parts.append((w, low, tail))
             else:
                 parts.append((w, w, b""))
         self._encode_forms([f for f in {p[1] for p in parts} if f not in forms])
