@@ -102,15 +102,31 @@ rates AS (
   SELECT source, source_size, least(cap, w * (SELECT level FROM chosen)) AS target,
          CASE WHEN source_size > 0 THEN least(cap, w * (SELECT level FROM chosen)) / source_size ELSE 0 END AS rate
   FROM levels),
-keyed AS (
-  SELECT s.doc_id, s.size, r.source, r.source_size, r.target, r.rate, r.rate - floor(r.rate) AS part, s.u,
-         CASE WHEN r.rate > floor(r.rate)
-              THEN (s.u / (1 - s.u)) / ((r.rate - floor(r.rate)) / (1 - (r.rate - floor(r.rate)))) END AS q
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
+classed AS (SELECT *, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS class FROM sized),
+words AS (
+  SELECT c.source, class, class + 1 AS w, CAST(sum(size) AS BIGINT) AS words, any_value(r.source_size) AS source_size, any_value(r.target) AS target
+  FROM classed c JOIN rates r ON c.source IS NOT DISTINCT FROM r.source GROUP BY c.source, class),
+-- for each number of classes that reach two copies, from the longest down, the level that the others would get
+options AS (
+  SELECT a.source, a.class,
+         (any_value(a.target) - 2.0::DOUBLE * CAST(coalesce(sum(b.words) FILTER (b.class > a.class), 0) AS BIGINT)) / CAST(nullif(sum(b.w * b.words) FILTER (b.class <= a.class), 0) AS BIGINT) AS level,
+         any_value(a.w) AS w
+  FROM words a JOIN words b ON a.source IS NOT DISTINCT FROM b.source GROUP BY a.source, a.class),
+picked AS (SELECT source, max_by(level, class) AS level, max(class) AS class FROM options WHERE level * w <= 2.0::DOUBLE GROUP BY source),
+expected AS (
+  SELECT x.*, CASE WHEN x.source_size = 0 THEN 0.0::DOUBLE WHEN x.class <= p.class THEN p.level * x.w ELSE 2.0::DOUBLE END AS copies
+  FROM words x LEFT JOIN picked p ON x.source IS NOT DISTINCT FROM p.source),
+split AS (
+  SELECT *, floor(copies) AS whole, copies - floor(copies) AS part,
+         target - CAST(sum(CAST(floor(copies) AS BIGINT) * words) OVER (PARTITION BY source) AS BIGINT) AS rest
+  FROM expected),
 ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS running FROM keyed)
+  SELECT c.doc_id, c.size, s.source_size, s.target, s.whole, s.part, s.rest,
+         sum(CASE WHEN s.part > 0 THEN c.size ELSE 0 END) OVER (
+           PARTITION BY c.source ORDER BY CASE WHEN s.part > 0 THEN (c.u / (1 - c.u)) / (s.part / (1 - s.part)) END NULLS LAST, c.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS running
+  FROM classed c JOIN split s ON c.source IS NOT DISTINCT FROM s.source AND c.class = s.class)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN part > 0 AND running - size / 2.0 <= target - floor(rate) * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN part > 0 AND running - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """,
 }
