@@ -9,7 +9,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a longest run of characters that are no ASCII white space.
@@ -66,6 +66,17 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def least_by_hash(rows: DataFrame, by: str, most: int, parts: int = 64) -> DataFrame:
+    """The `most` rows of each value of `by` whose doc_id has the least hash.
+
+    Ranked first within `parts` shares of each value, so that one frequent value is not sorted in one task.
+    """
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    few = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by, share).orderBy(*order))).where(F.col("_k") <= most)
+    return few.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+
+
 def raw(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; none for null."""
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
@@ -142,10 +153,3 @@ class WordTable:
     @property
     def rows(self) -> np.ndarray:
         return self._rows
-
-
-def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of `values` (a row per word) over each text's words."""
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), dtype=np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[ends[1:]] - total[ends[:-1]]

@@ -1,35 +1,38 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads the bytes of a word's letters in both directions and labels every byte with
-the languages' probabilities. A document's probabilities are the means over all its bytes.
-State starts anew at each word, so a word's labels are worked out once per worker.
+The network reads a text's running bytes, blanks and marks included, in both directions and labels
+every position with the languages' probabilities. Long texts are read in spans of SPAN bytes with
+OVERLAP more on each side, whose labels the neighbours give; by then the state has forgotten where
+it began. A document's probabilities are the means over all its bytes.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_words, held, per_text, raw, remainder
+from .common import least_by_hash, raw, remainder
 
 #: Documents of each language that the model is fitted on, at most: those with the least hash of the id.
 DOCS_PER_LANGUAGE = 400
-#: Words of those documents that are trained on, for each language.
-WORDS_PER_LANGUAGE = 9_000
-HIDDEN, EPOCHS, BATCH, RATE = 20, 5, 128, 0.01
-#: Longer runs of letters are read in parts of so many bytes.
-SPAN = 32
+#: Windows of WINDOW bytes of each of those documents that are trained on, anywhere in it.
+WINDOWS, WINDOW = 6, 64
+HIDDEN, EPOCHS, BATCH, RATE = 8, 4, 128, 0.02
+#: Bytes that a span labels, and bytes that it reads before and after them.
+SPAN, OVERLAP = 256, 16
+#: Spans that are read side by side, and spans that wait to be sorted by length.
+ROWS, WAITING = 1024, 8192
 
+_LETTER = re.compile(rb"[A-Za-z]")
 
-def letters(word: bytes) -> bytes:
-    """The letters of a word, lower-cased."""
-    text = word.decode("utf-8", "surrogatepass").lower()
-    return (text if text.isalpha() else "".join(filter(str.isalpha, text))).encode("utf-8", "surrogatepass")
+
+def has_letter(text: bytes) -> bool:
+    return bool(_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "surrogatepass")))
 
 
 def _sigmoid(x):
@@ -57,7 +60,7 @@ def _step(p, d, byte, h):
 
 
 def _states(p, d, text: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states of every position; `text` holds words of one length."""
+    """Hidden states of every position; `text` holds runs of one length."""
     n, length = text.shape
     h, out = np.zeros((n, HIDDEN), dtype=np.float32), np.empty((length, n, HIDDEN), dtype=np.float32)
     for t in range(length) if d == "f" else range(length - 1, -1, -1):
@@ -114,8 +117,60 @@ def _by_length(texts: list[bytes]):
         yield np.array(at), np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(-1, length)
 
 
+def _read(p, d: int, text: np.ndarray, there: np.ndarray, out: np.ndarray) -> None:
+    """As `_states` for spans of several lengths, without what only training needs; d: 0 forward, 1 backward.
+
+    `text` is (length, spans); beyond its end (`there` is 0) a span's state stays 0 on the way back.
+    """
+    side = "fb"[d]
+    # one table and matrix a gate: arrays stay contiguous; reset and update with their sign turned, for exp()
+    sign, gates = (-1, -1, 1), [slice(i * HIDDEN, (i + 1) * HIDDEN) for i in range(3)]
+    tables = [np.ascontiguousarray(k * (p[f"x{side}"] + p[f"c{side}"])[:, i], dtype=np.float32) for k, i in zip(sign, gates)]
+    ws = [np.ascontiguousarray(k * p[f"h{side}"][:, i], dtype=np.float32) for k, i in zip(sign, gates)]
+    length, n = text.shape
+    h, x, r, z, c = (np.zeros((n, HIDDEN), np.float32) for _ in range(5))
+    for t in range(length) if d == 0 else range(length - 1, -1, -1):
+        for gate, table, w in ((r, tables[0], ws[0]), (z, tables[1], ws[1])):
+            np.matmul(h, w, out=gate)
+            gate += np.take(table, text[t], axis=0, out=x, mode="clip")
+            np.exp(gate, out=gate)
+            gate += 1
+        np.matmul(h, ws[2], out=c)
+        c /= r
+        c += np.take(tables[2], text[t], axis=0, out=x, mode="clip")
+        np.tanh(c, out=c)
+        h -= c
+        h /= z
+        h += c
+        if d == 1:
+            h *= there[t]
+        out[t] = h
+
+
+def _sums(p, spans: list[tuple[bytes, int, int]]) -> np.ndarray:
+    """For each span (bytes, first position that counts, number of those) the sums of the languages' probabilities."""
+    size = np.array([len(b) for b, _, _ in spans])
+    length, n = int(size.max()), len(spans)
+    joined = b"".join([b.ljust(length, b"\0") for b, _, _ in spans])
+    text = np.ascontiguousarray(np.frombuffer(joined, np.uint8).reshape(n, length).T)
+    place = np.arange(length)[:, None]
+    there = np.ascontiguousarray(np.broadcast_to((place < size)[:, :, None], (length, n, HIDDEN)), dtype=np.float32)
+    s = np.zeros((length * n, len(p["co"])), np.float32)
+    out = np.empty((length, n, HIDDEN), np.float32)
+    for d, part in ((0, slice(0, HIDDEN)), (1, slice(HIDDEN, None))):
+        _read(p, d, text, there, out)
+        s += out.reshape(-1, HIDDEN) @ p["o"][part]
+    s += p["co"]
+    np.exp(s, out=s)
+    s = s.reshape(length, n, -1)
+    first, number = (np.array([x[i] for x in spans]) for i in (1, 2))
+    counts = (place >= first) & (place < first + number)
+    s *= (counts / s.sum(axis=2))[:, :, None]
+    return s.sum(axis=0, dtype=np.float64)
+
+
 def fit(texts: list[bytes], label: list[int], n_out: int, seed: int = 5) -> dict[str, np.ndarray]:
-    """Adam over batches of words of one length."""
+    """Adam over batches of runs of one length."""
     rng = np.random.default_rng(seed)
     p, labels = _init(n_out, rng), np.array(label)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
@@ -139,35 +194,48 @@ class LanguageModel:
     languages: list[str]
     parameters: dict[str, np.ndarray]
 
-    def label(self, new: list[bytes]) -> np.ndarray:
-        """For each word, the sums over its bytes of the languages' probabilities, and the number of bytes."""
-        k = len(self.languages)
-        out = np.zeros((len(new), k + 1), dtype=np.float32)
-        spelled = [letters(w) for w in new]
-        out[:, k] = [len(b) for b in spelled]
-        forms = {b: i for i, b in enumerate(dict.fromkeys(spelled))}
-        parts = [(i, b[j : j + SPAN]) for b, i in forms.items() for j in range(0, len(b), SPAN)]
-        sums = np.zeros((len(forms), k), dtype=np.float32)
-        for at, text in _by_length([b for _, b in parts]):
-            for j in range(0, len(at), 4096):
-                owner = [parts[i][0] for i in at[j : j + 4096]]
-                np.add.at(sums, owner, _probabilities(self.parameters, text[j : j + 4096]).sum(axis=0))
-        out[:, :k] = sums[[forms[b] for b in spelled]]
-        return out
+    def label(self, texts: list[bytes]) -> np.ndarray:
+        """The languages' mean probabilities over all bytes of each text; zeros for an empty one.
+
+        Spans are read in the order of their length and begin afresh at each text, so a text's
+        result depends on that text alone.
+        """
+        out, total = np.zeros((len(texts), len(self.languages))), np.array([max(1, len(t)) for t in texts])
+        owner: list[int] = []
+        spans: list[tuple[bytes, int, int]] = []
+
+        def flush():
+            order = sorted(range(len(spans)), key=lambda i: len(spans[i][0]))
+            for k in range(0, len(order), ROWS):
+                pick = order[k : k + ROWS]
+                np.add.at(out, [owner[i] for i in pick], _sums(self.parameters, [spans[i] for i in pick]))
+            owner.clear()
+            spans.clear()
+
+        for i, text in enumerate(texts):
+            for j in range(0, len(text), SPAN):
+                begin = max(0, j - OVERLAP)
+                owner.append(i)
+                spans.append((text[begin : j + SPAN + OVERLAP], j - begin, min(SPAN, len(text) - j)))
+                if len(spans) == WAITING:
+                    flush()
+        if spans:
+            flush()
+        return out / total[:, None]
 
 
 def _train(languages: list[str]):
     def run(batches):
-        rng, pool = np.random.default_rng(3), {k: [] for k in languages}
+        rng, texts, label = np.random.default_rng(3), [], []
+        number = {lang: i for i, lang in enumerate(languages)}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                found = [b[:SPAN] for b in map(letters, byte_words(text)) if b]
-                pool[lang] += [found[i] for i in rng.permutation(len(found))[:200]]
-        texts, label = [], []
-        for i, lang in enumerate(languages):
-            pick = [pool[lang][j] for j in rng.permutation(len(pool[lang]))[:WORDS_PER_LANGUAGE]]
-            texts += pick
-            label += [i] * len(pick)
+                if len(text) <= WINDOW:
+                    found = [text] if text else []
+                else:
+                    found = [text[i : i + WINDOW] for i in rng.integers(0, len(text) - WINDOW + 1, WINDOWS).tolist()]
+                texts += found
+                label += [number[lang]] * len(found)
         p = fit(texts, label, len(languages))
         yield pa.record_batch([pa.array(list(p)), pa.array([",".join(map(str, x.shape)) for x in p.values()]), pa.array([x.astype("<f4").tobytes() for x in p.values()], pa.binary())], names=["name", "shape", "data"])
 
@@ -178,15 +246,15 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Langua
     """Fit on documents with a language whose crc32(doc_id) mod 5 is not 0.
 
     At most `docs_per_language` documents of each language, by least hash of the id, are read by
-    the one task that trains. Without such documents the model knows no language.
+    the one task that trains, on WINDOWS windows of WINDOW bytes of each, which begin anywhere in
+    it. Without such documents the model knows no language.
     """
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
     names = known.groupBy("lang").count().select("lang").orderBy("lang")
     languages = [r.lang for r in names.collect()]  # one row per language
     if not languages:
         return LanguageModel([], {})
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = known.select("doc_id", "lang").distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= docs_per_language).drop("_k")
+    pick = least_by_hash(known.select("doc_id", "lang").distinct(), "lang", docs_per_language)
     # docs_per_language ids for each language: the bound that makes this side fit for broadcast
     found = known.join(F.broadcast(pick), ["doc_id", "lang"]).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
     one = found.repartition(1).sortWithinPartitions("_h", "text").select("lang", "text")
@@ -198,7 +266,7 @@ _TYPE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column | str = "text") -> Column:
-    """A struct column: lang_pred and score (its share of the probability over all bytes of letters).
+    """A struct column: lang_pred and score (its share of the probability over all bytes).
 
     Null texts, texts without a letter, and all texts if the model knows no language: `und`, 0.
     Ties go to the first language by name.
@@ -207,21 +275,13 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column | str = "tex
 
     def run(texts: pa.Array) -> pa.Array:
         found, values = sent.value, raw(texts)
-        names, k = found.languages, len(found.languages)
-        table, lang, score = held(("language", id(found)), lambda: WordTable(found.label, k + 1, np.float32)), [], []
-        for i in range(0, len(values), 256):
-            part = [byte_words(t) for t in values[i : i + 256]]
-            if not k:
-                lang += ["und"] * len(part)
-                score += [0.0] * len(part)
-                continue
-            at, counts = table.look_up(part)
-            sums = per_text(table.rows[at], counts)
-            best = sums[:, :k].argmax(axis=1)
-            for b, row in zip(best, sums):
-                some = row[k] > 0.5
-                lang.append(names[b] if some else "und")
-                score.append(float(min(1.0, row[b] / row[k])) if some else 0.0)
+        lang, score = ["und"] * len(values), np.zeros(len(values))
+        some = [i for i, t in enumerate(values) if has_letter(t)] if found.languages else []
+        if some:
+            means = found.label([values[i] for i in some])
+            for i, best, row in zip(some, means.argmax(axis=1), means):
+                lang[i] = found.languages[best]
+                score[i] = min(1.0, row[best])
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], fields=list(_TYPE))
 
     return F.arrow_udf(run, "struct<lang_pred: string, score: double>")(F.col(text) if isinstance(text, str) else text)

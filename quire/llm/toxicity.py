@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordTable, byte_words, held, raw, remainder
+from .common import WordTable, byte_words, held, least_by_hash, raw, remainder
 
 #: Size of the hashed feature space; a model has one weight at most for each.
 SPACE = 1 << 20
@@ -30,6 +30,7 @@ class ToxicModel:
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells models apart in a reused worker
 
     def dense(self) -> np.ndarray:
         found = np.zeros(SPACE, dtype=np.float32)
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.5, beta: float =
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return ToxicModel(np.array([], dtype=np.int64), np.array([]), 40.0 if 1.0 in total else -40.0)
-    pick = known.withColumn("_k", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("_k") <= rows_per_class).drop("_k")
+    pick = least_by_hash(known, "toxic", rows_per_class)
     # two classes of rows_per_class ids each: the bound that makes this side fit for broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", F.col("text").cast("string"))
     features = found.mapInArrow(_extract, "doc_id long, toxic double, features binary")
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, alpha: float = 0.5, beta: float =
     return ToxicModel(np.array([r.feature for r in kept], dtype=np.int64), np.array([r.weight for r in kept]), float(bias))
 
 
-_dense: dict[int, np.ndarray] = {}
+_dense: dict[str, np.ndarray] = {}
 
 
 def score(spark: SparkSession, model: ToxicModel, text: Column | str = "text") -> Column:
@@ -135,10 +136,10 @@ def score(spark: SparkSession, model: ToxicModel, text: Column | str = "text") -
 
     def run(texts: pa.Array) -> pa.Array:
         found = sent.value
-        if id(found) not in _dense:
+        if found.key not in _dense:
             _dense.clear()
-            _dense[id(found)] = found.dense()
-        dense, values = _dense[id(found)], raw(texts)
+            _dense[found.key] = found.dense()
+        dense, values = _dense[found.key], raw(texts)
         out = np.full(len(values), found.bias)
         for i in range(0, len(values), 256):
             part = values[i : i + 256]
