@@ -7,11 +7,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
-#: A host or path of an absolute link in HTML.
-LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.\-]*://([^/?#"'\s>]+)"""
-DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 10, 0.5
+#: The host of a link in HTML that names one, with a scheme or without.
+LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
+DAMPING, BLOCK_SHARE = 0.85, 0.5
+#: Rounds go on until what one still moves is less than this share of the seeds.
+TOLERANCE = 1e-4
 
 
 def _lower(column: Column) -> Column:
@@ -45,16 +47,18 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, links) between different hosts; `pages` has host and html."""
-    links = F.when(F.col("html").contains("://"), F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))
+    links = F.when(F.col("html").contains("//"), F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))
     return pages.select(F.col("host").alias("source"), F.explode(links).alias("link")).select("source", _lower(F.col("link")).alias("target")).where("source <> target AND source <> ''").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) over edges (source, target, links).
 
     Personalised PageRank: trust flows along links, distrust against them, both dealt out by the
-    number of links and damped at each step; each host keeps its own seed in every round. Every
-    round is written to the shared folder.
+    number of links and damped at each step; a host's rank is its own seed and all that reaches it.
+    A round moves on what the last one brought, and rounds end when that is less than `tolerance`
+    of all seeds, so no rank lacks more than tolerance * damping / (1 - damping) of them. Every
+    round is written to the shared folder and the one before deleted. Without edges there is none.
     """
     out = edges.groupBy(F.col("source").alias("s")).agg(F.sum("links").alias("all"))
     into = edges.groupBy(F.col("target").alias("t")).agg(F.sum("links").alias("all"))
@@ -62,16 +66,21 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     backward = edges.join(into, F.col("target") == F.col("t")).select(F.lit("distrust").alias("kind"), F.col("target").alias("giver"), F.col("source").alias("taker"), (F.col("links") / F.col("all")).alias("part"))
     flow = staged(forward.union(backward), "host-flow")
     own = staged(seeds.select("host", F.expr("stack(2, 'trust', cast(trust as double), 'distrust', cast(distrust as double)) as (kind, own)")).where("own > 0"), "host-seeds")
-    start = own.select("kind", "host", F.col("own").alias("rank"))
-    rank = start
-    for _ in range(rounds):
-        given = rank.join(flow, (rank["kind"] == flow["kind"]) & (rank["host"] == flow["giver"])).select(flow["kind"], F.col("taker").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        rank = staged(given.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "host-ranks")
+    now = staged(own.select("kind", "host", F.col("own").alias("rank"), F.col("own").alias("new")), "host-ranks")
+    total = moving = now.agg(F.sum("new")).first()[0] or 0.0
+    while moving > tolerance * total:
+        giving = now.where("new > 0").select(F.col("kind").alias("k"), F.col("host").alias("h"), "new")
+        given = giving.join(flow, (F.col("k") == flow["kind"]) & (F.col("h") == flow["giver"])).select("kind", F.col("taker").alias("host"), (F.col("new") * F.col("part") * damping).alias("new"))
+        both = given.select("kind", "host", F.col("new").alias("rank"), "new").union(now.select("kind", "host", "rank", F.lit(0.0)))
+        last, now = now, staged(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("new").alias("new")), "host-ranks")
+        moving = now.agg(F.sum("new")).first()[0]
+        discard(last)
+    rank = now
     sums = [F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return rank.groupBy("host").agg(*sums)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING, rounds: int = ROUNDS, block_share: float = BLOCK_SHARE) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING, tolerance: float = TOLERANCE, block_share: float = BLOCK_SHARE) -> DataFrame:
     """Verdict for every page: that of its longest rule, else that of its host.
 
     Pages that a rule allows or blocks are the seeds of their hosts, one unit each. A host is
@@ -89,7 +98,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float =
     verdict = F.col("found.verdict")
     seeds = ruled.where("host <> ''").groupBy("host").agg(F.count_if(verdict == "allow").alias("trust"), F.count_if(verdict == "block").alias("distrust"), F.count_if(verdict.isNull()).alias("open"))
     seeds = staged(seeds, "host-counts")
-    ranks = propagated(seeds, edges, damping, rounds)
+    ranks = propagated(seeds, edges, damping, tolerance)
     hosts = seeds.select("host", "open").join(ranks, "host", "left").select(F.col("host").alias("h"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "open")
     blocked = F.col("distrust") > block_share * (F.col("distrust") + F.col("trust") + F.col("open"))
     hosts = staged(hosts.withColumn("blocked", blocked), "host-verdicts")
