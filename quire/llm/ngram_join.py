@@ -9,10 +9,13 @@ that the threshold asks for. Prefix n-grams that no other class has are in no ov
 sizes leave them out. The full overlap of the pairs left is then counted.
 
 Documents with equal sets are one class, joined once; a class is known by a 64-bit digest of its
-set. Columns are multiplied in two blocks: each column's rows of like size with the least of them;
-then the rows that are not yet in one component with each other. So a group of copies costs its
-size, not its square. A column with more than COLUMN_ROWS rows is cut into square blocks, and the
-partners of one class are verified HUB_ROWS to a task, so no column or group is gathered whole.
+set. Columns are multiplied in three blocks. First each column's rows of like size with the least of
+them, the hub. Then the classes that are near one hub, its family: what each has more or less than
+the hub is a short list, and products of those lists give the overlaps of a family's classes, of
+which only links leave the task. Then rows that are neither of one family nor yet in one component.
+So a group of copies costs its size, and a group of near copies sends no pairs but its links. A
+column or family that is too large for a task is cut into square blocks, and the partners of one
+class are verified HUB_ROWS to a task, so none is gathered whole.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ SHARE = 3
 FILTER_WORDS = 1 << 18
 #: Rows of a column that are multiplied in one block, and partners of a class that one task verifies.
 COLUMN_ROWS, HUB_ROWS = 100_000, 2_000
+#: Least Jaccard measure with a hub, in hundredths, that makes a class one of its family.
+FAMILY = 60
+#: Classes and bytes of their lists in one block of a family, and tokens that a product takes at once.
+FAMILY_ROWS, FAMILY_BYTES, FAMILY_TOKENS = 1024, 16_000_000, 4096
 #: Digests that a task remembers, so that copies within it are sent once.
 SEEN = 1_000_000
 
@@ -200,40 +207,119 @@ def _sets(k: int, sent):
     return run
 
 
-def _verified(num: int, den: int):
-    """Links among rows (hub, part, own, id, set), sorted: the hub's own set comes first, its partners follow."""
+_CHECKED = "a long, b long, hit boolean, n long, m long, less long, apart binary"
+
+
+def _verified(num: int, den: int, family: int | None):
+    """Pairs of rows (hub, part, own, id, set), sorted: the hub's own set comes first, its partners follow.
+
+    `hit`: whether they link. With `family`, pairs of that measure also tell the sizes of the class
+    and of the hub, how many n-grams the class lacks, and those that only one of both has. Others
+    are left out.
+    """
 
     def run(batches):
         key, hub = None, None
         for batch in batches:
-            a, b = [], []
+            out = []
             for h, part, own, i, data in zip(*(c.to_pylist() for c in batch.columns)):
                 s = np.frombuffer(data, np.uint64)
                 if own:
                     key, hub = (h, part), s
                 elif key == (h, part):
-                    common = len(np.intersect1d(hub, s, assume_unique=True))
-                    if den * common >= num * (len(hub) + len(s) - common):
-                        a.append(h)
-                        b.append(i)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    apart = None if family is None else np.setxor1d(hub, s, assume_unique=True)
+                    common = len(np.intersect1d(hub, s, assume_unique=True)) if family is None else (len(hub) + len(s) - len(apart)) // 2
+                    union = len(hub) + len(s) - common
+                    hit, near = den * common >= num * union, family is not None and 100 * common >= family * union
+                    if hit or near:
+                        out.append((h, i, hit, len(s), len(hub), len(hub) - common, apart.tobytes() if near else None))
+            columns = list(zip(*out)) if out else [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=[f.split()[0] for f in _CHECKED.split(", ")])
+
+    return run
+
+
+def _family_links(num: int, den: int):
+    """One task per pair of blocks of a family: edges that join its classes as their links do."""
+
+    def tokens(part):
+        lists = [np.frombuffer(x, np.uint64) for x in part.column("apart").to_pylist()]
+        size = np.array([len(x) for x in lists], dtype=np.int64)
+        return np.repeat(np.arange(len(lists)), size), np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+
+    def run(key, table):
+        same = key[1].as_py() == 0 and key[2].as_py() == key[3].as_py()
+        side = table.column("side").to_numpy()
+        x = table.filter(pa.array(side == 0))
+        y = x if same else table.filter(pa.array(side == 1))
+        ids_x, ids_y = x.column("cid").to_numpy(), y.column("cid").to_numpy()
+        (row_x, token_x), (row_y, token_y) = tokens(x), tokens(y)
+        both = np.zeros((len(ids_x), len(ids_y)), dtype=np.float32)
+        shared = np.intersect1d(token_x, token_y)
+        for k in range(0, len(shared), FAMILY_TOKENS):
+            some = shared[k : k + FAMILY_TOKENS]
+            sides = []
+            for row, token, n in ((row_x, token_x, len(ids_x)), (row_y, token_y, len(ids_y))):
+                at = np.minimum(np.searchsorted(some, token), len(some) - 1)
+                hit = some[at] == token
+                m = np.zeros((n, len(some)), dtype=np.float32)
+                m[row[hit], at[hit]] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+        n_x, n_y, less_x, less_y = (t.column(c).to_numpy() for c in ("n", "less") for t in (x, y))
+        overlap = table.column("m")[0].as_py() - less_x[:, None] - less_y[None, :] + both.astype(np.int64) if len(table) else both
+        link = (num + den) * overlap >= num * (n_x[:, None] + n_y[None, :])
+        i, j = np.nonzero(link & (ids_x[:, None] != ids_y[None, :]))
+        la = ids_x.copy()
+        lb = la if same else ids_y.copy()
+        while True:  # least numbers spread along links
+            least = np.minimum(la[i], lb[j])
+            if (la[i] == least).all() and (lb[j] == least).all():
+                break
+            np.minimum.at(la, i, least)
+            np.minimum.at(lb, j, least)
+        a = np.concatenate([low[ids != low] for ids, low in ((ids_x, la), (ids_y, lb))])
+        b = np.concatenate([ids[ids != low] for ids, low in ((ids_x, la), (ids_y, lb))])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _within_families(families: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among classes near one hub (hub, cid, hit, n, m, less, apart), other than pairs that both link with the hub."""
+
+    def blocks(which):
+        rows, octets = F.count_if(which), F.coalesce(F.sum(F.when(which, F.octet_length("apart"))), F.lit(0))
+        return F.greatest(F.ceil(rows / FAMILY_ROWS), F.ceil(octets / FAMILY_BYTES)).cast("int")
+
+    size = families.groupBy("hub").agg(F.count("*").alias("c"), blocks(~F.col("hit")).alias("bu"), blocks(F.col("hit")).alias("bh")).where("c > 1 AND bu > 0")
+    dealt = families.join(size, "hub").withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("hit"), F.greatest("bh", F.lit(1))).otherwise(F.col("bu"))).cast("int"))
+
+    def seat(kind, left, right, side):
+        return F.struct(F.lit(kind).alias("kind"), left.alias("left"), right.alias("right"), side.cast("int").alias("side"))
+
+    block, free = F.col("block"), F.sequence(F.lit(0), F.col("bu") - 1)
+    with_free = F.transform(free, lambda o: seat(0, F.least(o, block), F.greatest(o, block), block > o))
+    with_linked = F.when(F.col("bh") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("bh") - 1, F.lit(0))), lambda o: seat(1, block, o, F.lit(0)))).otherwise(F.array().cast("array<struct<kind:int,left:int,right:int,side:int>>"))
+    seats = F.when(F.col("hit"), F.transform(free, lambda o: seat(1, o, block, F.lit(1)))).otherwise(F.concat(with_free, with_linked))
+    spread = dealt.withColumn("seat", F.explode(seats)).select("hub", "seat.kind", "seat.left", "seat.right", "seat.side", "cid", "n", "m", "less", "apart")
+    return spread.groupBy("hub", "kind", "left", "right").applyInArrow(_family_links(num, den), "a long, b long")
+
+
 _PAIRS = ("a", "b", "na", "nb", "ea", "eb", "pa", "pb")
 
 
 def _crossed(num: int, den: int, near: int = 6, block: int = 1024):
-    """Pairs of classes of different groups that one column holds and whose sizes and places allow the threshold.
+    """Pairs of classes of different groups and families that one column holds and whose sizes and places allow the threshold.
 
-    Rows (token, left, right, side, cid, n, most, pos, group) come sorted by the first three and n.
+    Rows (token, left, right, side, cid, n, most, pos, group, family) come sorted by the first three and n.
     """
 
     def fits(r, i, j):
         n, most, pos = r["n"], r["most"], r["pos"]
         rest = np.minimum(most[i] - pos[i], most[j] - pos[j]) + np.minimum(pos[i], pos[j])
-        apart = (r["group"][i] != r["group"][j]) & ((r["left"][i] == r["right"][i]) | (r["side"][i] != r["side"][j]))
+        apart = (r["group"][i] != r["group"][j]) & (r["family"][i] != r["family"][j]) & ((r["left"][i] == r["right"][i]) | (r["side"][i] != r["side"][j]))
         return apart & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num) & ((num + den) * rest >= num * (n[i] + n[j]))
 
     def pairs(r, i, j):
@@ -338,8 +424,8 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     classes = staged(some.groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL")
 
-    def linked(possible: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold; each wanted set travels once to every hub it is compared with."""
+    def checked(possible: DataFrame, family: int | None = None) -> DataFrame:
+        """What `_verified` says of the pairs; each wanted set travels once to every hub it is compared with."""
         pairs = staged(possible, "pairs")
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("parts"))
         to = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
@@ -349,31 +435,38 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
         bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))
         found = texts.mapInArrow(_sets(k, bits), "cid long, set binary")
         dealt = found.join(wanted, found["cid"] == wanted["id"]).select("hub", "part", "own", "id", "set").repartition(tasks(spark), "hub", "part")
-        links = staged(dealt.sortWithinPartitions("hub", "part", F.desc("own")).mapInArrow(_verified(num, den), "a long, b long"), "links")
+        links = staged(dealt.sortWithinPartitions("hub", "part", F.desc("own")).mapInArrow(_verified(num, den, family), _CHECKED), "checked")
         discard(pairs, wanted)
         return links
 
-    first = shared.groupBy("token", "band").agg(F.min(F.struct("cid", "n", "most", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "band", "p")
+    # the least class of a column among those of like size and of a size class next to that
+    first = shared.groupBy("token", "band").agg(F.min(F.struct("cid", "n", "most", "pos")).alias("p"))
+    first = first.select("token", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "p").groupBy("token", "band").agg(F.min("p").alias("p"))
     near = shared.join(first, ["token", "band"]).where("cid <> p.cid").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.most").alias("ea"), F.col("most").alias("eb"), F.col("p.pos").alias("pa"), F.col("pos").alias("pb"))
-    links = linked(_possible(near, num, den))
+    around = checked(_possible(near, min(FAMILY, num * 100 // den), 100), FAMILY)
+    families = around.where("apart IS NOT NULL").groupBy(F.col("b").alias("cid")).agg(F.min_by(F.struct(F.col("a").alias("hub"), "hit", "n", "m", "less", "apart"), "a").alias("f")).select("cid", "f.*")
+    families = staged(families, "families")
+    links = around.where("hit").select("a", "b").union(_within_families(families, num, den))
     label = components(links, "near").withColumnRenamed("node", "cid")
 
-    known = staged(shared.join(label, "cid", "left").select("token", "cid", "n", "most", "pos", F.coalesce("component", "cid").alias("group")), "grouped")
-    discard(shared)
+    known = shared.join(label, "cid", "left").join(families.select("cid", "hub"), "cid", "left")
+    known = staged(known.select("token", "cid", "n", "most", "pos", F.coalesce("component", "cid").alias("group"), F.coalesce("hub", "cid").alias("family")), "grouped")
+    discard(shared, around, families)
     # a row for each COLUMN_ROWS rows of the table at most
     heavy = known.groupBy("token").count().where(F.col("count") > COLUMN_ROWS).select("token", F.ceil(F.col("count") / COLUMN_ROWS).alias("blocks"))
     cut = known.join(heavy, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("o", "block").cast("int").alias("left"), F.greatest("o", "block").cast("int").alias("right"), (F.col("block") > F.col("o")).cast("int").alias("side"), "cid", "n", "most", "pos", "group")
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("o", "block").cast("int").alias("left"), F.greatest("o", "block").cast("int").alias("right"), (F.col("block") > F.col("o")).cast("int").alias("side"), "cid", "n", "most", "pos", "group", "family")
     met = cut.repartition(tasks(spark), "token", "left", "right").sortWithinPartitions("token", "left", "right", "n")
     wide = met.mapInArrow(_crossed(num, den), ", ".join(f"{c} long" for c in _PAIRS))
-    more = linked(_possible(wide, num, den))
+    more = checked(_possible(wide, num, den))
     discard(known)
 
     # a document of several rows holds the classes of all of them together
     several = some.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z").select("doc_id", "a")
     held_by = some.join(several, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    final = staged(components(links.union(more).union(held_by), "linked").withColumnRenamed("node", "cid"), "components")
-    discard(links, more)
+    joined = label.where("cid <> component").select(F.col("component").alias("a"), F.col("cid").alias("b"))
+    final = staged(components(joined.union(more.select("a", "b")).union(held_by), "linked").withColumnRenamed("node", "cid"), "components")
+    discard(more)
     lowest = final.join(classes, "cid").groupBy("component").agg(F.min("rep").alias("low"))
     of_class = final.join(lowest, "component").select("cid", "low")
     named = classes.join(of_class, "cid", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
