@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.literal import LiteralScorer
 from ..functions.sql import normalized, query
 from ..functions.staging import in_blocks
 
@@ -28,23 +30,79 @@ def request_terms(requests: DataFrame) -> DataFrame:
     )
 
 
+def _scorer(requests: DataFrame) -> tuple[np.ndarray, LiteralScorer]:
+    rows = request_terms(requests).orderBy("query_id").collect()  # a block of requests
+    return np.array([r.query_id for r in rows], dtype=np.int64), LiteralScorer([(r.q, r.grams, r.terms) for r in rows])
+
+
 def literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """(query_id, key, literal_score) for every text and request that score above 0.
 
-    5 for the whole query, the share of its pairs, and a fifth of the share of its terms.
+    5 for the whole query, the share of its pairs, and a fifth of the share of its terms. Texts
+    stay where they are; each task works out a block of texts for a block of requests at a time.
     """
     return in_blocks(requests, lambda block: _literal_score(texts, block, key))
 
 
 def _literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    return query(
-        f"""SELECT query_id, {key}, CASE WHEN whole THEN 5.0D ELSE 0.0D END + pairs / size(grams) + size(filter(terms, x -> contains(t, x))) / greatest(1, size(terms)) * 0.2D AS literal_score
-            FROM (SELECT /*+ BROADCAST(r) */ r.query_id, r.grams, r.terms, d.{key}, d.t, contains(d.t, r.q) AS whole, size(filter(r.grams, g -> contains(d.t, g))) AS pairs
-                  FROM (SELECT {key}, {normalized('text')} AS t FROM {{d}}) d JOIN {{r}} r ON d.t <> '' AND exists(r.grams, g -> contains(d.t, g)))
-            WHERE whole OR pairs >= if(size(grams) >= 6, 2, 1)""",
-        d=texts,
-        r=request_terms(requests),
-    )
+    ids, scorer = _scorer(requests)
+
+    def run(batches):
+        for batch in batches:
+            for i, score in scorer.scores([t or "" for t in batch.column(1).to_pylist()]):
+                a, b = np.nonzero(score)
+                yield pa.record_batch([pa.array(ids[b]), batch.column(0).take(pa.array(a + i)), pa.array(score[a, b])], names=["query_id", key, "literal_score"])
+
+    return texts.selectExpr(key, f"{normalized('text').format()} AS t").mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
+
+
+#: Share of the score of its document's description that a text gets.
+DESCRIBED = 0.3
+
+
+def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP) -> DataFrame:
+    """(query_id, key, literal_score, rank): the k best texts of each request, with the share of their descriptions' scores.
+
+    `texts`: key, text, described, and, where only some may be seen, owner_id and is_public; then
+    `requests` has user_id, and texts that a request's user may not see are never scored for it.
+    Each block of texts keeps its k best for every request, so a request's final order is over a
+    few rows per block. Scores count to six decimals; ties go by key.
+    """
+    scoped = "owner_id" in texts.columns
+    found = in_blocks(requests, lambda block: _literal_best(texts, block, key, k, scoped))
+    return literal_topk(found, key, k)
+
+
+def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scoped: bool) -> DataFrame:
+    ids, scorer = _scorer(requests)
+    users = {r.query_id: r.user_id for r in requests.select("query_id", "user_id").collect()} if scoped else {}
+    user = np.array([users[i] for i in ids.tolist()]) if scoped else None
+
+    def run(batches):
+        for batch in batches:
+            own, described = ([t or "" for t in batch.column(c).to_pylist()] for c in (1, 2))
+            keys = batch.column(0).to_pylist()
+            distinct = list(dict.fromkeys(described))
+            extra = np.concatenate([s for _, s in scorer.scores(distinct)]) if distinct else np.zeros((0, len(ids)))
+            at = {t: i for i, t in enumerate(distinct)}
+            for i, score in scorer.scores(own):
+                n = len(score)
+                score = np.round(score + DESCRIBED * extra[[at[t] for t in described[i : i + n]]], 6)
+                if scoped:
+                    owner, public = (batch.column(c).slice(i, n).to_numpy(zero_copy_only=False) for c in (3, 4))
+                    score[~(public.astype(bool)[:, None] | (owner[:, None] == user[None, :]))] = 0.0
+                place = np.empty(n, dtype=np.int64)
+                place[sorted(range(n), key=keys[i : i + n].__getitem__)] = np.arange(n)
+                a, b = np.nonzero(score)
+                order = np.lexsort((place[a], -score[a, b], b))
+                a, b = a[order], b[order]
+                first = np.searchsorted(b, np.arange(len(ids)))
+                best = np.arange(len(b)) - first[b] < k
+                a, b = a[best], b[best]
+                yield pa.record_batch([pa.array(ids[b]), batch.column(0).take(pa.array(a + i)), pa.array(score[a, b])], names=["query_id", key, "literal_score"])
+
+    columns = [key, f"{normalized('text').format()} AS t", f"{normalized('described').format()} AS d", *(["owner_id", "coalesce(is_public, false) AS is_public"] if scoped else [])]
+    return texts.selectExpr(*columns).mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
 
 
 def metadata_boost(scores: DataFrame, chunks: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
@@ -123,19 +181,25 @@ def dedupe_sentence_hits(hits: DataFrame) -> DataFrame:
 def semantic_topk(vectors: DataFrame, wanted: DataFrame, threshold: float = 0.45, k: int | None = TOP) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine above the threshold; ties go to the greater chunk id.
 
-    Each task multiplies its vectors with all query vectors of a block. Vectors of another
-    dimension, or not finite, or zero are left out.
+    Each task multiplies its vectors with all query vectors of a block, and of each batch only the
+    k best go on (and those that tie with the last). Vectors of another dimension, or not finite,
+    or zero are left out. With owner_id and is_public in `vectors` and user_id in `wanted`, vectors
+    that a request's user may not see are left out for it.
     """
-    found = in_blocks(wanted.select("query_id", "vector"), lambda block: _semantic_scores(vectors, block, threshold))
+    scoped = "owner_id" in vectors.columns
+    asked = wanted.select("query_id", "vector", *(["user_id"] if scoped else []))
+    found = in_blocks(asked, lambda block: _semantic_scores(vectors, block, threshold, k, scoped))
     ranked = query("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM {f}", f=found)
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float, k: int | None, scoped: bool) -> DataFrame:
     rows = wanted.collect()
     ids = np.array([r.query_id for r in rows], dtype=np.int64)
     q = np.array([r.vector for r in rows], dtype=np.float64)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
+    norms = np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
+    q = q / np.where(norms > 0, norms, 1.0) if len(rows) else q
+    user = np.array([r.user_id for r in rows]) if scoped else None
 
     def run(batches):
         for pdf in batches:
@@ -147,11 +211,18 @@ def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float) ->
             norm = np.linalg.norm(x, axis=1)
             good = np.isfinite(norm) & (norm > 0)
             s = q @ (x[good] / norm[good, None]).T
+            if scoped:
+                own, public = pdf["owner_id"].to_numpy()[good], pdf["is_public"].to_numpy().astype(bool)[good]
+                s[~(public[None, :] | (own[None, :] == user[:, None]))] = -1.0
             chunk = pdf["chunk_id"].to_numpy()[good]
-            a, b = np.nonzero(s > threshold)
+            hit = s > threshold
+            if k is not None and s.shape[1] > k:
+                hit &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-9
+            a, b = np.nonzero(hit)
             yield pd.DataFrame({"query_id": ids[a], "chunk_id": chunk[b], "score": s[a, b]})
 
-    return vectors.select("chunk_id", "vector").mapInPandas(run, f"query_id long, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double")
+    columns = ["chunk_id", "vector", *(["owner_id", "is_public"] if scoped else [])]
+    return vectors.select(*columns).mapInPandas(run, f"query_id long, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double")
 
 
 def rrf_fuse(literal: DataFrame, semantic: DataFrame) -> DataFrame:

@@ -117,11 +117,16 @@ def reference_scope_report(selected: DataFrame, documents: DataFrame, pages: Dat
 
 
 def previous_page_tail(pages: DataFrame, characters: int = 300) -> DataFrame:
-    """For each page, the end of the nearest earlier page of its document that has any text; nothing if that text is blank."""
+    """For each page, the end of the nearest earlier page of its document that has any processed text.
+
+    A page's text is its punctuated text, else its draft, else its normalised text, stripped; blank
+    text gives nothing. `pages`: page_id, document_id, page_number, punctuated_text, draft_text, normalized_text.
+    """
+    ends = r"(?U)^\s+|\s+$"
     return query(
-        f"""SELECT page_id, CASE WHEN before IS NULL OR {blank('before')} THEN '' WHEN length(before) > {characters} THEN concat('…… ', right(before, {characters})) ELSE before END AS tail
-            FROM (SELECT page_id, last(nullif(text, ''), true) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-                  FROM (SELECT page_id, document_id, page_number, coalesce(nullif(punctuated_text, ''), ocr_text) AS text FROM {{p}}))""",
+        rf"""SELECT page_id, CASE WHEN length(before) > {characters} THEN concat('…… ', regexp_replace(right(before, {characters}), r'(?U)^\s+', '')) ELSE coalesce(before, '') END AS tail FROM (
+              SELECT page_id, regexp_replace(last(text, true) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r'{ends}', '') AS before
+              FROM (SELECT *, coalesce(nullif(punctuated_text, ''), nullif(draft_text, ''), nullif(normalized_text, '')) AS text FROM {{p}}))""",
         p=pages,
     )
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sql import normalized
+from ..functions.staging import staged
 from ..operators import index, retrieve, scope, text
 from ..sources import corpus as C
 from .registry import job
+from .text_jobs import hashed_embedder
 
 #: Ranked hits with the shape that the ranking jobs take, from order lines.
 HITS = """SELECT l_suppkey % 50 AS query_id, concat('p', l_partkey % 200) AS page_id, concat(l_orderkey, '-', l_linenumber) AS chunk_id, CAST(l_extendedprice AS DOUBLE) AS score,
@@ -88,10 +91,12 @@ def reference_scope_report(spark, sf):
     return scope.reference_scope_report(chosen, C.corpus_documents(spark, sf), C.corpus_pages(spark, sf))
 
 
-@job("""WITH t AS (SELECT page_id, document_id, page_number, coalesce(nullif(punctuated_text,''), ocr_text) AS text FROM cp), b AS (SELECT page_id, last_value(nullif(text,'') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)
-SELECT page_id, CASE WHEN before IS NULL OR trim(before, E' \\n\\t\\r')='' THEN '' WHEN length(before) > 300 THEN '…… '||right(before,300) ELSE before END AS tail FROM b""", "cp")
+@job(r"""WITH t AS (SELECT page_id, document_id, page_number, CASE WHEN punctuated_text <> '' THEN punctuated_text WHEN page_number%8=0 THEN ' draft '||ocr_text WHEN page_number%3=0 AND ocr_text <> '' THEN ocr_text END AS text FROM cp),
+b AS (SELECT page_id, regexp_replace(last_value(text IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '^\s+|\s+$', '', 'g') AS before FROM t)
+SELECT page_id, CASE WHEN length(before) > 300 THEN '…… '||regexp_replace(right(before,300), '^\s+', '') ELSE coalesce(before, '') END AS tail FROM b""", "cp")
 def previous_page_tail(spark, sf):
-    return scope.previous_page_tail(C.corpus_pages(spark, sf))
+    p = C.corpus_pages(spark, sf)
+    return scope.previous_page_tail(p.selectExpr("page_id", "document_id", "page_number", "punctuated_text", "if(page_number % 8 = 0, concat(' draft ', ocr_text), '') AS draft_text", "if(page_number % 3 = 0, ocr_text, NULL) AS normalized_text"))
 
 
 @job("SELECT document_id, CASE WHEN sort_order%5=0 THEN 'found '||title ELSE title END AS title, author, CASE WHEN sort_order%7=0 THEN '1900' ELSE year END AS year, publisher FROM cd", "cd")
@@ -144,7 +149,18 @@ def metadata_boost(spark, sf):
 
 @job(f"WITH {DUCK_BOOST}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY literal_score DESC, page_id) AS rank FROM mb WHERE literal_score > 0) SELECT query_id, page_id, literal_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 60", "rq prim cd cp")
 def literal_topk(spark, sf):
-    return retrieve.literal_topk(_boosted(spark, sf), "page_id")
+    return retrieve.literal_best(_described(spark, sf), C.requests(spark, sf), "page_id")
+
+
+def _described(spark, sf):
+    """Every page with its best text, or none, and the description of its document."""
+    return spark.sql(
+        """SELECT p.page_id, t.text, concat_ws('\\n', d.title, d.author, d.year, d.publisher) AS described
+           FROM {p} p LEFT JOIN {t} t ON p.page_id = t.page_id LEFT JOIN {d} d ON p.document_id = d.document_id""",
+        p=C.corpus_pages(spark, sf),
+        t=text.select_primary_text(C.corpus_pages(spark, sf)),
+        d=C.corpus_documents(spark, sf),
+    )
 
 
 @job()
@@ -283,12 +299,28 @@ def retrieval_summary_all(spark, sf):
 
 @job()
 def hybrid_search(spark, sf):
-    """The whole of a batch search: scope, best layer, scores with metadata, top 60, caps."""
+    """The whole of a batch search over chunks: permission first, then literal and vector lists, fused by rank, repeats dropped, pages capped."""
     d, p, u = _corpus(spark, sf)
     wanted = C.requests(spark, sf)
-    visible = scope.visible_scope(wanted.withColumn("document_ids", F.lit(None).cast("array<string>")), p, d, u).select("query_id", "page_id")
-    primary = text.select_primary_text(p)
-    allowed = retrieve.metadata_boost(retrieve.literal_score(primary, wanted, "page_id"), p, d, wanted).join(visible, ["query_id", "page_id"], "left_semi")
-    top = retrieve.literal_topk(allowed, "page_id")
-    ranked = top.join(primary.selectExpr("page_id", "document_id", "sha2(text, 256) AS text"), "page_id").selectExpr("query_id", "document_id AS page_id", "page_id AS chunk_id", "literal_score AS score", "text")
-    return retrieve.dedupe_cap_hits(ranked)
+    live = scope.live_pages(p, d, u).selectExpr("page_id", "owner_id", "visibility = 'public' AS is_public")
+    chunks = index.chunk_sources(text.select_primary_text(p).withColumn("source_hash", F.sha2("text", 256)))
+    seen = staged(
+        spark.sql(
+            """SELECT c.chunk_id, c.page_id, c.source_layer, c.chunk_text, l.owner_id, l.is_public, concat_ws('\\n', d.title, d.author, d.year, d.publisher) AS described
+               FROM {c} c JOIN {l} l ON c.page_id = l.page_id JOIN {d} d ON c.document_id = d.document_id""",
+            c=chunks,
+            l=live,
+            d=d,
+        ),
+        "search-chunks",
+    )
+    literal = retrieve.literal_best(seen.withColumnRenamed("chunk_text", "text"), wanted, "chunk_id")
+    none = spark.createDataFrame([], "text_hash string, model_fingerprint string, vector array<float>")
+    embedded = index.embed_chunks(seen, none, hashed_embedder, "pairs", 16).join(seen.select("chunk_id", "owner_id", "is_public"), "chunk_id")
+    asked = wanted.withColumn("chunk_id", F.col("query_id").cast("string")).withColumn("chunk_text", F.col("query"))
+    vectors = index.embed_chunks(asked, none, hashed_embedder, "pairs", 16).selectExpr("cast(chunk_id AS bigint) AS query_id", "vector").join(wanted.select("query_id", "user_id"), "query_id")
+    fused = retrieve.rrf_fuse(literal, retrieve.semantic_topk(embedded, vectors))
+    same = f"concat(if(source_layer LIKE 'visual_caption:%', source_layer, ''), '|', {normalized('chunk_text').format()})"
+    hits = fused.drop("position").join(seen.selectExpr("chunk_id", "page_id", f"{same} AS same"), "chunk_id")
+    kept = retrieve.dedupe_cap_hits(hits, duplicate="same")
+    return kept.join(fused.select("query_id", "chunk_id", "matched_by"), ["query_id", "chunk_id"])
