@@ -6,9 +6,10 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
-from html.parser import HTMLParser
+from itertools import accumulate
 
 # Fixed values
 SKIPPED_TAGS = {"script", "style", "noscript"}
@@ -25,35 +26,26 @@ _CHUNK_ENDS = re.compile(r"\n\s*\n|[。！？!?；;](?:[”’」』])?")
 _BLANK_LINE = re.compile(r"\n[ \t]*\n")
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in SKIPPED_TAGS
-        if tag in OPENING_BREAKS and not self.hidden:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED_TAGS:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in CLOSING_BREAKS and not self.hidden:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+# Fixed pattern: comments, declarations, elements whose content is no markup, and tags with quoted attributes
+_MARKUP = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>""")
 
 
 def visible_text(value: str | None) -> str | None:
+    """Text outside of SKIPPED_TAGS, entities read; tags that break lines do so inside of those too."""
     if value is None:
         return None
-    reader = _Visible()
-    reader.feed(value)
-    reader.close()
-    return "".join(reader.parts)
+    out, hidden, at = [], 0, 0
+    for m in _MARKUP.finditer(value):
+        if not hidden:
+            out.append(html.unescape(value[at : m.start()]))
+        at, closing, tag = m.end(), m[2] == "/", (m[3] or "").lower()
+        if tag in SKIPPED_TAGS:
+            hidden = max(0, hidden + (-1 if closing else 1))
+        elif tag in (CLOSING_BREAKS if closing else OPENING_BREAKS):
+            out.append("\n")
+    if not hidden:
+        out.append(html.unescape(value[at:]))
+    return "".join(out)
 
 
 def unescape(value: str | None) -> str | None:
@@ -269,38 +261,56 @@ def runs_of(content: str, size: int = 8) -> set[str]:
 
 
 def coverage(paragraph: str, other: str, other_runs: set[str], size: int = 8) -> float:
-    """Share of a paragraph's runs of `size` content characters that the other content holds."""
+    """Share of a paragraph's runs of `size` content characters, each as often as it occurs, that the other content holds."""
     own = content_of(paragraph)
-    if not own:
-        return 1.0
     if len(own) < 2 * size:
         return float(own in other)
-    runs = [own[i : i + size] for i in range(len(own) - size + 1)]
-    return sum(r in other_runs for r in runs) / len(runs)
+    often = Counter(own[i : i + size] for i in range(len(own) - size + 1))
+    return sum(often[r] for r in often.keys() & other_runs) / often.total()
+
+
+#: Content characters that a paragraph is looked for by, least that can be, and least that is put back.
+PROBE, LEAST_PROBE, LEAST_LOST = 12, 8, 12
 
 
 def repair_paragraphs(source: str | None, output: str | None) -> str | None:
-    """The output with the source paragraphs that it lacks put back near their neighbours."""
+    """The output with the source paragraphs that it lacks put back: before the next one found there, else after the last one found, else at the end."""
     if output is None:
         return None
     have, out = paragraphs(source or ""), paragraphs(output)
-    body = content_of(output)
-    body_runs = runs_of(body)
     if not have or not out:
         return output
-
-    def place(paragraph: str) -> int | None:
-        own = content_of(paragraph)
-        if len(own) < 8:
-            return None
-        return next((i for i, p in enumerate(out) if own[:12] in content_of(p) or own[-12:] in content_of(p)), None)
-
-    lost = [i for i, p in enumerate(have) if len(content_of(p)) >= 12 and coverage(p, body, body_runs) < 0.5]
-    for i in lost:
-        after = [at for at in map(place, have[i + 1 :]) if at is not None]
-        before = [at for at in map(place, reversed(have[:i])) if at is not None]
-        out.insert(after[0] if after else before[0] + 1 if before else len(out), have[i])
-    return "\n\n".join(out)
+    inside = [content_of(p) for p in out]
+    joined, ends = "\n".join(inside), list(accumulate(len(c) + 1 for c in inside))
+
+    def number(probe: str) -> int:
+        at = joined.find(probe)
+        return bisect_right(ends, at) if at >= 0 else len(out)
+
+    contents = [content_of(p) for p in have]
+    found = [min(number(c[:PROBE]), number(c[-PROBE:])) if len(c) >= LEAST_PROBE else len(out) for c in contents]
+    whole = content_of(output)
+    runs = runs_of(whole)
+    lost = {i for i, c in enumerate(contents) if len(c) >= LEAST_LOST and coverage(have[i], whole, runs) < 0.5}
+    # going backwards, the seat before the next paragraph found; going forwards, the seat after the last
+    seats, seat = {}, None
+    for i in reversed(range(len(have))):
+        if i in lost:
+            seats[i] = seat
+        if found[i] < len(out):
+            seat = found[i]
+    seat = len(out)
+    for i in range(len(have)):
+        if i in lost:
+            seats[i] = seat = seat if seats[i] is None else seats[i]
+        elif found[i] < len(out):
+            seat = found[i] + 1
+    put = sorted(lost, key=lambda i: (seats[i], i))
+    pieces, at = [], 0
+    for i in put:
+        pieces += out[at : seats[i]] + [have[i]]
+        at = seats[i]
+    return "\n\n".join(pieces + out[at:])
 
 
 def convert_words(text: str | None, phrases: dict[str, str], characters: dict[str, str], longest: int) -> str:

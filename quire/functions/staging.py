@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 MOST_REQUESTS = 10_000
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir`; a temporary folder where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path under `spark.checkpoint.dir`; under a temporary folder where that is unset and the master local, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -1,4 +1,4 @@
-"""From evidence to checked answers: history, budgets, citations, chronologies, shares."""
+"""From evidence to checked answers: past turns, budgets, citations, chronologies, shares."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.sql import blank, query
 
 
-def compact_history(turns: DataFrame, keep: int = 6) -> DataFrame:
+def compact_turns(turns: DataFrame, keep: int = 6) -> DataFrame:
     """The last turns of each conversation: prompt up to 200 characters, and the answer, else eight summaries, else three quotes, up to 600.
 
     `turns`: conv_id, turn, prompt, answer, entries array<string>, quotes array<string>.
@@ -20,17 +20,17 @@ def compact_history(turns: DataFrame, keep: int = 6) -> DataFrame:
 
 
 def fit_budget(items: DataFrame, fixed: DataFrame, context: int = 16384, output: int = 1024, margin: int = 256) -> DataFrame:
-    """Evidence (request_id, rank, item) and history sizes against a budget of bytes.
+    """Evidence (request_id, rank, item) and sizes of past turns against a budget of bytes.
 
-    The oldest history goes first; then the longest prefix of the evidence that fits, shorter than
-    all. Sizes add up, an item's JSON and a comma each. `fixed`: request_id, fixed_bytes, history
+    The oldest turns go first; then the longest prefix of the evidence that fits, shorter than
+    all. Sizes add up, an item's JSON and a comma each. `fixed`: request_id, fixed_bytes, past_sizes
     array<int> (bytes, oldest first).
     """
     budget = context - output - margin
     return query(
-        f"""SELECT request_id, history_kept, items, CASE WHEN fixed_bytes > {budget} THEN 'too long' WHEN items = 0 AND n > 0 THEN 'no item fits' WHEN items < n THEN 'cut' ELSE 'fits' END AS outcome FROM (
+        f"""SELECT request_id, turns_kept, items, CASE WHEN fixed_bytes > {budget} THEN 'too long' WHEN items = 0 AND n > 0 THEN 'no item fits' WHEN items < n THEN 'cut' ELSE 'fits' END AS outcome FROM (
               SELECT f.request_id, max(f.fixed_bytes) AS fixed_bytes, count(i.rank) AS n,
-                     max(CASE WHEN f.fixed_bytes + coalesce(i.total, 0) > {budget} THEN 0 ELSE size(filter(sequence(1, size(history)), k -> aggregate(slice(history, -k, k), 0, (a, x) -> a + x) + f.fixed_bytes + coalesce(i.total, 0) <= {budget})) END) AS history_kept,
+                     max(CASE WHEN f.fixed_bytes + coalesce(i.total, 0) > {budget} THEN 0 ELSE size(filter(sequence(1, size(past_sizes)), k -> aggregate(slice(past_sizes, -k, k), 0, (a, x) -> a + x) + f.fixed_bytes + coalesce(i.total, 0) <= {budget})) END) AS turns_kept,
                      count_if(f.fixed_bytes <= {budget} AND i.upto + f.fixed_bytes <= {budget}) AS items
               FROM {{f}} f LEFT JOIN (SELECT request_id, rank, sum(octet_length(item) + 1) OVER (PARTITION BY request_id ORDER BY rank) AS upto, sum(octet_length(item) + 1) OVER (PARTITION BY request_id) AS total FROM {{i}}) i ON f.request_id = i.request_id
               GROUP BY f.request_id)""",
@@ -55,14 +55,22 @@ def validate_citations(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def number_claims(claims: DataFrame, cited: DataFrame, fallback: str = "没有可引用的材料。") -> DataFrame:
-    """Answers (answer_id) from claims (answer_id, position, claim) and their valid sources (answer_id, position, source_id), numbered by first use."""
+#: Fixed value: the answer when no claim has a valid source.
+NO_CLAIM = "当前材料不足以确认。"
+
+
+def number_claims(claims: DataFrame, cited: DataFrame, fallback: str = NO_CLAIM) -> DataFrame:
+    """Answers (answer_id) from claims (answer_id, position, claim) and their valid sources (answer_id, position, ordinal, source_id).
+
+    Sources are numbered by first use in the answer. A claim is stripped, and after a blank come
+    the marks of its citations in their order, repeated ones too; claims without a valid source go.
+    """
     return query(
-        f"""SELECT a.answer_id, coalesce(t.text, '{fallback}') AS text FROM (SELECT DISTINCT answer_id FROM {{c}}) a LEFT JOIN (
+        rf"""SELECT a.answer_id, coalesce(t.text, '{fallback}') AS text FROM (SELECT DISTINCT answer_id FROM {{c}}) a LEFT JOIN (
               SELECT answer_id, array_join(transform(sort_array(collect_list(struct(position, line))), x -> x.line), '\n\n') AS text FROM (
-                SELECT c.answer_id, c.position, concat(max(c.claim), array_join(transform(sort_array(collect_set(n.number)), x -> concat('[', x, ']')), '')) AS line
+                SELECT c.answer_id, c.position, concat(regexp_replace(max(c.claim), r'(?U)^\s+|\s+$', ''), ' ', array_join(transform(sort_array(collect_list(struct(s.ordinal, n.number))), x -> concat('[', x.number, ']')), '')) AS line
                 FROM {{c}} c JOIN {{s}} s ON c.answer_id = s.answer_id AND c.position = s.position
-                JOIN (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(position), source_id) AS number FROM {{s}} GROUP BY answer_id, source_id) n ON s.answer_id = n.answer_id AND s.source_id = n.source_id
+                JOIN (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(struct(position, ordinal)), source_id) AS number FROM {{s}} GROUP BY answer_id, source_id) n ON s.answer_id = n.answer_id AND s.source_id = n.source_id
                 GROUP BY c.answer_id, c.position) GROUP BY answer_id) t ON a.answer_id = t.answer_id""",
         c=claims,
         s=cited,

@@ -90,15 +90,25 @@ def retire_visual_files(files: DataFrame, visuals: DataFrame) -> DataFrame:
 
 
 def user_snapshot(documents: DataFrame, pages: DataFrame, users: DataFrame, user_id: int) -> DataFrame:
-    """What a user sees: live own and public documents with owner name, edit right and pages, in order; foreign owner ids are hidden."""
-    return query(
-        f"""SELECT d.document_id, u.name AS owner_name, d.owner_id = {user_id} AS can_edit, if(d.owner_id = {user_id}, d.owner_id, NULL) AS owner_id, coalesce(p.pages, array()) AS pages, row_number() OVER (ORDER BY d.sort_order, d.document_id) AS position
-            FROM {{d}} d JOIN {{u}} u ON d.owner_id = u.user_id AND NOT u.is_deleted LEFT JOIN (SELECT document_id, sort_array(collect_list(struct(page_number, page_id))) AS pages FROM {{p}} GROUP BY document_id) p ON d.document_id = p.document_id
-            WHERE NOT d.is_deleted AND (d.owner_id = {user_id} OR d.visibility = 'public')""",
+    """What a user sees: live own and public documents with owner name, edit right and pages, in order; foreign owner ids are hidden.
+
+    Documents are numbered by ranges of (sort_order, document_id), each range after those before it.
+    """
+    seen = query(
+        f"""SELECT d.document_id, u.name AS owner_name, d.owner_id = {user_id} AS can_edit, if(d.owner_id = {user_id}, d.owner_id, NULL) AS owner_id, d.sort_order
+            FROM {{d}} d JOIN {{u}} u ON d.owner_id = u.user_id AND NOT u.is_deleted WHERE NOT d.is_deleted AND (d.owner_id = {user_id} OR d.visibility = 'public')""",
         d=documents,
-        p=pages,
         u=users,
     )
+    ranges = staged(seen.repartitionByRange("sort_order", "document_id").withColumn("range", F.spark_partition_id()), "snapshot-ranges")
+    # offsets: a row for each range
+    return query(
+        """SELECT r.document_id, r.owner_name, r.can_edit, r.owner_id, coalesce(p.pages, array()) AS pages, o.before + row_number() OVER (PARTITION BY r.range ORDER BY r.sort_order, r.document_id) AS position
+           FROM {r} r JOIN (SELECT range, sum(n) OVER (ORDER BY range) - n AS before FROM (SELECT range, count(*) AS n FROM {r} GROUP BY range)) o ON r.range = o.range
+           LEFT JOIN (SELECT document_id, sort_array(collect_list(struct(page_number, page_id))) AS pages FROM {p} GROUP BY document_id) p ON r.document_id = p.document_id""",
+        r=ranges,
+        p=pages,
+    )
 
 
 def clone_documents(documents: DataFrame, pages: DataFrame, user_id: int) -> DataFrame:
@@ -119,30 +129,41 @@ def latest_by_key(rows: DataFrame, keys: list[str], at: str, tie: str, keep: str
     return query(f"SELECT last.* FROM (SELECT max_by(struct(*), struct({at}, {tie})) AS last FROM {{r}} GROUP BY {key}) WHERE {keep}", r=rows)
 
 
+def _jumped(reach: DataFrame, rounds: int) -> DataFrame:
+    """`up` (and `least`, if there is one: the least met on the way) after 2 ** rounds steps."""
+    least = ", least(a.least, coalesce(b.least, a.least)) AS least" if "least" in reach.columns else ""
+    for _ in range(rounds):
+        reach = staged(query(f"SELECT a.owner_id, a.folder_id, b.up{least} FROM {{r}} a LEFT JOIN {{r}} b ON a.owner_id = b.owner_id AND a.up = b.folder_id", r=reach), "folder-reach")
+        if not least and reach.where("up IS NOT NULL").isEmpty():
+            break
+    return reach
+
+
 def folder_tree(folders: DataFrame, members: DataFrame, visible: DataFrame, most_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
     """Repaired folders (owner_id, folder_id, parent_id, name) and memberships (owner_id, folder_id, document_id, position).
 
-    Unknown and self parents become the root; a cycle is broken by re-rooting its least folder.
-    Each folder's chain doubles its reach per round, so rounds grow with the log of the depth.
+    Unknown and self parents become the root. A cycle is broken at the member where the way up from
+    the least folder that leads into it arrives; folders that only lead into a cycle keep their
+    parent. Of a repeated folder the row of least parent and name counts. Each way up doubles its
+    reach per round, so rounds grow with the log of the depth.
     """
+    once = query("SELECT * EXCEPT (n) FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, folder_id ORDER BY parent_id NULLS FIRST, name) AS n FROM {f}) WHERE n = 1", f=folders)
     base = query(
         """SELECT f.owner_id, f.folder_id, left(trim(f.name), 80) AS name, if(f.parent_id = f.folder_id OR p.folder_id IS NULL, NULL, f.parent_id) AS parent_id
-           FROM {f} f LEFT JOIN (SELECT DISTINCT owner_id, folder_id FROM {f}) p ON f.owner_id = p.owner_id AND f.parent_id = p.folder_id""",
-        f=folders,
+           FROM {f} f LEFT JOIN {f} p ON f.owner_id = p.owner_id AND f.parent_id = p.folder_id""",
+        f=once,
     )
     base = staged(base, "folders")
     rounds = min(most_rounds, max(1, base.count().bit_length()))
-    reach = base.select("owner_id", "folder_id", F.col("parent_id").alias("up"), F.coalesce("parent_id", "folder_id").alias("least"))
-    for _ in range(rounds):
-        reach = query(
-            """SELECT a.owner_id, a.folder_id, b.up, least(a.least, coalesce(b.least, a.least)) AS least FROM {r} a LEFT JOIN {r} b ON a.owner_id = b.owner_id AND a.up = b.folder_id""",
-            r=reach,
-        )
-        reach = staged(reach, "folder-reach")
-        if reach.where("up IS NOT NULL").isEmpty():
-            break
-    # who still has an ancestor after that many steps sits on a cycle or below one; its least folder is re-rooted
-    cut = query("SELECT DISTINCT owner_id, least AS folder_id FROM {r} WHERE up IS NOT NULL", r=reach)
+    reach = _jumped(base.select("owner_id", "folder_id", F.col("parent_id").alias("up")), rounds)
+    # after more steps than there are folders, whoever still has an ancestor has one on a cycle, and every member of a cycle is one
+    on = staged(query("SELECT DISTINCT owner_id, up AS folder_id FROM {r} WHERE up IS NOT NULL", r=reach), "folder-cycles")
+    below = query("SELECT b.owner_id, b.folder_id, b.parent_id, o.folder_id IS NOT NULL AS member FROM {b} b LEFT SEMI JOIN {r} r ON b.owner_id = r.owner_id AND b.folder_id = r.folder_id AND r.up IS NOT NULL LEFT JOIN {o} o ON b.owner_id = o.owner_id AND b.folder_id = o.folder_id", b=base, r=reach, o=on)
+    below = staged(below, "folder-below")
+    # the member where each folder's way meets its cycle, and the least member of each cycle
+    meets = _jumped(below.select("owner_id", "folder_id", F.when(F.col("member"), F.col("folder_id")).otherwise(F.col("parent_id")).alias("up")), rounds)
+    cycle = _jumped(below.where("member").select("owner_id", "folder_id", F.col("parent_id").alias("up"), F.least("folder_id", "parent_id").alias("least")), rounds)
+    cut = query("SELECT m.owner_id, min_by(m.up, m.folder_id) AS folder_id FROM {m} m JOIN {c} c ON m.owner_id = c.owner_id AND m.up = c.folder_id GROUP BY m.owner_id, c.least", m=meets, c=cycle)
     tree = query("SELECT b.owner_id, b.folder_id, b.name, if(c.folder_id IS NOT NULL, NULL, b.parent_id) AS parent_id FROM {b} b LEFT JOIN {c} c ON b.owner_id = c.owner_id AND b.folder_id = c.folder_id", b=base, c=cut)
     first = query(
         """SELECT m.owner_id, m.folder_id, m.document_id FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, document_id ORDER BY position) AS n FROM {m}) m LEFT SEMI JOIN {v} v ON m.document_id = v.document_id
@@ -169,10 +190,10 @@ def folder_rollup(tree: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def integrity_report(files: DataFrame, content: DataFrame) -> DataFrame:
-    """Live file records (file_id, path, sha256, size) against stored bytes (path, content): ok, missing, size or checksum. Bytes are hashed only where sizes agree."""
+    """Live file records (file_id, path, sha256, size) against stored bytes (path, content): ok, missing, size or checksum. Sizes and hashes are worked out where the bytes lie, so only those are joined."""
     return query(
-        """SELECT f.file_id, CASE WHEN c.path IS NULL THEN 'missing' WHEN octet_length(c.content) <> f.size THEN 'size' WHEN sha2(c.content, 256) <> f.sha256 THEN 'checksum' ELSE 'ok' END AS finding
-           FROM {f} f LEFT JOIN {c} c ON f.path = c.path WHERE NOT f.is_deleted""",
+        """SELECT f.file_id, CASE WHEN c.path IS NULL THEN 'missing' WHEN c.size <> f.size THEN 'size' WHEN c.sha256 <> f.sha256 THEN 'checksum' ELSE 'ok' END AS finding
+           FROM {f} f LEFT JOIN (SELECT path, octet_length(content) AS size, sha2(content, 256) AS sha256 FROM {c}) c ON f.path = c.path WHERE NOT f.is_deleted""",
         f=files,
         c=content,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.sql import query
 from ..operators import audit, evidence, outline, text
 from ..sources import corpus as C
@@ -17,18 +19,18 @@ def _turns(spark, sf):
 
 @job(r"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
 SELECT conv_id, turn, left(text, 200) AS prompt, left(CASE WHEN turn%3=0 AND trim(text, E' \n\t\r') <> '' THEN text WHEN turn%3=1 THEN array_to_string(list_slice(string_split(text,' '),1,8),'；') ELSE array_to_string(list_slice(string_split(text,chr(10)),1,3),'；') END, 600) AS said FROM t WHERE n <= 6""")
-def compact_history(spark, sf):
-    return evidence.compact_history(_turns(spark, sf))
+def compact_turns(spark, sf):
+    return evidence.compact_turns(_turns(spark, sf))
 
 
 @job("""WITH b AS (SELECT 15104 AS budget), i AS (SELECT o_custkey AS request_id, sum(strlen(repeat(o_orderpriority, 40)) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS upto, sum(strlen(repeat(o_orderpriority, 40)) + 1) OVER (PARTITION BY o_custkey) AS total, o_orderkey AS rank FROM orders),
 f AS (SELECT c_custkey AS request_id, c_custkey * 13 % 16000 AS fixed_bytes, [400, 300, 200, 100] AS h FROM customer),
-g AS (SELECT f.request_id, max(fixed_bytes) AS fixed_bytes, count(rank) AS n, max(CASE WHEN fixed_bytes + coalesce(total,0) > 15104 THEN 0 ELSE (100 + fixed_bytes + coalesce(total,0) <= 15104)::INT + (300 + fixed_bytes + coalesce(total,0) <= 15104)::INT + (600 + fixed_bytes + coalesce(total,0) <= 15104)::INT + (1000 + fixed_bytes + coalesce(total,0) <= 15104)::INT END) AS history_kept,
+g AS (SELECT f.request_id, max(fixed_bytes) AS fixed_bytes, count(rank) AS n, max(CASE WHEN fixed_bytes + coalesce(total,0) > 15104 THEN 0 ELSE (100 + fixed_bytes + coalesce(total,0) <= 15104)::INT + (300 + fixed_bytes + coalesce(total,0) <= 15104)::INT + (600 + fixed_bytes + coalesce(total,0) <= 15104)::INT + (1000 + fixed_bytes + coalesce(total,0) <= 15104)::INT END) AS turns_kept,
 count(*) FILTER (fixed_bytes <= 15104 AND upto + fixed_bytes <= 15104) AS items FROM f LEFT JOIN i ON f.request_id = i.request_id GROUP BY f.request_id)
-SELECT request_id, history_kept, items, CASE WHEN fixed_bytes > 15104 THEN 'too long' WHEN items = 0 AND n > 0 THEN 'no item fits' WHEN items < n THEN 'cut' ELSE 'fits' END AS outcome FROM g""")
+SELECT request_id, turns_kept, items, CASE WHEN fixed_bytes > 15104 THEN 'too long' WHEN items = 0 AND n > 0 THEN 'no item fits' WHEN items < n THEN 'cut' ELSE 'fits' END AS outcome FROM g""")
 def fit_budget(spark, sf):
     items = C.table(spark, sf, "orders").selectExpr("o_custkey AS request_id", "o_orderkey AS rank", "repeat(o_orderpriority, 40) AS item")
-    fixed = C.table(spark, sf, "customer").selectExpr("c_custkey AS request_id", "cast(c_custkey * 13 % 16000 AS int) AS fixed_bytes", "array(400, 300, 200, 100) AS history")
+    fixed = C.table(spark, sf, "customer").selectExpr("c_custkey AS request_id", "cast(c_custkey * 13 % 16000 AS int) AS fixed_bytes", "array(400, 300, 200, 100) AS past_sizes")
     return evidence.fit_budget(items, fixed)
 
 
@@ -47,12 +49,16 @@ def validate_citations(spark, sf):
     return evidence.validate_citations(*_cited(spark, sf))
 
 
-@job("""WITH c AS (SELECT l_orderkey AS answer_id, l_linenumber * 1000000 + l_partkey AS position, max(l_linestatus) OVER (PARTITION BY l_orderkey, l_linenumber * 1000000 + l_partkey) AS claim, l_suppkey % 5 AS source_id, l_quantity > 20 AS ok FROM lineitem),
-s AS (SELECT * FROM c WHERE ok), n AS (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(position), source_id) AS number FROM s GROUP BY 1, 2),
-t AS (SELECT s.answer_id, position, max(claim) || string_agg(DISTINCT '[' || number || ']', '' ORDER BY '[' || number || ']') AS line FROM s JOIN n USING (answer_id, source_id) GROUP BY 1, 2) SELECT answer_id, coalesce((SELECT string_agg(line, chr(10)||chr(10) ORDER BY position) FROM t WHERE t.answer_id = a.answer_id), '没有可引用的材料。') AS text FROM (SELECT DISTINCT answer_id FROM c) a""")
+@job("""WITH c AS (SELECT l_orderkey AS answer_id, l_linenumber % 3 AS position, l_linenumber * 1000000 + l_partkey AS ordinal, l_suppkey % 5 AS source_id, l_quantity > 20 AS ok FROM lineitem),
+k AS (SELECT l_orderkey AS answer_id, l_linenumber % 3 AS position, max(l_linestatus) AS claim FROM lineitem GROUP BY 1, 2),
+n AS (SELECT answer_id, source_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(position * 100000000 + ordinal), source_id) AS number FROM c WHERE ok GROUP BY 1, 2),
+t AS (SELECT c.answer_id, c.position, max(claim) || ' ' || string_agg('[' || number || ']', '' ORDER BY ordinal, number) AS line FROM c JOIN n USING (answer_id, source_id) JOIN k ON k.answer_id = c.answer_id AND k.position = c.position WHERE ok GROUP BY 1, 2),
+w AS (SELECT answer_id, string_agg(line, chr(10) || chr(10) ORDER BY position) AS text FROM t GROUP BY 1)
+SELECT a.answer_id, coalesce(text, '当前材料不足以确认。') AS text FROM (SELECT DISTINCT answer_id FROM c) a LEFT JOIN w USING (answer_id)""")
 def number_claims(spark, sf):
-    c = C.table(spark, sf, "lineitem").selectExpr("l_orderkey AS answer_id", "l_linenumber * 1000000L + l_partkey AS position", "l_linestatus AS claim", "l_suppkey % 5 AS source_id", "l_quantity > 20 AS ok")
-    return evidence.number_claims(c.select("answer_id", "position", "claim"), c.where("ok").select("answer_id", "position", "source_id"))
+    c = C.table(spark, sf, "lineitem").selectExpr("l_orderkey AS answer_id", "l_linenumber % 3 AS position", "l_linenumber * 1000000L + l_partkey AS ordinal", "l_linestatus", "l_suppkey % 5 AS source_id", "l_quantity > 20 AS ok")
+    claims = c.groupBy("answer_id", "position").agg(F.concat(F.lit(" "), F.max("l_linestatus"), F.lit("\n")).alias("claim"))
+    return evidence.number_claims(claims, c.where("ok").select("answer_id", "position", "ordinal", "source_id"))
 
 
 @job("""WITH e AS (SELECT o_orderkey AS answer_id, 1 AS position, substr(CAST(o_orderdate AS VARCHAR),1,7) AS d FROM orders), c AS (SELECT l_orderkey AS answer_id, 1 AS position, l_returnflag = 'R' AS from_notes, CAST(l_shipdate AS VARCHAR) AS text FROM lineitem)

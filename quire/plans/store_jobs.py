@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -227,6 +226,18 @@ def _streamed(spark, df, where: str):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{where}/in")
 
 
+def _kept(spark, stream, where: str, mode: str) -> list[str]:
+    """Run a stream to the end of its input; the folders of its batches in the shared folder, in order."""
+    done = []
+
+    def keep(batch, n):
+        batch.write.mode("overwrite").parquet(f"{where}/out/{n}")
+        done.append(f"{where}/out/{n}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return done
+
+
 @job()
 def stream_index_pages(spark, sf):
     where = _folder(spark)
@@ -239,9 +250,8 @@ def stream_index_pages(spark, sf):
 def stream_stage_progress(spark, sf):
     where = _folder(spark)
     e = C.table(spark, sf, "events").selectExpr("concat('d', user_id % 20) AS document_id", "user_id AS page_id", "event_type AS stage", "if(event_type = 'view', 'running', 'done') AS status")
-    out = f"s{uuid.uuid4().hex[:8]}"
-    streams.stream_stage_progress(_streamed(spark, e, where)).writeStream.outputMode("complete").format("memory").queryName(out).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(out)
+    last = _kept(spark, streams.stream_stage_progress(_streamed(spark, e, where)), where, "complete")
+    return spark.read.parquet(last[-1])
 
 
 @job()
@@ -252,7 +262,7 @@ def stream_latest_progress(spark, sf):
 
 def latest_progress(spark, e):
     """The latest progress of each key, replayed through the stream; files come in any order, so the watermark waits for the whole range of times."""
-    where, out = _folder(spark), f"s{uuid.uuid4().hex[:8]}"
+    where = _folder(spark)
     seconds = e.selectExpr("cast(ceil((max(unix_micros(at)) - min(unix_micros(at))) / 1000000) AS long) + 1 AS s").first()["s"] or 1
-    streams.stream_latest_progress(_streamed(spark, e, where), f"{seconds} seconds").writeStream.outputMode("update").format("memory").queryName(out).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(out).where("NOT expired").groupBy("key").agg(F.max_by("percent", "at").alias("percent"), F.max("at").alias("at"))
+    batches = _kept(spark, streams.stream_latest_progress(_streamed(spark, e, where), f"{seconds} seconds"), where, "update")
+    return spark.read.parquet(*batches).where("NOT expired").groupBy("key").agg(F.max_by("percent", "at").alias("percent"), F.max("at").alias("at"))
