@@ -155,3 +155,47 @@ def test_stream_latest_progress_keeps_early_files(spark):
     e = rows.repartitionByRange(16, F.desc("at"))
     want = sorted((r.key, int(r.percent), r.at) for r in rows.groupBy("key").agg(F.max_by("percent", "at").alias("percent"), F.max("at").alias("at")).collect())
     assert sorted((r.key, r.percent, r.at) for r in store_jobs.latest_progress(spark, e).collect()) == want
+
+
+def test_folders_that_only_lead_into_a_cycle_keep_their_parents(spark):
+    f = spark.createDataFrame([(1, i, p, f"n{i}") for i, p in [(9, 1), (1, 5), (5, 6), (6, 5), (20, 21), (21, 22), (22, 20), (3, 22), (30, 31), (31, None)]] + [(2, 5, 6, "x"), (2, 6, None, "y"), (1, 9, 7, "again")], "owner_id int, folder_id int, parent_id int, name string")
+    m = spark.createDataFrame([], "owner_id int, folder_id int, document_id int, position int")
+    tree, _ = merge.folder_tree(f, m, m.select("document_id"))
+    found = {(r.owner_id, r.folder_id): r.parent_id for r in tree.collect()}
+    # the way up from folder 1 meets its cycle at 5, that from 3 at 22
+    assert found == {(1, 9): 1, (1, 1): 5, (1, 5): None, (1, 6): 5, (1, 20): 21, (1, 21): 22, (1, 22): None, (1, 3): 22, (1, 30): 31, (1, 31): None, (2, 5): 6, (2, 6): None}
+
+
+def test_marks_follow_the_order_of_citation(spark):
+    claims = spark.createDataFrame([(1, 1, " first "), (1, 2, "second"), (1, 3, "none"), (2, 1, "lost")], "answer_id int, position int, claim string")
+    cited = spark.createDataFrame([(1, 1, 1, "b"), (1, 1, 2, "a"), (1, 2, 1, "a"), (1, 2, 2, "c"), (1, 2, 3, "a")], "answer_id int, position int, ordinal int, source_id string")
+    found = {r.answer_id: r.text for r in evidence.number_claims(claims, cited).collect()}
+    assert found == {1: "first [1][2]\n\nsecond [2][3][2]", 2: evidence.NO_CLAIM}
+
+
+def test_search_sees_only_what_a_user_may_see(spark):
+    texts = spark.createDataFrame([("p1", "the red fox", "", 1, False), ("p2", "the red fox", "", 2, False), ("p3", "a red hen", "fox", 2, True), ("p4", None, "red fox", 1, True), ("p5", "", "", 1, True)], "page_id string, text string, described string, owner_id int, is_public boolean")
+    asked = spark.createDataFrame([(1, "red fox", 1), (2, "red fox", 2), (3, "red fox", 3)], "query_id long, query string, user_id int")
+    found = {}
+    for r in retrieve.literal_best(texts, asked, "page_id", 3).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.page_id)
+    assert found == {1: ["p1", "p4", "p3"], 2: ["p2", "p4", "p3"], 3: ["p4", "p3"]}
+    vectors = spark.createDataFrame([("a", [1.0, 0.0], 1, False), ("b", [1.0, 0.1], 2, True)], "chunk_id string, vector array<double>, owner_id int, is_public boolean")
+    wanted = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 2)], "query_id long, vector array<double>, user_id int")
+    assert sorted((r.query_id, r.chunk_id) for r in retrieve.semantic_topk(vectors, wanted).collect()) == [(1, "a"), (1, "b"), (2, "b")]
+
+
+def test_hybrid_search_keeps_scope_and_caps(spark):
+    from quire.plans import search_jobs
+    from quire.sources import corpus
+
+    found = QUERIES["hybrid_search"](spark, SF).collect()
+    live = {r.page_id: r for r in scope.live_pages(*search_jobs._corpus(spark, SF)[1::-1], search_jobs._corpus(spark, SF)[2]).collect()}
+    user = {r.query_id: r.user_id for r in corpus.requests(spark, SF).collect()}
+    pages, places = {}, {}
+    for r in found:
+        assert live[r.page_id].visibility == "public" or live[r.page_id].owner_id == user[r.query_id]
+        pages[r.query_id, r.page_id] = pages.get((r.query_id, r.page_id), 0) + 1
+        places.setdefault(r.query_id, []).append(r.position)
+    assert max(pages.values()) <= retrieve.PAGE_CAP and all(sorted(p) == list(range(1, len(p) + 1)) and len(p) <= 30 for p in places.values())
+    assert {m for r in found for m in r.matched_by.split(",")} == {"literal", "semantic"}

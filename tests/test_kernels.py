@@ -1,9 +1,13 @@
 """Helpers against values worked out by hand, and their properties."""
 
+import re
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.functions import kernels as k
+from quire.functions.literal import LiteralScorer
 
 
 def test_visible_text():
@@ -73,3 +77,41 @@ def test_conversion_and_decoding():
     assert k.convert_words("头发发", {"头发": "頭髮"}, {"发": "發"}, 2) == "頭髮發"
     assert k.decode_bytes("汉字".encode("gb18030")) == "汉字"
     assert k.decode_bytes(b"\xef\xbb\xbfa") == "a"
+
+
+def test_hidden_elements_still_break_lines():
+    read = k.visible_text
+    assert read("a<noscript><p>x</p></noscript>b") == "a\n\nb"
+    assert read("a &amp; b<br/>c<BR>d<script>if(a<b){}</script>x") == "a & b\nc\ndx"
+    assert read("x <!-- <p> --> y<p title='a>b'>t</p>") == "x  y\nt\n"
+    assert read("<style>p{}") == "" and read("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2" and read(None) is None
+
+
+def test_lost_paragraphs_go_back_to_their_places():
+    parts = [f"paragraph number {w} has quite some words" for w in ("one", "two", "three", "four", "five")]
+    source = "\n\n".join(parts)
+    for kept in ((0, 2, 4), (1, 2), (4,), (0,), (3, 4), (0, 1, 2, 3, 4)):
+        heads = [f"{'abcde'[i] * 14} {p} {'vwxyz'[i] * 14}" for i, p in enumerate(parts)]
+        have = "\n\n".join(heads)
+        out = "\n\n".join(heads[i] for i in kept)
+        found = k.repair_paragraphs(have, out).split("\n\n")
+        assert [h for h in heads if h in found] == [f for f in found if f in heads]
+    assert k.repair_paragraphs(source, None) is None and k.repair_paragraphs("", "x") == "x"
+
+
+def test_literal_scores_one_by_one():
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "ab", *("".join(rng.choice(list("abc1"), rng.integers(1, 30))) for _ in range(60))]
+    asked = []
+    for q in ["a", "ab", "abc", "cab1a", "abcabca1", "zz", *("".join(rng.choice(list("abc1"), rng.integers(1, 9))) for _ in range(20))]:
+        grams = [q] if len(q) == 1 else list(dict.fromkeys(q[i : i + 2] for i in range(len(q) - 1)))
+        asked.append((q, grams, list(dict.fromkeys(re.findall("[a-c]+|1", q)))))
+    found = np.concatenate([s for _, s in LiteralScorer(asked).scores(texts)])
+    for i, t in enumerate(texts):
+        for j, (q, grams, terms) in enumerate(asked):
+            pairs = sum(g in t for g in grams)
+            whole = q in t
+            want = 0.0
+            if t and (whole or pairs >= (2 if len(grams) >= 6 else 1)):
+                want = 5.0 * whole + pairs / len(grams) + sum(x in t for x in terms) / max(1, len(terms)) * 0.2
+            assert abs(found[i, j] - want) < 1e-9, (t, q)
