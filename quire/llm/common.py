@@ -127,7 +127,7 @@ class WordTable:
     at `limit` words, so its memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, compute, width: int, dtype, limit: int = 800_000):
+    def __init__(self, compute, width: int, dtype, limit: int = 400_000):
         self._compute, self._width, self._dtype, self._limit = compute, width, dtype, limit
         self._clear()
 

@@ -5,8 +5,9 @@ down by bounds that lose nothing. N-grams are put in one order, rare before freq
 that are similar enough must share SHARE n-grams among the first few of each (the prefix), so only
 the prefix columns are multiplied; overlap counts of the pairs met there are added up, and a pair
 goes on only if it has that many and the count plus what the sizes still allow reaches the overlap
-that the threshold asks for. Prefix n-grams that no other class has are in no overlap, so places and
-sizes leave them out. The full overlap of the pairs left is then counted.
+that the threshold asks for. A place counts the prefix n-grams before that other classes also have;
+all n-grams from there on may be shared, as they may lie behind another set's prefix. The full
+overlap of the pairs left is then counted.
 
 Documents with equal sets are one class, joined once; a class is known by a 64-bit digest of its
 set. Columns are multiplied in three blocks. First each column's rows of like size with the least of
@@ -377,8 +378,8 @@ def _crossed(num: int, den: int, near: int = 6, block: int = 1024):
 
 def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs whose overlap in the prefixes, with what the sizes allow after it, can reach the threshold."""
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("na", "nb", "ea", "eb")), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    rest = F.least(F.col("ea") - F.col("pa"), F.col("eb") - F.col("pb")) - 1
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("na", "nb")), F.min(F.col("ea") - F.col("pa")).alias("ra"), F.min(F.col("eb") - F.col("pb")).alias("rb"))
+    rest = F.least("ra", "rb") - 1  # n-grams after the last one met; those before it that were not met are not shared
     overlap = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     return met.where((F.col("common") >= F.least(F.lit(SHARE), overlap)) & ((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
 
@@ -417,9 +418,8 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     shared = shared.select("token", "cid", n.alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("pos"), band.alias("band"))
     need = F.floor((F.col("n") * num + den - 1) / den)
     least = F.least(F.lit(SHARE), need)
-    alone = F.col("n") - need + least - F.col("c")  # n-grams of the prefix that no other class has
     ranked = shared.withColumn("c", F.count("*").over(Window.partitionBy("cid"))).withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("pos")).cast("long") - 1)
-    shared = staged(ranked.where(F.col("c") >= least).select("token", "cid", "n", "band", (F.col("n") - alone).alias("most"), F.col("place").alias("pos")), "shared-ngrams")
+    shared = staged(ranked.where(F.col("c") >= least).select("token", "cid", "n", "band", (F.col("n") - F.col("pos") + F.col("place")).alias("most"), F.col("place").alias("pos")), "shared-ngrams")
     some = sized.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "cid")
     classes = staged(some.groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL")

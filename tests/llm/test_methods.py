@@ -55,9 +55,10 @@ def test_rows_of_one_id_hold_their_sets_together(spark, turn):
     assert found == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 1, (None, 1): 1, (5, 5): 1})
 
 
-@pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
-def test_families_of_near_copies(spark, monkeypatch, k, num):
-    """Near copies around the threshold, in blocks: as many links as brute force finds."""
+@pytest.mark.parametrize("k, num, family", [(3, 90, 60), (5, 80, 60), (5, 80, 101)])
+def test_families_of_near_copies(spark, monkeypatch, k, num, family):
+    """Near copies around the threshold, in blocks and without families: the links that brute force finds."""
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
     monkeypatch.setattr(ngram_join, "FAMILY_ROWS", 16)
     monkeypatch.setattr(ngram_join, "COLUMN_ROWS", 20)
     rng = np.random.default_rng(7)
