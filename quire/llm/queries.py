@@ -81,9 +81,57 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op4_ngram_jaccard, op5_context_mixing, op6_language_gru, op7_pivot_permutation, op8_sstable_output, op9_closed_syncmers, op10_link_trust)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentence_pieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    found = decode(encode(_table(spark, sf_dir, "documents"), model).select("doc_id", "ids"), model)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_ftrl, op2_best_fit_packing, op3_pareto_mixing, op4_ngram_jaccard, op5_context_mixing, op6_language_gru, op7_pivot_permutation, op8_sstable_output, op9_closed_syncmers, op10_link_trust, op11_source_divergence, op12_spelling_variants, op13_sentence_pieces)}
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+  SELECT g.lang, g.source, k.term, k.n AS in_lang, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sized AS (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source) AS BIGINT) AS whole, CAST(sum(in_lang) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source) AS BIGINT) AS lang_whole
+  FROM cells),
+weighed AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // whole AS p, 1 + 1000000000 * (in_lang + 1) // lang_whole AS q FROM sized),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM weighed a JOIN weighed b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM weighed WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
     "op3_pareto_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
