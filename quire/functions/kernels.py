@@ -8,7 +8,6 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
-from functools import lru_cache
 from itertools import accumulate
 
 # Fixed values
@@ -169,68 +168,6 @@ def attachment_parts(text: str | None, limit: int = 1600) -> list[str]:
     return parts
 
 
-@lru_cache(None)
-def _is_han(c: str) -> bool:
-    name = unicodedata.name(c, "")
-    return c == "〇" or name.startswith(("CJK UNIFIED IDEOGRAPH", "CJK COMPATIBILITY IDEOGRAPH"))
-
-
-@lru_cache(None)
-def _is_latin_or_number(c: str) -> bool:
-    return bool(c) and (unicodedata.category(c)[0] == "N" or "LATIN" in unicodedata.name(c, ""))
-
-
-@lru_cache(None)
-def _folded(c: str) -> str:
-    return "" if c.isspace() or unicodedata.category(c)[0] == "P" else c.lower()
-
-
-def bare(text: str) -> tuple[str, list[int]]:
-    """Lower-cased text without blanks and punctuation, and where each of its characters came from."""
-    parts = list(map(_folded, text))
-    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
-
-
-def _found(text: str, needle: str):
-    at = text.find(needle) if needle else -1
-    while at >= 0:
-        yield at, at + len(needle)
-        at = text.find(needle, at + 1)
-
-
-def query_terms(query: str) -> set[str]:
-    """What a query is looked up by where it does not occur as it stands."""
-    folded, _ = bare(query)
-    terms = {folded} - {""}
-    for run in re.split("\0+", "".join(c if _is_han(c) else "\0" for c in folded)):
-        terms |= {run[i : i + 2] for i in range(len(run) - 1)}
-    return terms | {w for w in re.findall(r"[^\W_]+", query.lower()) if not any(map(_is_han, w))}
-
-
-def literal_matches(text: str, query: str, terms: set[str] | None = None, folded: tuple[str, list[int]] | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, level): every occurrence of the query, and merged ranges of its terms away from those."""
-    exact = list(_found(text, query))
-    flat, source = bare(text) if folded is None else folded
-    loose: list[tuple[int, int]] = []
-    for term in query_terms(query) if terms is None else terms:
-        whole = all(map(_is_latin_or_number, term))
-        for a, b in _found(flat, term):
-            start, end = source[a], source[b - 1] + 1
-            if whole and (_is_latin_or_number(text[start - 1 : start]) or _is_latin_or_number(text[end : end + 1])):
-                continue
-            loose.append((start, end))
-    merged: list[list[int]] = []
-    starts, ends = [s for s, _ in exact], [e for _, e in exact]
-    for start, end in sorted(loose, key=lambda r: (r[0], -r[1])):
-        if bisect_left(starts, end) > bisect_right(ends, start):  # an exact hit overlaps
-            continue
-        if merged and start < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    return sorted([(s, e, "exact") for s, e in exact] + [(s, e, "partial") for s, e in merged])
-
-
 def content_of(text: str) -> str:
     return "".join(c for c in text if unicodedata.category(c)[0] not in "PZ" and not c.isspace())
 

@@ -9,8 +9,8 @@ from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Requests that are sent to every task at a time.
-MOST_REQUESTS = 10_000
+#: Requests that are sent to every task at a time, and characters of them.
+MOST_REQUESTS, MOST_CHARACTERS = 10_000, 1_000_000
 
 
 @cache
@@ -35,21 +35,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_blocks(requests: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The answers to all requests, worked out for MOST_REQUESTS of them at a time.
+def in_blocks(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], text: str | None = None) -> DataFrame:
+    """The answers to all requests, worked out for MOST_REQUESTS of them at a time, and MOST_CHARACTERS of their column `text`.
 
-    Above that number each block's answers are written before the next block is read, so that the
-    driver holds one block.
+    Above that each block's answers are written before the next block is read, so that the
+    driver holds one block. A request that is longer by itself is a block of its own.
     """
-    if requests.limit(MOST_REQUESTS + 1).count() <= MOST_REQUESTS:
+    first = requests.limit(MOST_REQUESTS + 1).selectExpr("count(*) AS n", f"coalesce(sum(length({text})), 0) AS characters" if text else "0L AS characters").first()
+    if first["n"] <= MOST_REQUESTS and first["characters"] <= MOST_CHARACTERS:
         return answer(requests)
-    spark, kept, block = requests.sparkSession, [], []
+    spark, kept, block, characters = requests.sparkSession, [], [], 0
+
+    def settle() -> None:
+        kept.append(staged(answer(spark.createDataFrame(block, requests.schema)), "answers"))
+
     # written first: a block is cut from rows that no longer change
     for row in staged(requests, "requests").toLocalIterator():
+        size = len(row[text] or "") if text else 0
+        if block and (len(block) == MOST_REQUESTS or characters + size > MOST_CHARACTERS):
+            settle()
+            block, characters = [], 0
         block.append(row)
-        if len(block) == MOST_REQUESTS:
-            kept.append(staged(answer(spark.createDataFrame(block, requests.schema)), "answers"))
-            block = []
+        characters += size
     if block:
-        kept.append(staged(answer(spark.createDataFrame(block, requests.schema)), "answers"))
+        settle()
     return reduce(DataFrame.unionByName, kept)

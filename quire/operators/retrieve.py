@@ -5,6 +5,8 @@ Requests are broadcast, MOST_REQUESTS of them at a time, and all work on texts s
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.literal import LiteralScorer
+from ..functions.literal import BestSoFar, LiteralScorer, RequestMatcher, worker_cache
 from ..functions.sql import normalized, query
 from ..functions.staging import in_blocks
 
@@ -35,13 +37,29 @@ def _scorer(requests: DataFrame) -> tuple[np.ndarray, LiteralScorer]:
     return np.array([r.query_id for r in rows], dtype=np.int64), LiteralScorer([(r.q, r.grams, r.terms) for r in rows])
 
 
+#: Characters of texts that are scored at a time.
+TEXT_SLICE = 400_000
+
+
+def _text_slices(texts: list[str]):
+    begin = total = 0
+    for i, t in enumerate(texts):
+        if i > begin and total + len(t) > TEXT_SLICE:
+            yield begin, i
+            begin, total = i, 0
+        total += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """(query_id, key, literal_score) for every text and request that score above 0.
 
     5 for the whole query, the share of its pairs, and a fifth of the share of its terms. Texts
-    stay where they are; each task works out a block of texts for a block of requests at a time.
+    stay where they are; inverted lists from pairs of characters to a block's requests name those
+    that a text can score for.
     """
-    return in_blocks(requests, lambda block: _literal_score(texts, block, key))
+    return in_blocks(requests, lambda block: _literal_score(texts, block, key), "query")
 
 
 def _literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
@@ -49,9 +67,10 @@ def _literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for i, score in scorer.scores([t or "" for t in batch.column(1).to_pylist()]):
-                a, b = np.nonzero(score)
-                yield pa.record_batch([pa.array(ids[b]), batch.column(0).take(pa.array(a + i)), pa.array(score[a, b])], names=["query_id", key, "literal_score"])
+            found = [t or "" for t in batch.column(1).to_pylist()]
+            for i, j in _text_slices(found):
+                t, r, score = scorer.scores(found[i:j])
+                yield pa.record_batch([pa.array(ids[r]), batch.column(0).take(pa.array(t + i)), pa.array(score)], names=["query_id", key, "literal_score"])
 
     return texts.selectExpr(key, f"{normalized('text').format()} AS t").mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
 
@@ -65,11 +84,12 @@ def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP)
 
     `texts`: key, text, described, and, where only some may be seen, owner_id and is_public; then
     `requests` has user_id, and texts that a request's user may not see are never scored for it.
-    Each block of texts keeps its k best for every request, so a request's final order is over a
-    few rows per block. Scores count to six decimals; ties go by key.
+    Each task remembers the k best scores of every request so far: a text that shares too few of a
+    request's pairs to come up to the last of them, even with all of its terms and the best
+    description at hand, is not looked at. Scores count to six decimals; ties go by key.
     """
     scoped = "owner_id" in texts.columns
-    found = in_blocks(requests, lambda block: _literal_best(texts, block, key, k, scoped))
+    found = in_blocks(requests, lambda block: _literal_best(texts, block, key, k, scoped), "query")
     return literal_topk(found, key, k)
 
 
@@ -79,35 +99,38 @@ def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scope
     user = np.array([users[i] for i in ids.tolist()]) if scoped else None
 
     def run(batches):
+        best = BestSoFar(scorer, k, DESCRIBED)
         for batch in batches:
             own, described = ([t or "" for t in batch.column(c).to_pylist()] for c in (1, 2))
             keys = batch.column(0).to_pylist()
-            distinct = list(dict.fromkeys(described))
-            extra = np.concatenate([s for _, s in scorer.scores(distinct)]) if distinct else np.zeros((0, len(ids)))
-            at = {t: i for i, t in enumerate(distinct)}
-            for i, score in scorer.scores(own):
-                n = len(score)
-                score = np.round(score + DESCRIBED * extra[[at[t] for t in described[i : i + n]]], 6)
+            for i, j in _text_slices(own):
+                t, r, score = best.scores(own[i:j], described[i:j])
                 if scoped:
-                    owner, public = (batch.column(c).slice(i, n).to_numpy(zero_copy_only=False) for c in (3, 4))
-                    score[~(public.astype(bool)[:, None] | (owner[:, None] == user[None, :]))] = 0.0
-                place = np.empty(n, dtype=np.int64)
-                place[sorted(range(n), key=keys[i : i + n].__getitem__)] = np.arange(n)
-                a, b = np.nonzero(score)
-                order = np.lexsort((place[a], -score[a, b], b))
-                a, b = a[order], b[order]
-                first = np.searchsorted(b, np.arange(len(ids)))
-                best = np.arange(len(b)) - first[b] < k
-                a, b = a[best], b[best]
-                yield pa.record_batch([pa.array(ids[b]), batch.column(0).take(pa.array(a + i)), pa.array(score[a, b])], names=["query_id", key, "literal_score"])
+                    owner, public = (batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in (3, 4))
+                    seen = public.astype(bool)[t] | (owner[t] == user[r])
+                    t, r, score = t[seen], r[seen], score[seen]
+                place = np.empty(j - i, dtype=np.int64)
+                place[sorted(range(j - i), key=keys[i:j].__getitem__)] = np.arange(j - i)
+                keep = best.keep(r, score, place[t])
+                yield pa.record_batch([pa.array(ids[r[keep]]), batch.column(0).take(pa.array(t[keep] + i)), pa.array(score[keep])], names=["query_id", key, "literal_score"])
 
     columns = [key, f"{normalized('text').format()} AS t", f"{normalized('described').format()} AS d", *(["owner_id", "coalesce(is_public, false) AS is_public"] if scoped else [])]
     return texts.selectExpr(*columns).mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
 
 
+#: What describes a document, as far as its table has it.
+DESCRIPTION = ("title", "author", "year", "publisher", "tags", "file_name")
+
+
+def description(documents: DataFrame) -> str:
+    """The expression of a document's description: its fields one below the other, tags in their order."""
+    kinds = dict(documents.dtypes)
+    return f"concat_ws('\\n', {', '.join(c for c in DESCRIPTION if c in kinds)})"
+
+
 def metadata_boost(scores: DataFrame, chunks: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
-    """Adds 0.3 of the literal score of a document's title, author, year and publisher to its chunks' scores."""
-    described = documents.selectExpr("document_id", "concat_ws('\\n', title, author, year, publisher) AS text")
+    """Adds 0.3 of the literal score of a document's description (title, author, year, publisher, tags, file name) to its chunks' scores."""
+    described = documents.selectExpr("document_id", f"{description(documents)} AS text")
     return query(
         """SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.page_id, b.page_id) AS page_id, coalesce(s.literal_score, 0D) + 0.3D * coalesce(b.literal_score, 0D) AS literal_score
            FROM {s} s FULL OUTER JOIN (SELECT m.query_id, c.page_id, m.literal_score FROM {m} m JOIN {c} c ON m.document_id = c.document_id) b ON s.query_id = b.query_id AND s.page_id = b.page_id""",
@@ -124,31 +147,44 @@ def literal_topk(scores: DataFrame, key: str, k: int = TOP) -> DataFrame:
 def literal_matches(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Every literal location of every request in every text, exact or partial, with sentence and context.
 
-    `sources`: page_id, source_layer, source_hash, text.
+    `sources`: page_id, source_layer, source_hash, text. An automaton over the terms of a block of
+    requests reads each text once; texts stay where they are.
     """
-    return in_blocks(requests.select("query_id", "query"), lambda block: _literal_matches(sources, block))
+    return in_blocks(requests.select("query_id", "query"), lambda block: _literal_matches(sources, block), "query")
+
+
+_MATCHES = pa.schema(
+    [("query_id", pa.int64()), ("page_id", pa.string()), ("source_layer", pa.string()), ("source_hash", pa.string()), ("match_start", pa.int32()), ("match_end", pa.int32()), ("level", pa.string())]
+    + [(c, pa.int32()) for c in ("start", "end", "sentence_start", "sentence_end")]
+    + [("score", pa.float64())]
+)
+#: Rows that a task gathers before it sends them on.
+MATCH_ROWS = 20_000
 
 
 def _literal_matches(sources: DataFrame, requests: DataFrame) -> DataFrame:
-    rows = requests.orderBy("query_id").collect()
-    wanted = [(r.query_id, r["query"], kernels.query_terms(r["query"])) for r in rows if r["query"]]
-    columns = ["query_id", "page_id", "source_layer", "source_hash", "match_start", "match_end", "level", "start", "end", "sentence_start", "sentence_end", "score"]
+    asked = [(r.query_id, r["query"]) for r in requests.orderBy("query_id").collect() if r["query"]]  # a block of requests
+    name = uuid.uuid4().hex
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for page, layer, digest, text in zip(pdf["page_id"], pdf["source_layer"], pdf["source_hash"], pdf["text"]):
-                folded, edges = kernels.bare(text), None
-                for query_id, q, terms in wanted:
-                    if q not in text and not any(t in folded[0] for t in terms):
-                        continue
+        matcher = worker_cache(name, lambda: RequestMatcher(q for _, q in asked))
+        out = []
+        for batch in batches:
+            for page, layer, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
+                edges = None
+                for i, found in matcher.matches(text or ""):
+                    query_id, q = asked[i]
                     edges = kernels.excerpt_edges(text) if edges is None else edges
-                    for a, b, level in kernels.literal_matches(text, q, terms, folded):
+                    for a, b, level in found:
                         s, e = kernels.excerpt(text, a, b, edges)
                         out.append((query_id, page, layer, digest, a, b, level, max(0, a - kernels.CONTEXT_BEFORE), min(len(text), b + kernels.CONTEXT_AFTER), s, e, (b - a) / len(q)))
-            yield pd.DataFrame(out, columns=columns)
+                    if len(out) > MATCH_ROWS:
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _MATCHES)], schema=_MATCHES)
+                        out = []
+        if out:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _MATCHES)], schema=_MATCHES)
 
-    return sources.select("page_id", "source_layer", "source_hash", "text").mapInPandas(run, "query_id long, page_id string, source_layer string, source_hash string, match_start int, match_end int, level string, start int, end int, sentence_start int, sentence_end int, score double")
+    return sources.select("page_id", "source_layer", "source_hash", "text").mapInArrow(run, "query_id long, page_id string, source_layer string, source_hash string, match_start int, match_end int, level string, start int, end int, sentence_start int, sentence_end int, score double")
 
 
 def match_text(sources: DataFrame, requests: DataFrame) -> DataFrame:

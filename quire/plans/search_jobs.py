@@ -168,14 +168,8 @@ def literal_matches(spark, sf):
     return retrieve.literal_matches(text.explode_sources(C.corpus_pages(spark, sf)), C.requests(spark, sf))
 
 
-@job("SELECT query_id, page_id, CAST(instr(text, query) - 1 AS INTEGER) AS first_start, CAST((length(text) - length(replace(text, query, ''))) / length(query) AS BIGINT) AS n FROM prim, rq WHERE query_id % 3 = 0 AND contains(text, query)", "prim rq")
+@job("SELECT query_id, page_id, CAST(instr(text, query) - 1 AS INTEGER) AS first_start, CAST((length(text) - length(replace(text, query, ''))) / length(query) AS BIGINT) AS n FROM prim, rq WHERE contains(text, query)", "prim rq")
 def literal_exact_matches(spark, sf):
-    return _exact_matches(spark, sf, C.requests(spark, sf).where("query_id % 3 = 0"))
-
-
-@job()
-def literal_exact_matches_all(spark, sf):
-    """literal_exact_matches of every request."""
     return _exact_matches(spark, sf, C.requests(spark, sf))
 
 
@@ -190,22 +184,13 @@ def match_text(spark, sf):
     return retrieve.match_text(text.explode_sources(C.corpus_pages(spark, sf)), C.requests(spark, sf))
 
 
-@job("""WITH h AS (SELECT query_id, page_id, source_layer, source_layer = CASE WHEN page_number%4=0 THEN 'ocrText' ELSE 'punctuatedText' END AS is_primary FROM src, rq WHERE query_id%3=1 AND contains(text, query)),
+@job("""WITH h AS (SELECT query_id, page_id, source_layer, source_layer = CASE WHEN page_number%4=0 THEN 'ocrText' ELSE 'punctuatedText' END AS is_primary FROM src, rq WHERE contains(text, query)),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id, source_layer <> 'notes' ORDER BY is_primary DESC, source_layer DESC) AS n FROM h) SELECT query_id, page_id, source_layer FROM n WHERE source_layer = 'notes' OR n = 1""", "src rq")
 def pick_match_layer(spark, sf):
-    return _match_layer(spark, sf, C.requests(spark, sf).where("query_id % 3 = 1"))
-
-
-@job()
-def pick_match_layer_all(spark, sf):
-    """pick_match_layer of every request."""
-    return _match_layer(spark, sf, C.requests(spark, sf))
-
-
-def _match_layer(spark, sf, wanted):
     sources = text.explode_sources(C.corpus_pages(spark, sf))
-    layer = spark.sql("SELECT /*+ BROADCAST(r) */ r.query_id, s.page_id, s.source_layer, s.source_layer = if(s.page_number % 4 = 0, 'ocrText', 'punctuatedText') AS is_primary FROM {s} s JOIN {r} r ON contains(s.text, r.query)", s=sources, r=wanted)
-    return retrieve.pick_match_layer(layer)
+    found = retrieve.literal_matches(sources, C.requests(spark, sf)).where("level = 'exact'").select("query_id", "page_id", "source_layer").distinct()
+    primary = C.corpus_pages(spark, sf).selectExpr("page_id", "if(page_number % 4 = 0, 'ocrText', 'punctuatedText') AS layer")
+    return retrieve.pick_match_layer(found.join(primary, "page_id").selectExpr("query_id", "page_id", "source_layer", "source_layer = layer AS is_primary"))
 
 
 @job(f"WITH h AS ({DUCK_HITS}), n AS (SELECT query_id, page_id AS source_id, text AS sentence, level, chunk_id AS ordinal, row_number() OVER (PARTITION BY query_id, page_id, text ORDER BY level <> 'exact', chunk_id) AS n FROM h) SELECT * EXCLUDE (n) FROM n WHERE n = 1")
@@ -213,12 +198,13 @@ def dedupe_sentence_hits(spark, sf):
     return retrieve.dedupe_sentence_hits(hits(spark, sf).selectExpr("query_id", "page_id AS source_id", "text AS sentence", "level", "chunk_id AS ordinal"))
 
 
-def _semantic(spark, sf, wanted="vec_id < 10"):
+def _semantic(spark, sf):
+    """Every vector whose id 100 divides asks among all."""
     v = C.table(spark, sf, "embeddings")
-    return retrieve.semantic_topk(v.selectExpr("vec_id AS chunk_id", "embedding AS vector"), v.where(wanted).selectExpr("vec_id AS query_id", "embedding AS vector"))
+    return retrieve.semantic_topk(v.selectExpr("vec_id AS chunk_id", "embedding AS vector"), v.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"))
 
 
-DUCK_SEMANTIC = "sem0 AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 10), sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id DESC) AS rank FROM sem0 WHERE score > 0.45)"
+DUCK_SEMANTIC = "sem0 AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0), sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id DESC) AS rank FROM sem0 WHERE score > 0.45)"
 
 
 @job(f"WITH {DUCK_SEMANTIC} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sem WHERE rank <= 60")
@@ -226,28 +212,19 @@ def semantic_topk(spark, sf):
     return _semantic(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@job()
-def semantic_topk_all(spark, sf):
-    """semantic_topk of every vector whose id 100 divides."""
-    return _semantic(spark, sf, "vec_id % 100 = 0")
+#: The literal list of a vector: the ids from its own on, up to the next whole hundred.
+DUCK_LITERAL = "lit AS (SELECT vec_id - vec_id%100 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id - vec_id%100 ORDER BY vec_id) AS rank FROM embeddings)"
 
 
-@job(f"""WITH {DUCK_SEMANTIC}, lit AS (SELECT vec_id%10 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id%10 ORDER BY vec_id) AS rank FROM embeddings),
+@job(f"""WITH {DUCK_SEMANTIC}, {DUCK_LITERAL},
 u AS (SELECT query_id, chunk_id, rank, 'literal' AS side FROM lit WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, rank, 'semantic' FROM sem WHERE rank <= 60), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE/(60+rank)) AS score, string_agg(side, ',' ORDER BY side) AS matched_by FROM u GROUP BY 1, 2)
 SELECT query_id, chunk_id, round(score, 6) AS score, matched_by, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS position FROM f""")
 def rrf_fuse(spark, sf):
     return _fused(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@job()
-def rrf_fuse_all(spark, sf):
-    """rrf_fuse of every vector whose id 100 divides; its literal list is the hundred ids from its own."""
-    literal = spark.sql("SELECT vec_id - vec_id % 100 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id - vec_id % 100 ORDER BY vec_id) AS rank FROM {v}", v=C.table(spark, sf, "embeddings")).where("rank <= 60")
-    return retrieve.rrf_fuse(literal, _semantic(spark, sf, "vec_id % 100 = 0"))
-
-
 def _fused(spark, sf):
-    literal = spark.sql("SELECT vec_id % 10 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) AS rank FROM {v}", v=C.table(spark, sf, "embeddings")).where("rank <= 60")
+    literal = spark.sql("SELECT vec_id - vec_id % 100 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id - vec_id % 100 ORDER BY vec_id) AS rank FROM {v}", v=C.table(spark, sf, "embeddings")).where("rank <= 60")
     return retrieve.rrf_fuse(literal, _semantic(spark, sf))
 
 
@@ -284,17 +261,12 @@ def interleave_materials(spark, sf):
     return retrieve.interleave_materials(r.where("odd = 0"), r.where("odd = 1"))
 
 
-@job(f"""WITH {DUCK_SEMANTIC}, lit AS (SELECT vec_id%10 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id%10 ORDER BY vec_id) AS rank FROM embeddings),
-u AS (SELECT query_id, chunk_id, 'literal' AS side FROM lit WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, 'semantic' FROM sem WHERE rank <= 60), f AS (SELECT query_id, chunk_id, string_agg(side, ',' ORDER BY side) AS m FROM u GROUP BY 1, 2)
+@job(f"""WITH {DUCK_SEMANTIC}, {DUCK_LITERAL},
+u AS (SELECT query_id, chunk_id, 'literal' AS side FROM lit WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, 'semantic' FROM sem WHERE rank <= 60), f AS (SELECT query_id // 100 AS query_id, chunk_id, string_agg(side, ',' ORDER BY side) AS m FROM u GROUP BY 1, 2)
 SELECT r.item_id AS query_id, CASE WHEN count(*) FILTER (contains(m, 'semantic')) > 0 THEN 'hybrid' WHEN count(chunk_id) > 0 THEN 'literal' ELSE 'empty' END AS mode, count(chunk_id) AS hits, count(*) FILTER (m = 'literal,semantic') AS both_ways FROM benchmark r LEFT JOIN f ON f.query_id = r.item_id GROUP BY 1""")
 def retrieval_summary(spark, sf):
-    return retrieve.retrieval_summary(C.requests(spark, sf), _fused(spark, sf))
-
-
-@job()
-def retrieval_summary_all(spark, sf):
-    """retrieval_summary where request i asks with the vector of id 100 i."""
-    return retrieve.retrieval_summary(C.requests(spark, sf), rrf_fuse_all(spark, sf).withColumn("query_id", F.expr("query_id div 100")))
+    """Request i asks with the vector of id 100 i."""
+    return retrieve.retrieval_summary(C.requests(spark, sf), _fused(spark, sf).withColumn("query_id", F.expr("query_id div 100")))
 
 
 @job()
