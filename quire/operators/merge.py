@@ -175,18 +175,45 @@ def folder_tree(folders: DataFrame, members: DataFrame, visible: DataFrame, most
     return tree, first
 
 
-def folder_rollup(tree: DataFrame, members: DataFrame) -> DataFrame:
-    """Documents of each folder and all below it, and the path of names from the root."""
-    spark = tree.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE up AS (
-             SELECT owner_id, folder_id, folder_id AS ancestor, parent_id, name AS path, 0 AS depth FROM {t}
-             UNION ALL SELECT u.owner_id, u.folder_id, t.folder_id, t.parent_id, concat(t.name, '/', u.path), u.depth + 1 FROM up u JOIN {t} t ON u.owner_id = t.owner_id AND u.parent_id = t.folder_id)
-           SELECT u.owner_id, u.ancestor AS folder_id, max(CASE WHEN u.depth = 0 THEN 0 ELSE u.depth END) AS height, coalesce(sum(m.n), 0) AS documents
-           FROM up u LEFT JOIN (SELECT owner_id, folder_id, count(*) AS n FROM {m} GROUP BY owner_id, folder_id) m ON u.owner_id = m.owner_id AND u.folder_id = m.folder_id GROUP BY u.owner_id, u.ancestor""",
+def folder_rollup(tree: DataFrame, members: DataFrame, documents: DataFrame | None = None, paths: bool = True) -> DataFrame:
+    """Documents of each folder and all below it, how deep it lies, how far down it reaches, and the names on the way from the root.
+
+    With `documents` (owner_id, document_id), a row without folder_id for each owner: all of the
+    owner's documents that lie in a folder, and those in none, which count at the root.
+
+    A round knows each folder's ancestor 2 ** k steps up and the sums over all less than 2 ** k steps
+    below; each folder adds its sums to that ancestor's. So a tree of depth d takes log d rounds of
+    one join and one aggregation with a row for each folder, and no pairs of folder and ancestor are made.
+    """
+    path = ", array(t.name) AS path" if paths else ""
+    now = query(
+        f"""SELECT t.owner_id, t.folder_id, t.parent_id AS up, coalesce(m.n, 0) AS documents, 0L AS height, if(t.parent_id IS NULL, 0L, 1L) AS depth{path}
+            FROM {{t}} t LEFT JOIN (SELECT owner_id, folder_id, count(*) AS n FROM {{m}} GROUP BY owner_id, folder_id) m ON t.owner_id = m.owner_id AND t.folder_id = m.folder_id""",
         t=tree,
         m=members,
     )
+    now, step = staged(now, "rollup"), 1
+    path = ", if(u.folder_id IS NULL, t.path, concat(u.path, t.path)) AS path" if paths else ""
+    while not now.where("up IS NOT NULL").isEmpty():
+        further = query(
+            f"""SELECT t.owner_id, t.folder_id, u.up, t.documents + coalesce(b.documents, 0) AS documents, greatest(t.height, coalesce(b.height, 0)) AS height, t.depth + coalesce(u.depth, 0) AS depth{path}
+                FROM {{t}} t LEFT JOIN {{t}} u ON t.owner_id = u.owner_id AND t.up = u.folder_id
+                LEFT JOIN (SELECT owner_id, up AS folder_id, sum(documents) AS documents, max(height) + {step} AS height FROM {{t}} WHERE up IS NOT NULL GROUP BY owner_id, up) b ON t.owner_id = b.owner_id AND t.folder_id = b.folder_id""",
+            t=now,
+        )
+        now, step = staged(further, "rollup"), 2 * step
+    found = now.drop("up").withColumn("unfiled", F.lit(None).cast("long"))
+    if documents is None:
+        return found
+    top = query(
+        f"""SELECT d.owner_id, NULL AS folder_id, count(*) AS documents, max(coalesce(h.height, 0)) AS height, 0L AS depth{", cast(array() AS array<string>) AS path" if paths else ""}, count_if(m.document_id IS NULL) AS unfiled
+            FROM {{d}} d LEFT JOIN (SELECT DISTINCT owner_id, document_id FROM {{m}}) m ON d.owner_id = m.owner_id AND d.document_id = m.document_id
+            LEFT JOIN (SELECT owner_id, max(depth) + 1 AS height FROM {{t}} GROUP BY owner_id) h ON d.owner_id = h.owner_id GROUP BY d.owner_id""",
+        d=documents,
+        m=members,
+        t=now,
+    )
+    return found.unionByName(top)
 
 
 def integrity_report(files: DataFrame, content: DataFrame) -> DataFrame:

@@ -186,13 +186,18 @@ def folder_tree(spark, sf):
     return _folders(spark, sf)[0]
 
 
-@job("""WITH RECURSIVE f AS (SELECT c_nationkey AS owner_id, c_custkey AS folder_id, CASE c_custkey%4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE c_custkey//2 END AS pid FROM customer), t AS (SELECT f.owner_id, f.folder_id, p.folder_id AS parent_id FROM f LEFT JOIN f p ON f.owner_id=p.owner_id AND f.pid=p.folder_id),
+@job("""WITH RECURSIVE f AS (SELECT c_nationkey AS owner_id, c_custkey AS folder_id, 'folder '||c_custkey AS name, CASE c_custkey%4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE c_custkey//2 END AS pid FROM customer), t AS (SELECT f.owner_id, f.folder_id, f.name, p.folder_id AS parent_id FROM f LEFT JOIN f p ON f.owner_id=p.owner_id AND f.pid=p.folder_id),
 m AS (SELECT owner_id, folder_id, document_id FROM (SELECT owner_id, folder_id, o_orderkey%1000 AS document_id, row_number() OVER (PARTITION BY owner_id, o_orderkey%1000 ORDER BY o_orderkey) AS n FROM orders JOIN t ON o_custkey=folder_id) WHERE n=1 AND document_id IN (SELECT doc_id FROM documents)),
-up AS (SELECT owner_id, folder_id, folder_id AS anc, parent_id, 0 AS depth FROM t UNION ALL SELECT u.owner_id, u.folder_id, t.folder_id, t.parent_id, u.depth+1 FROM up u JOIN t ON u.owner_id=t.owner_id AND u.parent_id=t.folder_id)
-SELECT u.owner_id, anc AS folder_id, max(depth) AS height, CAST(coalesce(sum((SELECT count(*) FROM m WHERE m.owner_id=u.owner_id AND m.folder_id=u.folder_id)), 0) AS BIGINT) AS documents FROM up u GROUP BY 1, 2""")
+up AS (SELECT owner_id, folder_id, folder_id AS anc, parent_id, 0 AS depth, name AS path FROM t UNION ALL SELECT u.owner_id, u.folder_id, t.folder_id, t.parent_id, u.depth+1, t.name||'/'||u.path FROM up u JOIN t ON u.owner_id=t.owner_id AND u.parent_id=t.folder_id),
+own AS (SELECT DISTINCT c_nationkey AS owner_id, doc_id AS document_id FROM customer JOIN documents ON c_custkey % 1000 = doc_id % 150),
+deep AS (SELECT owner_id, max(depth) + 1 AS height FROM up GROUP BY 1)
+SELECT u.owner_id, anc AS folder_id, max(depth) AS height, CAST(coalesce(sum((SELECT count(*) FROM m WHERE m.owner_id=u.owner_id AND m.folder_id=u.folder_id)), 0) AS BIGINT) AS documents,
+  (SELECT max(x.depth) FROM up x WHERE x.owner_id=u.owner_id AND x.folder_id=u.anc) AS depth, (SELECT max_by(x.path, x.depth) FROM up x WHERE x.owner_id=u.owner_id AND x.folder_id=u.anc) AS path, CAST(NULL AS BIGINT) AS unfiled FROM up u GROUP BY 1, 2
+UNION ALL SELECT o.owner_id, NULL, max(coalesce(d.height, 0)), count(*), 0, '', count(*) FILTER (m.document_id IS NULL) FROM own o LEFT JOIN (SELECT DISTINCT owner_id, document_id FROM m) m USING (owner_id, document_id) LEFT JOIN deep d USING (owner_id) GROUP BY 1""")
 def folder_rollup(spark, sf):
     tree, members = _folders(spark, sf)
-    return merge.folder_rollup(tree, members)
+    own = spark.sql("SELECT DISTINCT c.c_nationkey AS owner_id, d.doc_id AS document_id FROM {c} c JOIN {d} d ON c.c_custkey % 1000 = d.doc_id % 150", c=C.table(spark, sf, "customer"), d=C.table(spark, sf, "documents"))
+    return merge.folder_rollup(tree, members, own).withColumn("path", F.array_join("path", "/"))
 
 
 @job("SELECT doc_id AS file_id, CASE doc_id%4 WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'checksum' ELSE 'ok' END AS finding FROM documents WHERE doc_id%11<>0")
@@ -238,12 +243,40 @@ def _kept(spark, stream, where: str, mode: str) -> list[str]:
     return done
 
 
+def _page_changes(spark, sf):
+    """Three changes of pages: all as they are, then a third of them edited, a fifth deleted; not in order, and some twice."""
+    p = C.corpus_pages(spark, sf)
+    changes = query(
+        """SELECT *, false AS is_deleted, 1 AS version FROM {p}
+           UNION ALL SELECT page_id, document_id, page_number, concat(ocr_text, ' edited'), punctuated_text, notes, false, 2 FROM {p} WHERE page_number % 3 = 1
+           UNION ALL SELECT page_id, document_id, page_number, ocr_text, punctuated_text, notes, true, 3 FROM {p} WHERE page_number % 5 = 2
+           UNION ALL SELECT *, false, 1 FROM {p} WHERE page_number % 2 = 0""",
+        p=p,
+    )
+    return changes.repartitionByRange(6, F.xxhash64("page_id", "version"))
+
+
 @job()
 def stream_index_pages(spark, sf):
     where = _folder(spark)
-    pages = C.corpus_pages(spark, sf).withColumn("version", F.lit(1))
-    streams.stream_index_pages(_streamed(spark, pages, where), f"{where}/chunks", f"{where}/checkpoint").start().awaitTermination()
-    return spark.read.parquet(f"{where}/chunks")
+    streams.stream_index_pages(_streamed(spark, _page_changes(spark, sf), where), f"{where}/chunks", f"{where}/checkpoint").start().awaitTermination()
+    return streams.indexed_chunks(spark, f"{where}/chunks")
+
+
+@job("""WITH c AS (SELECT *, page_number%5 = 2 AS gone, CASE WHEN page_number%3=1 THEN ocr_text||' edited' ELSE ocr_text END AS ocr FROM cp)
+SELECT page_id, CASE WHEN gone THEN 3 WHEN page_number%3=1 THEN 2 ELSE 1 END AS version, gone AS is_deleted,
+  CAST(CASE WHEN gone THEN 0 ELSE CAST(trim(ocr, E' \\n\\t\\r') <> '' AS INTEGER) + CAST(trim(coalesce(punctuated_text, ''), E' \\n\\t\\r') <> '' AS INTEGER) + CAST(trim(notes, E' \\n\\t\\r') <> '' AS INTEGER) END AS BIGINT) AS sources,
+  CAST(CASE WHEN gone THEN 0 ELSE CASE WHEN trim(ocr, E' \\n\\t\\r') <> '' THEN length(ocr) ELSE 0 END + CASE WHEN trim(coalesce(punctuated_text, ''), E' \\n\\t\\r') <> '' THEN length(punctuated_text) ELSE 0 END + CASE WHEN trim(notes, E' \\n\\t\\r') <> '' THEN length(notes) ELSE 0 END END AS BIGINT) AS characters FROM c""", "cp")
+def stream_index_sources(spark, sf):
+    """What the streamed index holds of each page: its version, its sources, and how far their chunks reach."""
+    where = _folder(spark)
+    streams.stream_index_pages(_streamed(spark, _page_changes(spark, sf), where), f"{where}/chunks", f"{where}/checkpoint").start().awaitTermination()
+    return query(
+        """SELECT v.page_id, v.version, v.is_deleted, count(s.source_hash) AS sources, coalesce(sum(s.reach), 0) AS characters FROM {v} v
+           LEFT JOIN (SELECT page_id, source_layer, source_hash, max(end) AS reach FROM {c} GROUP BY page_id, source_layer, source_hash) s ON v.page_id = s.page_id GROUP BY v.page_id, v.version, v.is_deleted""",
+        v=streams.indexed_versions(spark, f"{where}/chunks"),
+        c=streams.indexed_chunks(spark, f"{where}/chunks"),
+    )
 
 
 @job("WITH e AS (SELECT DISTINCT 'd'||(user_id%20) AS document_id, user_id AS page_id, event_type AS stage FROM events WHERE event_type <> 'view') SELECT document_id, stage, count(*) AS done FROM e GROUP BY 1, 2")
