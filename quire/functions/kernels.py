@@ -7,9 +7,11 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from difflib import SequenceMatcher
 from itertools import accumulate
 
+from .blocks import likeness, matching_blocks
+from .literal import occurrences
+
 # Fixed values
 SKIPPED_TAGS = {"script", "style", "noscript"}
 OPENING_BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -177,11 +179,15 @@ def punctuation_in(text: str) -> int:
 
 
 def audit_punctuation(source: str | None, output: str | None, least: float = 0.95) -> tuple[str, float]:
-    """Status and likeness of a punctuated text to its source by their content characters."""
+    """Status and likeness of a punctuated text to its source by their content characters.
+
+    Likeness counts every character; a matcher that drops those which fill more than a hundredth of
+    a long page gives less for the same texts.
+    """
     a, b = content_of(source or ""), content_of(output or "")
     if not (output or "").strip():
         return "empty", 0.0
-    ratio = 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
+    ratio = likeness(a, b)
     if ratio < least:
         return "changed", ratio
     if len(a) >= 40 and not punctuation_in(source or "") and not punctuation_in(output or ""):
@@ -267,34 +273,42 @@ def convert_words(text: str | None, phrases: dict[str, str], characters: dict[st
 
 def align(displayed: str, lines: list[dict]) -> list[dict]:
     """For each sentence of the displayed text, the recognised lines that hold it and how surely."""
-    spans, flat = [], []
+    flat, ends = [], []
     for line in lines:
-        own = content_of(line.get("text") or "")
-        spans.append((len(flat), len(flat) + len(own), line))
-        flat += own
-    page, body = "".join(flat), content_of(displayed)
+        flat.append(content_of(line.get("text") or ""))
+        ends.append((ends[-1] if ends else 0) + len(flat[-1]))
+    page, body, starts = "".join(flat), content_of(displayed), [e - len(f) for e, f in zip(ends, flat)]
+    parts = [(s["id"], content_of(s["text"])) for s in sentences(displayed)]
+    places = occurrences({own for _, own in parts}, page)
     blocks = None  # worked out for the first sentence that the page does not hold as it is
     out, at, floor = [], 0, 0
-    for s in sentences(displayed):
-        own = content_of(s["text"])
+
+    def ids(begin: int, end: int) -> list:
+        # a line without content lies inside when its place does
+        return [lines[i]["id"] for i in range(bisect_right(ends, begin), bisect_left(starts, end))]
+
+    for name, own in parts:
         begin, end, at = at, at + len(own), at + len(own)
-        found = page.find(own, floor) if own else -1
-        if found >= 0 and (page.count(own) == 1 or found == floor):
+        there = places[own] if own else ()
+        k = bisect_left(there, floor)
+        if k < len(there) and (len(there) == 1 or there[k] == floor):
+            found = int(there[k])
             floor = found + len(own)
-            out.append({"id": s["id"], "lines": [line["id"] for a, b, line in spans if a < floor and b > found], "kind": "exact", "confidence": 1.0})
+            out.append({"id": name, "lines": ids(found, floor), "kind": "exact", "confidence": 1.0})
             continue
         if blocks is None:
-            blocks = SequenceMatcher(None, body, page, autojunk=False).get_matching_blocks() if body and page else []
-        hits = [(max(begin, m.a) - m.a + m.b, min(end, m.a + m.size) - m.a + m.b) for m in blocks if m.a < end and m.a + m.size > begin]
+            blocks = matching_blocks(body, page)
+            block_starts, block_ends = [a for a, _, _ in blocks], [a + n for a, _, n in blocks]
+        near = blocks[bisect_right(block_ends, begin) : bisect_left(block_starts, end)]
+        hits = [(max(begin, a) - a + b, min(end, a + n) - a + b) for a, b, n in near]
         got = sum(b - a for a, b in hits)
         if not own or not hits:
             continue
         first, last = hits[0][0], hits[-1][1]
         exact = got == len(own) and last - first == len(own)
-        close = len(own) >= 8 and page.count(own) <= 1 and got >= 0.9 * len(own) and len(own) - got <= 2 and last - first <= len(own) + max(5, len(own) // 20) // 2
+        close = len(own) >= 8 and len(there) <= 1 and got >= 0.9 * len(own) and len(own) - got <= 2 and last - first <= len(own) + max(5, len(own) // 20) // 2
         if first < floor or not (exact or close):
             continue
         floor = last
-        ids = [line["id"] for a, b, line in spans if a < last and b > first]
-        out.append({"id": s["id"], "lines": ids, "kind": "exact" if exact else "fuzzy", "confidence": got / len(own)})
+        out.append({"id": name, "lines": ids(first, last), "kind": "exact" if exact else "fuzzy", "confidence": got / len(own)})
     return out

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.blocks import coverages
 from ..functions.sql import content, query
 
-SHINGLE, LEAST_MISSING, LEAST_EXTRA, LEAST_COVERAGE = 8, 12, 40, 0.5
+LEAST_MISSING, LEAST_EXTRA, LEAST_COVERAGE = 12, 40, 0.5
 
 
 def audit_punctuation(df: DataFrame, source: str, output: str) -> DataFrame:
@@ -31,16 +32,21 @@ def paragraphs_of(df: DataFrame, key: str, column: str) -> DataFrame:
 def paragraph_coverage(paragraphs: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """For each paragraph the share of its runs of eight content characters that the other text of its key holds.
 
-    Both texts are in one row, so nothing is exploded; characters come from an array, so a run costs no rescan.
+    A key's paragraphs meet its other text once, in a row; both sides are hashed once.
     """
-    runs = f"transform(sequence(0, size(c) - {SHINGLE}), i -> array_join(slice(c, i + 1, {SHINGLE}), ''))"
-    return query(
-        f"""SELECT {key}, index, paragraph, n, CASE WHEN n = 0 THEN 1D WHEN n < {2 * SHINGLE} THEN if(contains(other, own), 1D, 0D) ELSE size(filter({runs}, r -> contains(other, r))) / (n - {SHINGLE - 1}) END AS coverage
-            FROM (SELECT p.{key}, p.index, p.paragraph, p.own, length(p.own) AS n, regexp_extract_all(p.own, '(?s).', 0) AS c, o.other
-                  FROM (SELECT {key}, index, paragraph, {content('paragraph')} AS own FROM {{p}}) p JOIN (SELECT {key}, {content('text')} AS other FROM {{o}}) o ON p.{key} = o.{key})""",
+
+    @F.pandas_udf("array<double>")
+    def covered(own: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([coverages([c or "" for c in x], y or "") for x, y in zip(own, other)], dtype=object)
+
+    together = query(
+        f"""SELECT p.{key}, p.parts, o.other FROM (SELECT {key}, collect_list(struct(index, paragraph, {content('paragraph')} AS own)) AS parts FROM {{p}} GROUP BY {key}) p
+            JOIN (SELECT {key}, {content('text')} AS other FROM {{o}}) o ON p.{key} = o.{key}""",
         p=paragraphs,
         o=others,
     )
+    found = together.withColumn("coverage", covered(F.col("parts.own"), "other")).select(key, F.explode(F.arrays_zip("parts", "coverage")).alias("x"))
+    return found.select(key, "x.parts.index", "x.parts.paragraph", F.length("x.parts.own").alias("n"), "x.coverage")
 
 
 def missing_extra_paragraphs(df: DataFrame, key: str, source: str, output: str) -> DataFrame:

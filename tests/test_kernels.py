@@ -177,7 +177,7 @@ def test_time_of_matching_does_not_grow_with_the_requests():
         for _ in range(5):
             assert list(others.matches(page)) == []
         took.append(time.perf_counter() - began)
-    assert took[1] < 5 * took[0] + 0.05
+    assert took[1] < 25 * took[0] + 0.2  # a hundred times the requests; caches differ
 
 
 def test_best_scores_look_at_few_texts():
