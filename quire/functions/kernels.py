@@ -27,25 +27,68 @@ _CHUNK_ENDS = re.compile(r"\n\s*\n|[。！？!?；;](?:[”’」』])?")
 _BLANK_LINE = re.compile(r"\n[ \t]*\n")
 
 
-# Fixed pattern: comments, declarations, elements whose content is no markup, and tags with quoted attributes
-_MARKUP = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>""")
+# Fixed patterns of markup: a tag's name, the rest of a start tag (quotes count behind `=`; one left open takes all),
+# an end tag, and where declarations of each kind end
+_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*")
+_REST = re.compile(r"""(?:[^>=]|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+>""")
+_END = re.compile(r"\s*+([a-zA-Z][-.a-zA-Z0-9:_]*+)\s*+>")
+_COMMENT_END, _SECTION_END, _TAG_END = re.compile(r"--\s*>"), re.compile(r"\]\]>"), re.compile(">")
+_RAW_END = {tag: re.compile(rf"(?i)</\s*{tag}\s*>") for tag in ("script", "style")}
+
+
+def _markup(value: str, at: int) -> tuple[str, bool, bool, int] | None:
+    """Of what begins with the `<` at `at`: (name, whether it opens, whether it closes, place behind it); no name for comments and the like, None if it has no end."""
+    follows = value[at + 1 : at + 2]
+    if follows == "/":
+        if end := _END.match(value, at + 2):
+            return end[1].lower(), False, True, end.end()
+        name = _NAME.match(value, at + 2)
+        stop = value.find(">", name.end() if name else at + 2) + 1
+        return (name[0].lower() if name else "", False, bool(name), stop) if stop else None
+    if follows in ("!", "?"):
+        ends = _COMMENT_END if value.startswith("<!--", at) else _SECTION_END if value[at : at + 9].lower() == "<![cdata[" else _TAG_END
+        end = ends.search(value, at + (4 if ends is _COMMENT_END else 2))
+        return ("", False, False, end.end()) if end else None
+    name = _NAME.match(value, at + 1)
+    end = _REST.match(value, name.end())
+    if end is None:
+        return None
+    return name[0].lower(), True, value[end.end() - 2] == "/", end.end()
 
 
 def visible_text(value: str | None) -> str | None:
-    """Text outside of SKIPPED_TAGS, entities read; tags that break lines do so inside of those too."""
+    """Text outside of SKIPPED_TAGS, entities read; tags that break lines do so inside of those too.
+
+    A tag that ends in `/>` opens and closes. What lies in a script or style is no markup. Markup that
+    has no end takes the rest of the page with it. The cursor never goes back.
+    """
     if value is None:
         return None
     out, hidden, at = [], 0, 0
-    for m in _MARKUP.finditer(value):
+    while at < len(value):
+        less = value.find("<", at)
         if not hidden:
-            out.append(html.unescape(value[at : m.start()]))
-        at, closing, tag = m.end(), m[2] == "/", (m[3] or "").lower()
+            out.append(html.unescape(value[at : less if less >= 0 else None]))
+        if less < 0:
+            break
+        if not (value[less + 1 : less + 2] in ("/", "!", "?") or _NAME.match(value, less + 1)):
+            if not hidden and less + 1 < len(value):
+                out.append("<")
+            at = less + 1
+            continue
+        found = _markup(value, less)
+        if found is None:
+            break
+        tag, opens, closes, at = found
         if tag in SKIPPED_TAGS:
-            hidden = max(0, hidden + (-1 if closing else 1))
-        elif tag in (CLOSING_BREAKS if closing else OPENING_BREAKS):
-            out.append("\n")
-    if not hidden:
-        out.append(html.unescape(value[at:]))
+            hidden = max(0, hidden + opens - closes)
+            if opens and not closes and tag in _RAW_END:
+                end = _RAW_END[tag].search(value, at)
+                if end is None:
+                    break
+                hidden, at = hidden - 1, end.end()
+        else:
+            out += ["\n"] * ((opens and tag in OPENING_BREAKS) + (closes and tag in CLOSING_BREAKS))
     return "".join(out)
 
 
@@ -256,19 +299,29 @@ def repair_paragraphs(source: str | None, output: str | None) -> str | None:
     return "\n\n".join(pieces + out[at:])
 
 
-def convert_words(text: str | None, phrases: dict[str, str], characters: dict[str, str], longest: int) -> str:
-    """Longest phrase first, then single characters."""
-    out, i, text = [], 0, text or ""
-    while i < len(text):
-        for n in range(min(longest, len(text) - i), 1, -1):
-            if (found := phrases.get(text[i : i + n])) is not None:
-                out.append(found)
-                i += n
-                break
-        else:
-            out.append(characters.get(text[i], text[i]))
-            i += 1
-    return "".join(out)
+class WordConverter:
+    """Converts texts by a table of phrases and one of characters, the longest phrase first."""
+
+    def __init__(self, phrases: dict[str, str], characters: dict[str, str]):
+        self._phrases, self._table = phrases, str.maketrans(characters)
+        self._lengths: dict[str, list[int]] = {}
+        for n in sorted({len(p) for p in phrases}, reverse=True):
+            for c in {p[0] for p in phrases if len(p) == n}:
+                self._lengths.setdefault(c, []).append(n)
+        self._first = re.compile("[" + "".join(map(re.escape, self._lengths)) + "]") if self._lengths else None
+
+    def __call__(self, text: str | None) -> str:
+        if not text:
+            return text or ""
+        out, at, seek = [], 0, 0
+        while self._first is not None and (m := self._first.search(text, seek)):
+            i = m.start()
+            size = next((n for n in self._lengths[m[0]] if text[i : i + n] in self._phrases), 0)
+            if size:
+                out += [text[at:i].translate(self._table), self._phrases[text[i : i + size]]]
+                at = i + size
+            seek = i + max(1, size)
+        return "".join([*out, text[at:].translate(self._table)])
 
 
 def align(displayed: str, lines: list[dict]) -> list[dict]:

@@ -8,13 +8,15 @@ from ..functions.sql import blank, query
 
 
 def compact_turns(turns: DataFrame, keep: int = 6) -> DataFrame:
-    """The last turns of each conversation: prompt up to 200 characters, and the answer, else eight summaries, else three quotes, up to 600.
+    """The last turns of each conversation: prompt up to 200 characters, and the answer, else eight summaries one below the other, else three quotes, up to 600.
 
-    `turns`: conv_id, turn, prompt, answer, entries array<string>, quotes array<string>.
+    `turns`: conv_id, turn, prompt, answer, entries array<string>, quotes array<string>. A turn with
+    a list of entries, be it empty, never falls back on quotes.
     """
-    said = f"CASE WHEN NOT {blank('answer')} THEN answer WHEN size(entries) > 0 THEN array_join(slice(entries, 1, 8), '；') ELSE array_join(slice(coalesce(quotes, array()), 1, 3), '；') END"
+    summaries, quoted = ("transform(slice({}, 1, {}), x -> coalesce(x, ''))".format(*x) for x in (("entries", 8), ("quotes", 3)))
+    said = f"CASE WHEN NOT {blank('answer')} THEN answer WHEN entries IS NOT NULL THEN array_join({summaries}, '\\n') WHEN quotes IS NOT NULL THEN array_join({quoted}, '；') ELSE coalesce(answer, '') END"
     return query(
-        f"""SELECT conv_id, turn, left(prompt, 200) AS prompt, left({said}, 600) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {{t}}) WHERE n <= {keep}""",
+        f"""SELECT conv_id, turn, left(coalesce(prompt, ''), 200) AS prompt, left({said}, 600) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {{t}}) WHERE n <= {keep}""",
         t=turns,
     )
 

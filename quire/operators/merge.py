@@ -46,13 +46,22 @@ def merge_conversations(stored: DataFrame, incoming: DataFrame, listed: DataFram
     )
 
 
-def soft_delete(documents: DataFrame, pages: DataFrame, ids: DataFrame, owner_id: int) -> DataFrame:
-    """(kind, id) of live rows that deleting an owner's documents takes along. Ids are trimmed and distinct."""
+def soft_delete(documents: DataFrame, pages: DataFrame, files: DataFrame, jobs: DataFrame, ids: DataFrame, owner_id: int) -> DataFrame:
+    """(kind, id, action) of the rows that deleting an owner's documents takes along: documents, their live pages and files are deleted, their jobs cancelled.
+
+    Ids are trimmed and distinct. `files`: file_id, document_id, is_deleted; `jobs`: document_id; `pages` may have is_deleted.
+    """
+    live = "WHERE NOT p.is_deleted" if "is_deleted" in pages.columns else ""
     return query(
-        f"""WITH gone AS (SELECT d.document_id FROM {{d}} d LEFT SEMI JOIN (SELECT DISTINCT trim(document_id) AS id FROM {{i}}) i ON d.document_id = i.id WHERE d.owner_id = {owner_id} AND NOT d.is_deleted)
-            SELECT 'document' AS kind, document_id AS id FROM gone UNION ALL SELECT 'page', p.page_id FROM {{p}} p LEFT SEMI JOIN gone g ON p.document_id = g.document_id""",
+        f"""WITH gone AS (SELECT d.document_id FROM {{d}} d LEFT SEMI JOIN (SELECT DISTINCT trim(document_id) AS id FROM {{i}} WHERE trim(document_id) <> '') i ON d.document_id = i.id WHERE d.owner_id = {owner_id} AND NOT d.is_deleted)
+            SELECT 'document' AS kind, document_id AS id, 'deleted' AS action FROM gone
+            UNION ALL SELECT 'page', p.page_id, 'deleted' FROM {{p}} p LEFT SEMI JOIN gone g ON p.document_id = g.document_id {live}
+            UNION ALL SELECT 'file', f.file_id, 'deleted' FROM {{f}} f LEFT SEMI JOIN gone g ON f.document_id = g.document_id WHERE NOT f.is_deleted
+            UNION ALL SELECT 'job', j.document_id, 'cancelled' FROM {{j}} j LEFT SEMI JOIN gone g ON j.document_id = g.document_id""",
         d=documents,
         p=pages,
+        f=files,
+        j=jobs,
         i=ids,
     )
 
@@ -92,18 +101,19 @@ def retire_visual_files(files: DataFrame, visuals: DataFrame) -> DataFrame:
 def user_snapshot(documents: DataFrame, pages: DataFrame, users: DataFrame, user_id: int) -> DataFrame:
     """What a user sees: live own and public documents with owner name, edit right and pages, in order; foreign owner ids are hidden.
 
-    Documents are numbered by ranges of (sort_order, document_id), each range after those before it.
+    The order is by sort_order, then the latest updated_at, then id. Documents are numbered by ranges of
+    it, each range after those before it.
     """
     seen = query(
-        f"""SELECT d.document_id, u.name AS owner_name, d.owner_id = {user_id} AS can_edit, if(d.owner_id = {user_id}, d.owner_id, NULL) AS owner_id, d.sort_order
+        f"""SELECT d.document_id, u.name AS owner_name, d.owner_id = {user_id} AS can_edit, if(d.owner_id = {user_id}, d.owner_id, NULL) AS owner_id, d.sort_order, d.updated_at
             FROM {{d}} d JOIN {{u}} u ON d.owner_id = u.user_id AND NOT u.is_deleted WHERE NOT d.is_deleted AND (d.owner_id = {user_id} OR d.visibility = 'public')""",
         d=documents,
         u=users,
     )
-    ranges = staged(seen.repartitionByRange("sort_order", "document_id").withColumn("range", F.spark_partition_id()), "snapshot-ranges")
+    ranges = staged(seen.repartitionByRange("sort_order", F.desc("updated_at"), "document_id").withColumn("range", F.spark_partition_id()), "snapshot-ranges")
     # offsets: a row for each range
     return query(
-        """SELECT r.document_id, r.owner_name, r.can_edit, r.owner_id, coalesce(p.pages, array()) AS pages, o.before + row_number() OVER (PARTITION BY r.range ORDER BY r.sort_order, r.document_id) AS position
+        """SELECT r.document_id, r.owner_name, r.can_edit, r.owner_id, coalesce(p.pages, array()) AS pages, o.before + row_number() OVER (PARTITION BY r.range ORDER BY r.sort_order, r.updated_at DESC, r.document_id) AS position
            FROM {r} r JOIN (SELECT range, sum(n) OVER (ORDER BY range) - n AS before FROM (SELECT range, count(*) AS n FROM {r} GROUP BY range)) o ON r.range = o.range
            LEFT JOIN (SELECT document_id, sort_array(collect_list(struct(page_number, page_id))) AS pages FROM {p} GROUP BY document_id) p ON r.document_id = p.document_id""",
         r=ranges,
@@ -111,18 +121,73 @@ def user_snapshot(documents: DataFrame, pages: DataFrame, users: DataFrame, user
     )
 
 
+def user_conversations(conversations: DataFrame, shares: DataFrame, user_id: int) -> DataFrame:
+    """A user's live conversations in order, each with its active share if it has one.
+
+    `conversations`: conv_id, owner_id, is_deleted, sort_order, updated_at; `shares`: conv_id, token,
+    selected_turns, active, is_deleted.
+    """
+    return query(
+        f"""SELECT c.conv_id, c.owner_id, s.token, s.selected_turns, row_number() OVER (PARTITION BY c.owner_id ORDER BY c.sort_order, c.updated_at DESC, c.conv_id) AS position
+            FROM {{c}} c LEFT JOIN (SELECT conv_id, min_by(token, token) AS token, min_by(selected_turns, token) AS selected_turns FROM {{s}} WHERE active AND NOT is_deleted GROUP BY conv_id) s ON c.conv_id = s.conv_id
+            WHERE c.owner_id = {user_id} AND NOT c.is_deleted""",
+        c=conversations,
+        s=shares,
+    )
+
+
+def _copied(user_id: int, column: str) -> str:
+    """The id that a user's copy of a row gets."""
+    return f"left(sha2(concat_ws(':', {user_id}, {column}), 256), 32)"
+
+
 def clone_documents(documents: DataFrame, pages: DataFrame, user_id: int) -> DataFrame:
     """Pages of copies of all public documents of others, under ids that follow from user and source."""
-    new = "left(sha2(concat_ws(':', '{}', {}), 256), 32)"
     return query(
-        f"""SELECT {new.format(user_id, 'd.document_id')} AS document_id, {new.format(user_id, 'p.page_id')} AS page_id, p.page_number, d.document_id AS source_document_id, {user_id} AS owner_id,
-                   if(bool_and(p.punctuated_text IS NOT NULL) OVER (PARTITION BY d.document_id), 'complete', 'partial') AS status
+        f"""SELECT {_copied(user_id, 'd.document_id')} AS document_id, {_copied(user_id, 'p.page_id')} AS page_id, p.page_number, d.document_id AS source_document_id, {user_id} AS owner_id,
+                   if(bool_and(coalesce(p.punctuated_text, '') <> '') OVER (PARTITION BY d.document_id), 'complete', 'partial') AS status
             FROM {{d}} d JOIN {{p}} p ON d.document_id = p.document_id WHERE d.owner_id <> {user_id} AND d.visibility = 'public' AND NOT d.is_deleted""",
         d=documents,
         p=pages,
     )
 
 
+def clone_headers(documents: DataFrame, pages: DataFrame, users: DataFrame, user_id: int) -> DataFrame:
+    """The copies themselves: private, with where they come from, who made the source and who copied it.
+
+    `documents` may have `creator`; without one the owner's name counts. A copy is complete if it has pages
+    and all of them have text.
+    """
+    creator = "coalesce(d.creator, o.name)" if "creator" in documents.columns else "o.name"
+    return query(
+        f"""SELECT {_copied(user_id, 'd.document_id')} AS document_id, {user_id} AS owner_id, 'private' AS visibility, d.title, d.document_id AS source_document_id, coalesce({creator}, 'unknown') AS creator, m.name AS modifier,
+                   if(coalesce(p.complete, false), 'complete', 'partial') AS status
+            FROM {{d}} d LEFT JOIN {{u}} o ON d.owner_id = o.user_id LEFT JOIN {{u}} m ON m.user_id = {user_id}
+            LEFT JOIN (SELECT document_id, bool_and(coalesce(punctuated_text, '') <> '') AS complete FROM {{p}} GROUP BY document_id) p ON d.document_id = p.document_id
+            WHERE d.owner_id <> {user_id} AND d.visibility = 'public' AND NOT d.is_deleted""",
+        d=documents,
+        u=users,
+        p=pages,
+    )
+
+
+def clone_files(documents: DataFrame, pages: DataFrame, files: DataFrame, user_id: int) -> DataFrame:
+    """File records of the copies: those of the document itself and those of pages that are copied, under the copies' ids.
+
+    `files`: document_id, page_id (null for the document's own), role, sha256, size, is_deleted. The id is
+    document, page and role.
+    """
+    page = f"if(f.page_id IS NULL, '', {_copied(user_id, 'f.page_id')})"
+    return query(
+        f"""SELECT concat_ws(':', {_copied(user_id, 'd.document_id')}, {page}, f.role) AS file_id, {_copied(user_id, 'd.document_id')} AS document_id, nullif({page}, '') AS page_id, f.role, f.sha256, f.size
+            FROM {{f}} f JOIN {{d}} d ON f.document_id = d.document_id LEFT JOIN {{p}} p ON f.page_id = p.page_id AND f.document_id = p.document_id
+            WHERE NOT f.is_deleted AND (f.page_id IS NULL OR p.page_id IS NOT NULL) AND d.owner_id <> {user_id} AND d.visibility = 'public' AND NOT d.is_deleted""",
+        d=documents,
+        p=pages,
+        f=files,
+    )
+
+
 def latest_by_key(rows: DataFrame, keys: list[str], at: str, tie: str, keep: str = "true") -> DataFrame:
     """The last row of each key; keys whose last row fails `keep` are left out."""
     key = ", ".join(keys)

@@ -37,13 +37,21 @@ def failed_pages(pages: DataFrame) -> DataFrame:
     return query("SELECT document_id, sort_array(collect_list(struct(page_number, stage, message))) AS failures FROM {p} WHERE stage IS NOT NULL GROUP BY document_id", p=pages)
 
 
-def preparation_state(jobs: DataFrame) -> DataFrame:
-    """Per document (document_id, status of each job): stage by priority and percent; none when all are ready."""
+def preparation_state(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per document with sources or jobs that are not all ready: stage by priority, jobs ready and in all, percent, and how many failed.
+
+    `jobs`: document_id and status of each; `sources`: document_id of live pages with text. A
+    document without jobs yet waits in the queue.
+    """
     return query(
-        """SELECT document_id, CASE WHEN running > 0 THEN 'running' WHEN pending > 0 THEN 'pending' WHEN waiting > 0 THEN 'waiting' ELSE 'failed' END AS stage, least(99, 25 + cast(bround(75 * ready / total) AS int)) AS percent
-           FROM (SELECT document_id, count(*) AS total, count_if(status = 'ready') AS ready, count_if(status = 'running') AS running, count_if(status = 'pending') AS pending, count_if(status = 'waiting') AS waiting FROM {j} GROUP BY document_id)
-           WHERE ready < total""",
+        """SELECT document_id, CASE WHEN running > 0 THEN 'running' WHEN pending > 0 THEN 'queued' WHEN waiting > 0 THEN 'waiting' WHEN failed > 0 THEN 'failed' ELSE 'queued' END AS stage, ready, total,
+                  if(total = 0, 25, least(99, 25 + cast(bround(75 * ready / total) AS int))) AS percent, failed
+           FROM (SELECT coalesce(j.document_id, s.document_id) AS document_id, coalesce(total, 0) AS total, coalesce(ready, 0) AS ready, running, pending, waiting, coalesce(failed, 0) AS failed
+                 FROM (SELECT document_id, count(*) AS total, count_if(status = 'ready') AS ready, count_if(status = 'running') AS running, count_if(status = 'pending') AS pending, count_if(status = 'waiting') AS waiting, count_if(status = 'failed') AS failed FROM {j} GROUP BY document_id) j
+                 FULL OUTER JOIN (SELECT DISTINCT document_id FROM {s}) s ON j.document_id = s.document_id)
+           WHERE total = 0 OR ready < total""",
         j=jobs,
+        s=sources,
     )
 
 

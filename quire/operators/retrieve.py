@@ -360,12 +360,20 @@ def interleave_materials(library: DataFrame, attachments: DataFrame) -> DataFram
     )
 
 
-def retrieval_summary(requests: DataFrame, fused: DataFrame) -> DataFrame:
-    """Per query: whether vectors, literals or nothing matched, and how many of each."""
+def retrieval_summary(requests: DataFrame, fused: DataFrame, known: DataFrame) -> DataFrame:
+    """Per query: whether vectors, literals or nothing matched, how many of each, and warnings.
+
+    `known`: query_id, candidates (texts that were searched), indexed_pages, total_pages, stale_hits.
+    Warned of are a search that found nothing in what there was, an index that does not cover all pages
+    yet, and hits dropped because their text changed.
+    """
     return query(
-        """SELECT r.query_id, CASE WHEN count_if(contains(f.matched_by, 'semantic')) > 0 THEN 'hybrid' WHEN count(f.chunk_id) > 0 THEN 'literal' ELSE 'empty' END AS mode,
-                  count(f.chunk_id) AS hits, count_if(f.matched_by = 'literal,semantic') AS both_ways
-           FROM {r} r LEFT JOIN {f} f ON r.query_id = f.query_id GROUP BY r.query_id""",
+        """SELECT f.query_id, f.mode, f.hits, f.both_ways,
+                  array_compact(array(if(f.hits = 0 AND k.candidates > 0, 'no relevant material', NULL), if(k.indexed_pages < k.total_pages, concat('index covers ', k.indexed_pages, ' of ', k.total_pages, ' pages'), NULL), if(k.stale_hits > 0, 'material changed meanwhile', NULL))) AS warnings
+           FROM (SELECT r.query_id, CASE WHEN count_if(contains(f.matched_by, 'semantic')) > 0 THEN 'hybrid' WHEN count(f.chunk_id) > 0 THEN 'literal' ELSE 'empty' END AS mode,
+                        count(f.chunk_id) AS hits, count_if(f.matched_by = 'literal,semantic') AS both_ways
+                 FROM {r} r LEFT JOIN {f} f ON r.query_id = f.query_id GROUP BY r.query_id) f LEFT JOIN {k} k ON f.query_id = k.query_id""",
         r=requests,
         f=fused,
+        k=known,
     )

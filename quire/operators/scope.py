@@ -140,14 +140,21 @@ def merge_metadata(documents: DataFrame, extracted: DataFrame, fields: tuple[str
 def three_way_merge(stored: DataFrame, baseline: DataFrame, incoming: DataFrame) -> DataFrame:
     """Fields and page text of a client's copy against what is stored.
 
-    Rows: page_id, revision, title, text, notes. With the stored revision the client's values
-    count; with an older one the title counts only where the client changed it from the baseline,
-    the text not at all, the notes always.
+    `stored`: page_id, revision, page_revision, title, text, notes, active (its job still runs),
+    proofread; `baseline`: page_id, title; `incoming`: page_id, revision, page_revision, title, text,
+    notes, null for what the client did not send.
+
+    With the stored revision the client's title counts; with another one only where a baseline shows
+    that the client changed it. The text counts if the page's own revision is the stored one and no
+    job works on the page, or it has been proofread; notes always. A missing revision is 0 in
+    store and older than any at a client.
     """
+    current = "coalesce(i.revision, -1) = coalesce(s.revision, 0)"
+    own_text = "i.text IS NOT NULL AND (NOT coalesce(s.active, false) OR coalesce(s.proofread, false)) AND coalesce(i.page_revision, -1) = coalesce(s.page_revision, 0)"
     return query(
-        """SELECT s.page_id, CASE WHEN i.page_id IS NULL THEN s.title WHEN i.revision = s.revision OR NOT (i.title <=> b.title) THEN i.title ELSE s.title END AS title,
-                  CASE WHEN i.page_id IS NOT NULL AND i.revision = s.revision THEN i.text ELSE s.text END AS text, CASE WHEN i.page_id IS NULL THEN s.notes ELSE i.notes END AS notes
-           FROM {s} s LEFT JOIN {i} i ON s.page_id = i.page_id LEFT JOIN {b} b ON s.page_id = b.page_id""",
+        f"""SELECT s.page_id, CASE WHEN i.page_id IS NULL THEN s.title WHEN {current} OR (b.title IS NOT NULL AND coalesce(i.title, '') <> b.title) THEN i.title ELSE coalesce(s.title, '') END AS title,
+                  CASE WHEN i.page_id IS NOT NULL AND {own_text} THEN i.text ELSE s.text END AS text, coalesce(i.notes, s.notes) AS notes
+           FROM {{s}} s LEFT JOIN {{i}} i ON s.page_id = i.page_id LEFT JOIN {{b}} b ON s.page_id = b.page_id""",
         s=stored,
         i=incoming,
         b=baseline,

@@ -42,16 +42,31 @@ def explode_sources(pages: DataFrame) -> DataFrame:
     )
 
 
-def variant_converter(phrases: dict[str, str], characters: dict[str, str]):
-    """A column function that converts a text by a phrase and a character table, longest phrase first.
+# Names of the two scripts
+VARIANTS = {
+    "simplified": ("simplified", "s", "hans", "zh-hans", "zh-cn", "cn"),
+    "traditional": ("traditional", "t", "hant", "zh-hant", "zh-tw", "zh-hk", "tw", "hk"),
+}
 
-    Tables are dictionaries of one script, a bounded resource that goes with the function.
+
+def variant_of(name: str | None) -> str:
+    """The script that a name means; simplified for none and for unknown names."""
+    plain = (name or "").strip().lower()
+    return next((v for v, names in VARIANTS.items() if plain in names), "simplified")
+
+
+def variant_converter(tables: dict[str, tuple[dict[str, str], dict[str, str]]], variant: str | None = None):
+    """A column function that converts texts to a script; null becomes empty.
+
+    `tables`: for each script, the phrases and the characters that lead to it, dictionaries
+    of bounded size that go with the function. Longer phrases go first, then characters; a script
+    without tables changes nothing.
     """
-    longest = max(map(len, phrases), default=1)
+    phrases, characters = tables.get(variant_of(variant), ({}, {}))
 
     @F.pandas_udf("string")
     def convert(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: kernels.convert_words(t, phrases, characters, longest), na_action=None)
+        return text.map(kernels.WordConverter(phrases, characters), na_action=None)
 
     return convert
 

@@ -12,13 +12,13 @@ from .registry import job
 
 def _turns(spark, sf):
     return query(
-        "SELECT conv_id, turn, text AS prompt, if(turn % 3 = 0, text, NULL) AS answer, if(turn % 3 = 1, split(text, ' '), cast(array() AS array<string>)) AS entries, split(text, '\\n') AS quotes FROM {c}",
+        "SELECT conv_id, turn, text AS prompt, if(turn % 3 = 0, text, NULL) AS answer, if(turn % 3 = 1, split(text, ' '), NULL) AS entries, split(text, '\\n') AS quotes FROM {c}",
         c=C.table(spark, sf, "conversations"),
     )
 
 
 @job(r"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
-SELECT conv_id, turn, left(text, 200) AS prompt, left(CASE WHEN turn%3=0 AND trim(text, E' \n\t\r') <> '' THEN text WHEN turn%3=1 THEN array_to_string(list_slice(string_split(text,' '),1,8),'；') ELSE array_to_string(list_slice(string_split(text,chr(10)),1,3),'；') END, 600) AS said FROM t WHERE n <= 6""")
+SELECT conv_id, turn, left(text, 200) AS prompt, left(CASE WHEN turn%3=0 AND trim(text, E' \n\t\r') <> '' THEN text WHEN turn%3=1 THEN array_to_string(list_slice(string_split(text,' '),1,8),chr(10)) ELSE array_to_string(list_slice(string_split(text,chr(10)),1,3),'；') END, 600) AS said FROM t WHERE n <= 6""")
 def compact_turns(spark, sf):
     return evidence.compact_turns(_turns(spark, sf))
 

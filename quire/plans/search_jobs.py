@@ -105,12 +105,14 @@ def merge_metadata(spark, sf):
     return scope.merge_metadata(d.selectExpr("document_id", "if(sort_order % 5 = 0, ' ', title) AS title", "author", "if(sort_order % 7 = 0, NULL, year) AS year", "publisher"), d.selectExpr("document_id", "concat('found ', title) AS title", "author", "'1900' AS year", "publisher"))
 
 
-@job("""SELECT page_id, CASE WHEN page_number%5=4 OR (page_number%3=2 AND page_number%2=0) THEN 'stored' ELSE 'client' END AS title, CASE WHEN page_number%5<>4 AND page_number%3<>2 THEN 'edited' ELSE ocr_text END AS text, CASE WHEN page_number%5=4 THEN notes ELSE 'mine' END AS notes FROM cp""", "cp")
+@job("""SELECT page_id, CASE WHEN page_number%5=4 THEN 'stored' WHEN page_number%3<>2 THEN 'client' WHEN page_number%4=1 THEN 'stored' WHEN page_number%2=0 THEN 'stored' ELSE 'client' END AS title,
+  CASE WHEN page_number%5<>4 AND page_number%6<>3 AND page_number%3<>0 AND (page_number%4<>2 OR page_number%7=1) THEN 'edited' ELSE ocr_text END AS text, CASE WHEN page_number%5=4 OR page_number%9=5 THEN notes ELSE 'mine' END AS notes FROM cp""", "cp")
 def three_way_merge(spark, sf):
+    """Revisions differ on every third page, a baseline is missing on every fourth, on the others every second title is unchanged."""
     p = C.corpus_pages(spark, sf)
-    stored = p.selectExpr("page_id", "3 AS revision", "'stored' AS title", "ocr_text AS text", "notes")
-    base = p.selectExpr("page_id", "if(page_number % 2 = 0, 'client', 'base') AS title")
-    incoming = p.where("page_number % 5 <> 4").selectExpr("page_id", "if(page_number % 3 = 2, 2, 3) AS revision", "'client' AS title", "'edited' AS text", "'mine' AS notes")
+    stored = p.selectExpr("page_id", "3 AS revision", "7 AS page_revision", "'stored' AS title", "ocr_text AS text", "notes", "page_number % 4 = 2 AS active", "page_number % 7 = 1 AS proofread")
+    base = p.where("page_number % 4 <> 1").selectExpr("page_id", "if(page_number % 2 = 0, 'client', 'base') AS title")
+    incoming = p.where("page_number % 5 <> 4").selectExpr("page_id", "if(page_number % 3 = 2, 2, 3) AS revision", "if(page_number % 3 = 0, 6, 7) AS page_revision", "'client' AS title", "if(page_number % 6 = 3, NULL, 'edited') AS text", "if(page_number % 9 = 5, NULL, 'mine') AS notes")
     return scope.three_way_merge(stored, base, incoming)
 
 
@@ -262,11 +264,14 @@ def interleave_materials(spark, sf):
 
 
 @job(f"""WITH {DUCK_SEMANTIC}, {DUCK_LITERAL},
-u AS (SELECT query_id, chunk_id, 'literal' AS side FROM lit WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, 'semantic' FROM sem WHERE rank <= 60), f AS (SELECT query_id // 100 AS query_id, chunk_id, string_agg(side, ',' ORDER BY side) AS m FROM u GROUP BY 1, 2)
-SELECT r.item_id AS query_id, CASE WHEN count(*) FILTER (contains(m, 'semantic')) > 0 THEN 'hybrid' WHEN count(chunk_id) > 0 THEN 'literal' ELSE 'empty' END AS mode, count(chunk_id) AS hits, count(*) FILTER (m = 'literal,semantic') AS both_ways FROM benchmark r LEFT JOIN f ON f.query_id = r.item_id GROUP BY 1""")
+u AS (SELECT query_id, chunk_id, 'literal' AS side FROM lit WHERE rank <= 60 UNION ALL SELECT query_id, chunk_id, 'semantic' FROM sem WHERE rank <= 60), f AS (SELECT query_id // 100 AS query_id, chunk_id, string_agg(side, ',' ORDER BY side) AS m FROM u GROUP BY 1, 2),
+g AS (SELECT r.item_id AS query_id, CASE WHEN count(*) FILTER (contains(m, 'semantic')) > 0 THEN 'hybrid' WHEN count(chunk_id) > 0 THEN 'literal' ELSE 'empty' END AS mode, count(chunk_id) AS hits, count(*) FILTER (m = 'literal,semantic') AS both_ways FROM benchmark r LEFT JOIN f ON f.query_id = r.item_id GROUP BY 1)
+SELECT *, concat_ws(', ', CASE WHEN hits = 0 AND query_id%4 <> 0 THEN 'no relevant material' END, CASE WHEN query_id%5 <> 0 THEN 'index covers ' || (query_id%5) || ' of 5 pages' END, CASE WHEN query_id%3 = 2 THEN 'material changed meanwhile' END) AS warnings FROM g""")
 def retrieval_summary(spark, sf):
-    """Request i asks with the vector of id 100 i."""
-    return retrieve.retrieval_summary(C.requests(spark, sf), _fused(spark, sf).withColumn("query_id", F.expr("query_id div 100")))
+    """Request i asks with the vector of id 100 i; what is known of each request is made up from its number."""
+    known = C.requests(spark, sf).selectExpr("query_id", "if(query_id % 4 = 0, 0, 3) AS candidates", "if(query_id % 5 = 0, 5, query_id % 5) AS indexed_pages", "5 AS total_pages", "if(query_id % 3 = 2, 1, 0) AS stale_hits")
+    found = retrieve.retrieval_summary(C.requests(spark, sf), _fused(spark, sf).withColumn("query_id", F.expr("query_id div 100")), known)
+    return found.withColumn("warnings", F.array_join("warnings", ", "))
 
 
 @job()

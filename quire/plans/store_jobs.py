@@ -41,22 +41,14 @@ def failed_pages(spark, sf):
     return found.selectExpr("document_id", "array_join(transform(failures, f -> concat(f.page_number, ':', f.stage, ':', f.message)), ',') AS failures")
 
 
-@job("""WITH j AS (SELECT user_id AS document_id, CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'waiting' END AS status FROM events WHERE event_id % 50 < user_id % 7),
-g AS (SELECT document_id, count(*) AS total, count(*) FILTER (status='ready') AS ready, count(*) FILTER (status='pending') AS pending, count(*) FILTER (status='waiting') AS waiting FROM j GROUP BY 1)
-SELECT document_id, CASE WHEN pending > 0 THEN 'pending' WHEN waiting > 0 THEN 'waiting' ELSE 'failed' END AS stage, CAST(least(99, 25 + round_even(75 * ready / total, 0)) AS INTEGER) AS percent FROM g WHERE ready < total""")
+@job("""WITH j AS (SELECT user_id AS document_id, CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'view' THEN CASE WHEN user_id%3=0 THEN 'pending' ELSE 'ready' END WHEN 'click' THEN CASE WHEN user_id%7=1 THEN 'running' ELSE 'ready' END ELSE CASE WHEN user_id%5=0 THEN 'waiting' ELSE 'ready' END END AS status FROM events WHERE event_type <> 'error' OR user_id%2=0),
+g AS (SELECT document_id, count(*) AS total, count(*) FILTER (status='ready') AS ready, count(*) FILTER (status='running') AS running, count(*) FILTER (status='pending') AS pending, count(*) FILTER (status='waiting') AS waiting, count(*) FILTER (status='failed') AS failed FROM j GROUP BY 1),
+b AS (SELECT coalesce(g.document_id, d.doc_id) AS document_id, coalesce(total, 0) AS total, coalesce(ready, 0) AS ready, running, pending, waiting, coalesce(failed, 0) AS failed FROM g FULL JOIN (SELECT DISTINCT doc_id FROM documents) d ON g.document_id = d.doc_id)
+SELECT document_id, CASE WHEN running > 0 THEN 'running' WHEN pending > 0 THEN 'queued' WHEN waiting > 0 THEN 'waiting' WHEN failed > 0 THEN 'failed' ELSE 'queued' END AS stage, ready, total, CASE WHEN total = 0 THEN 25 ELSE CAST(least(99, 25 + round_even(75 * ready / total, 0)) AS INTEGER) END AS percent, failed FROM b WHERE total = 0 OR ready < total""")
 def preparation_state(spark, sf):
-    return _preparation_state(C.table(spark, sf, "events").where("event_id % 50 < user_id % 7"))
-
-
-@job()
-def preparation_state_all(spark, sf):
-    """preparation_state of every event."""
-    return _preparation_state(C.table(spark, sf, "events"))
-
-
-def _preparation_state(events):
-    j = events.selectExpr("user_id AS document_id", "CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'waiting' END AS status")
-    return reports.preparation_state(j)
+    status = "CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'view' THEN if(user_id % 3 = 0, 'pending', 'ready') WHEN 'click' THEN if(user_id % 7 = 1, 'running', 'ready') ELSE if(user_id % 5 = 0, 'waiting', 'ready') END"
+    jobs = C.table(spark, sf, "events").where("event_type <> 'error' OR user_id % 2 = 0").selectExpr("user_id AS document_id", f"{status} AS status")
+    return reports.preparation_state(jobs, C.table(spark, sf, "documents").selectExpr("doc_id AS document_id"))
 
 
 @job("SELECT document_id, owner_id FROM cd WHERE sort_order%2=0 AND (sort_order%6=0 OR (sort_order%3<>0 AND document_id IN (SELECT document_id FROM prim)))", "cd prim")
@@ -129,10 +121,12 @@ def merge_conversations(spark, sf):
     return merge.merge_conversations(c.selectExpr("conv_id", "turn AS attachment_id", "'old' AS name", "false AS is_deleted"), c.where("conv_id % 2 = 0").select("conv_id").distinct(), listed)
 
 
-@job("WITH g AS (SELECT document_id FROM cd WHERE owner_id=2 AND NOT is_deleted AND sort_order%4=1) SELECT 'document' AS kind, document_id AS id FROM g UNION ALL SELECT 'page', page_id FROM cp WHERE document_id IN (SELECT document_id FROM g)", "cd cp")
+@job("""WITH g AS (SELECT document_id FROM cd WHERE owner_id=2 AND NOT is_deleted AND sort_order%4=1) SELECT 'document' AS kind, document_id AS id, 'deleted' AS action FROM g UNION ALL SELECT 'page', page_id, 'deleted' FROM cp WHERE document_id IN (SELECT document_id FROM g) AND page_number%6<>0
+UNION ALL SELECT 'file', page_id||':scan', 'deleted' FROM cp WHERE document_id IN (SELECT document_id FROM g) AND page_number%4<>0 UNION ALL SELECT 'job', document_id, 'cancelled' FROM cd WHERE document_id IN (SELECT document_id FROM g) AND sort_order%3=0""", "cd cp")
 def soft_delete(spark, sf):
-    d = C.corpus_documents(spark, sf)
-    return merge.soft_delete(d, C.corpus_pages(spark, sf), d.where("sort_order % 4 = 1").selectExpr("concat(' ', document_id, ' ') AS document_id"), 2)
+    d, p = C.corpus_documents(spark, sf), C.corpus_pages(spark, sf)
+    files = p.selectExpr("concat(page_id, ':scan') AS file_id", "document_id", "page_number % 4 = 0 AS is_deleted")
+    return merge.soft_delete(d, p.withColumn("is_deleted", F.expr("page_number % 6 = 0")), files, d.where("sort_order % 3 = 0").select("document_id"), d.where("sort_order % 4 = 1").selectExpr("concat(' ', document_id, ' ') AS document_id"), 2)
 
 
 @job("""WITH f AS (SELECT document_id, list(page_number ORDER BY page_number) FILTER (page_number%7=3 AND page_number%2=1) AS gone, list(page_number ORDER BY page_number) FILTER (page_number%7=3 AND page_number%2=0) AS rest FROM cp GROUP BY 1)
@@ -158,16 +152,50 @@ def retire_visual_files(spark, sf):
 
 
 @job("""WITH p AS (SELECT document_id, string_agg(page_id, ',' ORDER BY page_number) AS pages FROM cp GROUP BY 1)
-SELECT d.document_id, u.name AS owner_name, d.owner_id=2 AS can_edit, CASE WHEN d.owner_id=2 THEN d.owner_id END AS owner_id, coalesce(pages,'') AS pages, CAST(row_number() OVER (ORDER BY d.sort_order, d.document_id) AS INTEGER) AS position FROM cd d JOIN cu u ON u.user_id=d.owner_id AND NOT u.is_deleted LEFT JOIN p USING (document_id) WHERE NOT d.is_deleted AND (d.owner_id=2 OR visibility='public')""", "cd cp cu")
+SELECT d.document_id, u.name AS owner_name, d.owner_id=2 AS can_edit, CASE WHEN d.owner_id=2 THEN d.owner_id END AS owner_id, coalesce(pages,'') AS pages, CAST(row_number() OVER (ORDER BY d.sort_order%20, d.sort_order*37%101 DESC, d.document_id) AS INTEGER) AS position FROM cd d JOIN cu u ON u.user_id=d.owner_id AND NOT u.is_deleted LEFT JOIN p USING (document_id) WHERE NOT d.is_deleted AND (d.owner_id=2 OR visibility='public')""", "cd cp cu")
 def user_snapshot(spark, sf):
-    return merge.user_snapshot(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf), C.corpus_users(spark, sf), 2).withColumn("pages", F.expr("array_join(pages.page_id, ',')"))
+    d = C.corpus_documents(spark, sf).withColumn("updated_at", F.expr("sort_order * 37 % 101")).withColumn("sort_order", F.expr("sort_order % 20"))
+    return merge.user_snapshot(d, C.corpus_pages(spark, sf), C.corpus_users(spark, sf), 2).withColumn("pages", F.expr("array_join(pages.page_id, ',')"))
+
+
+@job("""WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id%9<>0 AND conv_id%3=1)
+SELECT conv_id, 1 AS owner_id, CASE WHEN conv_id%4=0 THEN 'token-'||conv_id END AS token, CASE WHEN conv_id%4=0 THEN '0,2' END AS selected_turns, CAST(row_number() OVER (ORDER BY conv_id%10, conv_id*31%97 DESC, conv_id) AS INTEGER) AS position FROM c""")
+def user_conversations(spark, sf):
+    """Every third conversation is the user's; every fourth is shared, half of the others were."""
+    c = C.table(spark, sf, "conversations").select("conv_id").distinct()
+    headers = c.selectExpr("conv_id", "cast(conv_id % 3 AS int) AS owner_id", "conv_id % 9 = 0 AS is_deleted", "conv_id % 10 AS sort_order", "conv_id * 31 % 97 AS updated_at")
+    shares = c.where("conv_id % 2 = 0").selectExpr("conv_id", "concat('token-', conv_id) AS token", "array(0, 2) AS selected_turns", "conv_id % 4 = 0 OR conv_id % 6 = 2 AS active", "conv_id % 4 <> 0 AS is_deleted")
+    return merge.user_conversations(headers, shares, 1).withColumn("selected_turns", F.expr("array_join(transform(selected_turns, t -> cast(t AS string)), ',')"))
 
 
-@job("SELECT left(sha256('4:'||d.document_id),32) AS document_id, left(sha256('4:'||p.page_id),32) AS page_id, p.page_number, d.document_id AS source_document_id, 4 AS owner_id, CASE WHEN bool_and(p.punctuated_text IS NOT NULL) OVER (PARTITION BY d.document_id) THEN 'complete' ELSE 'partial' END AS status FROM cd d JOIN cp p USING (document_id) WHERE d.owner_id<>4 AND visibility='public' AND NOT is_deleted", "cd cp")
+#: Public documents that user 4 may copy.
+DUCK_COPIED = "pub AS (SELECT * FROM cd WHERE owner_id<>4 AND visibility='public' AND NOT is_deleted)"
+
+
+@job(f"WITH {DUCK_COPIED} SELECT left(sha256('4:'||d.document_id),32) AS document_id, left(sha256('4:'||p.page_id),32) AS page_id, p.page_number, d.document_id AS source_document_id, 4 AS owner_id, CASE WHEN bool_and(coalesce(p.punctuated_text, '') <> '') OVER (PARTITION BY d.document_id) THEN 'complete' ELSE 'partial' END AS status FROM pub d JOIN cp p USING (document_id)", "cd cp")
 def clone_documents(spark, sf):
     return merge.clone_documents(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf), 4)
 
 
+@job(f"""WITH {DUCK_COPIED}, t AS (SELECT document_id, bool_and(coalesce(punctuated_text, '') <> '') AS complete FROM cp GROUP BY 1)
+SELECT left(sha256('4:'||d.document_id),32) AS document_id, 4 AS owner_id, 'private' AS visibility, d.title, d.document_id AS source_document_id, CASE WHEN sort_order%2=0 THEN 'maker '||sort_order ELSE u.name END AS creator, 'user 4' AS modifier, CASE WHEN complete THEN 'complete' ELSE 'partial' END AS status
+FROM pub d JOIN cu u ON u.user_id = d.owner_id LEFT JOIN t USING (document_id)""", "cd cp cu")
+def clone_headers(spark, sf):
+    d = C.corpus_documents(spark, sf).withColumn("creator", F.expr("if(sort_order % 2 = 0, concat('maker ', sort_order), NULL)"))
+    return merge.clone_headers(d, C.corpus_pages(spark, sf), C.corpus_users(spark, sf), 4)
+
+
+@job(f"""WITH {DUCK_COPIED}, i AS (SELECT left(sha256('4:'||document_id),32) AS new, document_id FROM pub)
+SELECT new||'::source' AS file_id, new AS document_id, NULL AS page_id, 'source' AS role, sha256(document_id) AS sha256, 10 AS size FROM i
+UNION ALL SELECT new||':'||left(sha256('4:'||page_id),32)||':scan', new, left(sha256('4:'||page_id),32), 'scan', sha256(page_id), length(page_text) FROM i JOIN (SELECT p.*, coalesce(ocr_text, '') AS page_text FROM cp p) USING (document_id) WHERE page_number%5<>0""", "cd cp")
+def clone_files(spark, sf):
+    d, p = C.corpus_documents(spark, sf), C.corpus_pages(spark, sf)
+    own = d.selectExpr("document_id", "cast(NULL AS string) AS page_id", "'source' AS role", "sha2(document_id, 256) AS sha256", "10 AS size", "false AS is_deleted")
+    scans = p.selectExpr("document_id", "page_id", "'scan' AS role", "sha2(page_id, 256) AS sha256", "length(coalesce(ocr_text, '')) AS size", "page_number % 5 = 0 AS is_deleted")
+    lost = p.selectExpr("document_id", "concat(page_id, '-gone') AS page_id", "'scan' AS role", "sha2(page_id, 256) AS sha256", "1 AS size", "false AS is_deleted")
+    return merge.clone_files(d, p, own.union(scans).union(lost), 4)
+
+
 @job("WITH r AS (SELECT user_id, CAST(props->>'$.k' AS INTEGER) AS k, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id, CAST(props->>'$.k' AS INTEGER) ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, k, event_id, event_type FROM r WHERE n = 1 AND event_type <> 'error'")
 def latest_by_key(spark, sf):
     r = C.table(spark, sf, "events").selectExpr("user_id", "cast(get_json_object(props, '$.k') AS int) AS k", "ts", "event_id", "event_type")

@@ -15,17 +15,37 @@ def load_corpus(spark, sf):
     return C.load_corpus(C.document_payloads(C.corpus_documents(spark, sf)), C.page_payloads(C.corpus_pages(spark, sf)))
 
 
-@job("""SELECT d.document_id, d.owner_id, d.title, CAST(count(p.page_id) AS BIGINT) AS n_pages, coalesce(string_agg(p.page_id, ',' ORDER BY page_number), '') AS page_ids, coalesce(string_agg(p.ocr_text, '|' ORDER BY page_number), '') AS ocr
-FROM cd d LEFT JOIN cp p USING (document_id) WHERE NOT d.is_deleted GROUP BY ALL""", "cd cp")
+#: Headers of conversations: an owner for each, every ninth of them gone.
+DUCK_HEADERS = "ch AS (SELECT conv_id, CAST(conv_id%7+1 AS INTEGER) AS owner_id, count(*) AS turns FROM conversations WHERE conv_id%9<>0 GROUP BY 1)"
+
+
+def _conversations(spark, sf):
+    return query("SELECT conv_id, cast(conv_id % 7 + 1 AS int) AS owner_id, conv_id % 9 = 0 AS is_deleted, sort_array(collect_list(struct(turn, role, text))) AS turns FROM {c} GROUP BY conv_id", c=C.table(spark, sf, "conversations"))
+
+
+@job(f"""WITH {DUCK_HEADERS} SELECT 'document' AS kind, d.document_id AS id, d.owner_id, d.title, CAST(count(p.page_id) AS BIGINT) AS n_parts, coalesce(string_agg(p.page_id, ',' ORDER BY page_number), '') AS part_ids, coalesce(string_agg(p.ocr_text, '|' ORDER BY page_number), '') AS texts, 9 AS schema_version
+FROM cd d LEFT JOIN cp p USING (document_id) WHERE NOT d.is_deleted GROUP BY ALL
+UNION ALL SELECT 'conversation', CAST(ch.conv_id AS VARCHAR), ch.owner_id, NULL, CAST(count(*) AS BIGINT), string_agg(CAST(c.turn AS VARCHAR), ',' ORDER BY c.turn), string_agg(c.text, '|' ORDER BY c.turn), 9 FROM ch JOIN conversations c USING (conv_id) JOIN cu ON cu.user_id = ch.owner_id GROUP BY ch.conv_id, ch.owner_id""", "cd cp cu")
 def export_snapshot(spark, sf):
-    found = C.export_snapshot(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf))
-    return found.selectExpr("document_id", "owner_id", "title", "cast(size(pages) AS bigint) AS n_pages", "array_join(pages.page_id, ',') AS page_ids", "array_join(pages.ocr_text, '|') AS ocr")
+    found = C.export_snapshot(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf), _conversations(spark, sf), C.corpus_users(spark, sf))
+    return found.selectExpr(
+        "kind", "id", "owner_id", "title", "cast(if(kind = 'document', size(pages), size(turns)) AS bigint) AS n_parts",
+        "if(kind = 'document', array_join(pages.page_id, ','), array_join(transform(turns, t -> cast(t.turn AS string)), ',')) AS part_ids", "if(kind = 'document', array_join(pages.ocr_text, '|'), array_join(turns.text, '|')) AS texts", "schema_version",
+    )
 
 
 @job("SELECT d.document_id, d.owner_id, d.title, p.page_id, p.page_number, p.ocr_text, p.punctuated_text, p.notes FROM cd d JOIN cp p USING (document_id) WHERE NOT d.is_deleted AND d.owner_id IN (SELECT user_id FROM cu WHERE user_id <> 4)", "cd cp cu")
 def import_snapshot(spark, sf):
-    records = C.export_snapshot(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf))
-    return C.import_snapshot(records, C.corpus_users(spark, sf).where("user_id <> 4"))
+    users = C.corpus_users(spark, sf)
+    records = C.export_snapshot(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf), _conversations(spark, sf), users)
+    return C.import_snapshot(records, users.where("user_id <> 4"))
+
+
+@job(f"WITH {DUCK_HEADERS} SELECT ch.conv_id, ch.owner_id, c.turn, c.role, c.text FROM ch JOIN conversations c USING (conv_id) WHERE ch.owner_id IN (SELECT user_id FROM cu WHERE user_id <> 4)", "cd cu")
+def import_conversations(spark, sf):
+    users = C.corpus_users(spark, sf)
+    records = C.export_snapshot(C.corpus_documents(spark, sf), C.corpus_pages(spark, sf), _conversations(spark, sf), users)
+    return C.import_conversations(records, users.where("user_id <> 4")).selectExpr("cast(conv_id AS bigint) AS conv_id", "owner_id", "turn", "role", "text")
 
 
 @job()
@@ -56,13 +76,18 @@ def explode_sources(spark, sf):
     return text.explode_sources(C.corpus_pages(spark, sf).selectExpr("*", visuals))
 
 
-#: A seed of the dictionary, simplified to traditional; a deployment gives its own tables.
-PHRASES, CHARACTERS = {"头发": "頭髮", "发展": "發展"}, {"发": "發", "头": "頭", "国": "國", "学": "學", "书": "書"}
+#: A seed of the dictionary, simplified to traditional and back; a deployment gives its own tables.
+PHRASES, CHARACTERS = {"头发": "頭髮", "发展": "發展", "理发师": "理髮師"}, {"发": "發", "头": "頭", "国": "國", "学": "學", "书": "書", "师": "師"}
+TABLES = {"traditional": (PHRASES, CHARACTERS), "simplified": ({v: k for k, v in PHRASES.items()}, {v: k for k, v in CHARACTERS.items()})}
+#: Letters of the pages as ideographs, so that phrases and characters of the dictionary occur.
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "头发展理师国学书甲头发展师国发头展理发师学书乙丙丁戊"
 
 
-@job("SELECT page_id, coalesce(ocr_text, '') AS converted FROM cp", "cp")
+@job(f"SELECT page_id, translate(replace(replace(replace(h, '理发师', '理髮師'), '头发', '頭髮'), '发展', '發展'), '发头国学书师', '發頭國學書師') AS traditional, h AS simplified FROM (SELECT page_id, coalesce(translate(ocr_text, '{LATIN}', '{HAN}'), '') AS h FROM cp)", "cp")
 def convert_variant(spark, sf):
-    return C.corpus_pages(spark, sf).select("page_id", text.variant_converter(PHRASES, CHARACTERS)("ocr_text").alias("converted"))
+    pages = C.corpus_pages(spark, sf).select("page_id", F.coalesce(F.translate("ocr_text", LATIN, HAN), F.lit("")).alias("h"))
+    there = pages.select("page_id", text.variant_converter(TABLES, "zh-TW")("h").alias("traditional"))
+    return there.select("page_id", "traditional", text.variant_converter(TABLES, "unknown")("traditional").alias("simplified"))
 
 
 @job(r"""SELECT page_id, trim(regexp_replace(array_to_string(list_transform(string_split(ocr_text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10)||chr(10), 'g'), chr(10)) AS layout FROM cp""", "cp")
@@ -232,3 +257,9 @@ def attempt_log_status(spark, sf):
 def shelf_search(spark, sf):
     wanted = C.requests(spark, sf).selectExpr("query_id", "concat('title ', query_id, ' src') AS query")
     return text.shelf_search(C.corpus_documents(spark, sf), wanted, ["title", "author", "year", "publisher", "visibility"])
+
+
+@job("""SELECT p_partkey AS model_id, sha256('{"chunkerVersion": "paragraph-v1", "digest": "' || replace(p_type, '"', '\\"') || '", "dimensions": ' || p_size || ', "documentPrefix": "", "model": "' || replace(p_name, '"', '\\"') || '", "provider": "local", "queryPrefix": "' || replace(p_brand, '"', '\\"') || ': "}') AS fingerprint FROM part""")
+def model_fingerprint(spark, sf):
+    models = C.table(spark, sf, "part").selectExpr("p_partkey AS model_id", "p_name AS model", "p_type AS digest", "cast(p_size AS int) AS dimensions", "'' AS document_prefix", "concat(p_brand, ': ') AS query_prefix", "'local' AS provider", f"'{index.CHUNKER}' AS chunker_version")
+    return index.model_fingerprints(models).select("model_id", "fingerprint")

@@ -82,24 +82,45 @@ def load_corpus(documents: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def export_snapshot(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """One record per live document, its pages nested in order of number; the owner is kept."""
+#: Version of the tables that snapshots are made from and read into.
+SCHEMA_VERSION = 9
+
+
+def export_snapshot(documents: DataFrame, pages: DataFrame, conversations: DataFrame, users: DataFrame) -> DataFrame:
+    """One record per live document, its pages nested in order of number, and per live conversation of a known user; owners are kept.
+
+    `conversations`: conv_id, owner_id, is_deleted, turns array<struct<turn, role, text>>.
+    """
     return query(
-        """SELECT d.document_id, d.owner_id, d.title, coalesce(g.pages, array()) AS pages
-           FROM {d} d LEFT JOIN (
-             SELECT document_id, sort_array(collect_list(struct(page_number, page_id, ocr_text, punctuated_text, notes))) AS pages FROM {p} GROUP BY document_id) g
-             ON d.document_id = g.document_id
-           WHERE NOT d.is_deleted""",
+        f"""SELECT 'document' AS kind, d.document_id AS id, d.owner_id, d.title, coalesce(g.pages, array()) AS pages, NULL AS turns, {SCHEMA_VERSION} AS schema_version
+            FROM {{d}} d LEFT JOIN (
+              SELECT document_id, sort_array(collect_list(struct(page_number, page_id, ocr_text, punctuated_text, notes))) AS pages FROM {{p}} GROUP BY document_id) g
+              ON d.document_id = g.document_id
+            WHERE NOT d.is_deleted
+            UNION ALL SELECT 'conversation', cast(c.conv_id AS string), c.owner_id, NULL, NULL, c.turns, {SCHEMA_VERSION} FROM {{c}} c LEFT SEMI JOIN {{u}} u ON c.owner_id = u.user_id WHERE NOT c.is_deleted""",
         d=documents,
         p=pages,
+        c=conversations,
+        u=users,
     )
 
 
+def _readable(records: DataFrame, users: DataFrame, kind: str) -> DataFrame:
+    """Records of a kind with a known owner; a record of another schema version is an error."""
+    wrong = f"concat('snapshot of schema version ', coalesce(cast(schema_version AS string), 'none'), ', not {SCHEMA_VERSION}')"
+    checked = records.where(F.expr(f"if(schema_version <=> {SCHEMA_VERSION}, true, cast(raise_error({wrong}) AS boolean))"))
+    return query(f"SELECT r.* FROM {{r}} r LEFT SEMI JOIN {{u}} u ON r.owner_id = u.user_id WHERE r.kind = '{kind}'", r=checked, u=users)
+
+
 def import_snapshot(records: DataFrame, users: DataFrame) -> DataFrame:
-    """Page rows of the records of known owners."""
+    """Page rows of the document records of known owners."""
     return query(
-        """SELECT r.document_id, r.owner_id, r.title, p.page_id, p.page_number, p.ocr_text, p.punctuated_text, p.notes
-           FROM {r} r LEFT SEMI JOIN {u} u ON r.owner_id = u.user_id LATERAL VIEW inline(r.pages) p AS page_number, page_id, ocr_text, punctuated_text, notes""",
-        r=records,
-        u=users,
+        """SELECT r.id AS document_id, r.owner_id, r.title, p.page_id, p.page_number, p.ocr_text, p.punctuated_text, p.notes
+           FROM {r} r LATERAL VIEW inline(r.pages) p AS page_number, page_id, ocr_text, punctuated_text, notes""",
+        r=_readable(records, users, "document"),
     )
+
+
+def import_conversations(records: DataFrame, users: DataFrame) -> DataFrame:
+    """Turns of the conversation records of known owners."""
+    return query("SELECT r.id AS conv_id, r.owner_id, t.turn, t.role, t.text FROM {r} r LATERAL VIEW inline(r.turns) t AS turn, role, text", r=_readable(records, users, "conversation"))

@@ -78,7 +78,7 @@ def test_audit_and_repair():
 
 
 def test_conversion_and_decoding():
-    assert k.convert_words("头发发", {"头发": "頭髮"}, {"发": "發"}, 2) == "頭髮發"
+    assert k.WordConverter({"头发": "頭髮"}, {"发": "發"})("头发发") == "頭髮發"
     assert k.decode_bytes("汉字".encode("gb18030")) == "汉字"
     assert k.decode_bytes(b"\xef\xbb\xbfa") == "a"
 
@@ -221,3 +221,51 @@ def test_many_long_requests_fit_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1e9 and {(0, 7), (2, 9)} <= set(zip(t.tolist(), r.tolist()))
+
+
+def test_longest_phrases_first():
+    convert = k.WordConverter({"ab": "1", "abc": "2", "bd": "3"}, {"a": "x", "c": "y"})
+    assert convert("abcabdaab") == "2" + "1" + "d" + "x" + "1" and convert(None) == "" and convert("") == ""
+    assert k.WordConverter({}, {"a": "b"})("aa") == "bb"
+
+
+def test_visible_text_equals_the_standard_parser():
+    from html.parser import HTMLParser
+
+    class Shown(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.depth = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in k.SKIPPED_TAGS:
+                self.depth += 1
+            elif tag in k.OPENING_BREAKS:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            if tag in k.SKIPPED_TAGS:
+                self.depth = max(0, self.depth - 1)
+            elif tag in k.CLOSING_BREAKS:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.depth:
+                self.out.append(data)
+
+    rng = np.random.default_rng(12)
+    parts = ["<p>", "</p>", "<script>", "</script>", "<script/>", "<noscript/>", "<noscript>", "</noscript>", "<style >", "</ style >", "<br/>", "<BR>", "<div class='a>b'>", '<li x="<p>" y=z>', "</li >", "</ junk>", "</>", "<!-- <p> -->", "<!doctype html>", "<?pi x>", "<h1>", "</h1>", "< 3", "a < b", "&amp;", "&lt;p&gt;", "x", " text ", "甲", "<tr / >", "<p/ >", "<x a=/>", "</div x>", '<p "q">', "\n"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts, rng.integers(1, 14))) + " .\n"
+        want = Shown()
+        want.feed(page)
+        assert k.visible_text(page) == "".join(want.out), page
+
+
+def test_broken_markup_takes_no_time():
+    import time
+
+    for piece in ("<a b", "<", "</", "<!--", "<script", '<a b="', "<p a='x' b=\"", "<![CDATA[", "&", "</ a"):
+        began = time.perf_counter()
+        k.visible_text(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 5, piece
