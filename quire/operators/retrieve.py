@@ -6,17 +6,19 @@ Requests are broadcast, MOST_REQUESTS of them at a time, and all work on texts s
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.literal import BestSoFar, LiteralScorer, RequestMatcher, worker_cache
 from ..functions.sql import normalized, query
-from ..functions.staging import in_blocks
+from ..functions.staging import in_blocks, shared_path
 
 TERM = "[a-z0-9]+|[㐀-鿿]{{1,2}}"
 RRF, TOP, PAGE_CAP = 60, 60, 3
@@ -261,6 +263,130 @@ def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float, k:
     return vectors.select(*columns).mapInPandas(run, f"query_id long, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double")
 
 
+#: Cells of vectors at most, and vectors that their centres are taken from.
+CELLS, CENTRE_SAMPLE = 256, 4096
+
+
+@dataclass
+class VectorCells:
+    """Unit vectors in cells around centres; a cell's radius is the greatest angle of one of its vectors to the centre.
+
+    `table`: cell, chunk_id, vector, angle; files lie by cell, so cells that are skipped are not read.
+    """
+
+    table: DataFrame
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The greatest cosine that a vector of each cell can have with each query: angles obey the triangle inequality."""
+        away = np.arccos(np.clip(queries @ self.centres.T, -1.0, 1.0))
+        return np.cos(np.maximum(0.0, away - self.radii[None, :]))
+
+    def skipped(self, wanted: DataFrame, threshold: float = 0.45) -> DataFrame:
+        """(query_id, cells, skipped, vectors, vectors_skipped) for each query: what it does not look at."""
+        return in_blocks(wanted.select("query_id", "vector"), lambda block: self._skipped(block, threshold))
+
+    def _skipped(self, block: DataFrame, threshold: float) -> DataFrame:
+        ids, q = _unit_queries(block.collect())
+        off = self.bounds(q) <= threshold - 1e-9 if len(ids) else np.zeros((0, len(self.radii)), dtype=bool)
+        rows = [(int(i), len(self.radii), int(o.sum()), int(self.sizes.sum()), int(self.sizes[o].sum())) for i, o in zip(ids, off)]
+        return block.sparkSession.createDataFrame(rows, "query_id long, cells int, skipped int, vectors long, vectors_skipped long")
+
+
+def _unit_queries(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    rows = [r for r in rows if r.vector is not None]
+    q = np.array([r.vector for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
+    norms = np.linalg.norm(q, axis=1, keepdims=True)
+    return np.array([r.query_id for r in rows], dtype=np.int64), q / np.where(norms > 0, norms, 1.0)
+
+
+def vector_cells(vectors: DataFrame, most: int = CELLS) -> VectorCells:
+    """Cells of vectors (chunk_id, vector) of the most usual length, as many as the root of their number, `most` at most.
+
+    Centres come from a bounded sample, the vectors of least hash, after a few rounds of
+    k-means; every vector goes to the nearest centre. Which centres they are changes how much a search skips,
+    never what it finds. Null, zero and not finite vectors are left out, and those of another length.
+    """
+    spark = vectors.sparkSession
+    sample = vectors.where("vector IS NOT NULL").select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(CENTRE_SAMPLE).collect()
+    good = [r for r in sample if r.vector and all(v is not None and np.isfinite(v) for v in r.vector) and any(r.vector)]
+    length = max(Counter(len(r.vector) for r in good).items(), key=lambda x: (x[1], x[0]), default=(0, 0))[0]
+    _, x = _unit_queries([Row(query_id=0, vector=r.vector) for r in good if len(r.vector) == length])
+    n = max(1, min(most, int(vectors.count() ** 0.5), len(x)))
+    centres = x[:n].copy() if len(x) else np.zeros((1, 1))
+    for _ in range(8 if len(x) else 0):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1.0), centres)
+
+    def assign(batches):
+        for pdf in batches:
+            kept = [v is not None and len(v) == centres.shape[1] for v in pdf["vector"]]
+            pdf = pdf[kept]
+            if not len(pdf):
+                continue
+            v = np.array(pdf["vector"].tolist(), dtype=np.float64)
+            norm = np.linalg.norm(v, axis=1)
+            good = np.isfinite(norm) & (norm > 0)
+            v = v[good] / norm[good, None]
+            cosines = v @ centres.T
+            cell = cosines.argmax(axis=1)
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "chunk_id": pdf["chunk_id"].to_numpy()[good], "vector": list(v), "angle": np.arccos(np.clip(cosines.max(axis=1), -1.0, 1.0))})
+
+    schema = f"cell int, chunk_id {dict(vectors.dtypes)['chunk_id']}, vector array<double>, angle double"
+    path = shared_path(spark, "vector-cells")
+    # a large cell is written by several tasks
+    vectors.select("chunk_id", "vector").mapInPandas(assign, schema).repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("cell").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    found = {r.cell: r for r in table.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each cell
+    radii = np.array([found[i].radius + 1e-9 if i in found else 0.0 for i in range(len(centres))])
+    return VectorCells(table, centres, radii, np.array([found[i].n if i in found else 0 for i in range(len(centres))], dtype=np.int64))
+
+
+def semantic_topk_cells(cells: VectorCells, wanted: DataFrame, threshold: float = 0.45, k: int | None = TOP) -> DataFrame:
+    """What semantic_topk finds, reading only cells that a query can find something in above the threshold.
+
+    In a cell a query meets the vectors alone whose angle to the centre differs from its own by no more than the
+    threshold allows. Ties go to the greater chunk id.
+    """
+    found = in_blocks(wanted.select("query_id", "vector"), lambda block: _cell_scores(cells, block, threshold, k))
+    ranked = query("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM {f}", f=found)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def _cell_scores(cells: VectorCells, wanted: DataFrame, threshold: float, k: int | None) -> DataFrame:
+    ids, q = _unit_queries(wanted.collect())
+    open_ = cells.bounds(q) > threshold - 1e-9 if len(ids) else np.zeros((0, len(cells.radii)), dtype=bool)
+    away = np.arccos(np.clip(q @ cells.centres.T, -1.0, 1.0)) if len(ids) else np.zeros_like(open_, dtype=float)
+    reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + 1e-9
+
+    def run(batches):
+        floor = np.full(len(ids), threshold)
+        best = np.full((len(ids), k or 1), -np.inf)
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell"):
+                asked = np.flatnonzero(open_[:, cell])
+                v, angle, chunk = np.array(part["vector"].tolist()), part["angle"].to_numpy(), part["chunk_id"].to_numpy()
+                near = (np.abs(away[asked, cell][:, None] - angle[None, :]) <= reach).any(axis=0)
+                if not near.any():
+                    continue
+                s = q[asked] @ v[near].T
+                a, b = np.nonzero((s > threshold) & (s >= floor[asked][:, None] - 1e-9))
+                yield pd.DataFrame({"query_id": ids[asked[a]], "chunk_id": chunk[near][b], "score": s[a, b]})
+                if k is not None:
+                    top = np.partition(np.concatenate([best[asked], s], axis=1), -k, axis=1)[:, -k:]
+                    best[asked] = top
+                    floor[asked] = np.maximum(threshold, top.min(axis=1))
+
+    needed = np.flatnonzero(open_.any(axis=0)).tolist()
+    chosen = cells.table.where(F.col("cell").isin(needed)) if needed else cells.table.limit(0)
+    return chosen.mapInPandas(run, f"query_id long, chunk_id {dict(cells.table.dtypes)['chunk_id']}, score double")
+
+
 def rrf_fuse(literal: DataFrame, semantic: DataFrame) -> DataFrame:
     """Reciprocal-rank sums of two ranked lists (query_id, chunk_id, rank), ordered by sum and id."""
     return query(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.sql import blank, query
-from ..functions.staging import in_blocks
+from ..functions.staging import in_blocks, staged
 
 
 def live_pages(pages: DataFrame, documents: DataFrame, users: DataFrame) -> DataFrame:
@@ -39,6 +40,69 @@ def _visible_scope(requests: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
+def visible_rows(rows: DataFrame, requests: DataFrame, pages: DataFrame, documents: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows (query_id, page_id, …) whose page the request's user may see, as visible_scope says, without making that table."""
+    return query(
+        """SELECT w.* FROM {w} w JOIN {r} r ON w.query_id = r.query_id JOIN {p} p ON w.page_id = p.page_id
+           WHERE (p.visibility = 'public' OR p.owner_id = r.user_id) AND (r.document_ids IS NULL OR array_contains(r.document_ids, p.document_id))""",
+        w=rows,
+        r=requests,
+        p=live_pages(pages, documents, users),
+    )
+
+
+#: What a request sees: public pages, and those that are its user's own.
+SEES = "array('public', concat('user ', user_id))"
+
+
+def scope_bitmaps(pages: DataFrame, documents: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Live pages with a number and a scope (`public`, or their owner), and for each scope bitmaps of its page numbers.
+
+    Numbers follow document and page by ranges, so a document's pages lie in one or two bitmaps of
+    32,768 pages. Public pages are held once, private ones once for their owner, whatever the number
+    of requests.
+    """
+    scoped = live_pages(pages, documents, users).withColumn("scope", F.expr("if(visibility = 'public', 'public', concat('user ', owner_id))"))
+    ranges = staged(scoped.repartitionByRange("document_id", "page_number", "page_id").withColumn("range", F.spark_partition_id()), "scope-ranges")
+    # offsets: a row for each range
+    numbered = query(
+        """SELECT r.page_id, r.document_id, r.scope, o.before + row_number() OVER (PARTITION BY r.range ORDER BY r.document_id, r.page_number, r.page_id) AS number
+           FROM {r} r JOIN (SELECT range, sum(n) OVER (ORDER BY range) - n AS before FROM (SELECT range, count(*) AS n FROM {r} GROUP BY range)) o ON r.range = o.range""",
+        r=ranges,
+    )
+    numbered = staged(numbered, "scope-pages")
+    bits = query("SELECT scope, bitmap_bucket_number(number) AS bucket, bitmap_construct_agg(bitmap_bit_position(number)) AS bits FROM {n} GROUP BY scope, bitmap_bucket_number(number)", n=numbered)
+    return numbered, bits
+
+
+def probe_scopes(rows: DataFrame, requests: DataFrame, numbered: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows (query_id, page_id, …) of pages whose bit is set in one of the bitmaps that the request sees, within its id list if there is one."""
+    return query(
+        f"""SELECT w.* FROM (SELECT struct(w.*) AS w, explode({SEES}) AS scope, n.number, bitmap_bucket_number(n.number) AS bucket
+              FROM {{w}} w JOIN {{r}} r ON w.query_id = r.query_id JOIN {{n}} n ON w.page_id = n.page_id WHERE r.document_ids IS NULL OR array_contains(r.document_ids, n.document_id)) p
+            JOIN {{b}} b ON p.scope = b.scope AND p.bucket = b.bucket
+            WHERE shiftright(cast(conv(hex(substring(b.bits, cast(bitmap_bit_position(p.number) div 8 AS int) + 1, 1)), 16, 10) AS int), cast(bitmap_bit_position(p.number) % 8 AS int)) & 1 = 1""",
+        w=rows,
+        r=requests,
+        n=numbered,
+        b=bits,
+    )
+
+
+def visible_page_counts(requests: DataFrame, numbered: DataFrame, bits: DataFrame) -> DataFrame:
+    """(query_id, pages): how many pages each request may see, from the bitmaps; from its documents where it names some."""
+    return query(
+        f"""SELECT r.query_id, coalesce(a.pages, 0) + coalesce(l.pages, 0) AS pages FROM {{r}} r
+            LEFT JOIN (SELECT q.query_id, sum(b.pages) AS pages FROM (SELECT query_id, explode({SEES}) AS scope FROM {{r}} WHERE document_ids IS NULL) q
+                       JOIN (SELECT scope, sum(bitmap_count(bits)) AS pages FROM {{b}} GROUP BY scope) b ON q.scope = b.scope GROUP BY q.query_id) a ON r.query_id = a.query_id
+            LEFT JOIN (SELECT q.query_id, count(*) AS pages FROM (SELECT query_id, user_id, explode(array_distinct(document_ids)) AS document_id FROM {{r}}) q
+                       JOIN {{n}} n ON q.document_id = n.document_id AND array_contains({SEES}, n.scope) GROUP BY q.query_id) l ON r.query_id = l.query_id""",
+        r=requests,
+        b=bits,
+        n=numbered,
+    )
+
+
 def verify_anchors(hits: DataFrame, sources: DataFrame) -> DataFrame:
     """Hits whose layer, hash, bounds and text still hold, one per place, with UTF-16 offsets.
 
@@ -72,14 +136,13 @@ KNOWN_LAYERS = "'ocrText', 'punctuatedText', 'notes'"
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def validate_evidence(locators: DataFrame, visible: DataFrame, sources: DataFrame) -> DataFrame:
-    """Locators of visible pages with the current hash of their layer, and whether they are of an earlier text."""
+def validate_evidence(locators: DataFrame, sources: DataFrame) -> DataFrame:
+    """Locators, already of visible pages, with the current hash of their layer, and whether they are of an earlier text."""
     return query(
         f"""SELECT l.query_id, l.page_id, l.source_layer, l.source_hash, coalesce(s.source_hash, '{EMPTY_HASH}') AS current_hash, coalesce(s.source_hash, '{EMPTY_HASH}') <> l.source_hash AS historical
-            FROM {{l}} l LEFT SEMI JOIN {{v}} v ON l.query_id = v.query_id AND l.page_id = v.page_id LEFT JOIN {{s}} s ON l.page_id = s.page_id AND l.source_layer = s.source_layer
+            FROM {{l}} l LEFT JOIN {{s}} s ON l.page_id = s.page_id AND l.source_layer = s.source_layer
             WHERE l.source_layer IN ({KNOWN_LAYERS}) OR l.source_layer LIKE 'visual_caption:%'""",
         l=locators,
-        v=visible,
         s=sources,
     )
 
@@ -94,13 +157,38 @@ def drop_stale_hits(hits: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+#: Places of a page that are swept together.
+SWEEP = 4096
+
+
 def suppress_overlaps(semantic: DataFrame, literal: DataFrame) -> DataFrame:
-    """Semantic hits that no literal range of the same query, page and layer overlaps."""
-    return query(
-        """SELECT * FROM {s} s LEFT ANTI JOIN {l} l ON s.query_id = l.query_id AND s.page_id = l.page_id AND s.source_layer = l.source_layer AND l.match_start < s.end AND l.match_end > s.start""",
+    """Semantic hits that no literal range of the same query, page and layer overlaps.
+
+    A hit is overlapped if, of the ranges that begin before it ends, the one that reaches furthest
+    passes its start: a running maximum over places in order. Places are swept SWEEP at a time, and
+    what earlier stretches reach comes as one row each, so neither pairs of hit and range are made nor
+    is a page with very many of them one task.
+    """
+    key = "query_id, page_id, source_layer"
+    # a range that begins where a hit ends comes after it
+    events = query(
+        f"""SELECT {key}, end AS at, 0 AS kind, cast(NULL AS bigint) AS reach, struct(*) AS hit FROM {{s}}
+            UNION ALL SELECT {key}, match_start, 1, cast(match_end AS bigint), NULL FROM {{l}}""",
         s=semantic,
         l=literal,
+    ).withColumn("stretch", F.expr(f"cast(at AS bigint) div {SWEEP}"))
+    earlier = query(
+        f"""SELECT {key}, stretch, max(reach) OVER (PARTITION BY {key} ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+            FROM (SELECT {key}, stretch, max(reach) AS reach FROM {{e}} GROUP BY {key}, stretch)""",
+        e=events,
+    )
+    swept = query(
+        f"""SELECT x.hit, x.up_to, r.earlier FROM (SELECT *, max(reach) OVER (PARTITION BY {key}, stretch ORDER BY at, kind ROWS UNBOUNDED PRECEDING) AS up_to FROM {{e}}) x
+            JOIN {{r}} r ON {" AND ".join(f"x.{c} = r.{c}" for c in [*key.split(", "), "stretch"])}""",
+        e=events,
+        r=earlier,
     )
+    return swept.where("hit IS NOT NULL AND coalesce(greatest(up_to, earlier) <= hit.start, true)").select("hit.*")
 
 
 def reference_scope_report(selected: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:

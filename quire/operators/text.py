@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.sql import blank, content, lower_words, query
-from ..functions.staging import in_blocks
+from ..functions.sql import blank, chars, content, lower_words, query
+from ..functions.staging import staged
 
 #: Layers by policy, in order of preference.
 POLICIES = {"primary": ("punctuated_text", "ocr_text"), "processed": ("punctuated_text",), "reader": ("punctuated_text",)}
@@ -199,16 +199,39 @@ def parse_llm_json(column: Column, schema: str) -> Column:
     return F.from_json(F.coalesce(whole, F.when(F.try_parse_json(inner).isNotNull(), inner)), schema)
 
 
+def _pieces(x: str, longest: int = 3) -> str:
+    """The distinct substrings of up to three characters of an array of characters, and the empty one."""
+    parts = [f"transform(sequence(0, greatest(size({x}) - {n}, 0)), i -> array_join(slice({x}, i + 1, {n}), ''))" for n in range(1, longest + 1)]
+    return f"array_union(array(''), array_distinct(concat({', '.join(parts)})))"
+
+
 def shelf_search(documents: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """(query_id, document_id) where every term of the query occurs in the document's fields, after NFKC and lower case."""
+    """(query_id, document_id) where every term of the query occurs in the document's fields, after NFKC and lower case.
+
+    A document is listed under every substring of three characters, two or one of its fields, as far as
+    queries have them in a term (three, where the term is long enough). A query looks under the one
+    of its substrings that fewest documents have and tests what it finds there; a query without
+    terms has the empty one, which all documents have.
+    """
 
     @F.pandas_udf("string")
     def fold(v: pd.Series) -> pd.Series:
         return v.map(kernels.nfkc_lower, na_action="ignore")
 
     shelf = documents.select("document_id", fold(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])).alias("shelf"))
-    terms = wanted.select("query_id", F.filter(F.split(fold("query"), r"(?U)\s+"), lambda t: t != "").alias("terms"))
-    # each query against all documents
-    return in_blocks(terms, lambda block: query("SELECT q.query_id, d.document_id FROM {d} d JOIN {q} q ON forall(q.terms, t -> contains(d.shelf, t))", d=shelf, q=block.hint("broadcast")))
-
-
+    shelf = staged(shelf, "shelf")
+    terms = staged(wanted.select("query_id", F.filter(F.split(fold("query"), r"(?U)\s+"), lambda t: t != "").alias("terms")), "shelf-terms")
+    asked = query(
+        f"""SELECT query_id, terms, explode(if(size(terms) = 0, array(''), array_distinct(flatten(transform(terms, t ->
+              if(length(t) < 3, array(t), transform(sequence(1, length(t) - 2), i -> substring(t, i, 3)))))))) AS piece FROM {{t}} WHERE terms IS NOT NULL""",
+        t=terms,
+    )
+    listed = query(f"SELECT document_id, explode({_pieces('c')}) AS piece FROM (SELECT document_id, {chars('shelf')} AS c FROM {{s}})", s=shelf)
+    listed = query("SELECT l.* FROM {l} l LEFT SEMI JOIN {a} a ON l.piece = a.piece", l=listed, a=asked.select("piece").distinct())
+    rarest = query("SELECT a.query_id, any_value(a.terms) AS terms, min_by(a.piece, struct(coalesce(n.n, 0) AS n, a.piece)) AS piece FROM {a} a LEFT JOIN (SELECT piece, count(*) AS n FROM {l} GROUP BY piece) n ON a.piece = n.piece GROUP BY a.query_id", a=asked, l=listed)
+    return query(
+        "SELECT q.query_id, s.document_id FROM {q} q JOIN {l} l ON q.piece = l.piece JOIN {s} s ON l.document_id = s.document_id WHERE forall(q.terms, t -> contains(s.shelf, t))",
+        q=rarest,
+        l=listed,
+        s=shelf,
+    )

@@ -40,6 +40,19 @@ def visible_scope(spark, sf):
     return scope.visible_scope(_scoped_requests(spark, sf), p, d, u)
 
 
+@job(f"WITH {DUCK_VISIBLE} SELECT rq.query_id, count(vis.page_id) AS pages FROM rq LEFT JOIN vis USING (query_id) GROUP BY 1", "rq cp cd cu")
+def visible_page_counts(spark, sf):
+    d, p, u = _corpus(spark, sf)
+    numbered, bits = scope.scope_bitmaps(p, d, u)
+    return scope.visible_page_counts(_scoped_requests(spark, sf), numbered, bits)
+
+
+@job(f"WITH {DUCK_VISIBLE} SELECT page_number%40 AS query_id, page_id FROM cp SEMI JOIN vis ON vis.query_id = page_number%40 AND vis.page_id = cp.page_id", "rq cp cd cu")
+def probe_scopes(spark, sf):
+    d, p, u = _corpus(spark, sf)
+    return scope.probe_scopes(p.selectExpr("page_number % 40 AS query_id", "page_id"), _scoped_requests(spark, sf), *scope.scope_bitmaps(p, d, u))
+
+
 def _anchors(spark, sf):
     sources = text.explode_sources(C.corpus_pages(spark, sf))
     stale = sources.selectExpr("page_number % 5 AS query_id", "page_id", "source_layer", "if(page_number % 4 = 1, 'gone', source_hash) AS source_hash", "3 AS start", "if(page_number % 7 = 2, 100000, 20) AS end", "5 AS match_start", "9 AS match_end", "substring(text, 4, 17) AS text", "'exact' AS level")
@@ -66,7 +79,8 @@ SELECT query_id, page_id, source_layer, source_hash, cur AS current_hash, cur <>
 def validate_evidence(spark, sf):
     d, p, u = _corpus(spark, sf)
     sources = text.explode_sources(p)
-    return scope.validate_evidence(_locators(sources), scope.visible_scope(_scoped_requests(spark, sf), p, d, u), sources.select("page_id", "source_layer", "source_hash"))
+    seen = scope.visible_rows(_locators(sources), _scoped_requests(spark, sf), p, d, u)
+    return scope.validate_evidence(seen, sources.select("page_id", "source_layer", "source_hash"))
 
 
 @job("""WITH h AS (SELECT page_number%40 AS query_id, page_id, CASE WHEN page_number%9=4 THEN 'other' ELSE source_layer END AS source_layer, CASE WHEN page_number%3=1 THEN sha256(text) ELSE 'earlier' END AS source_hash FROM src), k AS (SELECT DISTINCT page_id, source_layer, sha256(text) AS source_hash, true AS t FROM src)
@@ -214,6 +228,19 @@ def semantic_topk(spark, sf):
     return _semantic(spark, sf).withColumn("score", F.round("score", 6))
 
 
+#: Vectors that lie in groups: their label's own direction added.
+GROUPED = "transform(embedding, (x, i) -> cast(x AS double) + if(i = label % 16, 30D, 0D))"
+
+
+@job("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN i - 1 = label % 16 THEN 30 ELSE 0 END) AS v FROM embeddings WHERE label IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.v, v.v) AS score FROM g v, g q WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id DESC) AS rank FROM s WHERE score > 0.45)
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 60""")
+def semantic_topk_cells(spark, sf):
+    v = C.table(spark, sf, "embeddings").where("label IS NOT NULL").selectExpr("vec_id AS chunk_id", f"{GROUPED} AS vector")
+    wanted = v.where("chunk_id % 100 = 0").selectExpr("chunk_id AS query_id", "vector")
+    return retrieve.semantic_topk_cells(retrieve.vector_cells(v), wanted).withColumn("score", F.round("score", 6))
+
+
 #: The literal list of a vector: the ids from its own on, up to the next whole hundred.
 DUCK_LITERAL = "lit AS (SELECT vec_id - vec_id%100 AS query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY vec_id - vec_id%100 ORDER BY vec_id) AS rank FROM embeddings)"
 
