@@ -280,9 +280,14 @@ class VectorCells:
     sizes: np.ndarray
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The greatest cosine that a vector of each cell can have with each query: angles obey the triangle inequality."""
-        away = np.arccos(np.clip(queries @ self.centres.T, -1.0, 1.0))
-        return np.cos(np.maximum(0.0, away - self.radii[None, :]))
+        """The greatest cosine that a vector of each cell can have with each query: angles obey the triangle inequality. -2 where there is none."""
+        if queries.shape[1] != self.centres.shape[1] or not self.sizes.any():
+            return np.full((len(queries), len(self.radii)), -2.0)
+        return np.where(self.sizes > 0, np.cos(np.maximum(0.0, self.away(queries) - self.radii[None, :])), -2.0)
+
+    def away(self, queries: np.ndarray) -> np.ndarray:
+        """Angles of queries and centres."""
+        return np.arccos(np.clip(queries @ self.centres.T, -1.0, 1.0))
 
     def skipped(self, wanted: DataFrame, threshold: float = 0.45) -> DataFrame:
         """(query_id, cells, skipped, vectors, vectors_skipped) for each query: what it does not look at."""
@@ -361,7 +366,7 @@ def semantic_topk_cells(cells: VectorCells, wanted: DataFrame, threshold: float
 def _cell_scores(cells: VectorCells, wanted: DataFrame, threshold: float, k: int | None) -> DataFrame:
     ids, q = _unit_queries(wanted.collect())
     open_ = cells.bounds(q) > threshold - 1e-9 if len(ids) else np.zeros((0, len(cells.radii)), dtype=bool)
-    away = np.arccos(np.clip(q @ cells.centres.T, -1.0, 1.0)) if len(ids) else np.zeros_like(open_, dtype=float)
+    away = cells.away(q) if open_.any() else np.zeros(open_.shape)
     reach = np.arccos(np.clip(threshold, -1.0, 1.0)) + 1e-9
 
     def run(batches):
