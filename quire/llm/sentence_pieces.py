@@ -28,7 +28,9 @@ BLANK = "▁".encode()
 MALFORMED = "\ufffd".encode()
 
 #: Segments that a worker keeps, and ids of them.
-MOST_SEGMENTS, MOST_IDS = 800_000, 8_000_000
+MOST_SEGMENTS, MOST_IDS = 250_000, 4_000_000
+#: Bytes of text that are encoded at a time.
+TEXT_SLICE = 1_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -351,13 +353,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     Without begin or end ids; a null or empty text has no pieces. Repeated rows are encoded again, a
     null doc_id stays null, an empty table gives no rows, and other columns are ignored. Texts are
-    encoded where they lie, whole, in slices of about two megabytes of text.
+    encoded where they lie, whole, in slices of TEXT_SLICE bytes or so.
     """
 
     def run(batches):
         encoding = encoder(model_path)
         for whole in batches:
-            for batch in pieces_of(whole):
+            for batch in pieces_of(whole, TEXT_SLICE):
                 found, counts = encoding.encode(raw(batch.column(1)))
                 edges = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 yield pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(edges, pa.array(row)) for row in found)], names=["doc_id", "ids", "begins", "ends"])
