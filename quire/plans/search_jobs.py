@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import normalized
 from ..functions.staging import staged
-from ..operators import index, retrieve, scope, text
+from ..operators import index, retrieve, scope, search, text
 from ..sources import corpus as C
 from .registry import job
 from .text_jobs import hashed_embedder
@@ -328,3 +328,29 @@ def hybrid_search(spark, sf):
     hits = fused.drop("position").join(seen.selectExpr("chunk_id", "page_id", f"{same} AS same"), "chunk_id")
     kept = retrieve.dedupe_cap_hits(hits, duplicate="same")
     return kept.join(fused.select("query_id", "chunk_id", "matched_by"), ["query_id", "chunk_id"])
+
+
+def _searched(spark, sf, reader=False):
+    """Every request over the corpus; turns of conversation i are attachments of request i, and pages whose number 7 divides have changed since."""
+    d, p, u = _corpus(spark, sf)
+    attachments = C.table(spark, sf, "conversations").join(C.requests(spark, sf), F.col("conv_id") == F.col("query_id")).selectExpr("query_id", "concat(conv_id, '-', turn) AS attachment_id", "text")
+    current = text.explode_sources(p).where("page_number % 7 <> 0").select("page_id", "source_layer", "source_hash")
+    failed = p.where("page_number % 5 = 3").select("page_id")
+    return search.full_search(p, d, u, _scoped_requests(spark, sf), hashed_embedder, 16, attachments, current, failed, reader=reader, threshold=0.9)
+
+
+@job()
+def full_search(spark, sf):
+    return _searched(spark, sf).hits
+
+
+@job()
+def reader_search(spark, sf):
+    return _searched(spark, sf, reader=True).hits
+
+
+@job(f"""WITH {DUCK_VISIBLE}, live AS (SELECT vis.query_id, count(*) AS n FROM vis JOIN prim USING (page_id) GROUP BY 1)
+SELECT rq.query_id, coalesce(n, 0) AS total_pages, coalesce(n, 0) AS indexed_pages, CAST(0 AS BIGINT) AS failed_pages, CAST(0 AS BIGINT) AS pending_pages FROM rq LEFT JOIN live USING (query_id)""", "rq cp cd cu prim")
+def search_coverage(spark, sf):
+    """Of each request, the pages that it may see and those with all their vectors; here every chunk has one."""
+    return _searched(spark, sf).summary.select("query_id", "total_pages", "indexed_pages", "failed_pages", "pending_pages")
