@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,27 +17,18 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.literal import BestSoFar, LiteralScorer, RequestMatcher, worker_cache
-from ..functions.sql import normalized, query
+from ..functions.literal import BestSoFar, LiteralScorer, RequestMatcher, literal_form, literal_terms, worker_cache
+from ..functions.sql import query
 from ..functions.staging import in_blocks, shared_path
 
-TERM = "[a-z0-9]+|[㐀-鿿]{{1,2}}"
 RRF, TOP, PAGE_CAP = 60, 60, 3
 
 
-def request_terms(requests: DataFrame) -> DataFrame:
-    """query_id, normalised query, its distinct pairs of characters (a single one is its own) and its distinct terms."""
-    pairs = "CASE WHEN length(q) = 1 THEN array(q) ELSE array_distinct(transform(sequence(0, size(c) - 2), i -> concat(c[i], c[i + 1]))) END"
-    return query(
-        f"""SELECT query_id, q, {pairs} AS grams, array_distinct(regexp_extract_all(q, '{TERM}', 0)) AS terms
-            FROM (SELECT query_id, q, regexp_extract_all(q, '(?s).', 0) AS c FROM (SELECT query_id, {normalized('query')} AS q FROM {{r}})) WHERE q <> ''""",
-        r=requests,
-    )
-
-
-def _scorer(requests: DataFrame) -> tuple[np.ndarray, LiteralScorer]:
-    rows = request_terms(requests).orderBy("query_id").collect()  # a block of requests
-    return np.array([r.query_id for r in rows], dtype=np.int64), LiteralScorer([(r.q, r.grams, r.terms) for r in rows])
+def _scorer(requests: DataFrame, convert: Callable[[str], str] | None) -> tuple[np.ndarray, LiteralScorer]:
+    """Ids of a block of requests in order, and what scores texts for them; empty requests are left out."""
+    rows = requests.select("query_id", "query").orderBy("query_id").collect()
+    asked = [(r.query_id, *literal_terms(q)) for r in rows if (q := literal_form(r["query"], convert))]
+    return np.array([i for i, *_ in asked], dtype=np.int64), LiteralScorer([x[1:] for x in asked])
 
 
 #: Characters of texts that are scored at a time.
@@ -54,34 +46,35 @@ def _text_slices(texts: list[str]):
         yield begin, len(texts)
 
 
-def literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+def literal_score(texts: DataFrame, requests: DataFrame, key: str, convert: Callable[[str], str] | None = None) -> DataFrame:
     """(query_id, key, literal_score) for every text and request that score above 0.
 
+    Texts and queries are compared without white space, in one case and, with `convert`, in one script.
     5 for the whole query, the share of its pairs, and a fifth of the share of its terms. Texts
     stay where they are; inverted lists from pairs of characters to a block's requests name those
     that a text can score for.
     """
-    return in_blocks(requests, lambda block: _literal_score(texts, block, key), "query")
+    return in_blocks(requests, lambda block: _literal_score(texts, block, key, convert), "query")
 
 
-def _literal_score(texts: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    ids, scorer = _scorer(requests)
+def _literal_score(texts: DataFrame, requests: DataFrame, key: str, convert: Callable[[str], str] | None) -> DataFrame:
+    ids, scorer = _scorer(requests, convert)
 
     def run(batches):
         for batch in batches:
-            found = [t or "" for t in batch.column(1).to_pylist()]
+            found = [literal_form(t, convert) for t in batch.column(1).to_pylist()]
             for i, j in _text_slices(found):
                 t, r, score = scorer.scores(found[i:j])
                 yield pa.record_batch([pa.array(ids[r]), batch.column(0).take(pa.array(t + i)), pa.array(score)], names=["query_id", key, "literal_score"])
 
-    return texts.selectExpr(key, f"{normalized('text').format()} AS t").mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
+    return texts.select(key, "text").mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
 
 
 #: Share of the score of its document's description that a text gets.
 DESCRIBED = 0.3
 
 
-def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP) -> DataFrame:
+def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP, convert: Callable[[str], str] | None = None) -> DataFrame:
     """(query_id, key, literal_score, rank): the k best texts of each request, with the share of their descriptions' scores.
 
     `texts`: key, text, described, and, where only some may be seen, owner_id and is_public; then
@@ -91,19 +84,21 @@ def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP)
     description at hand, is not looked at. Scores count to six decimals; ties go by key.
     """
     scoped = "owner_id" in texts.columns
-    found = in_blocks(requests, lambda block: _literal_best(texts, block, key, k, scoped), "query")
+    found = in_blocks(requests, lambda block: _literal_best(texts, block, key, k, scoped, convert), "query")
     return literal_topk(found, key, k)
 
 
-def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scoped: bool) -> DataFrame:
-    ids, scorer = _scorer(requests)
+def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scoped: bool, convert: Callable[[str], str] | None) -> DataFrame:
+    ids, scorer = _scorer(requests, convert)
     users = {r.query_id: r.user_id for r in requests.select("query_id", "user_id").collect()} if scoped else {}
     user = np.array([users[i] for i in ids.tolist()]) if scoped else None
 
     def run(batches):
         best = BestSoFar(scorer, k, DESCRIBED)
         for batch in batches:
-            own, described = ([t or "" for t in batch.column(c).to_pylist()] for c in (1, 2))
+            own = [literal_form(t, convert) for t in batch.column(1).to_pylist()]
+            forms: dict[str | None, str] = {}
+            described = [forms[t] if t in forms else forms.setdefault(t, literal_form(t, convert)) for t in batch.column(2).to_pylist()]
             keys = batch.column(0).to_pylist()
             for i, j in _text_slices(own):
                 t, r, score = best.scores(own[i:j], described[i:j])
@@ -116,7 +111,7 @@ def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scope
                 keep = best.keep(r, score, place[t])
                 yield pa.record_batch([pa.array(ids[r[keep]]), batch.column(0).take(pa.array(t[keep] + i)), pa.array(score[keep])], names=["query_id", key, "literal_score"])
 
-    columns = [key, f"{normalized('text').format()} AS t", f"{normalized('described').format()} AS d", *(["owner_id", "coalesce(is_public, false) AS is_public"] if scoped else [])]
+    columns = [key, "text", "described", *(["owner_id", "coalesce(is_public, false) AS is_public"] if scoped else [])]
     return texts.selectExpr(*columns).mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
 
 
@@ -130,14 +125,14 @@ def description(documents: DataFrame) -> str:
     return f"concat_ws('\\n', {', '.join(c for c in DESCRIPTION if c in kinds)})"
 
 
-def metadata_boost(scores: DataFrame, chunks: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
+def metadata_boost(scores: DataFrame, chunks: DataFrame, documents: DataFrame, requests: DataFrame, convert: Callable[[str], str] | None = None) -> DataFrame:
     """Adds 0.3 of the literal score of a document's description (title, author, year, publisher, tags, file name) to its chunks' scores."""
     described = documents.selectExpr("document_id", f"{description(documents)} AS text")
     return query(
         """SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.page_id, b.page_id) AS page_id, coalesce(s.literal_score, 0D) + 0.3D * coalesce(b.literal_score, 0D) AS literal_score
            FROM {s} s FULL OUTER JOIN (SELECT m.query_id, c.page_id, m.literal_score FROM {m} m JOIN {c} c ON m.document_id = c.document_id) b ON s.query_id = b.query_id AND s.page_id = b.page_id""",
         s=scores,
-        m=literal_score(described, requests, "document_id"),
+        m=literal_score(described, requests, "document_id", convert),
         c=chunks,
     )
 

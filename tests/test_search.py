@@ -87,3 +87,14 @@ def test_cells_find_what_a_full_scan_finds(spark):
     told = cells.skipped(wanted, 0.8).agg({"skipped": "sum", "cells": "sum", "vectors_skipped": "sum", "vectors": "sum"}).first().asDict()
     assert told["sum(skipped)"] > 0.5 * told["sum(cells)"] and told["sum(vectors_skipped)"] > 0.5 * told["sum(vectors)"]
     assert retrieve.semantic_topk_cells(retrieve.vector_cells(v.limit(0)), wanted).count() == 0
+
+
+def test_scores_fold_case_and_script(spark):
+    from quire.functions.kernels import WordConverter
+    from quire.plans.text_jobs import TABLES
+
+    texts = spark.createDataFrame([(1, "頭髮 很長"), (2, "ﬁne STRAẞE ΌΣΟΣ"), (3, "nothing"), (4, None)], "page_id int, text string")
+    asked = spark.createDataFrame([(1, "头发"), (2, "FINE straße"), (3, "όσος"), (4, " "), (5, None)], "query_id long, query string")
+    found = {(r.query_id, r.page_id): r.literal_score for r in retrieve.literal_score(texts, asked, "page_id", WordConverter(*TABLES["simplified"])).collect()}
+    assert {k for k, v in found.items() if v > 5} == {(1, 1), (2, 2), (3, 2)}
+    assert (1, 1) not in {(r.query_id, r.page_id) for r in retrieve.literal_score(texts, asked, "page_id").collect()}
