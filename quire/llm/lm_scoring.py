@@ -271,7 +271,7 @@ def _logits(both: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_probabilities(docs: list[np.ndarray], known: np.ndarray, model: MixModel) -> np.ndarray:
-    """log10 probability of the leaves of each document; `known` marks training documents."""
+    """log10 probability of the leaves of each document. Those that `known` marks are scored as if the model had not counted them: one count less for each of their bits."""
     size = np.array([len(d) for d in docs])
     n, leaf = len(docs), np.concatenate(docs).astype(np.int64)
     place, doc = _places(size), np.repeat(np.arange(n), size)
@@ -322,7 +322,6 @@ def _score(sent):
         def out():
             rows = pa.Table.from_batches(waits)
             docs = _unpacked(rows.column(7).combine_chunks())
-            known = ~rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
             score = np.zeros(len(docs))
             order = np.argsort([len(d) for d in docs], kind="stable")
             i = 0
@@ -332,7 +331,7 @@ def _score(sent):
                     tokens += len(docs[order[j]])
                     j += 1
                 pick = order[i:j]
-                score[pick] = log_probabilities([docs[k] for k in pick], known[pick], model)
+                score[pick] = log_probabilities([docs[k] for k in pick], np.zeros(len(pick), dtype=bool), model)
                 i = j
             score += rows.column(6).to_numpy()
             octets = rows.column(3).to_numpy()
@@ -389,7 +388,7 @@ def within_leaf(c: np.ndarray, s: np.ndarray, t: np.ndarray, spelled: np.ndarray
 
 
 def _place_words(sent):
-    """The entries of dictionaries with their words' leaf, count and log10 probability there: as counted, and counted once less."""
+    """The entries of dictionaries with their words' leaf, count and log10 probability there."""
 
     def run(batches):
         table = sent.value
@@ -398,15 +397,14 @@ def _place_words(sent):
                 continue
             c, s, t = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5, 6))
             own = batch.column(7).to_numpy(zero_copy_only=False)
-            words, rare = raw(batch.column(2)), np.flatnonzero(~own & (c < 2))
+            words, rare = raw(batch.column(2)), np.flatnonzero(~own & (c < 1))
             spelled = np.zeros(len(c))
             for i in range(0, len(rare), 20_000):
                 pick = rare[i : i + 20_000]
                 word, cell = _spelled([words[k] for k in pick])
                 spelled[pick] = np.bincount(word, weights=table[cell], minlength=len(pick))
             now = np.where(own, 0.0, within_leaf(c, s, t, spelled))
-            less = np.where(own, 0.0, within_leaf(c - 1, s - 1, t - (c == 1), spelled))
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(4), batch.column(3), pa.array(now.astype(np.float32)), pa.array(less.astype(np.float32))], names=["chunk", "lid", "leaf", "c", "now", "less"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(4), batch.column(3), pa.array(now.astype(np.float32))], names=["chunk", "lid", "leaf", "c", "now"])
 
     return run
 
@@ -422,7 +420,7 @@ def _assemble(total: int, distinct: int):
 
         pack = zstandard.ZstdCompressor(level=1).compress
         floor, chunk = float(np.log10(total + 0.1 * (distinct + 1))), None
-        known, base, leaf, now, less = (np.zeros(0) for _ in range(5))
+        known, base, leaf, now = (np.zeros(0) for _ in range(4))
         for batch in batches:
             chunks, is_doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
@@ -432,20 +430,19 @@ def _assemble(total: int, distinct: int):
                 part = batch.slice(i, j - i)
                 if not is_doc[i]:
                     if chunks[i] != chunk:
-                        chunk, (known, base, leaf, now, less) = chunks[i], (np.zeros(1 << 18, dtype=d) for d in (np.int64, np.float64, np.uint32, np.float64, np.float64))
+                        chunk, (known, base, leaf, now) = chunks[i], (np.zeros(1 << 18, dtype=d) for d in (np.int64, np.float64, np.uint32, np.float64))
                     lid = part.column(6).to_numpy(zero_copy_only=False).astype(np.int64)
                     if lid.max() >= len(known):
                         more = max(len(known), int(lid.max()) + 1 - len(known))
-                        known, base, leaf, now, less = (np.concatenate([a, np.zeros(more, dtype=a.dtype)]) for a in (known, base, leaf, now, less))
+                        known, base, leaf, now = (np.concatenate([a, np.zeros(more, dtype=a.dtype)]) for a in (known, base, leaf, now))
                     leaf[lid], c = part.column(7).to_numpy(zero_copy_only=False), part.column(8).to_numpy(zero_copy_only=False)
                     known[lid], base[lid] = c > 0, np.log10(c + 0.1) - floor
-                    now[lid], less[lid] = part.column(9).to_numpy(zero_copy_only=False), part.column(10).to_numpy(zero_copy_only=False)
+                    now[lid] = part.column(9).to_numpy(zero_copy_only=False)
                     continue
                 rows = _unpacked(part.column(5))
                 n = np.array([len(r) for r in rows], dtype=np.int64)
                 flat, begin = np.concatenate(rows).astype(np.int64), np.cumsum(n) - n
-                held = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                within = np.where(held, np.add.reduceat(now[flat], begin), np.add.reduceat(less[flat], begin))
+                within = np.add.reduceat(now[flat], begin)
                 leaves = leaf[flat]
                 data = [pack(leaves[b : b + k].tobytes()) for b, k in zip(begin.tolist(), n.tolist())]
                 yield pa.record_batch([part.column(2), part.column(3), pa.array(n), part.column(4), pa.array(np.add.reduceat(known[flat], begin)), pa.array(np.add.reduceat(base[flat], begin)), pa.array(within), pa.array(data, pa.binary())], names=_names(_LEAVES))
@@ -496,9 +493,9 @@ def scored(docs: DataFrame, modulus: int = 10) -> DataFrame:
     of_leaf = F.broadcast(spark.createDataFrame([(r["leaf"], r["s"], r["t"]) for r in sums], "leaf int, s long, t long"))
     placed = words.join(top, "word", "left").select("chunk", "lid", "word", "c", leaf, F.col("own").isNotNull().alias("apart")).join(of_leaf, "leaf", "left")
     placed = placed.select("chunk", "lid", "word", "c", "leaf", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t"), "apart")
-    facts = placed.mapInArrow(_place_words(letters), "chunk long, lid int, leaf int, c long, now float, less float")
-    of_entries = facts.select("chunk", F.lit(False).alias("is_doc"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("ids"), "lid", "leaf", "c", "now", "less")
-    of_docs = both.where("ids IS NOT NULL").select("chunk", F.lit(True), "doc_id", "held_out", "n_bytes", "ids", *(F.lit(None).cast(t) for t in ("int", "int", "long", "float", "float")))
+    facts = placed.mapInArrow(_place_words(letters), "chunk long, lid int, leaf int, c long, now float")
+    of_entries = facts.select("chunk", F.lit(False).alias("is_doc"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("ids"), "lid", "leaf", "c", "now")
+    of_docs = both.where("ids IS NOT NULL").select("chunk", F.lit(True), "doc_id", "held_out", "n_bytes", "ids", *(F.lit(None).cast(t) for t in ("int", "int", "long", "float")))
     dealt = of_entries.union(of_docs).repartition(tasks(spark), "chunk").sortWithinPartitions("chunk", "is_doc")
     found = staged(dealt.mapInArrow(_assemble(total, distinct), _LEAVES), "lm-leaves")
     discard(both, words)
