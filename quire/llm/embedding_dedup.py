@@ -23,6 +23,8 @@ from .graph import components
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 256, 32, 4096
 #: Pivots that describe a vector, and how many of them two vectors must share to be compared.
 PREFIX, SHARED = 10, 4
+#: Bytes of all pivots together, which are broadcast; long vectors get fewer.
+PIVOT_BYTES = 64_000_000
 #: Vectors of one block of an inverted list.
 BLOCK = 1024
 #: Vector lengths that get pivots, the most frequent ones; vectors of other lengths share one list per
@@ -146,10 +148,11 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_
     classes = sized.where("usable").groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("vec", "vec_id").alias("vec"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
 
-    lengths = classes.groupBy(F.size("vec").alias("d")).count().where(f"count > {BLOCK}").orderBy(F.desc("count"), "d").limit(INDEXED_LENGTHS)
+    lengths = classes.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(INDEXED_LENGTHS).collect()
     pivots = {}
-    for dim, count in lengths.collect():
-        wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, count // PER_PIVOT)))
+    for dim, count in lengths:
+        room = max(LEAST_PIVOTS, PIVOT_BYTES // (8 * dim * len(lengths)))
+        wanted = int(min(MOST_PIVOTS, room, max(LEAST_PIVOTS, count // PER_PIVOT)))
         # `wanted` vectors, MOST_PIVOTS at most, come to the driver
         rows = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("rep"), "rep", F.xxhash64("vec")).limit(wanted).select("vec").collect()
         pivots[dim] = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
