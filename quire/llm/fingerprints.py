@@ -12,6 +12,7 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,14 +172,31 @@ def compared(docs: DataFrame) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = [i / n for i in range(1, n)]
     bounds = sorted(set(found.agg(F.percentile_approx("doc_id", cuts, 20 * n)).first()[0] or [])) if cuts else []
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    placed = found.withColumn("shard", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(place).cast("int"))
+    limits = np.array(bounds, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        """The range of an id: how many bounds, one less than there are ranges, lie below it."""
+        return pd.Series(np.searchsorted(limits, ids.to_numpy(), side="left"))
+
+    known = F.coalesce("doc_id", F.lit(0).cast("long"))  # a null would make floats of the ids
+
+    placed = found.withColumn("shard", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(place(known)).cast("int"))
     # one row per range
     tops = sorted((r["shard"], r["top"]) for r in placed.where("doc_id IS NOT NULL").groupBy("shard").agg(F.max("doc_id").alias("top")).collect())
     guests = F.lit(None).cast("int")
     if tops:
-        before = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-        guests = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("doc_id")).cast("int")
+        first = np.array([top for _, top in tops], dtype=np.int64)
+        before = np.array([tops[(i + 1) % len(tops)][0] for i in range(len(tops))])
+
+        @F.pandas_udf("int")
+        def guest(ids: pd.Series) -> pd.Series:
+            """The range before, if an id begins its own, else -1."""
+            at = np.minimum(np.searchsorted(first, ids.to_numpy()), len(first) - 1)
+            return pd.Series(np.where(first[at] == ids.to_numpy(), before[at], -1))
+
+        found_before = guest(known)
+        guests = F.when(F.col("doc_id").isNotNull() & (found_before >= 0), found_before).cast("int")
     seats = F.filter(F.array(F.struct(F.col("shard").alias("shard"), F.lit(False).alias("guest")), F.struct(guests.alias("shard"), F.lit(True).alias("guest"))), lambda s: s["shard"].isNotNull())
     dealt = placed.withColumn("seat", F.explode(seats)).select(F.col("seat.shard").alias("shard"), F.col("seat.guest").alias("guest"), "doc_id", "text")
     ordered = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "guest", F.desc_nulls_first("doc_id"), "text")
