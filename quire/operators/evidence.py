@@ -100,11 +100,15 @@ def order_chronicle(entries: DataFrame) -> DataFrame:
 
 
 def merge_chronicles(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries of both (gregorian, original, summary, sources array<string>), those of one date and wording united; other summaries are kept as conflicts."""
+    """Entries of both (gregorian, original, position, summary, sources array<string>), those of one date and wording united.
+
+    The first summary stays, of old entries before new ones and each by position; other summaries are kept as
+    conflicts. Sources follow each other in the same order, each once.
+    """
     return query(
-        """SELECT gregorian, original, max_by(summary, -age) AS summary, array_distinct(flatten(transform(sort_array(collect_list(struct(age, sources))), x -> x.sources))) AS sources,
-                  array_except(array_sort(collect_set(summary)), array(max_by(summary, -age))) AS conflicts
-           FROM (SELECT gregorian, original, summary, sources, 0 AS age FROM {o} UNION ALL SELECT gregorian, original, summary, sources, 1 FROM {n}) GROUP BY gregorian, original""",
+        """SELECT gregorian, original, min_by(summary, struct(age, position, summary)) AS summary, array_distinct(flatten(transform(sort_array(collect_list(struct(age, position, summary, sources))), x -> x.sources))) AS sources,
+                  array_except(array_sort(collect_set(summary)), array(min_by(summary, struct(age, position, summary)))) AS conflicts
+           FROM (SELECT gregorian, original, position, summary, sources, 0 AS age FROM {o} UNION ALL SELECT gregorian, original, position, summary, sources, 1 FROM {n}) GROUP BY gregorian, original""",
         o=old,
         n=new,
     )

@@ -77,25 +77,25 @@ def order_chronicle(spark, sf):
     return evidence.order_chronicle(e)
 
 
-@job("""WITH u AS (SELECT CAST(o_orderdate AS VARCHAR) AS gregorian, o_orderpriority AS original, 'summary '||(o_custkey%3) AS summary, 's'||(o_orderkey%40) AS source, o_orderkey%2 AS age, o_orderkey FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderdate, o_orderpriority, o_orderkey%2)),
-g AS (SELECT gregorian, original, arg_min(summary, age) AS summary, arg_min(source, age) AS first, list(DISTINCT source) AS ss, list(DISTINCT summary) AS sm FROM u GROUP BY 1, 2)
-SELECT gregorian, original, summary, array_to_string(list_concat([first], list_filter(ss, lambda x: x <> first)), ',') AS sources, array_to_string(list_filter(sm, lambda x: x <> summary), ',') AS conflicts FROM g""")
+@job("""WITH u AS (SELECT CAST(o_orderdate AS VARCHAR) AS gregorian, o_orderpriority AS original, 'summary '||(o_custkey%3) AS summary, 's'||(o_orderkey%40) AS source, o_orderkey%2 AS age, o_orderkey AS position FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY gregorian, original ORDER BY age, position) AS n FROM u),
+k AS (SELECT gregorian, original, summary FROM f WHERE n = 1),
+s AS (SELECT gregorian, original, string_agg(source, ',' ORDER BY n) AS sources FROM (SELECT gregorian, original, source, min(n) AS n FROM f GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT f.gregorian, f.original, string_agg(DISTINCT f.summary, ',' ORDER BY f.summary) AS conflicts FROM f JOIN k ON k.gregorian = f.gregorian AND k.original = f.original AND k.summary <> f.summary GROUP BY ALL)
+SELECT gregorian, original, k.summary, s.sources, coalesce(c.conflicts, '') AS conflicts FROM k JOIN s USING (gregorian, original) LEFT JOIN c USING (gregorian, original)""")
 def merge_chronicles(spark, sf):
-    o = query(
-        """SELECT cast(o_orderdate AS string) AS gregorian, o_orderpriority AS original, concat('summary ', o_custkey % 3) AS summary, array(concat('s', o_orderkey % 40)) AS sources, o_orderkey % 2 AS age
-           FROM (SELECT *, row_number() OVER (PARTITION BY o_orderdate, o_orderpriority, o_orderkey % 2 ORDER BY o_orderkey) AS n FROM {o}) WHERE n = 1""",
-        o=C.table(spark, sf, "orders"),
-    )
-    found = evidence.merge_chronicles(o.where("age = 0").drop("age"), o.where("age = 1").drop("age"))
+    o = C.table(spark, sf, "orders").selectExpr("cast(o_orderdate AS string) AS gregorian", "o_orderpriority AS original", "o_orderkey AS position", "concat('summary ', o_custkey % 3) AS summary", "array(concat('s', o_orderkey % 40)) AS sources")
+    found = evidence.merge_chronicles(o.where("position % 2 = 0"), o.where("position % 2 = 1"))
     return found.selectExpr("gregorian", "original", "summary", "array_join(sources, ',') AS sources", "array_join(conflicts, ',') AS conflicts")
 
 
 @job("""SELECT conv_id, turn, CASE turn%3 WHEN 0 THEN 'chat' WHEN 1 THEN 'search' ELSE 'chronicle' END AS mode, CASE turn%3 WHEN 0 THEN text WHEN 1 THEN array_to_string(string_split(text,' '), chr(10)) ELSE array_to_string(list_transform(string_split(text,' '), lambda x: '· '||x), chr(10)) END AS shared
-FROM conversations WHERE role = 'assistant' AND turn IN (0, 1, 3) AND conv_id%2=0""")
+FROM conversations WHERE role = 'assistant' AND (turn + conv_id)%5 <> 0""")
 def shared_turns(spark, sf):
     conv = C.table(spark, sf, "conversations")
     turns = conv.selectExpr("conv_id", "turn", "CASE turn % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'search' ELSE 'chronicle' END AS mode", "text AS answer", "split(text, ' ') AS items", "if(role = 'assistant', 'completed', 'running') AS status")
-    return evidence.shared_turns(turns, conv.where("conv_id % 2 = 0").selectExpr("conv_id", "array(0, 1, 3) AS turns").distinct())
+    chosen = query("SELECT conv_id, collect_list(turn) AS turns FROM {c} WHERE (turn + conv_id) % 5 <> 0 GROUP BY conv_id", c=conv)
+    return evidence.shared_turns(turns, chosen)
 
 
 @job()

@@ -112,7 +112,11 @@ def split_sentences(spark, sf):
 
 @job()
 def sentence_excerpt(spark, sf):
-    hits = C.corpus_pages(spark, sf).selectExpr("page_id", "ocr_text", "instr(ocr_text, 'the') - 1 AS hit").where("hit >= 0").withColumn("hit_end", F.col("hit") + 3)
+    """The sentences around every `the` of every page."""
+    hits = query(
+        """SELECT page_id, ocr_text, hit, hit + 3 AS hit_end FROM {p} LATERAL VIEW explode(transform(slice(split(ocr_text, 'the'), 1, size(split(ocr_text, 'the')) - 1), (x, i) -> cast(aggregate(slice(split(ocr_text, 'the'), 1, i + 1), 0, (a, y) -> a + length(y)) + 3 * i AS int))) t AS hit""",
+        p=C.corpus_pages(spark, sf),
+    )
     return text.sentence_excerpt(hits, "ocr_text", "hit", "hit_end").drop("ocr_text")
 
 
