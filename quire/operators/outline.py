@@ -132,11 +132,12 @@ NOT_BODY = ("header", "footer", "page_number", "footnote", "figure", "table", "c
 def layout_body_text(blocks: DataFrame) -> DataFrame:
     """Body blocks (page_id, block_id, block_order, role, text) joined by line feeds, with where each begins and ends."""
     skip = ", ".join(f"'{r}'" for r in NOT_BODY)
+    shown = blocks.where(f"role NOT IN ({skip}) AND text <> ''").select("page_id", "block_order", "block_id", "text")
     return query(
-        f"""SELECT page_id, array_join(transform(all, x -> x.text), '\n') AS body, inline(transform(sequence(0, size(all) - 1), i -> named_struct('block_id', all[i].block_id,
-                   'start', aggregate(slice(all, 1, i), 0, (a, x) -> a + length(x.text) + 1), 'end', aggregate(slice(all, 1, i + 1), -1, (a, x) -> a + length(x.text) + 1))))
-            FROM (SELECT page_id, sort_array(collect_list(struct(block_order, block_id, text))) AS all FROM {{b}} WHERE role NOT IN ({skip}) AND text <> '' GROUP BY page_id)""",
-        b=blocks,
+        """SELECT a.page_id, b.body, a.block_id, a.end - length(a.text) AS start, a.end
+           FROM (SELECT *, cast(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY block_order, block_id, text ROWS UNBOUNDED PRECEDING) - 1 AS int) AS end FROM {b}) a
+           JOIN (SELECT page_id, array_join(transform(sort_array(collect_list(struct(block_order, block_id, text))), x -> x.text), '\n') AS body FROM {b} GROUP BY page_id) b ON a.page_id = b.page_id""",
+        b=shown,
     )
 
 

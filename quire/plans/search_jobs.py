@@ -262,6 +262,14 @@ def dedupe_cap_hits(spark, sf):
     return retrieve.dedupe_cap_hits(hits(spark, sf))
 
 
+@job(f"""WITH h AS (SELECT *, CASE WHEN level = 'partial' THEN 'visual_caption:v:' || (ordinal % 3) ELSE '' END AS caption FROM ({DUCK_HITS})), a AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id, match_start, match_start + text, caption ORDER BY score DESC, chunk_id) AS seen FROM h)
+SELECT query_id, page_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS position FROM a WHERE seen = 1""")
+def dedupe_full_hits(spark, sf):
+    """Without bounds: only repeats of a place go, captions apart from each other."""
+    h = hits(spark, sf).withColumn("caption", F.expr("if(level = 'partial', concat('visual_caption:v:', ordinal % 3), '')")).withColumn("match_end", F.expr("match_start + text"))
+    return retrieve.dedupe_cap_hits(h, limit=None, duplicate="match_start, match_end, caption", cap=None)
+
+
 @job(f"WITH h AS ({DUCK_HITS}) SELECT query_id, chunk_id, level, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE level WHEN 'exact' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, score DESC, document_id, page_number, match_start, chunk_id) AS INTEGER) AS position FROM h")
 def rank_levels(spark, sf):
     return retrieve.rank_levels(hits(spark, sf))
