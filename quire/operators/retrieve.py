@@ -77,8 +77,9 @@ DESCRIBED = 0.3
 def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP, convert: Callable[[str], str] | None = None) -> DataFrame:
     """(query_id, key, literal_score, rank): the k best texts of each request, with the share of their descriptions' scores.
 
-    `texts`: key, text, described, and, where only some may be seen, owner_id and is_public; then
-    `requests` has user_id, and texts that a request's user may not see are never scored for it.
+    `texts`: key, text, described, and, where only some may be seen, owner_id, is_public and document_id;
+    then `requests` has user_id and may have document_ids (null for all), and texts that a request's user may not
+    see, or of other documents, never count for it.
     Each task remembers the k best scores of every request so far: a text that shares too few of a
     request's pairs to come up to the last of them, even with all of its terms and the best
     description at hand, is not looked at. Scores count to six decimals; ties go by key.
@@ -90,8 +91,9 @@ def literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int = TOP,
 
 def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scoped: bool, convert: Callable[[str], str] | None) -> DataFrame:
     ids, scorer = _scorer(requests, convert)
-    users = {r.query_id: r.user_id for r in requests.select("query_id", "user_id").collect()} if scoped else {}
+    users, listed = _asking(requests, scoped)
     user = np.array([users[i] for i in ids.tolist()]) if scoped else None
+    lists = [listed.get(i) for i in ids.tolist()]
 
     def run(batches):
         best = BestSoFar(scorer, k, DESCRIBED)
@@ -105,16 +107,34 @@ def _literal_best(texts: DataFrame, requests: DataFrame, key: str, k: int, scope
                 if scoped:
                     owner, public = (batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in (3, 4))
                     seen = public.astype(bool)[t] | (owner[t] == user[r])
+                    seen &= _listed(lists, r, batch.column(5).slice(i, j - i).to_numpy(zero_copy_only=False)[t]) if listed else True
                     t, r, score = t[seen], r[seen], score[seen]
                 place = np.empty(j - i, dtype=np.int64)
                 place[sorted(range(j - i), key=keys[i:j].__getitem__)] = np.arange(j - i)
                 keep = best.keep(r, score, place[t])
                 yield pa.record_batch([pa.array(ids[r[keep]]), batch.column(0).take(pa.array(t[keep] + i)), pa.array(score[keep])], names=["query_id", key, "literal_score"])
 
-    columns = [key, "text", "described", *(["owner_id", "coalesce(is_public, false) AS is_public"] if scoped else [])]
+    columns = [key, "text", "described", *(["owner_id", "coalesce(is_public, false) AS is_public"] if scoped else []), *(["document_id"] if listed else [])]
     return texts.selectExpr(*columns).mapInArrow(run, f"query_id long, {key} {dict(texts.dtypes)[key]}, literal_score double")
 
 
+def _asking(requests: DataFrame, scoped: bool) -> tuple[dict, dict[int, frozenset]]:
+    """Users of a block of requests, and the documents of those that name some."""
+    named = scoped and "document_ids" in requests.columns
+    rows = requests.select("query_id", "user_id", *(["document_ids"] if named else [])).collect() if scoped else []
+    return {r.query_id: r.user_id for r in rows}, {r.query_id: frozenset(r.document_ids) for r in rows if named and r.document_ids is not None}
+
+
+def _listed(lists: list[frozenset | None], r: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Which of these requests may look at these documents."""
+    seen = np.ones(len(r), dtype=bool)
+    for k in np.unique(r).tolist():
+        if lists[k] is not None:
+            at = np.flatnonzero(r == k)
+            seen[at] = [d in lists[k] for d in document[at].tolist()]
+    return seen
+
+
 #: What describes a document, as far as its table has it.
 DESCRIPTION = ("title", "author", "year", "publisher", "tags", "file_name")
 
@@ -216,11 +236,11 @@ def semantic_topk(vectors: DataFrame, wanted: DataFrame, threshold: float = 0.45
 
     Each task multiplies its vectors with all query vectors of a block, and of each batch only the
     k best go on (and those that tie with the last). Vectors of another dimension, or not finite,
-    or zero are left out. With owner_id and is_public in `vectors` and user_id in `wanted`, vectors
-    that a request's user may not see are left out for it.
+    or zero are left out. With owner_id, is_public and document_id in `vectors`, and user_id and perhaps
+    document_ids in `wanted`, vectors that a request's user may not see, or of other documents, are left out for it.
     """
     scoped = "owner_id" in vectors.columns
-    asked = wanted.select("query_id", "vector", *(["user_id"] if scoped else []))
+    asked = wanted.select("query_id", "vector", *(["user_id"] if scoped else []), *(["document_ids"] if scoped and "document_ids" in wanted.columns else []))
     found = in_blocks(asked, lambda block: _semantic_scores(vectors, block, threshold, k, scoped))
     ranked = query("SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM {f}", f=found)
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -233,6 +253,8 @@ def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float, k:
     norms = np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
     q = q / np.where(norms > 0, norms, 1.0) if len(rows) else q
     user = np.array([r.user_id for r in rows]) if scoped else None
+    named = scoped and "document_ids" in wanted.columns
+    lists = [frozenset(r.document_ids) if named and r.document_ids is not None else None for r in rows]
 
     def run(batches):
         for pdf in batches:
@@ -246,7 +268,10 @@ def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float, k:
             s = q @ (x[good] / norm[good, None]).T
             if scoped:
                 own, public = pdf["owner_id"].to_numpy()[good], pdf["is_public"].to_numpy().astype(bool)[good]
-                s[~(public[None, :] | (own[None, :] == user[:, None]))] = -1.0
+                s[~(public[None, :] | (own[None, :] == user[:, None]))] = -2.0
+                for i, some in enumerate(lists):
+                    if some is not None:
+                        s[i, [d not in some for d in pdf["document_id"].to_numpy()[good].tolist()]] = -2.0
             chunk = pdf["chunk_id"].to_numpy()[good]
             hit = s > threshold
             if k is not None and s.shape[1] > k:
@@ -254,7 +279,7 @@ def _semantic_scores(vectors: DataFrame, wanted: DataFrame, threshold: float, k:
             a, b = np.nonzero(hit)
             yield pd.DataFrame({"query_id": ids[a], "chunk_id": chunk[b], "score": s[a, b]})
 
-    columns = ["chunk_id", "vector", *(["owner_id", "is_public"] if scoped else [])]
+    columns = ["chunk_id", "vector", *(["owner_id", "is_public"] if scoped else []), *(["document_id"] if any(x is not None for x in lists) else [])]
     return vectors.select(*columns).mapInPandas(run, f"query_id long, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double")
 
 

@@ -362,3 +362,10 @@ SELECT rq.query_id, coalesce(n, 0) AS total_pages, coalesce(n, 0) AS indexed_pag
 def search_coverage(spark, sf):
     """Of each request, the pages that it may see and those with all their vectors; here every chunk has one."""
     return _searched(spark, sf).summary.select("query_id", "total_pages", "indexed_pages", "failed_pages", "pending_pages")
+
+
+@job()
+def chronicle_search(spark, sf):
+    """The material of a chronology for every request, with neighbours."""
+    d, p, u = _corpus(spark, sf)
+    return search.bounded_search(p, d, u, _scoped_requests(spark, sf), hashed_embedder, 16)
