@@ -209,7 +209,8 @@ def _folders(spark, sf):
     return merge.folder_tree(f, m, v)
 
 
-@job()
+@job("""WITH f AS (SELECT c_nationkey AS owner_id, c_custkey AS folder_id, 'folder '||c_custkey AS name, CASE WHEN c_custkey%4 IN (0, 1) THEN NULL ELSE c_custkey//2 END AS pid FROM customer)
+SELECT f.owner_id, f.folder_id, f.name, p.folder_id AS parent_id FROM f LEFT JOIN f p ON f.owner_id = p.owner_id AND f.pid = p.folder_id""")
 def folder_tree(spark, sf):
     return _folders(spark, sf)[0]
 

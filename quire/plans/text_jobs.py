@@ -257,7 +257,8 @@ def attempt_log_status(spark, sf):
     return index.attempt_log_status(a).select("key", "status", "failures")
 
 
-@job()
+@job("""WITH s AS (SELECT document_id, lower(concat_ws(chr(10), coalesce(title,'-'), coalesce(author,'-'), coalesce(year,'-'), coalesce(publisher,'-'), visibility)) AS shelf FROM cd), q AS (SELECT item_id AS query_id, string_split('title ' || item_id || ' src', ' ') AS terms FROM benchmark)
+SELECT query_id, document_id FROM q JOIN s ON len(list_filter(terms, lambda t: NOT contains(shelf, t))) = 0""", "cd")
 def shelf_search(spark, sf):
     wanted = C.requests(spark, sf).selectExpr("query_id", "concat('title ', query_id, ' src') AS query")
     return text.shelf_search(C.corpus_documents(spark, sf), wanted, ["title", "author", "year", "publisher", "visibility"])
