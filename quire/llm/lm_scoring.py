@@ -263,9 +263,10 @@ _LOG = np.log(np.arange(1 << 16, dtype=np.float32) + np.float32(ADDED))
 _CENTRES = (np.arange(STEPS) - (STEPS - 1) / 2) * 0.75
 
 
-def _logits(both: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and number of earlier bits of each; `own` is what a training document itself has counted there, packed alike."""
-    both = both - own
+def _logits(both: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and number of earlier bits of each; `own`, if given, is what to take off there, packed alike."""
+    if own is not None:
+        both = both - own
     one, zero = both >> np.uint32(16), both & np.uint32(0xFFFF)
     return _LOG[one] - _LOG[zero], one + zero
 
@@ -280,7 +281,7 @@ def log_probabilities(docs: list[np.ndarray], known: np.ndarray, model: MixModel
     leaf, doc, run = leaf[order], doc[order], (place // RUN)[order]
     token, node, bit = _spread(leaf, model.tree)
     turned, of_doc = node.view(np.uint64) * _K[4], doc[token]
-    own = np.where(bit == 1, np.uint32(1 << 16), np.uint32(1)) * known.astype(np.uint32)[of_doc]
+    own = np.where(bit == 1, np.uint32(1 << 16), np.uint32(1)) * known.astype(np.uint32)[of_doc] if known.any() else None
     x, seen = [_logits(model.nodes[node], own)[0]], []
     for table, context in zip(model.cells, contexts):
         logit, count = _logits(table[_cells(context[token], turned, model.bits)], own)
