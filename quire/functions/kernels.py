@@ -96,15 +96,17 @@ def unescape(value: str | None) -> str | None:
     return None if value is None else html.unescape(value)
 
 
-def decode_bytes(value: bytes | None) -> str | None:
+def decode_bytes(value: bytes | None) -> tuple[str | None, str | None, int]:
+    """Text of the first of ENCODINGS that reads all of the bytes, and its name; else UTF-8 with marks for what it cannot read, no name, and their number."""
     if value is None:
-        return None
+        return None, None, 0
     for name in ENCODINGS:
         try:
-            return value.decode(name)
-        except (UnicodeDecodeError, UnicodeError):
+            return value.decode(name), name, 0
+        except UnicodeError:
             continue
-    return value.decode("utf-8", "replace")
+    text = value.decode("utf-8", "replace")
+    return text, None, text.count("\ufffd") - value.count("\ufffd".encode())
 
 
 def nfkc_lower(value: str | None) -> str | None:

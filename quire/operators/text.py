@@ -80,9 +80,11 @@ def html_visible_text(column: Column) -> Column:
 
 
 def decode_bytes(column: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(kernels.decode_bytes, na_action="ignore")
+    """Struct of a file's text, the encoding that it was read by (null if none reads it), and how many places were replaced."""
+
+    @F.pandas_udf("struct<text: string, encoding: string, replaced: int>")
+    def run(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kernels.decode_bytes(x) for x in v], columns=["text", "encoding", "replaced"])
 
     return run(column)
 

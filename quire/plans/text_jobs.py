@@ -58,10 +58,10 @@ def clean_text(spark, sf):
     return text.clean_text(C.table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "clean", "truncated", "warning")
 
 
-@job()
+@job("SELECT doc_id, text, CASE WHEN doc_id%2=0 OR text = '' THEN 'utf-8-sig' ELSE 'utf-16' END AS encoding, 0 AS replaced FROM documents")
 def decode_bytes(spark, sf):
     raw = C.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16")).alias("raw"))
-    return raw.select("doc_id", text.decode_bytes(F.col("raw")).alias("text"))
+    return raw.select("doc_id", text.decode_bytes(F.col("raw")).alias("d")).select("doc_id", "d.text", "d.encoding", "d.replaced")
 
 
 @job("SELECT * FROM prim", "prim")

@@ -79,8 +79,9 @@ def test_audit_and_repair():
 
 def test_conversion_and_decoding():
     assert k.WordConverter({"头发": "頭髮"}, {"发": "發"})("头发发") == "頭髮發"
-    assert k.decode_bytes("汉字".encode("gb18030")) == "汉字"
-    assert k.decode_bytes(b"\xef\xbb\xbfa") == "a"
+    assert k.decode_bytes("汉字".encode("gb18030")) == ("汉字", "gb18030", 0)
+    assert k.decode_bytes(b"\xef\xbb\xbfa") == ("a", "utf-8-sig", 0)
+    assert k.decode_bytes(b"\xff\xff\xef\xbf\xbd") == ("\ufffd\ufffd\ufffd", None, 2) and k.decode_bytes(None) == (None, None, 0)
 
 
 def test_hidden_elements_still_break_lines():
