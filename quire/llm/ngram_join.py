@@ -16,7 +16,8 @@ the hub is a short list, and products of those lists give the overlaps of a fami
 which only links leave the task. Then rows that are neither of one family nor yet in one component.
 So a group of copies costs its size, and a group of near copies sends no pairs but its links. A
 column or family that is too large for a task is cut into square blocks, and the partners of one
-class are verified HUB_ROWS to a task, so none is gathered whole.
+class are verified HUB_ROWS to a task, so none is gathered whole. Packed texts travel to where sets
+are compared, as a set's hashes fill twice its text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, byte_words, discard, held, pieces_of, raw, staged, tasks
@@ -46,6 +47,8 @@ COLUMN_ROWS, HUB_ROWS = 100_000, 2_000
 FAMILY = 60
 #: Classes and bytes of their lists in one block of a family, and tokens that a product takes at once.
 FAMILY_ROWS, FAMILY_BYTES, FAMILY_TOKENS = 1024, 16_000_000, 4096
+#: Rows of a column that wait for its hubs, and bytes of packed texts whose sets are made at once.
+WAITING_ROWS, PACKED_BYTES = 1_000_000, 500_000
 #: Digests that a task remembers, so that copies within it are sent once.
 SEEN = 1_000_000
 
@@ -185,25 +188,26 @@ def _repeated(batches):
 
 
 def _sets(k: int, sent):
-    """Class and whole set of rows whose id may be wanted."""
+    """Class and packed text of rows whose id may be wanted."""
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         bits, seen = sent.value, set()
         for whole in batches:
             for batch in pieces_of(whole):
-                h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                may = (bits[h >> 6 & (FILTER_WORDS - 1)].view(np.uint64) >> (h & 63).astype(np.uint64)) & np.uint64(1)
-                some = batch.filter(pa.array(may.astype(bool)))
+                some = batch.filter(pa.array(_may_hold(bits, batch.column(2))))
                 if not some.num_rows:
                     continue
-                out = []
-                for s in _shingles(raw(some.column(1)), k):
+                out, texts = [], raw(some.column(1))
+                for text, s in zip(texts, _shingles(texts, k)):
                     if (c := _digest(s)) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(c)
-                        out.append((c, s.tobytes()))
-                yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["cid", "set"])
+                        out.append((c, pack(text)))
+                yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], names=["cid", "packed"])
 
     return run
 
@@ -211,8 +215,8 @@ def _sets(k: int, sent):
 _CHECKED = "a long, b long, hit boolean, n long, m long, less long, apart binary"
 
 
-def _verified(num: int, den: int, family: int | None):
-    """Pairs of rows (hub, part, own, id, set), sorted: the hub's own set comes first, its partners follow.
+def _verified(k: int, num: int, den: int, family: int | None):
+    """Pairs of rows (hub, part, own, id, packed text), sorted: the hub's own row comes first, its partners follow.
 
     `hit`: whether they link. With `family`, pairs of that measure also tell the sizes of the class
     and of the hub, how many n-grams the class lacks, and those that only one of both has. Others
@@ -220,11 +224,13 @@ def _verified(num: int, den: int, family: int | None):
     """
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         key, hub = None, None
-        for batch in batches:
-            out = []
-            for h, part, own, i, data in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.frombuffer(data, np.uint64)
+        for batch in (b for whole in batches for b in pieces_of(whole, PACKED_BYTES, "packed")):
+            out, sets = [], _shingles([unpack(x) for x in batch.column(4).to_pylist()], k)
+            for h, part, own, i, s in zip(*(c.to_pylist() for c in batch.columns[:4]), sets):
                 if own:
                     key, hub = (h, part), s
                 elif key == (h, part):
@@ -311,6 +317,53 @@ def _within_families(families: DataFrame, num: int, den: int) -> DataFrame:
 _PAIRS = ("a", "b", "na", "nb", "ea", "eb", "pa", "pb")
 
 
+def _near_hubs(batches):
+    """Pairs of each row with its column's hub: the least class among those of its band and of the bands next to that.
+
+    Rows (token, band, cid, n, most, pos) come sorted by the first three. Of a column of more than
+    WAITING_ROWS rows, the last ones before each cut do not know the band that follows.
+    """
+
+    def bands(table):
+        token, band = table.column("token").to_numpy(), table.column("band").to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]))
+
+    def pairs(table, known):
+        """Pairs of the rows of a table after the first `known`."""
+        r = {name: table.column(name).to_numpy() for name in table.schema.names}
+        token, band, cid, begin = r["token"], r["band"], r["cid"], bands(table)
+        hub, low, high = begin.copy(), begin[:-1], begin[1:]
+        beside = np.flatnonzero((token[low] == token[high]) & (band[high] - band[low] == 1))
+        for at, other in ((beside, high[beside]), (beside + 1, low[beside])):
+            hub[at] = np.where(cid[other] < cid[hub[at]], other, hub[at])
+        a, b = np.repeat(hub, np.diff(np.append(begin, len(token)))), np.arange(len(token))
+        some = (cid[a] != cid[b]) & (b >= known)
+        a, b = a[some], b[some]
+        return pa.record_batch([pa.array(r[c][x]) for c in ("cid", "n", "most", "pos") for x in (a, b)], names=list(_PAIRS))
+
+    waits, known = [], 0  # rows of a column that may go on; the first of them have their pairs
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column(0).to_numpy()
+        last = np.flatnonzero(token != token[-1])
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut or not waits or waits[-1].column(0)[-1].as_py() != token[0]:
+            table = pa.Table.from_batches([*waits, batch.slice(0, cut)]).combine_chunks()
+            if len(table):
+                yield pairs(table, known)
+            waits, known = [batch.slice(cut)], 0
+        else:
+            waits.append(batch)
+        if sum(b.num_rows for b in waits) > WAITING_ROWS + known:
+            table = pa.Table.from_batches(waits).combine_chunks()
+            yield pairs(table, known)
+            firsts = table.take(pa.array(bands(table)[-2:])).combine_chunks()
+            waits, known = firsts.to_batches(), len(firsts)
+    if waits:
+        yield pairs(pa.Table.from_batches(waits).combine_chunks(), known)
+
+
 def _crossed(num: int, den: int, near: int = 6, block: int = 1024):
     """Pairs of classes of different groups and families that one column holds and whose sizes and places allow the threshold.
 
@@ -384,6 +437,22 @@ def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return met.where((F.col("common") >= F.least(F.lit(SHARE), overlap)) & ((num + den) * (F.col("common") + rest) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
+def _may_hold(bits: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    """Whether each hash may be one of those that `bits` were made of."""
+    h = hashes.to_numpy(zero_copy_only=False).astype(np.int64)
+    return ((bits[h >> 6 & (FILTER_WORDS - 1)].view(np.uint64) >> (h & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def may_hold(spark: SparkSession, ids: DataFrame, column: str) -> Column:
+    """Whether a column's value may be an `id` of `ids`: true for all that are, false for nearly all others."""
+    sent = spark.sparkContext.broadcast(_filter_bits(spark, ids))
+
+    def run(hashes: pa.Array) -> pa.Array:
+        return pa.array(_may_hold(sent.value, hashes))
+
+    return F.arrow_udf(run, "boolean")(F.xxhash64(column))
+
+
 def _filter_bits(spark: SparkSession, ids: DataFrame) -> np.ndarray:
     h = F.xxhash64("id")
     word = F.shiftright(h, 6).bitwiseAND(FILTER_WORDS - 1)
@@ -425,7 +494,7 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where("doc_id IS NOT NULL")
 
     def checked(possible: DataFrame, family: int | None = None) -> DataFrame:
-        """What `_verified` says of the pairs; each wanted set travels once to every hub it is compared with."""
+        """What `_verified` says of the pairs; each wanted text travels once to every hub it is compared with."""
         pairs = staged(possible, "pairs")
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("parts"))
         to = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
@@ -433,16 +502,14 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
         wanted = staged(to.union(hubs), "wanted")
         ids = wanted.select("id").distinct().join(classes, F.col("id") == F.col("cid")).select(F.col("rep").alias("id"))
         bits = spark.sparkContext.broadcast(_filter_bits(spark, ids))
-        found = texts.mapInArrow(_sets(k, bits), "cid long, set binary")
-        dealt = found.join(wanted, found["cid"] == wanted["id"]).select("hub", "part", "own", "id", "set").repartition(tasks(spark), "hub", "part")
-        links = staged(dealt.sortWithinPartitions("hub", "part", F.desc("own")).mapInArrow(_verified(num, den, family), _CHECKED), "checked")
+        found = texts.mapInArrow(_sets(k, bits), "cid long, packed binary")
+        dealt = found.join(wanted, found["cid"] == wanted["id"]).select("hub", "part", "own", "id", "packed").repartition(tasks(spark), "hub", "part")
+        links = staged(dealt.sortWithinPartitions("hub", "part", F.desc("own")).mapInArrow(_verified(k, num, den, family), _CHECKED), "checked")
         discard(pairs, wanted)
         return links
 
-    # the least class of a column among those of like size and of a size class next to that
-    first = shared.groupBy("token", "band").agg(F.min(F.struct("cid", "n", "most", "pos")).alias("p"))
-    first = first.select("token", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "p").groupBy("token", "band").agg(F.min("p").alias("p"))
-    near = shared.join(first, ["token", "band"]).where("cid <> p.cid").select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.most").alias("ea"), F.col("most").alias("eb"), F.col("p.pos").alias("pa"), F.col("pos").alias("pb"))
+    by_band = shared.select("token", "band", "cid", "n", "most", "pos").repartition(tasks(spark), "token").sortWithinPartitions("token", "band", "cid")
+    near = by_band.mapInArrow(_near_hubs, ", ".join(f"{c} long" for c in _PAIRS))
     around = checked(_possible(near, min(FAMILY, num * 100 // den), 100), FAMILY)
     families = around.where("apart IS NOT NULL").groupBy(F.col("b").alias("cid")).agg(F.min_by(F.struct(F.col("a").alias("hub"), "hit", "n", "m", "less", "apart"), "a").alias("f")).select("cid", "f.*")
     families = staged(families, "families")
@@ -454,7 +521,7 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
     discard(shared, around, families)
     # a row for each COLUMN_ROWS rows of the table at most
     heavy = known.groupBy("token").count().where(F.col("count") > COLUMN_ROWS).select("token", F.ceil(F.col("count") / COLUMN_ROWS).alias("blocks"))
-    cut = known.join(heavy, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    cut = known.join(F.broadcast(heavy), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("o", "block").cast("int").alias("left"), F.greatest("o", "block").cast("int").alias("right"), (F.col("block") > F.col("o")).cast("int").alias("side"), "cid", "n", "most", "pos", "group", "family")
     met = cut.repartition(tasks(spark), "token", "left", "right").sortWithinPartitions("token", "left", "right", "n")
     wide = met.mapInArrow(_crossed(num, den), ", ".join(f"{c} long" for c in _PAIRS))

@@ -74,6 +74,38 @@ def test_families_of_near_copies(spark, monkeypatch, k, num, family):
     assert {r.doc_id: r.component_id for r in ngram_join.similar_components(df, k, (num, 100)).collect()} == _groups(sets, num, 100)
 
 
+@pytest.mark.parametrize("waiting", [1_000_000, 40])
+def test_pairs_with_the_hub_of_a_column(monkeypatch, waiting):
+    """The least class of a row's band and the bands beside it; past WAITING_ROWS of a column, of those seen so far."""
+    monkeypatch.setattr(ngram_join, "WAITING_ROWS", waiting)
+    rng = np.random.default_rng(5)
+    columns = [(t, 3 if t == 9 else int(rng.integers(0, 6)), int(c)) for t in range(12) for c in rng.choice(10_000, 130 if t > 8 else int(rng.integers(1, 9)), replace=False)]
+    rows = sorted(columns)
+    table = pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 2, 2, 2, 2)], names=["token", "band", "cid", "n", "most", "pos"])
+    found = Counter((r["a"], r["b"]) for b in ngram_join._near_hubs(table.to_batches(max_chunksize=7)) for r in b.to_pylist())
+    want = Counter()
+    for t, band, c in rows:
+        least = min(x for u, v, x in rows if u == t and abs(v - band) <= 1)
+        want[least, c] += least != c
+    if waiting > len(rows):
+        assert found == +want
+    else:
+        assert sum(found.values()) <= len(rows) and len({b for _, b in +want} - {b for _, b in found}) < 10
+
+
+def test_sets_travel_as_packed_texts():
+    import zstandard
+
+    words = np.random.default_rng(8).choice(list("abcdefghijklmnopqrstuvwxyz"), 3000).tolist()
+    texts = [" ".join(words), " ".join(words[::-1]), " ".join(words)]
+    every = type("Sent", (), {"value": np.full(ngram_join.FILTER_WORDS, -1, dtype=np.int64)})
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(texts), pa.array([1, 2, 3], pa.int64())], names=["doc_id", "text", "h"])
+    (found,) = ngram_join._sets(3, every)([batch])
+    packed = found.column(found.num_columns - 1).to_pylist()
+    assert len(packed) == 2 and sum(map(len, packed)) < sum(map(len, texts[:2]))
+    assert [zstandard.ZstdDecompressor().decompress(x).decode() for x in packed] == texts[:2]
+
+
 def test_inclusion_follows_the_probabilities(spark):
     rng = np.random.default_rng(3)
     size = rng.choice([1, 3, 9, 40, 200], 8000)
