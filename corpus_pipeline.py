@@ -30,14 +30,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the document of least id stays.
 
-    Of rows that share an id one stays; rows without an id all stay.
+    Of rows that share an id one stays; rows without an id all stay. Only texts whose id may be one
+    of those looked for are dealt by id.
     """
     found = ngram_join.similar_components(docs, k=5, threshold=(80, 100)).where("doc_id IS NOT NULL")
     found = staged(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups")
     apart = found.where("component_id <> doc_id OR rows > 1").select("doc_id")
     repeated = found.where("component_id = doc_id AND rows > 1").select("doc_id")
-    one = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(apart, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    marked = docs.withColumn("_may", ngram_join.may_hold(spark, apart.withColumnRenamed("doc_id", "id"), "doc_id"))
+    sure, rest = marked.where("NOT _may"), marked.where("_may").join(apart, "doc_id", "left_anti")
+    twice = docs.where(ngram_join.may_hold(spark, repeated.withColumnRenamed("doc_id", "id"), "doc_id"))
+    one = twice.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return sure.select(*docs.columns).union(rest.select(*docs.columns)).union(one.select(*docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

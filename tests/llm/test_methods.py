@@ -93,6 +93,22 @@ def test_pairs_with_the_hub_of_a_column(monkeypatch, waiting):
         assert sum(found.values()) <= len(rows) and len({b for _, b in +want} - {b for _, b in found}) < 10
 
 
+def _shuffled(spark, run) -> int:
+    """Bytes that stages write to shuffles while `run` runs, without broadcasts."""
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+    before, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run().write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return written() - before
+
+
 def test_sets_travel_as_packed_texts():
     import zstandard
 
@@ -106,6 +122,19 @@ def test_sets_travel_as_packed_texts():
     assert [zstandard.ZstdDecompressor().decompress(x).decode() for x in packed] == texts[:2]
 
 
+def test_near_duplicates_deals_no_texts_that_surely_stay(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(9)
+    texts = [rng.bytes(50_000).hex() for _ in range(60)]
+    rows = [*enumerate(texts), (100, texts[7]), (3, texts[3]), (None, texts[5]), (None, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert _shuffled(spark, lambda: cp.near_duplicates(spark, docs, "")) < 2_000_000
+    found = cp.near_duplicates(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in found) == Counter([*range(60), None, None]) and all(r.text == dict(rows[:60]).get(r.doc_id, texts[5]) for r in found)
+
+
 def test_inclusion_follows_the_probabilities(spark):
     rng = np.random.default_rng(3)
     size = rng.choice([1, 3, 9, 40, 200], 8000)
