@@ -7,7 +7,8 @@ blank-separated words one after the other; each distinct word is encoded once pe
 from __future__ import annotations
 
 import os
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -17,19 +18,6 @@ from .common import held
 END_PACK, END_STORE = 0, 1
 
 
-class _Words(dict):
-    """Numbers words in the order in which they come, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as `Tokenizer.encode` gives them.
 
@@ -57,7 +45,8 @@ class WordEncoder:
         self._points = {p: self._ids(p).tobytes() for p in ".,"}
 
     def _clear(self) -> None:
-        self._words, self._used = _Words(), 0
+        # numbers words in the order in which they come
+        self._words, self._used = defaultdict(count().__next__), 0
         self._flat = np.zeros(1 << 16, dtype="<u4")
         self._begin, self._size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
@@ -68,11 +57,10 @@ class WordEncoder:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self._words) > self._limit:
             self._clear()
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        counts, before = np.fromiter(map(len, split), dtype=np.int64, count=len(split)), len(self._words)
         words = np.fromiter(map(self._words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
-        if self._words.new:
-            self._learn(self._words.new)
-            self._words.new.clear()
+        if len(self._words) > before:
+            self._learn([*islice(reversed(self._words), len(self._words) - before)][::-1])
         size = self._size[words]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
@@ -89,14 +77,18 @@ class WordEncoder:
         if len(self._forms) > self._limit // 2:
             self._forms, self._older = {"": b""}, self._forms
         points, forms, shapes, tails = self._points, self._forms, [], []
-        for w in new:
+        for w, low in zip(new, map(str.lower, new)):
+            if w.isalpha() and w.isascii():
+                shapes.append(low)
+                tails.append(b"")
+                continue
             tail = points.get(w[-1:], b"")
             stem = w[:-1] if tail else w
             if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and stem.lower().isalpha())):
                 shapes.append(stem.lower())
                 tails.append(tail)
             else:
-                shapes.append(w.lower() if w.isascii() else w)
+                shapes.append(low if w.isascii() else w)
                 tails.append(b"")
         need = set(shapes).difference(forms)
         for f in need & self._older.keys():
@@ -121,12 +113,12 @@ class WordEncoder:
         Forms that the tokenizer may change before it cuts them (unprintable, not in lower case or
         not composed) are encoded apart.
         """
-        plain = [f for f in need if f.isprintable() and f.lower() == f and (f.isascii() or is_normalized("NFC", f))]
+        plain = [f for f in need if f.isprintable() and (f.isascii() or (f.lower() == f and is_normalized("NFC", f)))]  # those of ASCII come in lower case
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
             ids = self._ids(" ".join(part))
             upto = np.cumsum(self._octets[ids])
-            want = np.cumsum(np.fromiter((len(f.encode()) for f in part), dtype=np.int64, count=len(part)))
+            want = np.cumsum(np.fromiter(map(len, map(str.encode, part)), dtype=np.int64, count=len(part)))
             ends = np.searchsorted(upto, want)
             if len(ids) == 0 or upto[-1] != want[-1] or not np.array_equal(upto[np.minimum(ends, len(ids) - 1)], want):
                 continue  # ids that do not end where the forms do: encoded apart below

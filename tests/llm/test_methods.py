@@ -25,6 +25,14 @@ def test_word_encoder_gives_the_tokenizers_ids():
             assert np.frombuffer(found, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_word_encoder_learns_each_word_once_in_order(monkeypatch):
+    words, learned = WordEncoder(_tokenizer()), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learned.append(list(new)), learn(new)))
+    first = words.encode(["bo Aé bo", "Aé c,"])
+    assert words.encode(["d c,", "bo Aé bo"])[1] == first[0] and learned == [["bo", "Aé", "c,"], ["d"]]
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, bins=2)
     assert [fit.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
