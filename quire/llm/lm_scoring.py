@@ -83,18 +83,19 @@ def _tokenise(batches):
     seen, size, counts = fresh()
     for whole in batches:
         for batch in pieces_of(whole):
-            out, sizes = [], []
-            for text, apart in zip(raw(batch.column(1)), batch.column(2).to_pylist()):
+            out, sizes, rows = [], [], []
+            for text in raw(batch.column(1)):
                 size += len(text)
                 sizes.append(len(text))
                 found = byte_words(text.lower())  # bytes: A-Z only
                 found.append(END)
-                row = np.fromiter(map(seen.__getitem__, found), dtype=np.uint32, count=len(found))
-                if len(seen) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(seen)), dtype=np.int64)])
-                if not apart:
-                    np.add.at(counts, row, 1)
+                rows.append(row := np.fromiter(map(seen.__getitem__, found), dtype=np.uint32, count=len(found)))
                 out.append(pack(row.tobytes()))
+            if len(seen) > len(counts):
+                counts = np.concatenate([counts, np.zeros(max(len(counts), len(seen)), dtype=np.int64)])
+            train = [row for row, apart in zip(rows, batch.column(2).to_pylist()) if not apart]
+            if train:
+                counts[: len(seen)] += np.bincount(np.concatenate(train), minlength=len(seen))
             m = len(out)
             yield pa.record_batch([pa.array(np.full(m, chunk)), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(out, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names=names)
             if size > CHUNK_BYTES:
@@ -177,6 +178,32 @@ class MixModel:
     def bits(self) -> int:
         return self.cells.shape[1].bit_length() - 1
 
+    def lookups(self) -> Lookups:
+        """The logits and gates of all counts, each worked out once instead of at every bit that meets it."""
+        logits = np.empty(self.cells.shape, dtype=np.float32)
+        gates = np.empty((2, self.cells.shape[1]), dtype=np.uint8)
+        step = 1 << 16  # cells at once
+        for t, table in enumerate(self.cells):
+            for i in range(0, len(table), step):
+                logits[t, i : i + step], count = _logits(table[i : i + step], None)
+                if t < 2:
+                    gates[t, i : i + step] = _GATES[t](count)
+        return Lookups(self.tree, _logits(self.nodes, None)[0], logits, gates)
+
+
+@dataclass
+class Lookups:
+    """What documents that the model has not counted read: the tree, logits by node and by cell, and gates by cell of the first two contexts."""
+
+    tree: tuple
+    nodes: np.ndarray
+    cells: np.ndarray  # HASHED x cells
+    gates: np.ndarray  # 2 x cells
+
+    @property
+    def bits(self) -> int:
+        return self.cells.shape[1].bit_length() - 1
+
 
 def packed_counts(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Both counts in 32 bits; pairs with a larger one are scaled down together."""
@@ -213,7 +240,7 @@ def _count(sent, cell_bits: int):
         import zstandard
 
         tree = sent.value
-        nodes = np.zeros(2 * len(tree[0]), dtype=np.uint32)
+        leaves = np.zeros(len(tree[0]), dtype=np.int64)
         cells = [np.zeros(2 << cell_bits, dtype=np.uint32) for _ in range(HASHED)]
         waits, size = [], 0
 
@@ -222,7 +249,7 @@ def _count(sent, cell_bits: int):
             contexts = _contexts(leaf, n)
             token, node, bit = _spread(leaf, tree)
             one = np.ones(len(bit), dtype=np.uint32)
-            np.add.at(nodes, 2 * node + bit, one)
+            leaves[:] += np.bincount(leaf, minlength=len(leaves))
             turned = node.view(np.uint64) * _K[4]
             for table, context in zip(cells, contexts):
                 np.add.at(table, 2 * _cells(context[token], turned, cell_bits) + bit, one)
@@ -237,6 +264,9 @@ def _count(sent, cell_bits: int):
         if waits:
             add()
         pack = zstandard.ZstdCompressor(level=1).compress
+        of, node, bit = _spread(np.arange(len(leaves)), tree)
+        nodes = np.zeros(2 * len(leaves), dtype=np.uint32)
+        np.add.at(nodes, 2 * node + bit, leaves[of].astype(np.uint32))  # a leaf counts at each node of its path
         blocks = [(-1, nodes)] + [(t * BLOCKS + b, part) for t, table in enumerate(cells) for b, part in enumerate(np.split(table, BLOCKS))]
         for block, part in blocks:
             if part.any():
@@ -260,6 +290,11 @@ def _add_blocks(batches):
 
 
 _LOG = np.log(np.arange(1 << 16, dtype=np.float32) + np.float32(ADDED))
+#: A bit's gate is the sum of these, of how often the contexts of one and of two leaves have been seen there.
+_GATES = (
+    lambda n: 4 * ((n > 1).astype(np.uint8) + (n > 7) + (n > 63)),
+    lambda n: (n > 0).astype(np.uint8) + (n > 1) + (n > 4),
+)
 _CENTRES = (np.arange(STEPS) - (STEPS - 1) / 2) * 0.75
 
 
@@ -271,8 +306,8 @@ def _logits(both: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.nd
     return _LOG[one] - _LOG[zero], one + zero
 
 
-def log_probabilities(docs: list[np.ndarray], known: np.ndarray, model: MixModel) -> np.ndarray:
-    """log10 probability of the leaves of each document. Those that `known` marks are scored as if the model had not counted them: one count less for each of their bits."""
+def log_probabilities(docs: list[np.ndarray], known: np.ndarray, model: MixModel | Lookups) -> np.ndarray:
+    """log10 probability of the leaves of each document. Those that `known` marks are scored as if the model had not counted them: one count less for each of their bits; that takes the counts of a MixModel."""
     size = np.array([len(d) for d in docs])
     n, leaf = len(docs), np.concatenate(docs).astype(np.int64)
     place, doc = _places(size), np.repeat(np.arange(n), size)
@@ -281,36 +316,43 @@ def log_probabilities(docs: list[np.ndarray], known: np.ndarray, model: MixModel
     leaf, doc, run = leaf[order], doc[order], (place // RUN)[order]
     token, node, bit = _spread(leaf, model.tree)
     turned, of_doc = node.view(np.uint64) * _K[4], doc[token]
-    own = np.where(bit == 1, np.uint32(1 << 16), np.uint32(1)) * known.astype(np.uint32)[of_doc] if known.any() else None
-    x, seen = [_logits(model.nodes[node], own)[0]], []
-    for table, context in zip(model.cells, contexts):
-        logit, count = _logits(table[_cells(context[token], turned, model.bits)], own)
-        x.append(logit)
-        seen.append(count)
-    level = 4 * ((seen[0] > 1).astype(np.int64) + (seen[0] > 7) + (seen[0] > 63))
-    slot = of_doc * GATES + level + (seen[1] > 0) + (seen[1] > 1) + (seen[1] > 4)
-    here = 2 * (of_doc * LOCAL + (node & (LOCAL - 1)))
+    cells = [_cells(context[token], turned, model.bits) for context in contexts]
+    if known.any():
+        own = np.where(bit == 1, np.uint32(1 << 16), np.uint32(1)) * known.astype(np.uint32)[of_doc]
+        found = [_logits(table[at], own) for table, at in zip(model.cells, cells)]
+        x = [_logits(model.nodes[node], own)[0]] + [logit for logit, _ in found]
+        gate = _GATES[0](found[0][1]) + _GATES[1](found[1][1])
+    else:
+        look = model.lookups() if isinstance(model, MixModel) else model
+        x = [look.nodes[node]] + [table[at] for table, at in zip(look.cells, cells)]
+        gate = look.gates[0][cells[0]] + look.gates[1][cells[1]]
+    slot = of_doc * GATES + gate
+    here = of_doc * LOCAL + (node & (LOCAL - 1))
+    now, target = 2 * here + bit, bit.astype(np.float32)
     local = np.zeros(2 * n * LOCAL, dtype=np.uint16)
+    pairs = local.view("<u4")  # 0 in the low bits
     weights = np.repeat(np.array(START_WEIGHTS, dtype=np.float32)[:, None], n * GATES, axis=1)
     ones, all_ = np.tile(SURE / (1 + np.exp(-_CENTRES)), n), np.full(n * STEPS, SURE)
     total = np.zeros(n)
     ends = np.searchsorted(token, np.searchsorted(run, np.arange(int(run[-1]) + 2)))
     for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        b, s, o, h = bit[i:j], slot[i:j], of_doc[i:j], here[i:j]
-        part = [v[i:j] for v in x] + [_LOG[local[h + 1]] - _LOG[local[h]]]
+        b, s, o = target[i:j], slot[i:j], of_doc[i:j]
+        part = [v[i:j] for v in x] + [_logits(pairs[here[i:j]], None)[0]]
         logit = weights[0][s] * part[0]
         for w, v in zip(weights[1:], part[1:]):
             logit += w[s] * v
         p = 1 / (1 + np.exp(-logit))
-        at = o * STEPS + np.clip((logit * np.float32(1 / 0.75) + np.float32(STEPS / 2)).astype(np.int64), 0, STEPS - 1)
-        refined = np.float32(0.5) * p + np.float32(0.5) * (ones / all_).astype(np.float32)[at]
-        right = np.clip(np.where(b == 1, refined, 1 - refined), np.float32(1e-6), 1)
+        logit *= np.float32(1 / 0.75)
+        logit += np.float32(STEPS / 2)
+        at = o * STEPS + np.clip(logit, np.float32(0), np.float32(STEPS - 1)).astype(np.int64)
+        refined = np.float32(0.5) * p + (0.5 * ones / all_).astype(np.float32)[at]
+        right = np.maximum(np.abs(refined - (1 - b)), np.float32(1e-6))
         total += np.bincount(o, weights=np.log(right), minlength=n)
         error, m = b - p, n * GATES
         share = RATE / (np.bincount(s, minlength=m) + 1)
         for w, v in zip(weights, part):
             w += np.bincount(s, weights=error * v, minlength=m) * share
-        np.add.at(local, h + b, np.ones(j - i, dtype=np.uint16))
+        np.add.at(local, now[i:j], np.ones(j - i, dtype=np.uint16))
         ones += np.bincount(at, weights=b, minlength=n * STEPS)
         all_ += np.bincount(at, minlength=n * STEPS)
     return total / np.log(10)
@@ -517,6 +559,6 @@ def scored(docs: DataFrame, modulus: int = 10) -> DataFrame:
             nodes[:] = at
         else:
             cells[r["block"]] = at
-    model = spark.sparkContext.broadcast(MixModel(tree, nodes, cells.reshape(HASHED, -1)))
+    model = spark.sparkContext.broadcast(MixModel(tree, nodes, cells.reshape(HASHED, -1)).lookups())
     result = found.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from quire.llm import embedding_dedup, fingerprints, langid, lm_scoring, mixing, ngram_join, packing, toxicity, url_filters
 from quire.llm.queries import _tokenizer
@@ -417,6 +418,37 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert max(at.values()) <= 2048
 
 
+def test_logits_of_counts_are_worked_out_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    tree = lm_scoring.code(rng.integers(1, 500, 300))
+    nodes = lm_scoring.packed_counts(rng.integers(0, 90, 300).astype(float), rng.integers(0, 90, 300).astype(float))
+    cells = lm_scoring.packed_counts(rng.integers(0, 90, (3, 1 << 10)).astype(float), rng.integers(0, 9, (3, 1 << 10)).astype(float))
+    model = lm_scoring.MixModel(tree, nodes, cells)
+    docs = [rng.integers(0, 300, n).astype(np.uint32) for n in (1, 700, 40, 129)]
+    bits = sum(int(tree[0][d].sum()) for d in docs)
+    look, met, logits = model.lookups(), [], lm_scoring._logits
+    monkeypatch.setattr(lm_scoring, "_logits", lambda both, own: met.append(len(both)) or logits(both, own))
+    no = np.zeros(len(docs), dtype=bool)
+    fast = lm_scoring.log_probabilities(docs, no, look)
+    assert sum(met) == bits  # the document's own counts alone; with those of the model it was five times that
+    # by counts: the last document alone is marked, so the others take nothing off
+    slow = lm_scoring.log_probabilities([*docs, docs[0]], np.append(no, True), model)
+    assert np.allclose(fast, slow[:-1], rtol=1e-6)
+
+
+def test_counts_of_nodes_and_cells_are_those_of_every_bit():
+    rng = np.random.default_rng(4)
+    tree = lm_scoring.code(rng.integers(1, 500, 300))
+    docs = [rng.integers(0, 300, n).astype(np.uint32) for n in (1, 700, 40)]
+    pack = zstandard.ZstdCompressor().compress
+    batch = pa.record_batch([pa.array([pack(d.tobytes()) for d in docs], pa.binary())], names=["leaves"])
+    sent = type("Sent", (), {"value": tree})
+    blocks = {r.column(0)[0].as_py(): np.frombuffer(zstandard.ZstdDecompressor().decompress(r.column(1)[0].as_py()), np.uint32) for r in lm_scoring._count(sent, 16)(iter([batch]))}
+    _, node, bit = lm_scoring._spread(np.concatenate(docs).astype(np.int64), tree)
+    assert (blocks[-1] == np.bincount(2 * node + bit, minlength=600)).all()
+    assert [sum(int(v.sum()) for k, v in blocks.items() if k // lm_scoring.BLOCKS == t and k >= 0) for t in range(3)] == [len(bit)] * 3
+
+
 def test_the_code_is_whole():
     tree = lm_scoring.code(np.array([5, 1, 1, 8]))
     assert abs(sum(2.0 ** -int(n) for n in tree[0]) - 1) < 1e-12 and tree[0].argmin() == 3
