@@ -33,7 +33,7 @@ from .common import byte_words, discard, pieces_of, raw, remainder, staged, task
 
 #: Words with a leaf of their own at most, and leaves that the others share.
 OWN_LEAVES, SHARED_LEAVES = 1 << 11, 1 << 9
-#: Bits of a cell's number in a hashed table, at least and at most (3 tables of 4 bytes a cell: 50 MB in each worker).
+#: Bits of a cell's number in a hashed table, at least and at most (3 tables of 4 bytes a cell and 2 of one: 59 MB in each worker).
 CELL_BITS, MOST_CELL_BITS, BLOCKS = 16, 22, 16
 #: Bytes of text whose tokens share one dictionary, and training tokens that one task counts contexts of.
 CHUNK_BYTES, COUNT_TOKENS = 64_000_000, 32_000_000
