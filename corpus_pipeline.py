@@ -12,6 +12,8 @@ from quire.llm.common import staged
 LEAST_LANGUAGE_SCORE = 0.5
 #: Documents with this probability of the toxic label, or more, go.
 TOXIC_SCORE = 0.5
+#: Words that packing keeps the ids of: beside a heap that the stages before have filled, a worker has less room.
+PACK_WORDS = 300_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, cache_words=PACK_WORDS)
 
 
 STAGES = [("language_id", language_id), ("toxicity", toxic), ("ngram_jaccard", near_duplicates), ("mixing", mixture), ("packing", packed)]

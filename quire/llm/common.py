@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import numpy as np
@@ -55,6 +56,21 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int):
+    """Jobs run inside send rows to Python in Arrow batches of about `most` bytes.
+
+    Else 10,000 rows of text make a batch of tens of MB, which the JVM builds and of which a worker holds two.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tasks(spark: SparkSession) -> int:
     """How many partitions a shuffle by key gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

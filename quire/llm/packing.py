@@ -11,13 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, staged
+from .common import arrow_bytes, pieces_of, staged
 from .tokens import END_PACK, encoder
 
 #: Open sequences that a packer keeps at most.
 OPEN_BINS = 256
-#: Words that a worker keeps the ids of: few, as packing may follow other stages in the same worker.
+#: Words that a worker keeps the ids of; fewer where packing follows other stages in the same executors.
 CACHE_WORDS = 500_000
+#: Bytes of texts that go to a worker at once.
+BATCH_BYTES = 4_000_000
 #: Open sequences of all tasks that a task of the second round packs together, on average.
 MERGE_ROWS = 200_000
 
@@ -71,9 +73,9 @@ class BestFit:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, is_open boolean"
 
 
-def _first_round(path: str, capacity: int, bins: int):
+def _first_round(path: str, capacity: int, bins: int, cache_words: int):
     def run(batches):
-        fit, encode = BestFit(capacity, bins), encoder(path, CACHE_WORDS).encode
+        fit, encode = BestFit(capacity, bins), encoder(path, cache_words).encode
         base = TaskContext.get().partitionId() << 36
         end = END_PACK.to_bytes(4, "little")
         for whole in batches:
@@ -116,7 +118,7 @@ def _second_round(capacity: int, bins: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, bins: int = OPEN_BINS, keep: tuple[str, ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, bins: int = OPEN_BINS, keep: tuple[str, ...] = (), cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens.
 
     A document is its ids and then id 0; a null or empty text is that id alone. Documents longer
@@ -124,13 +126,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, bins: int =
     its own order with a fixed number of open bins. What the partitions leave open (at most `bins`
     each) goes through the same packer once more, MERGE_ROWS or so to a task and by falling use, so
     many small partitions waste no more than a few. Nothing is shuffled by document. Repeated rows are packed again; a null doc_id stays null. An empty table gives no
-    rows. Extra columns are ignored.
+    rows. Extra columns are ignored. A worker keeps the ids of `cache_words` words.
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = staged(found.mapInArrow(_first_round(tokenizer_path, capacity, bins), _PIECES), "pieces")
+    with arrow_bytes(spark, BATCH_BYTES):
+        pieces = staged(found.mapInArrow(_first_round(tokenizer_path, capacity, bins, cache_words), _PIECES), "pieces")
     left = pieces.where("is_open").select("sequence_id", "length")
     spread = left.repartition(1 + left.count() // MERGE_ROWS, "sequence_id")
     moved = staged(spread.sortWithinPartitions(F.desc("length"), "sequence_id").mapInArrow(_second_round(capacity, bins), "sequence_id long, merged_id long, shift long"), "open-bins")

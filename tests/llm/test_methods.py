@@ -34,6 +34,30 @@ def test_word_encoder_learns_each_word_once_in_order(monkeypatch):
     assert words.encode(["d c,", "bo Aé bo"])[1] == first[0] and learned == [["bo", "Aé", "c,"], ["d"]]
 
 
+def test_packing_takes_texts_a_few_mb_at_once(spark, monkeypatch, tmp_path):
+    first, seen = packing._first_round, str(tmp_path)
+
+    def watched(*settings):
+        run = first(*settings)
+
+        def noted(batches):
+            for i, batch in enumerate(batches):
+                with open(f"{seen}/{i}", "w") as f:
+                    f.write(str(batch.nbytes))
+                yield batch
+
+        return lambda batches: run(noted(batches))
+
+    monkeypatch.setattr(packing, "_first_round", watched)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('bo ', 14000) AS text").coalesce(1)
+    found = packing.pack(docs, _tokenizer(), 2048).groupBy("doc_id").agg({"length": "sum"}).collect()
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) > 12_000_000 and max(sizes) < 5_000_000
+    assert len(found) == 300 and len({n for _, n in found}) == 1 and spark.conf.get(setting) == before
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, bins=2)
     assert [fit.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
