@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ TOXIC_SCORE = 0.5
 PACK_WORDS = 300_000
 
 
+def small_batches(stage):
+    """Texts go to Python packing.BATCH_BYTES at once, for this session from here on, as stages are written after they return."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{packing.BATCH_BYTES}b")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letters (`und`) or no language with a score of LEAST_LANGUAGE_SCORE."""
     model = langid.train(docs)
@@ -23,12 +37,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= LEAST_LANGUAGE_SCORE)).drop("_p")
 
 
+@small_batches
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier toxic than not go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score(spark, model, F.col("text").cast("string")) < TOXIC_SCORE)
 
 
+@small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the document of least id stays.
 
@@ -46,11 +62,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return sure.select(*docs.columns).union(rest.select(*docs.columns)).union(one.select(*docs.columns))
 
 
+@small_batches
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mixture takes them."""
     return mixing.mix(docs)
 
 
+@small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
     import public_tokenizers

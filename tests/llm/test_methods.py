@@ -58,6 +58,25 @@ def test_packing_takes_texts_a_few_mb_at_once(spark, monkeypatch, tmp_path):
     assert len(found) == 300 and len({n for _, n in found}) == 1 and spark.conf.get(setting) == before
 
 
+def test_pipeline_stages_take_texts_a_few_mb_at_once(spark, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    def told(texts: pa.Array) -> pa.Array:
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+        return pa.array([{"lang_pred": "en" if texts.nbytes < 5_000_000 else "und", "score": 1.0}] * len(texts), kind)
+
+    monkeypatch.setattr(langid, "train", lambda docs: None)
+    monkeypatch.setattr(langid, "predict", lambda spark, model, text: F.arrow_udf(told, "struct<lang_pred: string, score: double>")(text))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('bo ', 14000) AS text")
+    try:
+        assert corpus_pipeline.STAGES[0][1](spark, docs, "").count() == 300
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, bins=2)
     assert [fit.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
