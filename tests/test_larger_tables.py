@@ -31,3 +31,8 @@ def test_lines_that_begin_with_a_number_are_no_made_headings(spark, addressed):
     # the operator itself keeps the rules of headings
     page = spark.createDataFrame([("p", "d", 1, "10.20.3.4 Ent hal.\nwords")], "page_id string, document_id string, page_number int, text string")
     assert [r.family for r in outline.classify_headings(page).orderBy("line").collect()] == ["multi_level", None]
+
+
+def test_outlines_count_made_headings_alone(spark, addressed):
+    _same(spark, addressed, "outline_coverage")
+    _same(spark, addressed, "toc_pages")
