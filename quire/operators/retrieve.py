@@ -227,8 +227,8 @@ def pick_match_layer(layer_hits: DataFrame, policy: str = "primary", reader: boo
 
 
 def dedupe_sentence_hits(hits: DataFrame) -> DataFrame:
-    """One hit per query, source and sentence: exact before partial, then the earliest."""
-    return query("SELECT * EXCEPT (n) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, sentence ORDER BY level <> 'exact', ordinal) AS n FROM {h}) WHERE n = 1", h=hits)
+    """One hit per query, source and sentence: exact before partial, then the earliest; at one place by level, so that the choice is always the same."""
+    return query("SELECT * EXCEPT (n) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, sentence ORDER BY level <> 'exact', ordinal NULLS LAST, level) AS n FROM {h}) WHERE n = 1", h=hits)
 
 
 def semantic_topk(vectors: DataFrame, wanted: DataFrame, threshold: float = 0.45, k: int | None = TOP) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quire.operators import outline
+from quire.operators import outline, retrieve
 from quire.plans import answer_jobs  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
@@ -36,3 +36,11 @@ def test_lines_that_begin_with_a_number_are_no_made_headings(spark, addressed):
 def test_outlines_count_made_headings_alone(spark, addressed):
     _same(spark, addressed, "outline_coverage")
     _same(spark, addressed, "toc_pages")
+
+
+def test_hits_of_one_place_are_chosen_by_level(spark):
+    """The same choice whatever the order of rows; places without a number come last, as in the SQL."""
+    rows = [(1, "p", "s", level, "7-1") for level in ("semantic", "partial")] * 3 + [(2, "p", "s", "partial", None), (2, "p", "s", "semantic", "9-1")]
+    for order in (rows, rows[::-1]):
+        h = spark.createDataFrame(order, "query_id int, source_id string, sentence string, level string, ordinal string")
+        assert sorted(tuple(r) for r in retrieve.dedupe_sentence_hits(h.coalesce(1)).collect()) == [(1, "p", "s", "partial", "7-1"), (2, "p", "s", "semantic", "9-1")]
