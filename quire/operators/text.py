@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.sql import blank, chars, content, lower_words, query
-from ..functions.staging import staged
+from ..functions.staging import in_blocks, staged
 
 #: Layers by policy, in order of preference.
 POLICIES = {"primary": ("punctuated_text", "ocr_text"), "processed": ("punctuated_text",), "reader": ("punctuated_text",)}
@@ -213,7 +213,8 @@ def shelf_search(documents: DataFrame, wanted: DataFrame, columns: list[str]) ->
     A document is listed under every substring of three characters, two or one of its fields, as far as
     queries have them in a term (three, where the term is long enough). A query looks under the one
     of its substrings that fewest documents have and tests what it finds there; a query without
-    terms has the empty one, which all documents have.
+    terms has the empty one, which all documents have. A block of queries is sent to all tasks; lists and
+    shelves, which Spark takes for as small as the shelves' files, never are.
     """
 
     @F.pandas_udf("string")
@@ -222,6 +223,10 @@ def shelf_search(documents: DataFrame, wanted: DataFrame, columns: list[str]) ->
 
     shelf = documents.select("document_id", fold(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])).alias("shelf"))
     shelf = staged(shelf, "shelf")
+    return in_blocks(wanted.select("query_id", "query"), lambda block: _shelf_search(shelf, block, fold), "query")
+
+
+def _shelf_search(shelf: DataFrame, wanted: DataFrame, fold) -> DataFrame:
     terms = staged(wanted.select("query_id", F.filter(F.split(fold("query"), r"(?U)\s+"), lambda t: t != "").alias("terms")), "shelf-terms")
     asked = query(
         f"""SELECT query_id, terms, explode(if(size(terms) = 0, array(''), array_distinct(flatten(transform(terms, t ->
@@ -232,8 +237,7 @@ def shelf_search(documents: DataFrame, wanted: DataFrame, columns: list[str]) ->
     listed = query("SELECT l.* FROM {l} l LEFT SEMI JOIN {a} a ON l.piece = a.piece", l=listed, a=asked.select("piece").distinct())
     rarest = query("SELECT a.query_id, any_value(a.terms) AS terms, min_by(a.piece, struct(coalesce(n.n, 0) AS n, a.piece)) AS piece FROM {a} a LEFT JOIN (SELECT piece, count(*) AS n FROM {l} GROUP BY piece) n ON a.piece = n.piece GROUP BY a.query_id", a=asked, l=listed)
     return query(
-        "SELECT q.query_id, s.document_id FROM {q} q JOIN {l} l ON q.piece = l.piece JOIN {s} s ON l.document_id = s.document_id WHERE forall(q.terms, t -> contains(s.shelf, t))",
-        q=rarest,
-        l=listed,
+        "SELECT /*+ MERGE(f, s) */ f.query_id, s.document_id FROM {f} f JOIN {s} s ON f.document_id = s.document_id WHERE forall(f.terms, t -> contains(s.shelf, t))",
+        f=query("SELECT /*+ BROADCAST(q) */ q.query_id, q.terms, l.document_id FROM {q} q JOIN {l} l ON q.piece = l.piece", q=rarest, l=listed),
         s=shelf,
     )

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quire.operators import outline, retrieve
+from quire.operators import outline, retrieve, text
 from quire.plans import answer_jobs  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
@@ -44,3 +44,14 @@ def test_hits_of_one_place_are_chosen_by_level(spark):
     for order in (rows, rows[::-1]):
         h = spark.createDataFrame(order, "query_id int, source_id string, sentence string, level string, ordinal string")
         assert sorted(tuple(r) for r in retrieve.dedupe_sentence_hits(h.coalesce(1)).collect()) == [(1, "p", "s", "partial", "7-1"), (2, "p", "s", "semantic", "9-1")]
+
+
+def test_shelf_search_sends_no_list_to_all_tasks(spark):
+    """What grows with the documents is joined by a shuffle, whatever size Spark takes it for."""
+    documents = spark.range(3000).selectExpr("concat('d', id) AS document_id", "concat('title ', id) AS title")
+    wanted = spark.range(40).selectExpr("id AS query_id", "concat('title ', id) AS query")
+    found = text.shelf_search(documents, wanted, ["title"])
+    pairs = {(r.query_id, r.document_id) for r in found.collect()}
+    assert pairs == {(q, f"d{i}") for q in range(40) for i in range(3000) if str(q) in str(i)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "strategy=broadcast" in plan
