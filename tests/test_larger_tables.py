@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from quire.functions import kernels
+from quire.functions.literal import Joined, RequestMatcher, mark_for
 from quire.operators import outline, retrieve, text
 from quire.plans import answer_jobs  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
@@ -55,3 +57,23 @@ def test_shelf_search_sends_no_list_to_all_tasks(spark):
     assert pairs == {(q, f"d{i}") for q in range(40) for i in range(3000) if str(q) in str(i)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan and "strategy=broadcast" in plan
+
+
+def test_joined_texts_give_what_each_gives(spark):
+    """Places, sentences and holders of joined texts, and no place across two of them."""
+    texts = ["the cat. A", "at the ca", "t", "", " .\n\n the cat！” aa aaa", "甲乙丙 X9 x9"]
+    asked = ["the cat", "aa", "A", "at", "cat", "甲丙", "X9", "", "\U0010fffd"]
+    matcher, own = RequestMatcher(asked), Joined(texts, mark_for(asked))
+    of, a, b, partial = matcher.places(own)
+    n = own.number(a)
+    s, e = kernels.excerpts(own, a, b)
+    got = [tuple(map(int, x)) for x in zip(n, of, a - own.begin[n], b - own.begin[n], partial, s - own.begin[n], e - own.begin[n])]
+    want = [(i, q, x, y, int(level == "partial"), *kernels.excerpt(t, x, y)) for i, t in enumerate(texts) for q, found in RequestMatcher(asked).matches(t) for x, y, level in found]
+    assert got == want and len(want) > 10
+    holds = [(i, q) for i, t in enumerate(texts) for q, w in enumerate(asked) if w and w in t]
+    assert sorted(zip(*(x.tolist() for x in matcher.holders(own)))) == holds
+    sources = spark.createDataFrame([(f"p{i}", "ocrText", "h", t) for i, t in enumerate(texts)], "page_id string, source_layer string, source_hash string, text string")
+    shown = retrieve.match_text(sources, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
+    assert "Join" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.page_id, r.query_id, r.match_start): (r.text, r.sentence) for r in shown.collect()}
+    assert rows == {(f"p{i}", q, x): (texts[i][max(0, x - 160) : y + 240], texts[i][s:e]) for i, q, x, y, _, s, e in want}
