@@ -5,8 +5,8 @@ import pytest
 
 from quire.functions import kernels
 from quire.functions.literal import Joined, RequestMatcher, mark_for
-from quire.operators import outline, retrieve, text
-from quire.plans import answer_jobs  # noqa: F401
+from quire.operators import outline, retrieve, search, text
+from quire.plans import answer_jobs, search_jobs  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 
@@ -77,3 +77,26 @@ def test_joined_texts_give_what_each_gives(spark):
     assert "Join" not in shown._jdf.queryExecution().optimizedPlan().toString()
     rows = {(r.page_id, r.query_id, r.match_start): (r.text, r.sentence) for r in shown.collect()}
     assert rows == {(f"p{i}", q, x): (texts[i][max(0, x - 160) : y + 240], texts[i][s:e]) for i, q, x, y, _, s, e in want}
+
+
+@pytest.mark.parametrize("name", ["full_search", "reader_search"])
+def test_searches_write_nothing_and_deal_hits_once(spark, monkeypatch, name):
+    """Hits are worked out in the rows of pages: no table of them is written, and two shuffles of pages and hits suffice."""
+    monkeypatch.setattr(search, "staged", lambda df, what: pytest.fail(f"wrote {what}"))
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and "query_id" in plan
+    assert found.count() > 1000
+
+
+def test_coverage_reads_pages_without_searching_them(spark, monkeypatch):
+    monkeypatch.setattr(search, "full_search", lambda *a, **b: pytest.fail("searched"))
+    found = {r.query_id: r for r in QUERIES["search_coverage"](spark, "/root/testdata/sf0.001").collect()}
+    assert any(r.total_pages for r in found.values()) and all(r.total_pages == r.indexed_pages and not r.pending_pages for r in found.values())
+    # a chunk without a vector leaves its page pending, or failed
+    pages = spark.createDataFrame([("a", "d", 1, "one", "", ""), ("b", "d", 2, "two", "", ""), ("c", "d", 3, "three", "", "")], "page_id string, document_id string, page_number int, ocr_text string, punctuated_text string, notes string")
+    documents, users = spark.createDataFrame([("d", 1, "public", False)], "document_id string, owner_id int, visibility string, is_deleted boolean"), spark.createDataFrame([(1, False)], "user_id int, is_deleted boolean")
+    asked = spark.createDataFrame([(1, 1, "one", None), (2, 1, "one", [])], "query_id long, user_id int, query string, document_ids array<string>")
+    part = lambda texts: [[1.0, 2.0] if t == "one" else None for t in texts]
+    counted = search.search_coverage(pages, documents, users, asked, part, 2, spark.createDataFrame([("b",), ("a",)], "page_id string"))
+    assert sorted(tuple(r) for r in counted.collect()) == [(1, 3, 1, 1, 1), (2, 0, 0, 0, 0)]
