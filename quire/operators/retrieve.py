@@ -474,7 +474,8 @@ def diversify_chronicle(hits: DataFrame, chunks: DataFrame, limit: int = 30) ->
     """Hits with one per page first, two thirds of the limit of them, their neighbours, then the rest; three per page at most.
 
     `hits`: query_id, position, chunk_id, page_id, source_layer, ordinal, score. Each query's
-    candidates (a few times the limit) are settled in one small group.
+    candidates (a few times the limit) are settled in one small group, which it stays where many chunks share a
+    place; those come by id.
     """
     base = max(1, limit * 2 // 3)
     first = query(
@@ -482,11 +483,17 @@ def diversify_chronicle(hits: DataFrame, chunks: DataFrame, limit: int = 30) ->
               SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY position) AS on_page FROM {{h}})""",
         h=hits,
     )
+    # of chunks at one place, as many of the least ids as can be passed over and taken: those that stand already, and a page's most
+    places = query(
+        f"""SELECT DISTINCT page_id, source_layer, ordinal, chunk_id FROM (
+              SELECT *, dense_rank() OVER (PARTITION BY page_id, source_layer, ordinal ORDER BY chunk_id) AS n FROM {{c}}) WHERE n <= {limit + PAGE_CAP}""",
+        c=chunks.select("page_id", "source_layer", "ordinal", "chunk_id"),
+    )
     near = query(
         f"""SELECT f.query_id, f.turn, 1 AS kind, c.ordinal - f.ordinal AS step, c.chunk_id, c.page_id, f.score FROM {{f}} f JOIN {{c}} c
             ON f.page_id = c.page_id AND f.source_layer = c.source_layer AND c.ordinal IN (f.ordinal - 1, f.ordinal + 1) WHERE f.turn <= {base}""",
         f=first,
-        c=chunks,
+        c=places,
     )
     pool = first.where(F.col("turn") <= 4 * limit).selectExpr("query_id", "turn", "0 AS kind", "0 AS step", "chunk_id", "page_id", "score").unionByName(near)
 
@@ -494,7 +501,7 @@ def diversify_chronicle(hits: DataFrame, chunks: DataFrame, limit: int = 30) ->
         own = pdf[pdf.kind == 0].sort_values("turn")
         picked = [(r.chunk_id, r.page_id, r.score, "hit") for r in own[own.turn <= base].itertuples()]
         seen, pages = {p[0] for p in picked}, pd.Series([p[1] for p in picked]).value_counts().to_dict()
-        rest = [(r, "neighbor") for r in pdf[pdf.kind == 1].sort_values(["turn", "step"]).itertuples()] + [(r, "hit") for r in own[own.turn > base].itertuples()]
+        rest = [(r, "neighbor") for r in pdf[pdf.kind == 1].sort_values(["turn", "step", "chunk_id"]).itertuples()] + [(r, "hit") for r in own[own.turn > base].itertuples()]
         for r, how in rest:
             if len(picked) < limit and r.chunk_id not in seen and pages.get(r.page_id, 0) < PAGE_CAP:
                 picked.append((r.chunk_id, r.page_id, r.score, how))

@@ -100,3 +100,23 @@ def test_coverage_reads_pages_without_searching_them(spark, monkeypatch):
     part = lambda texts: [[1.0, 2.0] if t == "one" else None for t in texts]
     counted = search.search_coverage(pages, documents, users, asked, part, 2, spark.createDataFrame([("b",), ("a",)], "page_id string"))
     assert sorted(tuple(r) for r in counted.collect()) == [(1, 3, 1, 1, 1), (2, 0, 0, 0, 0)]
+
+
+def test_many_chunks_at_one_place_stay_a_small_group(spark, monkeypatch):
+    """50,000 chunks beside a hit: the least ids that are not taken yet, and few rows are settled."""
+    hits = spark.createDataFrame([(1, 1, "h1", "p", "o", 5, 2.0), (1, 2, "h2", "q", "o", 1, 1.0), (1, 3, "c00001", "r", "o", 9, 0.5)], "query_id int, position int, chunk_id string, page_id string, source_layer string, ordinal int, score double")
+    chunks = spark.range(50_000).selectExpr("concat('c', lpad(id, 5, '0')) AS chunk_id", "'p' AS page_id", "'o' AS source_layer", "cast(4 + id % 2 * 2 AS int) AS ordinal")
+    sizes = spark.sparkContext.accumulator(0)
+    whole = type(hits.groupBy("query_id")).applyInPandas
+
+    def counted(self, f, schema):
+        def settle(pdf):
+            sizes.add(len(pdf))
+            return f(pdf)
+
+        return whole(self, settle, schema)
+
+    monkeypatch.setattr(type(hits.groupBy("query_id")), "applyInPandas", counted)
+    found = [(r.chunk_id, r.how) for r in retrieve.diversify_chronicle(hits, chunks.union(chunks), 6).orderBy("position").collect()]
+    assert found == [("h1", "hit"), ("h2", "hit"), ("c00001", "hit"), ("c00000", "neighbor"), ("c00002", "neighbor")]
+    assert sizes.value <= 100  # read twice for the order at the end
