@@ -1,13 +1,16 @@
 """What came up on larger tables, in small."""
 
+import os
+
 import duckdb
 import pytest
 
-from quire.functions import kernels
+from quire.functions import kernels, staging
 from quire.functions.literal import Joined, RequestMatcher, mark_for
 from quire.operators import outline, retrieve, search, text
 from quire.plans import answer_jobs, search_jobs  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
+from quire.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +123,18 @@ def test_many_chunks_at_one_place_stay_a_small_group(spark, monkeypatch):
     found = [(r.chunk_id, r.how) for r in retrieve.diversify_chronicle(hits, chunks.union(chunks), 6).orderBy("position").collect()]
     assert found == [("h1", "hit"), ("h2", "hit"), ("c00001", "hit"), ("c00000", "neighbor"), ("c00002", "neighbor")]
     assert sizes.value <= 100  # read twice for the order at the end
+
+
+def test_taken_changes_are_not_left_on_disk(spark, tmp_path):
+    """A batch's changes are written once and go when the index has them."""
+    there = lambda: {p for p in os.listdir(staging._local_folder()) if p.startswith("page-changes")}
+    before, kept = there(), streams.PageIndex(spark, f"{tmp_path}/index", 2)
+    schema = "page_id string, document_id string, page_number int, ocr_text string, punctuated_text string, notes string, is_deleted boolean, version int"
+    row = lambda page, text, gone, version: (page, "d", 1, text, text, "", gone, version)
+    assert kept.apply(spark.createDataFrame([row("a", "one", False, 1), row("b", "two", False, 1), row("c", "three", False, 2)], schema)) == 3
+    assert kept.apply(spark.createDataFrame([row("a", "one", False, 2), row("b", "other", False, 2), row("c", "old", False, 1)], schema)) == 2
+    assert kept.apply(spark.createDataFrame([row("a", "gone", True, 3), row("c", "old", False, 2)], schema)) == 1
+    assert kept.apply(spark.createDataFrame([row("a", "late", False, 2)], schema)) == 0
+    assert there() == before
+    assert sorted((r.page_id, r.source_layer, r.chunk_text) for r in kept.read("chunks").collect()) == [(p, x, t) for p, t in (("b", "other"), ("c", "three")) for x in ("ocrText", "punctuatedText")]
+    assert sorted((r.page_id, r.version) for r in kept.read("versions").collect()) == [("a", 3), ("b", 2), ("c", 2)]
