@@ -138,3 +138,11 @@ def test_taken_changes_are_not_left_on_disk(spark, tmp_path):
     assert there() == before
     assert sorted((r.page_id, r.source_layer, r.chunk_text) for r in kept.read("chunks").collect()) == [(p, x, t) for p, t in (("b", "other"), ("c", "three")) for x in ("ocrText", "punctuatedText")]
     assert sorted((r.page_id, r.version) for r in kept.read("versions").collect()) == [("a", 3), ("b", 2), ("c", 2)]
+
+
+def test_sources_are_told_in_the_row_of_their_page(spark):
+    pages = spark.createDataFrame([("a", "d", 1, "one", "One.", " "), ("b", "d", 2, " ", None, "note")], "page_id string, document_id string, page_number int, ocr_text string, punctuated_text string, notes string")
+    for policy, reader, want in (("primary", False, [("a", "ocrText", False), ("a", "punctuatedText", True)]), ("primary", True, [("a", "punctuatedText", True)]), ("processed", False, [("a", "punctuatedText", True)])):
+        found = search.search_sources(pages, policy, reader)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.page_id, r.source_layer, r.is_primary) for r in found.collect()) == want
